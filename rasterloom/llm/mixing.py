@@ -90,7 +90,7 @@ def fit(counts: DataFrame, stats: dict[str | None, tuple[int, int]], goal: dict[
         state = spark.createDataFrame(at, "to_source string, value double, mean double")
         y = F.col("size") / F.col("mean")
         rate = F.exp(F.col("value") * y)
-        rows = counts.join(state, F.col("source").eqNullSafe(F.col("to_source"))).groupBy("source").agg(
+        rows = counts.join(F.broadcast(state), F.col("source").eqNullSafe(F.col("to_source"))).groupBy("source").agg(
             F.sum(F.col("n") * F.col("size") * F.least(F.lit(float(most)), rate)).alias("words"),
             F.sum(F.when(rate < most, F.col("n") * F.col("size") * y * rate).otherwise(0.0)).alias("slope"),
         )
@@ -113,7 +113,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, total: float = TOTA
     schema = "to_source string, source_size long, target double, value double, mean double, buckets long"
     state = spark.createDataFrame([(s, size, goal[s], duals[s].value, max(size, 1) / n, max(1, n // BUCKET_ROWS)) for s, (size, n) in stats.items()], schema)
     rate = F.when(F.col("size") > 0, F.least(F.lit(float(most)), F.exp(F.col("value") * (F.col("size") / F.col("mean"))))).otherwise(F.lit(1.0))
-    rated = sized.join(state, F.col("source").eqNullSafe(F.col("to_source"))).select(id_col, "source", "text_key", "size", "source_size", "target", rate.alias("rate"), F.pmod(F.xxhash64(id_col, "text_key"), F.col("buckets")).alias("bucket"))
+    rated = sized.join(F.broadcast(state), F.col("source").eqNullSafe(F.col("to_source"))).select(id_col, "source", "text_key", "size", "source_size", "target", rate.alias("rate"), F.pmod(F.xxhash64(id_col, "text_key"), F.col("buckets")).alias("bucket"))
     dealt = rated.repartition(partitions(spark), "source", "bucket").sortWithinPartitions("source", "bucket", F.desc("size"), id_col, "text_key")
 
     def round_off(batches):
