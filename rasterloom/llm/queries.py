@@ -5,7 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from rasterloom.llm import licenses, toxicity
+from rasterloom.llm.ann import search
+from rasterloom.llm.chunk_dedup import substring_dedup
 from rasterloom.llm.html_extract import extract
 from rasterloom.llm.minhash import near_duplicates
 from rasterloom.llm.mixing import mix
@@ -26,6 +30,14 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -39,16 +51,31 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.severity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents have no paths; their source and language serve as directories."""
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    return licenses.scan(table(spark, sf_dir, "documents"), path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_html_extraction": op2_html_extraction,
+        "op3_nearest_neighbours": op3_nearest_neighbours,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_mixing": op5_mixing,
         "op6_pii": op6_pii,
         "op7_quality_rules": op7_quality_rules,
+        "op8_toxicity": op8_toxicity,
         "op9_minhash": op9_minhash,
+        "op10_licenses": op10_licenses,
     }
