@@ -26,8 +26,10 @@ from rasterloom.llm.common import map_arrow, materialise, partitions, text_of
 CAPACITY = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
+#: Marks that the tokenizer parts from the letters before them.
+MARKS = ".,;:!?#$%&*()[]{}+=/^~"
 #: Words remembered with their ids in a worker, in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 #: Buckets that the ranks of a length are counted in.
 BUCKETS = 1024
 
@@ -39,6 +41,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
@@ -46,28 +51,44 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
+    def ids_of_letters(self, words: list[str]) -> list[bytes]:
+        """As ids, for words of letters only. Each ends at the one id that ends a word, so all go through the tokenizer as one text."""
+        if not words:
+            return []
+        found = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends_word[found]) + 1
+        if len(ends) != len(words) or ends[-1] != len(found):
+            return self.ids(words)
+        raw, at = found.tobytes(), [0, *(4 * ends).tolist()]
+        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+
     def learn(self, words: set[str]) -> None:
-        new = []
-        for w in words.difference(self.young):
+        plain: dict[str, tuple[str, str]] = {}
+        others = []
+        for w in words:
             if (b := self.old.get(w)) is not None:
                 self.young[w] = b
+                continue
+            # a word of plain letters with marks behind it is encoded as the word and the marks, and letters are lower-cased
+            stem = w.rstrip(MARKS)
+            low, mark = stem.lower(), w[len(stem) :]
+            if stem.isalpha() and (stem.isascii() or max(stem) < "ɐ" and len(low) == len(stem)):
+                plain[w] = low, mark
             else:
-                new.append(w)
-        # a word of plain letters with a mark behind it is encoded as the word and the mark, and letters are lower-cased
-        plain = {w: (stem.lower(), w[len(stem) :]) for w in new if (stem := w.rstrip(".,")).isalpha() and max(stem) < "ɐ" and len(stem.lower()) == len(stem) and len(w) - len(stem) < 2}
-        stems = sorted({s for s, _ in plain.values()}.difference(self.young).union(m for _, m in plain.values() if m and m not in self.young).union(w for w in new if w not in plain))
-        for w, b in zip(stems, self.ids(stems), strict=True):
-            self.young[w] = b
+                others.append(w)
+        stems = sorted({s for s, _ in plain.values()}.difference(self.young))
+        self.young.update(zip(stems, self.ids_of_letters(stems), strict=True))
+        rest = sorted({m for _, m in plain.values() if m not in self.young}.union(others))
+        self.young.update(zip(rest, self.ids(rest), strict=True))
         for w, (stem, mark) in plain.items():
-            self.young[w] = self.young[stem] + (self.young[mark] if mark else b"")
+            self.young[w] = self.young[stem] + self.young[mark]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.young) > REMEMBERED:
             self.old, self.young = self.young, {"": b""}
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        for words in split:
-            if missing := set(words).difference(self.young):
-                self.learn(missing)
+        if missing := set().union(*split).difference(self.young):
+            self.learn(missing)
         return [b"".join(map(self.young.__getitem__, words)) for words in split]
 
 
