@@ -78,7 +78,7 @@ def blend_by_mask(original: Rel, result: Rel, mask: Rel, weight: float = 1.0) ->
     both = both.join(mask.df.select(*KEY, F.col("v" if mask.kind == FIELD else "r").alias("m")), KEY, "left")
     m = clamp(F.coalesce(F.nanvl("m", F.lit(0.0)), F.lit(0.0))) * F.lit(float(weight))
     cols = {c: F.col(c) + (F.col(f"n_{c}") - F.col(c)) * m for c in original.channels}
-    return original.image(*cols.values())
+    return Rel(both, original.kind, original.width, original.height).image(*cols.values())
 
 
 def run(name: str, inputs: dict[str, Rel], params: dict | None = None, enabled: bool = True, mask_weight: float = 1.0, mask_off: bool = False) -> Rel:
