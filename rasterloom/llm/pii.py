@@ -237,7 +237,12 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = materialise(rows.select(id_col, "_base", "_extra"), "candidates")
     accept = accepted(fit(rows))
     extra = F.filter("_extra", accept)
-    counts = [F.size(F.filter("_base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(len(BASE_KINDS))]
+
+    def count_of(kind: str) -> Column:
+        k = KINDS.index(kind)
+        return F.size(F.filter("_base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{kind}")
+
+    counts = map(count_of, BASE_KINDS)
     return rows.select(id_col, *counts, F.sha2(written(F.col("_base")), 256).alias("base_sha256"), written(F.array_sort(F.concat("_base", extra))).alias("spans"), F.size(extra).cast("long").alias("n_extra"))
 
 
