@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.frame import FIELD, KEY, Rel, field_rel, frame_from_events, image_rel, plane_from_events
-from rasterloom.operators import combine, geometry, masks, point, spatial, stack  # noqa: F401
+from rasterloom.operators import combine, detail, geometry, masks, point, spatial, stack  # noqa: F401
 from rasterloom.operators.node import run
 from rasterloom.plans.graph import Graph
 
@@ -132,6 +132,27 @@ NODES: dict[str, Query] = {
     "curves": one("curves", {"points": '{"rgb": [[0, 0], [0.4, 0.5], [1, 1]], "luma": [[0, 0.05], [1, 0.95]]}'}),
     "paper": one("paper", {"grade": 3.0, "time": 0.5, "toner": "sepia", "toning": 50.0, "base": 30.0}),
 }
+NODES |= {
+    "clarity": one("clarity", {"texture": 30.0, "clarity": 40.0}),
+    "detail": one("detail", {"texture": 20.0, "dehaze": 30.0}),
+    "detail__dehaze": one("detail", {"dehaze": 30.0}),
+    "sharpen": one("sharpen", {"amount": 80.0, "radius": 0.6}),
+    "black_white": one("black_white", {"amount": 80.0, "red": 40.0, "green": 50.0}),
+    "halation": one("halation", {"threshold": 20.0, "radius": 8.0, "bloom": 20.0, "bloom_radius": 10.0}),
+    "fx_shadow": one("fx_shadow", {"size": 3.0, "distance": 2.0}),
+    "fx_glow": one("fx_glow", {"size": 3.0, "color": "#ff0000", "inner": True}),
+    "fx_bevel": one("fx_bevel", {"size": 2.0}),
+    "distance_field": one("distance_field", {"max_distance": 3.0}, field=True),
+    "lens_correct": one("lens_correct", {"distortion": 20.0, "ca_red": 30.0, "vignette": 25.0}),
+    "lens_correct__falloff": one("lens_correct", {"vignette": 40.0, "vignette_mid": 30.0}),
+    "model_denoise": one("model_denoise", {"luminance": 70.0, "detail": 20.0}, raster="swapped"),
+    "inpaint": one("inpaint", raster="swapped", mask="plane"),
+    "matte_mask": one("matte_mask", raster="plane"),
+    "noise": one("noise", {"size": 20.0, "color_grain": True}),
+    "grain": one("grain", {"intensity": 40.0, "shadows_gain": 150.0}),
+    "tone_eq": one("tone_eq", {"ev_m2": 0.5, "ev_p1": -0.7, "smoothing": 40.0}),
+    "nlm_denoise": one("nlm_denoise", {"strength": 40.0}),
+}
 NODES |= {f"tone_mask__{m}": one("tone_mask", {"range": m}) for m in ("shadows", "midtones", "highlights", "bell")}
 NODES |= {f"measure__{m}": one("measure", {"metric": m}, digits=5) for m in ("luma", "red", "green", "blue", "hue", "chroma", "saturation", "alpha")}
 NODES["measure__smooth"] = one("measure", {"metric": "luma", "smoothing": 1.0})

@@ -406,6 +406,16 @@ def build() -> dict[str, str]:
     fr = "WITH s AS (SELECT event_type AS f, CAST(hour(ts) AS INTEGER) AS y, CAST(day(ts) AS INTEGER) AS x, round(avg(value), 6) AS v FROM events GROUP BY ALL)"
     for m, e in (("mean", "avg(v)"), ("median", "median(v)"), ("max", "max(v)"), ("min", "min(v)")):
         s[f"stack__{m}"] = f"{fr} SELECT y, x, round({e} + 1e-9::DOUBLE, 5) AS v FROM s GROUP BY y, x"
+    bw = f"greatest(0.4::DOUBLE * r + 0.5::DOUBLE * g + 0.11::DOUBLE * b, 0)"
+    s["black_white"] = each(lambda c: f"{c} + ({bw} - {c}) * {d(0.8)}")
+    s["matte_mask"] = field(clip("v"))
+    s["inpaint"] = image(*(f"{c} + ({o} - {c}) * {clip('v')}" for c, o in zip("rgb", "brg", strict=True)))
+    vr = "sqrt((x - (w - 1) / 2) * (x - (w - 1) / 2) + (y - (h - 1) / 2) * (y - (h - 1) / 2)) / sqrt((w - 1) * (w - 1) / 4 + (h - 1) * (h - 1) / 4)"
+    s["lens_correct__falloff"] = image(*(f"{c} * (1 + {d(0.4)} * {smooth('rr', 0.3, 1.0)})" for c in "rgb"), pre=f"t0 AS (SELECT *, {vr} AS rr FROM f)", src="t0")
+    dz = 0.10 * 0.3
+    s["detail__dehaze"] = image(*(f"{c} * k" for c in "rgb"), pre=f"t0 AS (SELECT *, {LUMA} AS l, {enc(LUMA)} AS dd FROM f), t1 AS (SELECT *, CASE WHEN l > 1e-6 AND dd < 1 THEN {dec(f'greatest((dd - {d(dz)}) / {d(1 - dz)}, 0)')} / l ELSE 1 END AS k FROM t0)", src="t1")
+    offs = [(a, b) for a in range(-4, 5) for b in range(-4, 5)]
+    s["distance_field"] = final(f"o AS (SELECT * FROM (VALUES {', '.join(str(v) for v in offs)}) t(dy, dx)), i AS (SELECT y, x, {clip('v')} >= 0.5 AS k FROM f), j AS (SELECT i.y, i.x, i.k, min(CASE WHEN n.k <> i.k THEN sqrt(dy * dy + dx * dx) END) AS dd FROM i CROSS JOIN o JOIN i n ON n.y = i.y + dy AND n.x = i.x + dx GROUP BY ALL), q AS (SELECT y, x, {clip(f'0.5 + 0.5 * ' + clip(f'(CASE WHEN k THEN 1 ELSE -1 END) * (coalesce(dd, 1e6) - 0.5) / 3', -1, 1))} AS v FROM j)", "v")
     s["stack__hdr"] = f"""{fr}, e AS (SELECT f, CAST(row_number() OVER (ORDER BY f) AS DOUBLE) AS e FROM (SELECT DISTINCT f FROM s)), k AS (SELECT y, x, v / {d(500)} AS v, e, (1 - {smooth(f'(v / {d(500)})', 0.8, 0.95)}) * e * e / ({d((3 / 40000) ** 2)} + abs(v / {d(500)}) / 40000) AS wt FROM s JOIN e USING (f)),
     t AS (SELECT y, x, sum(wt * v / e) AS sv, sum(wt) AS sw, max(v / e) AS mb FROM k GROUP BY y, x) SELECT y, x, round((SELECT median(e) FROM e) * CASE WHEN sw > 0 THEN sv / sw ELSE mb END + 1e-9::DOUBLE, 5) AS v FROM t"""
     s["render_slice"] = f"WITH f AS ({FRAME}), t AS (SELECT *, {LUMA} AS yy FROM f), m AS (SELECT *, {smooth('yy', 0.2, 0.3)} * (1 - {smooth('yy', 0.6, 0.7)}) AS k FROM t) SELECT y, round(avg({luma('r + r * k', 'g + g * k', 'b + b * k')}), 6) AS luma, count(*) AS n FROM m GROUP BY y"
