@@ -8,7 +8,7 @@ from collections import deque
 from dataclasses import dataclass, field, replace
 
 from rasterloom.frame import IMAGE, Rel
-from rasterloom.operators import combine, detail, geometry, masks, point, spatial  # noqa: F401  they register their nodes
+from rasterloom.operators import combine, detail, geometry, masks, point, select, spatial  # noqa: F401  they register their nodes
 from rasterloom.operators.node import REGISTRY, EngineError, run
 
 SOURCES = ("image_source", "file", "catalog")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.frame import FIELD, KEY, Rel, field_rel, frame_from_events, image_rel, plane_from_events
-from rasterloom.operators import combine, detail, geometry, masks, point, spatial, stack  # noqa: F401
+from rasterloom.operators import combine, detail, geometry, masks, point, select, spatial, stack  # noqa: F401
 from rasterloom.operators.node import run
 from rasterloom.plans.graph import Graph
 
@@ -151,6 +151,10 @@ NODES |= {
     "noise": one("noise", {"size": 20.0, "color_grain": True}),
     "grain": one("grain", {"intensity": 40.0, "shadows_gain": 150.0}),
     "tone_eq": one("tone_eq", {"ev_m2": 0.5, "ev_p1": -0.7, "smoothing": 40.0}),
+    "selection_mask": one("selection_mask", {"regions": '[{"kind": "marquee", "x0": 0.1, "y0": 0.1, "x1": 0.7, "y1": 0.8}, {"kind": "marquee", "shape": "ellipse", "op": "subtract", "x0": 0.3, "y0": 0.2, "x1": 0.6, "y1": 0.9}]'}),
+    "brush_mask": one("brush_mask", {"strokes": '[{"points": [[0.1, 0.5], [0.9, 0.5]], "radius": 0.2, "hardness": 0.5}]'}),
+    "smart_mask": one("smart_mask", {"threshold": 40.0}, raster="plane"),
+    "color_console": one("color_console", {"bands": '[{"id": "a", "center": 120, "width": 40, "hue": 15, "sat": 30, "lum": 0.3}]'}),
     "nlm_denoise": one("nlm_denoise", {"strength": 40.0}),
 }
 NODES |= {f"tone_mask__{m}": one("tone_mask", {"range": m}) for m in ("shadows", "midtones", "highlights", "bell")}

@@ -408,6 +408,9 @@ def build() -> dict[str, str]:
         s[f"stack__{m}"] = f"{fr} SELECT y, x, round({e} + 1e-9::DOUBLE, 5) AS v FROM s GROUP BY y, x"
     bw = f"greatest(0.4::DOUBLE * r + 0.5::DOUBLE * g + 0.11::DOUBLE * b, 0)"
     s["black_white"] = each(lambda c: f"{c} + ({bw} - {c}) * {d(0.8)}")
+    px0, py0 = "((x + 0.5) / w)", "((y + 0.5) / h)"
+    s["selection_mask"] = field(f"(CASE WHEN {px0} BETWEEN 0.1::DOUBLE AND 0.7::DOUBLE AND {py0} BETWEEN 0.1::DOUBLE AND 0.8::DOUBLE THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) * (1 - CASE WHEN pow(({px0} - 0.45::DOUBLE) / 0.15::DOUBLE, 2) + pow(({py0} - 0.55::DOUBLE) / 0.35::DOUBLE, 2) <= 1 THEN 1 ELSE 0 END)")
+    s["smart_mask"] = field(smooth("v", 0.4 - 0.1, 0.4 + 0.1))
     s["matte_mask"] = field(clip("v"))
     s["inpaint"] = image(*(f"{c} + ({o} - {c}) * {clip('v')}" for c, o in zip("rgb", "brg", strict=True)))
     vr = "sqrt((x - (w - 1) / 2) * (x - (w - 1) / 2) + (y - (h - 1) / 2) * (y - (h - 1) / 2)) / sqrt((w - 1) * (w - 1) / 4 + (h - 1) * (h - 1) / 4)"

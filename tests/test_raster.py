@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.frame import FIELD, IMAGE, Rel, field_rel, image_rel
-from rasterloom.operators import combine, geometry, masks, point, spatial, stack  # noqa: F401
+from rasterloom.operators import combine, detail, geometry, masks, point, select, spatial, stack  # noqa: F401
 from rasterloom.operators.node import REGISTRY, EngineError, run
 
 
@@ -183,3 +183,45 @@ def test_every_node_declares_itself():
         assert spec.name == name and spec.gives in (IMAGE, FIELD)
         for key, p in spec.params.items():
             assert p.read(p.default, key, name) == p.default
+
+
+def test_selections_fold_in_order(spark):
+    p = picture(spark, [[0.2] * 8] * 8)
+    half = '{"kind": "marquee", "x0": 0, "y0": 0, "x1": 0.5, "y1": 1}'
+    top = '{"kind": "path", "op": "%s", "points": [[0, 0], [1, 0], [1, 0.5], [0, 0.5]]}'
+    want = {"add": 48, "subtract": 16, "intersect": 16, "replace": 32}
+    for op, n in want.items():
+        assert sum(map(sum, values(run("selection_mask", {"in": p}, {"regions": f"[{half}, {top % op}]"})))) == n
+    assert sum(map(sum, values(run("selection_mask", {"in": p}, {"regions": f"[{half}]", "invert": True})))) == 32
+    stroke = '{"points": [[0, 0.5], [1, 0.5]], "radius": 0.2, "hardness": 0.9}'
+    painted = values(run("brush_mask", {"in": p}, {"strokes": f"[{stroke}]"}))
+    assert painted[4][4] == 1 and painted[0][0] == 0
+    gone = values(run("brush_mask", {"in": p}, {"strokes": f'[{stroke}, {stroke[:-1]}, "erase": true}}]'}))
+    assert gone[4][4] == 0 and max(map(max, gone)) <= 0.25
+    with pytest.raises(EngineError):
+        run("selection_mask", {"in": p}, {"regions": "{"})
+
+
+def test_console_leaves_other_hues_alone(spark):
+    p = picture(spark, [[(0.5, 0.1, 0.1, 1), (0.1, 0.1, 0.5, 1), (0.3, 0.3, 0.3, 1)]])
+    out = run("color_console", {"in": p}, {"bands": '[{"id": "red", "center": 25, "width": 40, "lum": 1.0}]', "smoothing": 0.0})
+    assert values(out)[0] == pytest.approx([1.0, 0.1, 0.3], abs=0.02)
+
+
+def test_frames_round_trip(spark, tmp_path):
+    from rasterloom.sources.frames import read_frames, write_frames
+
+    p = picture(spark, [[0.1 * y] * 3 for y in range(6)])
+    write_frames(p, str(tmp_path / "f"), band_rows=2)
+    assert values(read_frames(spark, str(tmp_path / "f"), IMAGE, 3, 6)) == values(p)
+    assert read_frames(spark, str(tmp_path / "f"), IMAGE, 3, 6, rows=(3, 3), band_rows=2).df.count() == 3
+
+
+def test_distance_and_cubes(spark, tmp_path):
+    m = plane(spark, [[0, 0, 1, 1, 1, 1]])
+    assert values(run("distance_field", {"in": m}, {"max_distance": 2.0}))[0] == pytest.approx([0.125, 0.375, 0.625, 0.875, 1.0, 1.0])
+    lines = ["LUT_3D_SIZE 2"] + [f"{1 - r} {1 - g} {1 - b}" for b in (0, 1) for g in (0, 1) for r in (0, 1)]
+    (tmp_path / "n.cube").write_text("\n".join(lines))
+    display = run("to_scene", {"in": picture(spark, [[0.25, 0.75]])})
+    out = run("to_display", {"in": run("lut", {"in": display}, {"path": str(tmp_path / "n.cube")})})
+    assert values(out)[0] == pytest.approx([0.75, 0.25])
