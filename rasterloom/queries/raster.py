@@ -32,8 +32,12 @@ def swapped(rel: Rel) -> Rel:
     return rel.image(F.col("b"), F.col("r"), F.col("g"), F.col("g"))
 
 
+#: Added before rounding: values that differ in their last bit round alike, off the halves.
+OFF = 1e-9
+
+
 def shown(rel: Rel, digits: int = 6) -> DataFrame:
-    return rel.df.select("y", "x", *[(F.round(c, digits) + F.lit(0.0)).alias(c) for c in rel.channels])
+    return rel.df.select("y", "x", *[(F.round(F.col(c) + F.lit(OFF), digits) + F.lit(0.0)).alias(c) for c in rel.channels])
 
 
 def one(node: str, params: dict | None = None, port: str = "in", field: bool = False, digits: int = 6, **extra: str) -> Query:
@@ -172,8 +176,7 @@ NODES["morphology__round"] = one("morphology", {"mode": "dilate", "radius": 2.0,
 
 
 def area_downscale(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rel = geometry.area_mean(picture(spark, sf_dir), 4)
-    return shown(rel.image(*[F.col(c) + F.lit(1e-9) for c in rel.channels]))  # means may differ in their last bit; off the halves they round alike
+    return shown(geometry.area_mean(picture(spark, sf_dir), 4))
 
 
 def stack_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +197,7 @@ def stack_query(mode: str) -> Query:
             out = stack.merge_frames(frames, mode, ["v"], ["y", "x"], {k: 1.0 + i for i, k in enumerate(kinds)})
         else:
             out = stack.merge_frames(frames, mode, ["v"], ["y", "x"])
-        return out.select("y", "x", F.round(F.col("v") + F.lit(1e-9), 5).alias("v"))
+        return out.select("y", "x", F.round(F.col("v") + F.lit(OFF), 5).alias("v"))
 
     return query
 

@@ -48,7 +48,7 @@ def contrast(x, gamma):
 
 
 def final(ctes: str, channels="rgba", digits=6, frm="q") -> str:
-    cols = ", ".join(f"round({c}, {digits}) + {d(0)} AS {c}" for c in channels)
+    cols = ", ".join(f"round({c} + {d(1e-9)}, {digits}) + {d(0)} AS {c}" for c in channels)
     return f"WITH f AS ({FRAME}){', ' + ctes if ctes else ''} SELECT y, x, {cols} FROM {frm}"
 
 
@@ -402,7 +402,7 @@ def build() -> dict[str, str]:
     s["transform"] = final(gathered(f"w / 2 + ({dx} * {d(c)} + {dy} * {d(sn)}) / {d(0.9)}", f"h / 2 + ({dy} * {d(c)} - {dx} * {d(sn)}) / {d(0.9)}"))
     shx = lambda v: clip(f"({v} - 0.5) * 10", -3, 3)
     s["displacement_map"] = final(gathered(f"x + 0.5 - {shx('v')}", f"y + 0.5 - {shx(LUMA)}", inside=False))
-    s["area_downscale"] = final("q AS (SELECT CAST(floor(y / 4.0) AS INTEGER) AS y, CAST(floor(x / 4.0) AS INTEGER) AS x, avg(r) + 1e-9::DOUBLE AS r, avg(g) + 1e-9::DOUBLE AS g, avg(b) + 1e-9::DOUBLE AS b, avg(a) + 1e-9::DOUBLE AS a FROM f GROUP BY ALL)")
+    s["area_downscale"] = final("q AS (SELECT CAST(floor(y / 4.0) AS INTEGER) AS y, CAST(floor(x / 4.0) AS INTEGER) AS x, avg(r) AS r, avg(g) AS g, avg(b) AS b, avg(a) AS a FROM f GROUP BY ALL)")
     fr = "WITH s AS (SELECT event_type AS f, CAST(hour(ts) AS INTEGER) AS y, CAST(day(ts) AS INTEGER) AS x, round(avg(value), 6) AS v FROM events GROUP BY ALL)"
     for m, e in (("mean", "avg(v)"), ("median", "median(v)"), ("max", "max(v)"), ("min", "min(v)")):
         s[f"stack__{m}"] = f"{fr} SELECT y, x, round({e} + 1e-9::DOUBLE, 5) AS v FROM s GROUP BY y, x"
