@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import map_arrow, text_of
+from rasterloom.llm.common import map_arrow, materialise, text_of
 
 GRADES = 3
 FEATURES = 1 << 22
@@ -67,50 +67,37 @@ class Reader:
         return out
 
 
-def telling(rows: list[tuple[set[int], int]]) -> np.ndarray:
-    """The columns that are likelier in toxic texts, the most telling COLUMNS of them."""
-    counts = {0: {}, 1: {}}
-    totals = [0, 0]
-    for columns, toxic in rows:
-        totals[toxic] += 1
-        for c in columns:
-            counts[toxic][c] = counts[toxic].get(c, 0) + 1
-    scored = []
-    for c, n in counts[1].items():
-        if n >= LEAST_TEXTS:
-            p, q = n / totals[1], (counts[0].get(c, 0) + 1) / (totals[0] + 1)
-            if p / q >= LEAST_RATIO:
-                scored.append((-(p - q) * np.log(p / q), c))
-    return np.array(sorted(c for _, c in sorted(scored)[:COLUMNS]), np.int64)
-
-
-def severity_labels(rows: list[tuple[set[int], int]], columns: np.ndarray) -> np.ndarray:
+def telling(read: DataFrame, clean: int, toxic: int) -> list[int]:
+    """The columns that are likelier in toxic texts, the most telling COLUMNS of them, ascending. read holds columns and y, one row a text."""
+    counts = read.select(F.explode("columns").alias("c"), "y").groupBy("c").agg(F.sum("y").alias("t"), F.sum(F.lit(1) - F.col("y")).alias("n")).filter(F.col("t") >= LEAST_TEXTS)
+    p, q = F.col("t") / F.lit(float(toxic)), (F.col("n") + 1) / F.lit(float(clean + 1))
+    scored = counts.filter(p / q >= LEAST_RATIO).orderBy(F.desc((p - q) * F.log(p / q)), "c").limit(COLUMNS)
+    return sorted(r[0] for r in scored.select("c").collect())
+
+
+def severity_labels(held: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """Grades: 0 for texts that aren't toxic; toxic ones by how many telling columns they hold, in equal parts."""
-    known = set(columns.tolist())
-    held = np.array([len(c & known) for c, _ in rows])
-    toxic = np.array([t for _, t in rows], bool)
-    grades = np.zeros(len(rows), np.int64)
+    grades = np.zeros(len(held), np.int64)
     if toxic.any():
         cuts = np.quantile(held[toxic], np.arange(1, GRADES - 1) / (GRADES - 1))
         grades[toxic] = 1 + np.searchsorted(cuts, held[toxic], "left")
     return grades
 
 
-def fit(rows: list[tuple[set[int], int]], rounds: int = 400, ridge: float = 3e-5, rate: float = 0.5) -> Model:
-    """Fit weights and thresholds by gradient steps (Adagrad) on the log-likelihood of the grades; thresholds are a first one and positive gaps."""
+def fit(columns: list[int], rows: list[tuple[list[int], int]], rounds: int = 400, ridge: float = 3e-5, rate: float = 0.5) -> Model:
+    """Fit weights and thresholds by gradient steps (Adagrad) on the log-likelihood of the grades; thresholds are a first one and positive gaps. rows hold each text's columns, of the given ones only, and its label."""
     if len({t for _, t in rows}) < 2:
         return Model(np.zeros(0, np.int64), np.zeros(0), np.full(GRADES - 1, 40.0))
-    columns = telling(rows)
-    grades = severity_labels(rows, columns)
-    at = {c: k for k, c in enumerate(columns.tolist())}
-    pairs = [(i, at[c]) for i, (cs, _) in enumerate(rows) for c in cs if c in at]
-    row, col = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+    at = {c: k for k, c in enumerate(columns)}
+    sizes = np.array([len(cs) for cs, _ in rows])
+    row, col = np.repeat(np.arange(len(rows)), sizes), np.array([at[c] for cs, _ in rows for c in cs], np.int64)
+    grades = severity_labels(sizes, np.array([t for _, t in rows], bool))
     share = 1 / len(rows)
     w, first, gaps = np.zeros(len(columns)), 1.0, np.zeros(GRADES - 2)
     seen = np.full(len(columns) + GRADES - 1, 1e-8)
     for _ in range(rounds):
         theta = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
-        x = np.bincount(row, w[col], len(rows)) if len(pairs) else np.zeros(len(rows))
+        x = np.bincount(row, w[col], len(rows)) if len(col) else np.zeros(len(rows))
         above = 1 / (1 + np.exp(-np.clip(x[:, None] - theta[None, :], -40, 40)))
         bounded = np.hstack([np.ones((len(rows), 1)), above, np.zeros((len(rows), 1))])
         i = np.arange(len(rows))
@@ -119,13 +106,13 @@ def fit(rows: list[tuple[set[int], int]], rounds: int = 400, ridge: float = 3e-5
         d_low, d_high = low * (1 - low) / p * share, high * (1 - high) / p * share
         g_x = d_low - d_high
         g_theta = np.array([-(d_low * (grades == k + 1)).sum() + (d_high * (grades == k)).sum() for k in range(GRADES - 1)])
-        g_w = np.bincount(col, g_x[row], len(columns)) - ridge * w if len(pairs) else -ridge * w
+        g_w = np.bincount(col, g_x[row], len(columns)) - ridge * w if len(col) else -ridge * w
         g_gaps = np.array([g_theta[k + 1 :].sum() * np.exp(gaps[k]) for k in range(GRADES - 2)])
         g = np.concatenate([g_w, [g_theta.sum()], g_gaps])
         seen += g * g
         step = rate * g / np.sqrt(seen)
         w, first, gaps = w + step[: len(columns)], first + step[len(columns)], np.clip(gaps + step[len(columns) + 1 :], -4, 4)
-    return Model(columns, w, first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))]))
+    return Model(np.array(columns, np.int64), w, first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))]))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
@@ -142,17 +129,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             yield {"columns": [sorted(reader.columns(t)) for t in batch.column(0).to_pylist()], "y": batch.column(1)}
 
-    read_in = map_arrow(texts, read, "columns array<int>, y int")
-    # only columns that enough toxic texts hold can be telling; others needn't leave the executors
-    held = read_in.filter("y = 1").select(F.explode("columns").alias("c")).groupBy("c").count().filter(F.col("count") >= LEAST_TEXTS).select("c")
-    held = {r[0] for r in held.collect()}
-    wanted = docs.sparkSession.sparkContext.broadcast(held)
-
-    def narrow(batches):
-        for batch in batches:
-            yield {"columns": [[c for c in cs if c in wanted.value] for cs in batch.column(0).to_pylist()], "y": batch.column(1)}
-
-    return fit([(set(r[0]), r[1]) for r in map_arrow(read_in, narrow, "columns array<int>, y int").toLocalIterator()])
+    read_in = materialise(map_arrow(texts, read, "columns array<int>, y int"), "labelled")
+    totals = {r[0]: r[1] for r in read_in.groupBy("y").count().collect()}
+    if len(totals) < 2:
+        return fit([], [(0, y) for y in totals])
+    columns = telling(read_in, totals[0], totals[1])
+    kept = F.array_intersect("columns", F.array(*map(F.lit, columns)).cast("array<int>")) if columns else F.slice("columns", 1, 0)
+    return fit(columns, [(r[0], r[1]) for r in read_in.select(kept, "y").collect()])  # at most rows texts, of each its telling columns
 
 
 def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
