@@ -102,10 +102,12 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """id, text_key, repeated and removed (arrays of start, end): where a text holds what stands elsewhere too, and what of it goes; only texts with such a run."""
     found = materialise(chunks(docs, id_col, text_col), "chunks")
     place = F.struct("id", "text_key", "start")
+    # counts are written before they are joined: a join that shares its exchange with an aggregate can't split a digest that very many chunks have
     seen = found.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
-    often = materialise(found.join(seen.filter("n > 1").select("d1", "d2", "first_id"), ["d1", "d2"]), "repeated")
+    seen = materialise(seen.filter("n > 1").select("d1", "d2", "first_id"), "seen")
+    often = materialise(found.join(seen, ["d1", "d2"]), "repeated")
     # the first place of each digest, within its first document
-    first = often.filter("id = first_id").groupBy("d1", "d2").agg(F.min(place).alias("first"))
+    first = materialise(often.filter("id = first_id").groupBy("d1", "d2").agg(F.min(place).alias("first")), "first")
     marked = often.join(first, ["d1", "d2"]).select("id", "text_key", F.struct("start", "end").alias("part"), (place != F.col("first")).alias("again"))
     parts = marked.groupBy("id", "text_key").agg(F.array_sort(F.collect_set("part")).alias("all"), F.array_sort(F.collect_set(F.when(F.col("again"), F.col("part")))).alias("later"))
     return parts.select("id", "text_key", runs("all").alias("repeated"), runs("later").alias("removed")).filter(F.size("repeated") > 0)

@@ -419,6 +419,22 @@ def build() -> dict[str, str]:
     s["detail__dehaze"] = image(*(f"{c} * k" for c in "rgb"), pre=f"t0 AS (SELECT *, {LUMA} AS l, {enc(LUMA)} AS dd FROM f), t1 AS (SELECT *, CASE WHEN l > 1e-6 AND dd < 1 THEN {dec(f'greatest((dd - {d(dz)}) / {d(1 - dz)}, 0)')} / l ELSE 1 END AS k FROM t0)", src="t1")
     offs = [(a, b) for a in range(-4, 5) for b in range(-4, 5)]
     s["distance_field"] = final(f"o AS (SELECT * FROM (VALUES {', '.join(str(v) for v in offs)}) t(dy, dx)), i AS (SELECT y, x, {clip('v')} >= 0.5 AS k FROM f), j AS (SELECT i.y, i.x, i.k, min(CASE WHEN n.k <> i.k THEN sqrt(dy * dy + dx * dx) END) AS dd FROM i CROSS JOIN o JOIN i n ON n.y = i.y + dy AND n.x = i.x + dx GROUP BY ALL), q AS (SELECT y, x, {clip(f'0.5 + 0.5 * ' + clip(f'(CASE WHEN k THEN 1 ELSE -1 END) * (coalesce(dd, 1e6) - 0.5) / 3', -1, 1))} AS v FROM j)", "v")
+    cat = ((0.401288, 0.650173, -0.051461), (-0.250268, 1.204414, 0.045854), (-0.002079, 0.048952, 0.953127))
+    cat_back = ((1.86206786, -1.01125463, 0.14918677), (0.38752654, 0.62144744, -0.00897398), (-0.01584150, -0.03412294, 1.04996444))
+    xyz = ((0.4124564, 0.3575761, 0.1804375), (0.2126729, 0.7151522, 0.0721750), (0.0193339, 0.1191920, 0.9503041))
+    xyz_back = ((3.2404542, -1.5371385, -0.4985314), (-0.9692660, 1.8760108, 0.0415560), (0.0556434, -0.2040259, 1.0572252))
+    cones = [[sum(m * v for m, v in zip(row, (wx / wy, 1.0, (1 - wx - wy) / wy), strict=True)) for row in cat] for wx, wy in ((0.44757, 0.40745), (0.3127, 0.329))]
+    gains = [0.8 * to / of + 0.2 for of, to in zip(*cones, strict=True)]
+    s["chromatic_adapt"] = image(*(dot(row, ("x2", "y2", "z2")) for row in xyz_back), pre=f"t0 AS (SELECT y, x, a, {', '.join(f'{dot(row, 'rgb')} AS {n}' for row, n in zip(xyz, ('x0', 'y0', 'z0'), strict=True))} FROM f), t1 AS (SELECT *, {', '.join(f'{dot(row, ('x0', 'y0', 'z0'))} * {d(k)} AS {n}' for row, n, k in zip(cat, ('l', 'm', 's'), gains, strict=True))} FROM t0), t2 AS (SELECT *, {', '.join(f'{dot(row, ('l', 'm', 's'))} AS {n}' for row, n in zip(cat_back, ('x2', 'y2', 'z2'), strict=True))} FROM t1)", src="t2")
+    pv = 0.7447275
+    level = lambda v: [c / (0.2126 * v[0] + 0.7152 * v[1] + 0.0722 * v[2]) for c in v]
+    sep, warm = level((1.22, 1.0, 0.72)), level((1.0, 0.975, 0.92))
+    wsh = smooth("d2", 0.9 - 0.4, 0.9 + 0.4)
+    tints = [f"((1 + ({d(a)} - 1) * 0.5::DOUBLE * (1 - {wsh})) + ({d(b)} - (1 + ({d(a)} - 1) * 0.5::DOUBLE * (1 - {wsh}))) * 0.3::DOUBLE)" for a, b in zip(sep, warm, strict=True)]
+    s["paper"] = image(*(f"(CASE WHEN yy <= 1e-6 THEN pow(10::DOUBLE, -d2) ELSE {c} * (pow(10::DOUBLE, -d2) / yy) END) * {tn}" for c, tn in zip("rgb", tints, strict=True)), pre=f"t0 AS (SELECT *, {LUMA} AS yy FROM f), t1 AS (SELECT *, -log10({clip('yy', 1e-6, 1)}) AS d0 FROM t0), t2 AS (SELECT *, greatest({d(1.16)} * (d0 - {d(pv)} + {d(1.65 * 0.301 * 0.5)}) + {d(pv)}, 0) AS d1 FROM t1), t3 AS (SELECT *, {clip(f'{d(-0.25)} * ln(exp(-d1 / 0.25::DOUBLE) + {d(math.exp(-2.1 / 0.25))})', 0, 2.1)} AS d2 FROM t2)", src="t3")
+    s["noise_estimate"] = f"""WITH f AS ({FRAME}), t0 AS (SELECT *, {LUMA} AS yy FROM f WHERE (floor(x / 5.0) + 1) * 5 <= w AND (floor(y / 5.0) + 1) * 5 <= h), t1 AS (SELECT floor(x / 5.0) AS tx, floor(y / 5.0) AS ty, {enc('yy')} AS l, {enc('abs(r - yy)')} + {enc('abs(b - yy)')} AS c FROM t0),
+    t2 AS (SELECT least(floor(avg(l) * 8), 7) AS bin, stddev_pop(l) AS ls, stddev_pop(c) AS cs FROM t1 GROUP BY tx, ty), t3 AS (SELECT bin, list_sort(list(ls))[CAST(floor((count(*) - 1) * 0.1::DOUBLE + 0.5) AS BIGINT) + 1] AS ls, list_sort(list(cs))[CAST(floor((count(*) - 1) * 0.1::DOUBLE + 0.5) AS BIGINT) + 1] AS cs FROM t2 GROUP BY bin)
+    SELECT 0 AS frame_id, round((SELECT avg(v) FROM (SELECT ls AS v FROM t3 ORDER BY ls LIMIT 2)), 6) AS luma_sigma, round((SELECT avg(v) FROM (SELECT cs AS v FROM t3 ORDER BY cs LIMIT 2)), 6) AS chroma_sigma"""
     s["stack__hdr"] = f"""{fr}, e AS (SELECT f, CAST(row_number() OVER (ORDER BY f) AS DOUBLE) AS e FROM (SELECT DISTINCT f FROM s)), k AS (SELECT y, x, v / {d(500)} AS v, e, (1 - {smooth(f'(v / {d(500)})', 0.8, 0.95)}) * e * e / ({d((3 / 40000) ** 2)} + abs(v / {d(500)}) / 40000) AS wt FROM s JOIN e USING (f)),
     t AS (SELECT y, x, sum(wt * v / e) AS sv, sum(wt) AS sw, max(v / e) AS mb FROM k GROUP BY y, x) SELECT y, x, round((SELECT median(e) FROM e) * CASE WHEN sw > 0 THEN sv / sw ELSE mb END + 1e-9::DOUBLE, 5) AS v FROM t"""
     s["render_slice"] = f"WITH f AS ({FRAME}), t AS (SELECT *, {LUMA} AS yy FROM f), m AS (SELECT *, {smooth('yy', 0.2, 0.3)} * (1 - {smooth('yy', 0.6, 0.7)}) AS k FROM t) SELECT y, round(avg({luma('r + r * k', 'g + g * k', 'b + b * k')}), 6) AS luma, count(*) AS n FROM m GROUP BY y"
