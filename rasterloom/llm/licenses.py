@@ -96,7 +96,7 @@ def term_frequencies(docs: DataFrame, text_col: str) -> tuple[int, dict[str, int
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 n += 1
-                held.update(words.intersection(text.lower().replace(".", " ").replace(",", " ").split()))
+                held.update(words.intersection(TERM.findall(text.lower())))
         if n:
             yield {"term": [*held, ""], "n": [*held.values(), n]}
 
