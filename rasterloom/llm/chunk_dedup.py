@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.common import map_arrow, materialise, text_of
 
-SMALLEST, LARGEST = 32, 256
+SMALLEST, LARGEST = 24, 256
 #: A border every 2**BORDER_BITS code points, on average, beyond SMALLEST.
 BORDER_BITS = 4
 #: Code points that the rolling hash reaches back over, a power of two.
