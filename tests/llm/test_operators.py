@@ -501,6 +501,19 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_chains_in_any_order(spark):
+    from rasterloom.llm.graph import components
+
+    r = random.Random(4)
+    order = [*range(2001, 3201)]
+    r.shuffle(order)
+    backward = [1, *range(1500, 1, -1)]
+    edges = [e for chain in (order, backward) for e in zip(chain, chain[1:])]
+    r.shuffle(edges)
+    got = {x.node: x.label for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == dict.fromkeys(range(1, 1501), 1) | dict.fromkeys(range(2001, 3201), 2001)
+
+
 def test_pipeline_against_brute_force(spark, tmp_path, rows):
     """The stages on a small table, each told again in plain Python from its input."""
     import corpus_pipeline
