@@ -468,6 +468,49 @@ def test_near_duplicates_against_brute_force(spark, docs, rows, empty):
     assert near_duplicates(empty).count() == 0
 
 
+def crowd(n):
+    """n texts that share a long passage but are below the threshold, and a pair above it that shares nothing else."""
+    r = random.Random(11)
+    own = lambda i, k: " ".join(f"w{i}x{r.randrange(10**9)}" for _ in range(k))
+    passage = prose(120, 1)
+    return [(i, passage + " " + own(i, 44), "s0") for i in range(2, n)] + [(0, passage + " " + own(0, 11), "s0"), (1, passage + " " + own(1, 11), "s0")]
+
+
+def test_a_single_pair_in_a_large_bucket(spark):
+    from rasterloom.llm.minhash import near_duplicates
+
+    got = {r.doc_id: r.class_id for r in near_duplicates(table(spark, crowd(1200))).collect()}
+    assert got == {i: i for i in range(1200)} | {1: 0}
+
+
+def test_split_buckets_keep_the_pair(spark):
+    from rasterloom.llm import minhash
+
+    texts = table(spark, crowd(400)).select(F.col("doc_id").alias("id"), "text")
+    idf = spark.sparkContext.broadcast(minhash.frequencies(texts, "text"))
+    rows = texts.select(F.lit(5).cast("long").alias("key"), F.col("id").alias("node"), F.col("id").alias("label"))
+    parts = minhash.unfinished(minhash.split(rows, texts, idf))
+    assert parts.groupBy("key").count().agg(F.max("count")).first()[0] < 200
+    assert {(min(r), max(r)) for r in minhash.compared(parts, texts, idf, 0.8).collect()} == {(0, 1)}
+
+
+def test_blocks_compare_as_similarity_does():
+    from rasterloom.llm.minhash import BINS, links_of, similarity, weighted
+
+    r, idf = random.Random(3), (1 + np.random.default_rng(1).random(BINS) / 7).astype(np.float32)
+    base = [prose(40, k) + " " + "reed " * (3 * k) for k in range(8)]
+    texts = base + [" ".join(w if r.random() > 0.02 * k else "moth" for w in base[k % 8].split()) for k in range(16)] + ["", "reed"]
+    vectors, n = [weighted(t, idf) for t in texts], len(texts)
+    for first in (np.ones(n, bool), np.arange(n) % 3 == 0):
+        near = {(a, b) for a in range(n) for b in range(a + 1, n) if (first.all() or first[a] != first[b]) and similarity(vectors[a], vectors[b]) >= 0.8}
+        top = list(range(n))
+        for _ in range(n):
+            for a, b in near:
+                top[a] = top[b] = min(top[a], top[b])
+        got = links_of(list(range(n)), list(range(n)), texts, first, idf, 0.8)
+        assert {(min(x), max(x)) for x in got} <= near and len(got) == n - len(set(top)) > 0
+
+
 def test_sampling_estimates_weighted_jaccard():
     from rasterloom.llm.minhash import Sampler, similarity
 
