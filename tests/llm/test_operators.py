@@ -488,10 +488,75 @@ def test_split_buckets_keep_the_pair(spark):
 
     texts = table(spark, crowd(400)).select(F.col("doc_id").alias("id"), "text")
     idf = spark.sparkContext.broadcast(minhash.frequencies(texts, "text"))
-    rows = texts.select(F.lit(5).cast("long").alias("key"), F.col("id").alias("node"), F.col("id").alias("label"))
-    parts = minhash.unfinished(minhash.split(rows, texts, idf))
+    rows = texts.select(F.lit(5).cast("long").alias("key"), F.col("id").alias("node"), F.length("text").cast("long").alias("size"), F.col("id").alias("label"))
+    parts = minhash.bucketed(minhash.split(rows, texts, idf))
     assert parts.groupBy("key").count().agg(F.max("count")).first()[0] < 200
-    assert {(min(r), max(r)) for r in minhash.compared(parts, texts, idf, 0.8).collect()} == {(0, 1)}
+    assert {(min(r), max(r)) for r in minhash.compared(minhash.met(parts), texts, idf, 0.8).collect()} == {(0, 1)}
+
+
+def linked(texts, idf):
+    """The class of each text by comparing all with all."""
+    from rasterloom.llm.minhash import similarity, weighted
+
+    vectors = {i: weighted(t, idf) for i, t in texts.items()}
+    top = {i: i for i in texts}
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a in sorted(texts):
+        for b in sorted(texts):
+            if a < b and root(a) != root(b) and similarity(vectors[a], vectors[b]) >= 0.8:
+                top[max(root(a), root(b))] = min(root(a), root(b))
+    return {i: root(i) for i in texts}
+
+
+@pytest.mark.parametrize("split_at", [1, 99])
+def test_rounds_of_large_buckets_lose_no_link(spark, monkeypatch, split_at):
+    """Buckets of many blocks, compared a block a round, give the classes that all pairs give."""
+    from rasterloom.llm import minhash
+
+    r = random.Random(31)
+    base = prose(90, 4).split()
+    texts = {}
+    for i in range(160):
+        w = list(base)
+        for _ in range(r.randrange(7)):
+            w[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+        texts[i] = " ".join(w)
+    docs = table(spark, [(i, t, "s") for i, t in texts.items()]).select(F.col("doc_id").alias("id"), "text")
+    idf = spark.sparkContext.broadcast(minhash.frequencies(docs, "text"))
+    monkeypatch.setattr(minhash, "BLOCK", 12)
+    rows = docs.select(F.lit(5).cast("long").alias("key"), F.col("id").alias("node"), F.length("text").cast("long").alias("size"))
+    labels = {x.node: x.label for x in minhash.classes(rows, docs, idf, 0.8, width=2, split_at=split_at).collect()}
+    want = linked(texts, idf.value)
+    assert len(set(want.values())) > 3
+    assert {i: labels.get(i, i) for i in texts} == want
+
+
+def test_a_large_group_of_near_copies(spark):
+    """Of the links in a crowd of thousands, one group of near copies among them, at least nine in ten pairs of a class stay in one."""
+    from rasterloom.llm import minhash
+
+    r = random.Random(17)
+    base = prose(80, 9).split()
+    texts = {i: prose(40, 5000 + i) for i in range(2000)}
+    for i in range(2000, 3000):
+        w = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 3, 6])):
+            w[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+        texts[i] = " ".join(w)
+    docs = table(spark, [(i, t, "s") for i, t in texts.items()])
+    got = {x.doc_id: x.class_id for x in minhash.near_duplicates(docs).collect()}
+    group = {i: t for i, t in texts.items() if i >= 2000}
+    once = {t: i for i, t in sorted(group.items(), reverse=True)}
+    want = linked({i: t for t, i in once.items()}, minhash.frequencies(docs, "text"))
+    want = {i: want[once[t]] for i, t in group.items()}
+    assert all(got[i] == i for i in range(2000))
+    together = sum(got[i] == got[want[i]] for i in group)
+    assert together >= 0.9 * len(group) and all(want[got[i]] == want[i] for i in group)
 
 
 def test_blocks_compare_as_similarity_does():
@@ -544,7 +609,8 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_components_of_chains_in_any_order(spark):
+@pytest.mark.parametrize("chunk", [100, 500_000])
+def test_components_of_chains_in_any_order(spark, chunk):
     from rasterloom.llm.graph import components
 
     r = random.Random(4)
@@ -553,7 +619,7 @@ def test_components_of_chains_in_any_order(spark):
     backward = [1, *range(1500, 1, -1)]
     edges = [e for chain in (order, backward) for e in zip(chain, chain[1:])]
     r.shuffle(edges)
-    got = {x.node: x.label for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {x.node: x.label for x in components(spark.createDataFrame(edges, "a long, b long"), chunk).collect()}
     assert got == dict.fromkeys(range(1, 1501), 1) | dict.fromkeys(range(2001, 3201), 2001)
 
 
