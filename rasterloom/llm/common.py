@@ -36,7 +36,7 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

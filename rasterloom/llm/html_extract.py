@@ -1,14 +1,18 @@
-"""Main text of web pages: marks of the page's structure, and a host's suffix arrays for what they leave open.
+"""Main text of web pages: a host's suffix arrays over its pages' token streams, and marks of the pages' structure.
 
-A page is read into blocks. A block inside the article is text; one inside an element that is marked as something else (menu, header,
-footer, side bar, notice, advert, form, comments) is not. What stands outside the article without a mark is open. The blocks of a host
-that aren't in an article are joined to token streams, and a suffix array over the streams of some hundred pages finds all
-substrings of at least ``MIN_TOKENS`` tokens that repeat on ``MIN_PAGES`` distinct pages or more: open blocks that such substrings
-cover are boilerplate and go, unique runs stay. A host's pages are dealt over arrays by a hash, so that a host with very many
-pages is many arrays, and boilerplate, which is on most of a host's pages, repeats in each of them.
+A page is read into blocks, each in the article (inside article, main and the like), open (outside, unmarked) or out (inside an element
+that is marked as a menu, header, footer, side bar, notice, advert, form or comments). Out blocks go. All others of a host are token
+streams, one a page, joined in a suffix array with its common prefixes; equal streams are one page. A substring of at least
+``OPEN_RUN.tokens`` tokens on at least ``OPEN_RUN.pages`` distinct pages and ``OPEN_RUN.share`` of the array's is boilerplate to open blocks, one
+of at least ``ARTICLE_RUN.tokens`` on ``ARTICLE_RUN.pages`` pages and ``ARTICLE_RUN.share`` of them to blocks in the article, where
+quotations and passages that some pages share are text. A block of which ``COVERED`` of the tokens lie in boilerplate goes, unique runs stay.
+So marks say how much repetition a block may have, and the arrays what is repeated. A host's pages are dealt over arrays of about
+``ARRAY_PAGES`` by a hash, so that a host with very many pages is many arrays; what stands on a share of a host's pages stands on about
+that share of each array's. On a host of one or two distinct pages nothing is known to repeat, so only marks decide.
 
-Null html counts as empty and has an empty text. Pages are treated one by one but for the arrays; repeated rows are told apart, so
-each gets its row back; pages without a host share the host "". An empty table gives an empty result; further columns are left alone.
+White space is what Python's str.split() takes for it, no-break spaces included. Null html counts as empty and has an empty text. Pages
+are treated one by one but for the arrays; repeated rows are told apart, so each gets its row back; pages without a host share the
+host "". An empty table gives an empty result; further columns are left alone.
 """
 
 from __future__ import annotations
@@ -16,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,22 +30,41 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.common import map_arrow, materialise, partitions, text_of
 
-#: Substrings of so many tokens on so many pages of an array are boilerplate; a block is covered if this share of its tokens is.
-MIN_TOKENS, MIN_PAGES, COVERED = 4, 2, 0.7
+
+
+class Run(NamedTuple):
+    """What makes a substring boilerplate: its tokens, and the distinct pages of an array that hold it, as a number and as a share."""
+
+    tokens: int
+    pages: int
+    share: float
+
+
+OPEN_RUN, ARTICLE_RUN = Run(4, 3, 0.2), Run(8, 5, 0.6)
+#: A block is covered if this share of its tokens is.
+COVERED = 0.7
 #: Pages in a suffix array, about.
 ARRAY_PAGES = 256
 
 # Elements by what they hold, and words in class, id and role that mark an element.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
-DROPPED = frozenset("nav footer aside form head select button dialog menu template svg canvas audio video object math map datalist fieldset label input search".split())
+DROPPED = frozenset("nav footer aside form head select button menu template svg canvas audio video map datalist fieldset label input search".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE = frozenset(["article", "main"])
 MARKS = frozenset(
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar side aside header masthead topbar banner footer foot colophon ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion "
-    "notice cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login register search form comment comments commentlist respond reply replies disqus discussion reactions share sharing social "
-    "related recommended recommendations widget pagination pager toolbar skip copyright legal disclaimer".split()
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar aside header masthead topbar banner footer colophon ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion "
+    "notice cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login register search form comment comments commentlist respond replies disqus discussion reactions share sharing social "
+    "related recommended recommendations widget pagination pager toolbar skip copyright disclaimer".split()
+)
+#: Words that stand beside a mark in a name of several words, as in comment-list; other words make it a name of its own, as in form-factor.
+BESIDE = frozenset(
+    "area articles author bar block body bottom box button buttons center column container content count entry footer global group header heading icons info inner inline item items left level link links list main message outer page panel "
+    "post posts primary reader right row secondary section side site slot stories sticky sub text thread title top unit user widget wrap wrapper".split()
 )
+#: Marks that don't count on paragraphs, headings and inline elements, which such names merely place.
+LAYOUT = frozenset("header masthead topbar banner footer colophon aside nav navigation menu search form".split())
+PHRASES = frozenset("p h1 h2 h3 h4 h5 h6 a abbr b cite code del em font i ins kbd mark q s samp small span strong sub sup time u var".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 CONTENT_MARKS = frozenset("article main content articlebody entry post story".split())
 
@@ -64,12 +88,13 @@ def marked(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "role" and value in ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "article", "main", "p", "b", "i", "em", "strong", "h1", "h2", "h3"):
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
             for word in value.split():
-                parts = re.split(r"[-_]+", word)
-                if word in CONTENT_MARKS or parts[0] in CONTENT_MARKS and parts[-1] in ("body", "content", "text", "main"):
+                parts = [x for x in re.split(r"[-_]+", word) if x]
+                if word in CONTENT_MARKS or parts and parts[0] in CONTENT_MARKS and parts[-1] in ("body", "content", "text", "main"):
                     return False
-                if word in MARKS or parts[0] in MARKS or parts[-1] in MARKS:
+                found = MARKS.intersection(parts)
+                if found and MARKS.union(BESIDE).issuperset(parts) and not (tag in PHRASES and found <= LAYOUT):
                     return True
     return False
 
@@ -79,7 +104,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []  # open elements with the state inside them
     held: Counter[str] = Counter()  # how many of each are open
-    run: list[str] = []
+    run: list[tuple[int, str]] = []  # of the block so far, with the states that pieces were read in
     state, at, n = OPEN, 0, page.rfind(">") + 1
     unclosed = page[n:]
 
@@ -90,26 +115,26 @@ def blocks(page: str) -> list[tuple[int, str]]:
         state = stack[-1][1] if stack else OPEN
 
     def flush() -> None:
-        if run:
-            text = " ".join(entities.unescape("".join(run)).split())
+        for s in dict.fromkeys(s for s, _ in run):
+            text = " ".join(entities.unescape("".join(x for t, x in run if t == s)).split())
             if text:
-                out.append((state, text))
-            run.clear()
+                out.append((s, text))
+        run.clear()
 
     while at < n:
         m = TAG.search(page, at, n)
         if not m:
-            run.append(page[at:n])
+            run.append((state, page[at:n]))
             break
         if m.start() > at:
-            run.append(page[at : m.start()])
+            run.append((state, page[at : m.start()]))
         at = m.end()
         tag = (m[3] or m[6] or "").lower()
         if not tag:
             continue
         if m[2] or m[5]:
             if tag == "br":
-                run.append(" ")
+                run.append((state, " "))
             if tag in BLOCKS:
                 flush()
             for k in range(len(stack) - 1, -1, -1) if held[tag] else ():
@@ -129,7 +154,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
             continue
         if tag in ("br", "img", "wbr", "input"):
             if tag != "wbr":
-                run.append(" ")
+                run.append((state, " "))
             continue
         if tag in BLOCKS:
             flush()
@@ -146,66 +171,94 @@ def blocks(page: str) -> list[tuple[int, str]]:
             new = OUT if marked(tag, attributes, state == IN) else IN if tag in ARTICLE or state == IN or re.search(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody", attributes) else state
         else:
             new = OUT
-        if new != state:
-            flush()
+        if new == OUT != state and tag not in BLOCKS:
+            run.append((state, " "))  # what stands before and after it are two words
         stack.append((tag, new))
         held[tag] += 1
         state = new
-    run.append(re.split(r"<[a-zA-Z/!?]", unclosed, maxsplit=1)[0])
+    run.append((state, re.split(r"<[a-zA-Z/!?]", unclosed, maxsplit=1)[0]))
     flush()
     return out
 
 
-def repeated(streams: list[np.ndarray]) -> list[np.ndarray]:
-    """For each stream of tokens, which ones lie in a substring of MIN_TOKENS tokens or more that is on MIN_PAGES streams or more. One suffix array over all streams: suffixes are ranked by doubling prefixes until these are MIN_TOKENS long, so suffixes that share such a prefix stand together; every longer repeat is covered by its windows."""
-    sizes = np.array([len(s) for s in streams])
-    if not sizes.sum():
-        return [np.zeros(len(s), bool) for s in streams]
-    page = np.repeat(np.arange(len(streams)), sizes + 1)
-    tokens = np.concatenate([np.append(s.astype(np.int64), 0) for s in streams])
-    ends = np.cumsum(sizes + 1) - 1
+def suffix_array(tokens: np.ndarray, pages: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes of all pages' tokens in order, and how many tokens each has in common with the one before it. A suffix ends with its page. Prefixes double in length; only suffixes that still have equals are sorted again."""
+    n = len(tokens)
+    last = np.append(np.flatnonzero(pages[1:] != pages[:-1]), n - 1) if n else np.zeros(0, np.int64)
+    left = np.repeat(last, np.diff(np.append(-1, last))) - np.arange(n) + 1  # tokens up to the page's end
     _, rank = np.unique(tokens, return_inverse=True)
-    rank = rank.astype(np.int64)
-    rank[ends] = -np.arange(1, len(ends) + 1)  # ends differ from each other and from all tokens
-    length = 1
-    while length < MIN_TOKENS:
-        step = min(length, MIN_TOKENS - length)
-        after = np.concatenate([rank[step:], np.full(step, -len(ends) - 1)])
-        low = rank.min()
-        _, rank = np.unique((rank - low) * (rank.max() - low + 2) + (np.maximum(after, low - 1) - low + 1), return_inverse=True)
-        length += step
-    remaining = ends[page] - np.arange(len(tokens))
-    order = np.argsort(rank, kind="stable")
-    group = rank[order]
-    first = np.concatenate([[True], group[1:] != group[:-1]])
-    new_page = first | np.concatenate([[True], page[order][1:] != page[order][:-1]])
-    starts = np.flatnonzero(first)
-    pages_in = np.add.reduceat(new_page.astype(np.int64), starts)
-    often = np.zeros(len(tokens), bool)
-    often[order] = np.repeat(pages_in >= MIN_PAGES, np.diff(np.append(starts, len(order))))
-    often &= remaining >= MIN_TOKENS
-    at = np.flatnonzero(often)
-    delta = np.zeros(len(tokens) + MIN_TOKENS + 1, np.int64)
-    np.add.at(delta, at, 1)
-    np.add.at(delta, at + MIN_TOKENS, -1)
-    cover = np.cumsum(delta)[: len(tokens)] > 0
-    return [cover[a : a + k] for a, k in zip(ends - sizes, sizes, strict=True)]
-
-
-def unique_blocks(group: pd.DataFrame) -> pd.DataFrame:
-    """Of an array's pages, the open blocks that no repeat covers."""
-    streams, owners = [], []
-    for key, states, texts in zip(group["row_key"], group["states"], group["outside"], strict=True):
-        words = [t.split() for t in texts]
-        streams.append(np.array([xxhash.xxh3_64_intdigest(w) & (2**62 - 1) | 1 for block in words for w in block], np.int64))
-        owners.append((key, states, [len(b) for b in words]))
-    keys, keep = [], []
-    for cover, (key, states, sizes) in zip(repeated(streams), owners, strict=True):
+    levels, length = [rank.astype(np.int64)], 1
+    while n:
+        rank = levels[-1]
+        times = np.bincount(rank, minlength=n)
+        active = np.flatnonzero(times[rank] > 1)
+        if not len(active):
+            break
+        # what a suffix has beyond its prefix: nothing if its page ends, which sets it apart from all others
+        after = np.where(left[active] > length, rank[np.minimum(active + length, n - 1)] + n, active - n)
+        order = np.lexsort((after, rank[active]))
+        first, second = rank[active][order], after[order]
+        own = np.concatenate([[True], first[1:] != first[:-1]])
+        step = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
+        # ranks are places: a suffix's rank is how many have a smaller prefix
+        place = np.arange(len(order))
+        group, part = np.maximum.accumulate(np.where(own, place, 0)), np.maximum.accumulate(np.where(step, place, 0))
+        smaller = np.concatenate([[0], np.cumsum(times)])[:-1] if length == 1 else np.arange(n)
+        new = smaller[rank] if length == 1 else rank.copy()
+        new[active[order]] = smaller[first] + part - group
+        if length == 1:
+            levels[0] = smaller[rank]
+        levels.append(new)
+        length *= 2
+    order = np.argsort(levels[-1], kind="stable")
+    common = np.zeros(n, np.int64)
+    a, b = order[1:].copy(), order[:-1].copy()
+    for k in range(len(levels) - 1, -1, -1):
+        span = 1 << k
+        same = (left[order[1:]] - common[1:] >= span) & (left[order[:-1]] - common[1:] >= span)
+        same[same] &= levels[k][a[same]] == levels[k][b[same]]
+        common[1:] += span * same
+        a, b = np.minimum(a + span * same, n - 1), np.minimum(b + span * same, n - 1)
+    return order, common
+
+
+def repeated(streams: list[np.ndarray], kinds: tuple[Run, ...]) -> list[list[np.ndarray]]:
+    """For each kind of run and each page's stream, which tokens lie in a substring of that many tokens on that many distinct pages. A suffix's longest such substring is covered by those of the suffixes that begin within it, so the groups of suffixes with so long a common prefix tell all."""
+    sizes = np.array([len(s) for s in streams])
+    total = int(sizes.sum())
+    tokens = np.concatenate(streams) if total else np.zeros(0, np.int64)
+    page = np.repeat(np.arange(len(streams)), sizes)
+    order, common = suffix_array(tokens, page)
+    distinct, out = int((sizes > 0).sum()), []
+    for kind in kinds:
+        first = common < kind.tokens
+        start = np.flatnonzero(first)
+        group = np.cumsum(first) - 1
+        # pages of a group, each once
+        by_page = np.lexsort((page[order], group))
+        g, p = group[by_page], page[order][by_page]
+        new = np.concatenate([[True], (g[1:] != g[:-1]) | (p[1:] != p[:-1])]) if total else np.zeros(0, bool)
+        pages_in = np.bincount(g[new], minlength=len(start))
+        often = (pages_in >= max(kind.pages, kind.share * distinct)) & (np.diff(np.append(start, total)) > 1)
+        at = order[often[group]] if total else np.zeros(0, np.int64)
+        delta = np.zeros(total + kind.tokens + 1, np.int64)
+        np.add.at(delta, at, 1)
+        np.add.at(delta, at + kind.tokens, -1)
+        cover = np.cumsum(delta)[:total] > 0
+        out.append(np.split(cover, np.cumsum(sizes)[:-1]))
+    return out
+
+
+def covered_blocks(group: pd.DataFrame) -> pd.DataFrame:
+    """Of an array's pages, the numbers of the blocks that boilerplate covers."""
+    raw: dict[bytes, int] = {}
+    which = [raw.setdefault(t, len(raw)) for t in group["tokens"]]  # equal streams are one page
+    open_cover, article_cover = repeated([np.frombuffer(t, "<u2").astype(np.int64) for t in raw], (OPEN_RUN, ARTICLE_RUN))
+    out = []
+    for k, states, sizes in zip(which, group["states"], group["sizes"], strict=True):
         ends = np.cumsum(sizes)
-        kept = [s == OPEN and cover[e - k : e].mean() < COVERED for s, k, e in zip(states, sizes, ends, strict=True)]
-        keys.append(key)
-        keep.append(kept)
-    return pd.DataFrame({"row_key": keys, "keep": keep})
+        out.append([i for i, (s, n, e) in enumerate(zip(states, sizes, ends, strict=True)) if n and (article_cover if s == IN else open_cover)[k][e - n : e].mean() >= COVERED])
+    return pd.DataFrame({"row_key": group["row_key"], "gone": out})
 
 
 def host_of(url: str) -> F.Column:
@@ -220,26 +273,27 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def read(batches):
         for batch in batches:
-            out = {k: [] for k in ("row_key", "states", "texts")}
+            out = {k: [] for k in ("row_key", "states", "texts", "sizes", "tokens")}
             for i, (page, url, html) in enumerate(zip(batch.column("id").to_pylist(), batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True)):
-                found = blocks(html)
+                found = [x for x in blocks(html) if x[0] != OUT]
+                words = [t.split() for _, t in found]
                 out["row_key"].append(xxhash.xxh3_128_hexdigest(f"{page}\0{url}\0{i}\0{html}".encode("utf-8", "replace")))
                 out["states"].append([s for s, _ in found])
                 out["texts"].append([t for _, t in found])
+                out["sizes"].append([len(w) for w in words])
+                # sixteen bits a token: runs are several tokens long
+                out["tokens"].append(np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) & 0xFFFF for block in words for w in block], "<u2").tobytes())
             yield {"id": batch.column("id"), "url": batch.column("url"), "host": batch.column("host")} | out
 
-    parsed = materialise(map_arrow(rows, read, f"id {id_type}, url string, host string, row_key string, states array<int>, texts array<string>"), "blocks")
-    outside = F.filter(F.arrays_zip("states", "texts"), lambda x: x["states"] != IN)
-    streams = parsed.select("row_key", "host", outside["states"].alias("states"), outside["texts"].alias("outside")).filter(F.size("states") > 0)
+    parsed = materialise(map_arrow(rows, read, f"id {id_type}, url string, host string, row_key string, states array<int>, texts array<string>, sizes array<int>, tokens binary"), "blocks")
+    streams = parsed.filter(F.size("states") > 0).select("row_key", "host", "states", "sizes", "tokens")
     arrays = streams.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / ARRAY_PAGES).alias("arrays"))
     dealt = streams.join(arrays, "host").withColumn("array", F.pmod(F.xxhash64("row_key"), F.col("arrays")))
     dealt = dealt.repartition(partitions(spark), "host", "array")  # the join deals by host alone, and so would a grouping on top of it
-    kept = dealt.groupBy("host", "array").applyInPandas(unique_blocks, "row_key string, keep array<boolean>")
-    kept = materialise(kept.filter(F.exists("keep", lambda k: k)).dropDuplicates(["row_key"]), "kept")
-
-    joined = parsed.join(kept, "row_key", "left")
-    text = F.array_join(F.filter(F.arrays_zip("states", "texts"), lambda x: x["states"] == IN)["texts"], "\n\n")
-    place = F.transform("states", lambda s, i: F.when(s == IN, F.lit(0)).otherwise(F.size(F.filter(F.slice("states", F.lit(1), i + 1), lambda x: x != IN))))
-    chosen = F.filter(F.arrays_zip("states", "texts", place.alias("place")), lambda x: (x["states"] == IN) | F.coalesce(F.try_element_at("keep", x["place"]), F.lit(False)))
-    text = F.when(F.col("keep").isNull(), text).otherwise(F.array_join(chosen["texts"], "\n\n"))
+    gone = dealt.groupBy("host", "array").applyInPandas(covered_blocks, "row_key string, gone array<int>").filter(F.size("gone") > 0)
+    gone = materialise(gone.dropDuplicates(["row_key"]), "gone")
+
+    kept = F.filter("texts", lambda x, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
+    joined = parsed.select("id", "url", "row_key", "texts").join(gone, "row_key", "left")
+    text = F.array_join(F.when(F.col("gone").isNull(), F.col("texts")).otherwise(kept), "\n\n")
     return joined.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"), F.length(text).cast("long").alias("n_chars"))
