@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rasterloom.functions.tone import num
+from rasterloom.session import checkpointed
 
 RATIO = 0.8
 BLOCK = 2048
@@ -33,11 +34,16 @@ def two_nearest(a: DataFrame, b: DataFrame) -> DataFrame:
             return pd.DataFrame({"a_id": [], "b_id": [], "d": []})
         y = y.sort_values("id")
         u, v = np.stack(x["desc"].to_numpy()), np.stack(y["desc"].to_numpy())
-        ids, out = y["id"].to_numpy(), []
-        for aid, row in zip(x["id"], u, strict=True):
-            d = np.sqrt(((v - row) ** 2).sum(axis=1))
-            for k in np.argsort(d, kind="stable")[:2]:
-                out.append((aid, ids[k], d[k]))
+        ids, out, lengths = y["id"].to_numpy(), [], (v * v).sum(axis=1)
+        for at in range(0, len(u), 256):
+            # products choose with some slack, each distance is then taken alone
+            near = lengths[None, :] - 2 * (u[at : at + 256] @ v.T)
+            few = np.argpartition(near, min(7, len(v) - 1), axis=1)[:, :8] if len(v) > 8 else np.tile(np.arange(len(v)), (len(near), 1))
+            for aid, row, places in zip(x["id"].iloc[at : at + 256], u[at : at + 256], few, strict=True):
+                places = np.sort(places)
+                d = np.sqrt(((v[places] - row) ** 2).sum(axis=1))
+                for k in np.argsort(d, kind="stable")[:2]:
+                    out.append((aid, ids[places[k]], d[k]))
         return pd.DataFrame(out, columns=["a_id", "b_id", "d"])
 
     found = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(nearest, f"a_id {id_type}, b_id {id_type}, d double")
@@ -71,7 +77,8 @@ def frame_groups(edges: DataFrame, frames: DataFrame) -> DataFrame:
         near = both.join(labels.select(F.col("frame").alias("b"), F.col("grp").alias("g")), "b").groupBy(F.col("a").alias("frame")).agg(F.min("g").alias("g"))
         hooked = labels.join(near, "frame", "left").select("frame", F.col("grp").alias("old"), F.least("grp", F.coalesce("g", "grp")).alias("grp"))
         up = labels.select(F.col("frame").alias("grp"), F.col("grp").alias("top"))
-        step = hooked.join(up, "grp").select("frame", "old", F.least("grp", "top").alias("grp")).checkpoint()
+        step = hooked.join(up, "grp").select("frame", "old", F.least("grp", "top").alias("grp"))
+        step = checkpointed(step)
         labels = step.select("frame", "grp")
         if step.filter("old <> grp").isEmpty():
             return labels

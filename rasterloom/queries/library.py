@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.operators import match
-from rasterloom.sources.library import Filter, Library, export_names, shutter_seconds, table_sort
+from rasterloom.sources.library import Filter, Library, export_names, shutter_seconds
+from rasterloom.session import numbered
 from rasterloom.streaming.merge import journal_batch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,7 +43,11 @@ def library(spark: SparkSession, sf_dir: str) -> Library:
     members = lines.select(F.col("l_suppkey").alias("collection_id"), F.col("l_orderkey").cast("string").alias("image_id")).distinct()
     keywords = lines.select(F.col("l_orderkey").cast("string").alias("image_id"), F.lower(F.concat("l_returnflag", F.lit("-"), "l_linestatus")).alias("keyword")).distinct()
     collections = t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
-    return Library.empty(spark, folders=folders, images=images, members=members, keywords=keywords, collections=collections)
+    thumbnails = t("orders").select(key.cast("string").alias("image_id"), F.when(key % 2 == 0, "rendered").otherwise("embedded").alias("kind"), F.col("o_orderpriority").cast("binary").alias("data"))
+    exif = t("orders").select(key.cast("string").alias("image_id"), F.col("o_orderstatus").alias("make"), F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss").alias("taken"), F.lit(3).alias("reader"))
+    dims = t("orders").select(key.cast("string").alias("image_id"), F.col("o_orderstatus").alias("source_key"), (key % 6000).cast("int").alias("width"), (key % 4000).cast("int").alias("height"))
+    meta = t("nation").select(F.concat(F.lit("nation."), "n_name").alias("key"), F.col("n_regionkey").cast("string").alias("value"))
+    return Library.empty(spark, folders=folders, images=images, members=members, keywords=keywords, collections=collections, thumbnails=thumbnails, exif=exif, decoded_dims=dims, meta=meta)
 
 
 def of(function: Callable[[Library], DataFrame]) -> Query:
@@ -50,23 +55,42 @@ def of(function: Callable[[Library], DataFrame]) -> Query:
 
 
 def listed(f: Filter) -> Query:
-    return of(lambda lib: lib.list_images(f, ordered=False).select("id", "file_name", "folder_id", "rating", "flag", "edited"))
+    """A listing with each image's place in it."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        shown = library(spark, sf_dir).list_images(f, ordered=False).select("id", "file_name", "folder_id", "rating", "flag", "edited")
+        return numbered(shown, "file_name", "id", name="place")
+
+    return query
 
 
 def imported(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half a library brought into the other half, with an overlap: images, keywords and members by id."""
+    """Half a library brought into the other half, with an overlap. Each half has some of the folders and collections, and the one brought in has other ids for them; images are shown with the paths and names they end up with."""
     lib = library(spark, sf_dir)
     key = F.col("id").cast("bigint")
 
-    def part(keep) -> Library:
+    def part(keep, folders, collections, shift: int) -> Library:
         images = lib.images.filter(keep)
         ids = images.select(F.col("id").alias("image_id"))
-        return Library.empty(spark, folders=lib.folders, collections=lib.collections, images=images, keywords=lib.keywords.join(ids, "image_id", "left_semi"), members=lib.members.join(ids, "image_id", "left_semi"))
-
-    out = part((key % 2 == 1) | (key % 10 == 0)).import_from(part(key % 2 == 0))
+        moved = lambda df, c: df.withColumn(c, F.col(c) + shift)
+        return Library.empty(
+            spark,
+            folders=moved(lib.folders.filter(folders), "id"),
+            collections=moved(lib.collections.filter(collections), "id"),
+            images=moved(images, "folder_id"),
+            keywords=lib.keywords.join(ids, "image_id", "left_semi"),
+            members=moved(lib.members.join(ids, "image_id", "left_semi"), "collection_id"),
+        )
+
+    mine = part((key % 2 == 1) | (key % 10 == 0), F.col("id") % 3 != 0, F.col("id") % 4 != 0, 0)
+    theirs = part(key % 2 == 0, F.lit(True), F.lit(True), 1_000_000)
+    out = mine.import_from(theirs)
     words = out.keywords.groupBy(F.col("image_id").alias("id")).agg(F.count(F.lit(1)).alias("keywords"))
-    members = out.members.groupBy(F.col("image_id").alias("id")).agg(F.count(F.lit(1)).alias("members"))
-    return out.images.select("id", "folder_id").join(words, "id", "left").join(members, "id", "left").select("id", "folder_id", F.coalesce("keywords", F.lit(0)).cast("bigint").alias("keywords"), F.coalesce("members", F.lit(0)).cast("bigint").alias("members"))
+    held = out.members.join(out.collections.select(F.col("id").alias("collection_id"), "name"), "collection_id")
+    members = held.groupBy(F.col("image_id").alias("id")).agg(F.count(F.lit(1)).alias("members"), F.min("name").alias("first_member"))
+    placed = out.images.join(out.folders.select(F.col("id").alias("folder_id"), F.col("path").alias("folder")), "folder_id", "left").select("id", "folder_id", "folder")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return placed.join(words, "id", "left").join(members, "id", "left").select("id", "folder_id", "folder", count("keywords"), count("members"), "first_member")
 
 
 def flushed(lib: Library) -> DataFrame:
@@ -76,13 +100,11 @@ def flushed(lib: Library) -> DataFrame:
 
 def metadata_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as if they had shutter speeds, sorted by them with blanks last, and numbered."""
-    from pyspark.sql import Window
-
     size = F.col("p_size")
     df = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("file_name"), F.when(size % 5 == 0, F.lit(None)).when(size % 2 == 0, F.concat(F.lit("1/"), (size * 10).cast("string"))).otherwise((size / F.lit(10.0)).cast("string")).alias("shutter"))
     seconds = shutter_seconds(F.col("shutter"))
-    ordered = table_sort(df.withColumn("seconds", seconds), F.col("seconds"), descending=True)
-    return ordered.select("id", F.round("seconds", 9).alias("seconds"), F.row_number().over(Window.orderBy(F.col("seconds").desc_nulls_last(), "file_name", "id")).alias("place"))
+    ordered = numbered(df.withColumn("seconds", seconds), F.col("seconds").desc_nulls_last(), "file_name", "id", name="place")
+    return ordered.select("id", F.round("seconds", 9).alias("seconds"), "place")
 
 
 def feature_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,17 +114,13 @@ def feature_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers linked by a shared supplier and priority in few orders, as frames in groups."""
-    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(_scratch())
-    edges = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("a"), (F.col("n_nationkey") * 7 % 25).cast("bigint").alias("b")).filter("a % 3 <> 0 and a <> b")
-    frames = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("frame"))
-    return match.frame_groups(edges, frames)
-
-
-def _scratch() -> str:
-    import tempfile
+    """Orders as frames, each linked to the one before it of the same customer and priority."""
+    from pyspark.sql import Window
 
-    return f"file://{tempfile.mkdtemp(prefix='rasterloom-')}"
+    orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("frame"), "o_custkey", "o_orderpriority")
+    before = F.lag("frame").over(Window.partitionBy("o_custkey", "o_orderpriority").orderBy("frame"))
+    edges = orders.select(F.col("frame").alias("a"), before.alias("b")).filter("b is not null")
+    return match.frame_groups(edges, orders.select("frame"))
 
 
 def verified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,6 +170,43 @@ def queries() -> dict[str, Query]:
         "catalog__import_from": imported,
         "catalog__metadata_sort": metadata_sort,
         "catalog__export_names": exported,
+        "catalog__image": of(lambda lib: lib.image("7").select("id", "path", "rating")),
+        "catalog__folder_id": of(lambda lib: lib.folder_id("/ASIA/INDIA/Customer#000000007")),
+        "catalog__folder_spelling_candidates": of(lambda lib: lib.folder_spelling_candidates("/asia/india/customer#000000007")),
+        "catalog__meta": of(lambda lib: lib.meta_value("nation.INDIA")),
+        "catalog__meta_keys": of(lambda lib: lib.meta_keys("nation.I")),
+        "catalog__delete_meta": of(lambda lib: lib.delete_meta("nation.INDIA").meta),
+        "catalog__recovery_inventory": of(lambda lib: lib.recovery_inventory()),
+        "catalog__irreplaceable_bytes": of(lambda lib: lib.irreplaceable_bytes()),
+        "catalog__stats": of(lambda lib: lib.stats()),
+        "catalog__add_image": of(lambda lib: lib.add_image("new", "/p/New One.JPG", 7, 5).images.select("id", "path", "file_name", "extension", "folder_id")),
+        "catalog__set_image_path": of(lambda lib: lib.set_image_path("7", "/q/Other.TIF", 9).images.select("id", "path", "file_name", "extension", "folder_id")),
+        "catalog__assign_folder_if_elsewhere": of(lambda lib: lib.assign_folder_if_elsewhere("7", 9)[0].images.select("id", "folder_id")),
+        "catalog__image_id_taken": of(lambda lib: lib.image_id_taken("7")),
+        "catalog__image_id_by_path": of(lambda lib: lib.image_id_by_path("/p/7")),
+        "catalog__is_trashed": of(lambda lib: lib.is_trashed("33")),
+        "catalog__is_hidden": of(lambda lib: lib.is_hidden("26")),
+        "catalog__hidden_ids_in_folder": of(lambda lib: lib.hidden_ids_in_folder(7)),
+        "catalog__decoded_dimensions": of(lambda lib: lib.decoded_dimensions("7", "F")),
+        "catalog__thumbnail": of(lambda lib: lib.thumbnail("7").select("kind", F.col("data").cast("string").alias("data"))),
+        "catalog__clear_thumbnail": of(lambda lib: lib.clear_thumbnail("7").thumbnails.select("image_id", "kind")),
+        "catalog__clear_rendered_thumbnails": of(lambda lib: lib.clear_rendered_thumbnails().thumbnails.select("image_id", "kind")),
+        "catalog__clear_thumbnails": of(lambda lib: lib.clear_thumbnails().thumbnails.agg(F.count(F.lit(1)).alias("n"))),
+        "catalog__exif": of(lambda lib: lib.exif_of("7").select("make", "taken", "reader")),
+        "catalog__exif_for_folder": of(lambda lib: lib.exif_for_folder(7).select("image_id", "make", "taken")),
+        "catalog__list_images_taken": listed(Filter(taken=("1995-03", "1995-04"))),
+        "catalog__rename_collection": of(lambda lib: lib.rename_collection(3, "Best of all").collections.select("id", "name")),
+        "catalog__set_collection_graph": of(lambda lib: lib.set_collection_graph(3, "g-1").collections.select("id", "graph_id")),
+        "catalog__delete_collection": of(lambda lib: lib.delete_collection(3)[0].collection_summaries().select("id", "name", "image_count")),
+        "catalog__restore_collection": of(lambda lib: lib.delete_collection(3)[0].restore_collection(3, "Back", None, lib.delete_collection(3)[1]).collection_summaries().select("id", "name", "image_count")),
+        "catalog__set_keywords": of(lambda lib: lib.set_keywords("7", [" Sun ", "sun", "Moon"]).keywords),
+        "catalog__set_rating": of(lambda lib: lib.set_rating("7", 5).images.select("id", "rating")),
+        "catalog__set_flag": of(lambda lib: lib.set_flag("7", "reject").images.select("id", "flag")),
+        "catalog__set_link_group": of(lambda lib: lib.set_link_group(["7", "32"], "l1").images.select("id", "link_group")),
+        "catalog__hide_folder": of(lambda lib: lib.hide_folder("/ASIA/INDIA/Customer#000000007").hidden_folder_paths()),
+        "catalog__absorb_image": of(lambda lib: lib.absorb_image("7", "32").keywords),
+        "catalog__add_folder": of(lambda lib: lib.add_folder("/NEW").folders.select("id", "path", "hidden")),
+        "catalog__forget_images": of(lambda lib: lib.forget_images(lib.images.filter("trashed = 1").select("id")).keywords),
         "match__features": feature_match,
         "match__verify": verified,
         "match__components": frame_groups,
@@ -165,14 +220,30 @@ FOLDERS = "folders AS (SELECT c_custkey AS id, concat('/', r_name, '/', n_name,
 IMAGES = "images AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderkey AS k, concat('/p/', o_orderkey) AS path, concat('IMG_', o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '.dng' ELSE '.jpg' END) AS file_name, CASE WHEN o_orderkey % 3 = 0 THEN 'dng' ELSE 'jpg' END AS extension, o_custkey AS folder_id, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS rating, CASE o_orderstatus WHEN 'P' THEN 'pick' WHEN 'F' THEN 'reject' ELSE 'none' END AS flag, CASE WHEN o_orderkey % 4 = 0 THEN 1 ELSE 0 END AS edited, CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS hidden, CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END AS trashed FROM orders)"
 REST = "members AS (SELECT DISTINCT l_suppkey AS collection_id, CAST(l_orderkey AS VARCHAR) AS image_id FROM lineitem), keywords AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS image_id, lower(concat(l_returnflag, '-', l_linestatus)) AS keyword FROM lineitem)"
 BASE = f"WITH {FOLDERS}, {IMAGES}, {REST} "
-ROWS = "SELECT id, file_name, folder_id, rating, flag, edited FROM images i"
+ROWS = "SELECT id, file_name, folder_id, rating, flag, edited, CAST(row_number() OVER (ORDER BY file_name, id) AS INTEGER) AS place FROM images i"
+EXIF = "exif AS (SELECT CAST(o_orderkey AS VARCHAR) AS image_id, o_orderstatus AS make, strftime(o_orderdate, '%Y:%m:%d %H:%M:%S') AS taken, CAST(3 AS BIGINT) AS reader, o_custkey AS folder_id FROM orders)"
+THUMBS = "SELECT CAST(o_orderkey AS VARCHAR) AS image_id, CASE WHEN o_orderkey % 2 = 0 THEN 'rendered' ELSE 'embedded' END AS kind FROM orders"
+META = "SELECT concat('nation.', n_name) AS key, CAST(n_regionkey AS VARCHAR) AS value FROM nation"
 SEEN = "(folder_id IS NULL OR folder_id NOT IN (SELECT id FROM folders WHERE hidden = 1))"
 
 
+#: Each user's events in turn, with the values that are set (done) and those that were taken back (undone) as lists.
+JOURNAL = """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT user_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, CAST([] AS DOUBLE[]) AS done, CAST([] AS DOUBLE[]) AS undone, false AS moved FROM (SELECT DISTINCT user_id FROM events)
+UNION ALL SELECT e.user_id, e.k, e.event_id,
+ CASE WHEN event_type = 'click' THEN list_append(done, value) WHEN event_type = 'error' AND len(done) > 0 THEN done[:-2] WHEN event_type = 'signup' AND len(undone) > 0 THEN list_append(done, undone[-1]) ELSE done END,
+ CASE WHEN event_type = 'click' THEN [] WHEN event_type = 'error' AND len(done) > 0 THEN list_append(undone, done[-1]) WHEN event_type = 'signup' AND len(undone) > 0 THEN undone[:-2] ELSE undone END,
+ event_type = 'click' OR (event_type = 'error' AND len(done) > 0) OR (event_type = 'signup' AND len(undone) > 0)
+FROM r JOIN e ON e.user_id = r.user_id AND e.k = r.k + 1)
+SELECT user_id, event_id, CASE WHEN len(done) > 0 THEN done[-1] END AS value, CAST(len(done) AS BIGINT) AS depth, CAST(len(undone) AS BIGINT) AS undone FROM r WHERE moved"""
+
+
 def oracle_sql() -> dict[str, str]:
     live = "trashed = 0 AND hidden = 0"
     scope = lambda p: f"(path = '{p}' OR starts_with(path, '{p}/'))"
     summary = "SELECT f.id, f.path, f.last_opened, count(i.id) AS image_count FROM folders f LEFT JOIN images i ON i.folder_id = f.id AND i.trashed = 0 WHERE f.hidden = 0"
+    held = "SELECT s_suppkey AS id, s_name AS name, count(i.id) AS image_count FROM supplier LEFT JOIN members m ON m.collection_id = s_suppkey LEFT JOIN images i ON i.id = m.image_id AND i.trashed = 0"
+    restored = "CASE WHEN s_suppkey = 3 THEN 'Back' ELSE s_name END AS name"
     return {
         "catalog__list_images": f"{BASE}{ROWS} WHERE {live} AND {SEEN}",
         "catalog__list_images_rating": f"{BASE}{ROWS} WHERE {live} AND rating >= 4 AND {SEEN}",
@@ -201,11 +272,48 @@ def oracle_sql() -> dict[str, str]:
         "catalog__rename_folder_paths": f"{BASE}SELECT id, CASE WHEN {scope('/ASIA')} THEN concat('/ORIENT', substr(path, 6)) ELSE path END AS path FROM folders",
         "catalog__recover_hidden": f"{BASE}SELECT id FROM images WHERE hidden = 1 AND (folder_id IS NULL OR folder_id NOT IN (SELECT id FROM folders WHERE path = '/ASIA/INDIA/Customer#000000007'))",
         "catalog__flush_folder": f"{BASE}, gone AS (SELECT id FROM images WHERE folder_id IN (SELECT id FROM folders WHERE {scope('/ASIA')})) SELECT (SELECT count(*) FROM folders WHERE NOT {scope('/ASIA')}) AS folders, (SELECT count(*) FROM images WHERE id NOT IN (SELECT id FROM gone)) AS images, (SELECT count(*) FROM supplier) AS collections, (SELECT count(*) FROM keywords WHERE image_id NOT IN (SELECT id FROM gone)) AS keywords, (SELECT count(*) FROM members WHERE image_id NOT IN (SELECT id FROM gone)) AS members",
-        "catalog__import_from": f"{BASE}SELECT id, folder_id, (SELECT count(*) FROM keywords WHERE image_id = id) AS keywords, (SELECT count(*) FROM members WHERE image_id = id) AS members FROM images",
+        "catalog__import_from": f"{BASE}, mine AS (SELECT id, path FROM folders WHERE id % 3 <> 0), fresh AS (SELECT path, (SELECT max(id) FROM mine) + row_number() OVER (ORDER BY path) AS id FROM folders WHERE id % 3 = 0), both_ AS (SELECT id, path FROM mine UNION ALL SELECT id, path FROM fresh), placed AS (SELECT i.id, CASE WHEN k % 2 = 1 OR k % 10 = 0 THEN i.folder_id ELSE b.id END AS folder_id FROM images i JOIN folders f ON f.id = i.folder_id LEFT JOIN both_ b ON b.path = f.path), had AS (SELECT m.image_id, s_name, s_suppkey % 4 <> 0 OR k % 2 = 0 AS kept FROM members m JOIN images i ON i.id = m.image_id JOIN supplier ON s_suppkey = m.collection_id) SELECT p.id, p.folder_id, b.path AS folder, (SELECT count(*) FROM keywords WHERE image_id = p.id) AS keywords, (SELECT count(*) FROM had WHERE image_id = p.id AND kept) AS members, (SELECT min(s_name) FROM had WHERE image_id = p.id AND kept) AS first_member FROM placed p LEFT JOIN both_ b ON b.id = p.folder_id",
         "catalog__metadata_sort": "WITH t AS (SELECT p_partkey AS id, p_name, CASE WHEN p_size % 5 = 0 THEN NULL WHEN p_size % 2 = 0 THEN CAST(1 AS DOUBLE) / (p_size * 10) ELSE p_size / CAST(10 AS DOUBLE) END AS seconds FROM part) SELECT id, round(seconds, 9) AS seconds, CAST(row_number() OVER (ORDER BY seconds DESC NULLS LAST, p_name, id) AS INTEGER) AS place FROM t",
         "catalog__export_names": f"{BASE}, l AS (SELECT *, CAST(row_number() OVER (ORDER BY file_name, id) AS INTEGER) AS n, concat(flag, '-', rating) AS base FROM images WHERE {live} AND rating >= 4 AND flag = 'pick' AND {SEEN}), m AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY n) AS again FROM l) SELECT id, n, CASE WHEN again > 1 THEN concat(base, '-', again) ELSE base END AS export_name FROM m",
         "match__features": "WITH p AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))))) AS d FROM embeddings a JOIN embeddings b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1), k AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY d, b_id) AS n FROM p) SELECT u.a_id, u.b_id, round(u.d, 6) AS d1, round(v.d, 6) AS d2 FROM k u JOIN k v ON u.a_id = v.a_id AND u.n = 1 AND v.n = 2 WHERE v.d > 1e-12 AND u.d / v.d < 0.95",
         "match__verify": "SELECT o_orderkey AS a, o_custkey AS b, o_orderkey % 40 AS inliers, o_custkey % 90 AS in_overlap FROM orders WHERE o_orderkey % 40 > 8 + CAST(0.3 AS DOUBLE) * (o_custkey % 90)",
-        "match__components": "WITH RECURSIVE e AS (SELECT CAST(n_nationkey AS BIGINT) AS a, CAST(n_nationkey * 7 % 25 AS BIGINT) AS b FROM nation WHERE n_nationkey % 3 <> 0 AND n_nationkey <> n_nationkey * 7 % 25), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT CAST(n_nationkey AS BIGINT) AS frame, CAST(n_nationkey AS BIGINT) AS g FROM nation UNION SELECT r.frame, u.b FROM r JOIN u ON u.a = r.g) SELECT frame, min(g) AS grp FROM r GROUP BY frame",
+        "match__components": "SELECT o_orderkey AS frame, min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority) AS grp FROM orders",
         "match__ownership": "WITH t AS (SELECT CAST(user_id % 5 AS INTEGER) AS frame_id, CAST(hour(ts) AS INTEGER) AS y, CAST(day(ts) AS INTEGER) AS x, count(*) AS w FROM events GROUP BY ALL) SELECT y, x, frame_id FROM (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY w DESC, frame_id) AS k FROM t) WHERE k = 1",
+        "catalog__image": f"{BASE}SELECT id, path, rating FROM images WHERE k = 7",
+        "catalog__folder_id": f"{BASE}SELECT id FROM folders WHERE path = '/ASIA/INDIA/Customer#000000007'",
+        "catalog__folder_spelling_candidates": f"{BASE}SELECT path FROM folders WHERE path <> '/asia/india/customer#000000007' AND lower(path) LIKE '%/customer#000000007'",
+        "catalog__meta": f"SELECT value FROM ({META}) WHERE key = 'nation.INDIA'",
+        "catalog__meta_keys": f"SELECT key FROM ({META}) WHERE key LIKE 'nation.I%'",
+        "catalog__delete_meta": f"SELECT key, value FROM ({META}) WHERE key <> 'nation.INDIA'",
+        "catalog__recovery_inventory": f"{BASE}SELECT id, path, trashed = 1 AS trashed FROM images",
+        "catalog__stats": "SELECT count(*) AS thumbnails, CAST(sum(octet_length(encode(o_orderpriority))) AS BIGINT) AS thumbnail_bytes FROM orders",
+        "catalog__add_image": f"{BASE}SELECT id, path, file_name, extension, folder_id FROM images UNION ALL SELECT 'new', '/p/New One.JPG', 'New One.JPG', 'jpg', 7",
+        "catalog__set_image_path": f"{BASE}SELECT id, CASE WHEN k = 7 THEN '/q/Other.TIF' ELSE path END AS path, CASE WHEN k = 7 THEN 'Other.TIF' ELSE file_name END AS file_name, CASE WHEN k = 7 THEN 'tif' ELSE extension END AS extension, CASE WHEN k = 7 THEN 9 ELSE folder_id END AS folder_id FROM images",
+        "catalog__assign_folder_if_elsewhere": f"{BASE}SELECT id, CASE WHEN k = 7 THEN 9 ELSE folder_id END AS folder_id FROM images",
+        "catalog__image_id_taken": f"{BASE}SELECT count(*) > 0 AS taken FROM images WHERE k = 7",
+        "catalog__image_id_by_path": f"{BASE}SELECT id FROM images WHERE path = '/p/7'",
+        "catalog__is_trashed": f"{BASE}SELECT id, trashed = 1 AS trashed FROM images WHERE k = 33",
+        "catalog__is_hidden": f"{BASE}SELECT id, hidden = 1 AS hidden FROM images WHERE k = 26",
+        "catalog__hidden_ids_in_folder": f"{BASE}SELECT id FROM images WHERE folder_id = 7 AND hidden = 1",
+        "catalog__decoded_dimensions": "SELECT CAST(o_orderkey % 6000 AS INTEGER) AS width, CAST(o_orderkey % 4000 AS INTEGER) AS height FROM orders WHERE o_orderkey = 7 AND o_orderstatus = 'F'",
+        "catalog__thumbnail": "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'rendered' ELSE 'embedded' END AS kind, o_orderpriority AS data FROM orders WHERE o_orderkey = 7",
+        "catalog__clear_thumbnail": f"SELECT image_id, kind FROM ({THUMBS}) WHERE image_id <> '7'",
+        "catalog__clear_rendered_thumbnails": f"SELECT image_id, kind FROM ({THUMBS}) WHERE kind <> 'rendered'",
+        "catalog__clear_thumbnails": "SELECT CAST(0 AS BIGINT) AS n",
+        "catalog__exif": f"WITH {EXIF} SELECT make, taken, reader FROM exif WHERE image_id = '7'",
+        "catalog__exif_for_folder": f"WITH {EXIF} SELECT image_id, make, taken FROM exif WHERE folder_id = 7",
+        "catalog__list_images_taken": f"{BASE}, {EXIF} {ROWS} WHERE {live} AND {SEEN} AND id IN (SELECT image_id FROM exif WHERE taken BETWEEN '1995:03:01 00:00:00' AND '1995:04:30 23:59:59')",
+        "catalog__rename_collection": "SELECT s_suppkey AS id, CASE WHEN s_suppkey = 3 THEN 'Best of all' ELSE s_name END AS name FROM supplier",
+        "catalog__set_collection_graph": "SELECT s_suppkey AS id, CASE WHEN s_suppkey = 3 THEN 'g-1' END AS graph_id FROM supplier",
+        "catalog__delete_collection": f"{BASE}{held} WHERE s_suppkey <> 3 GROUP BY ALL",
+        "catalog__restore_collection": f"{BASE}{held.replace('s_name AS name', restored)} GROUP BY ALL",
+        "catalog__set_keywords": f"{BASE}SELECT image_id, keyword FROM keywords WHERE image_id <> '7' UNION ALL SELECT '7', 'Sun' UNION ALL SELECT '7', 'Moon'",
+        "catalog__set_rating": f"{BASE}SELECT id, CASE WHEN k = 7 THEN 5 ELSE rating END AS rating FROM images",
+        "catalog__set_flag": f"{BASE}SELECT id, CASE WHEN k = 7 THEN 'reject' ELSE flag END AS flag FROM images",
+        "catalog__set_link_group": f"{BASE}SELECT id, CASE WHEN k IN (7, 32) THEN 'l1' END AS link_group FROM images",
+        "catalog__hide_folder": f"{BASE}SELECT path FROM folders WHERE hidden = 1 OR path = '/ASIA/INDIA/Customer#000000007'",
+        "catalog__absorb_image": f"{BASE}SELECT DISTINCT CASE WHEN image_id = '32' THEN '7' ELSE image_id END AS image_id, keyword FROM keywords",
+        "catalog__add_folder": f"{BASE}SELECT id, path, hidden FROM folders UNION ALL SELECT (SELECT max(id) FROM folders) + 1, '/NEW', 0",
+        "catalog__forget_images": f"{BASE}SELECT image_id, keyword FROM keywords WHERE image_id NOT IN (SELECT id FROM images WHERE trashed = 1)",
+        "journal__replay": JOURNAL,
     }

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import shutil
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str | int = "*", app: str = "rasterloom", **extra: str) -> SparkSession:
@@ -19,3 +24,33 @@ def local_session(cores: str | int = "*", app: str = "rasterloom", **extra: str)
     spark = SparkSession.builder.master(f"local[{cores}]").appName(app).config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the folder that driver and executors share, and read from there. The session names it in spark.checkpoint.dir; unset, a local master takes a folder that goes with this process, and no other master is guessed for."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+            local = tempfile.mkdtemp(prefix="rasterloom-")
+            atexit.register(shutil.rmtree, local, True)
+            path = f"file://{local}"
+        context.setCheckpointDir(path)
+    return df.checkpoint()
+
+
+def numbered(df: DataFrame, *order: Column | str, name: str = "n") -> DataFrame:
+    """df with each row's place in an order, from 1. Rows are dealt by ranges of the order and numbered within them, after those of the ranges before; no task sees more than its range."""
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    dealt = checkpointed(df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
+    sizes = sorted((r[0], r[1]) for r in dealt.groupBy("_range").count().collect())  # one row a range
+    before, total = [], 0
+    for part, n in sizes:
+        before += [F.lit(part), F.lit(total)]
+        total += n
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
+    first = F.element_at(F.create_map(*before), F.col("_range")) if before else F.lit(0)
+    return dealt.withColumn(name, (first + own).cast("int" if total < 2**31 else "long")).drop("_range")

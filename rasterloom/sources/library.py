@@ -9,9 +9,11 @@ from collections.abc import Sequence
 from dataclasses import dataclass, fields, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.session import numbered
+
 VERSION = 18
 FLAGS = ("none", "pick", "reject")
 SCHEMAS = {
@@ -57,6 +59,21 @@ def discover_files(spark: SparkSession, folder: str, shallow: bool = False) -> D
     return files.filter(is_supported(F.element_at(F.split(name, r"\."), -1)) & ~name.startswith("._") & ~dotted)
 
 
+def list_subfolders(spark: SparkSession, folder: str) -> DataFrame:
+    """path of the folders right below one that hold files, at any depth; dotted ones are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    below = F.substring_index(F.col("path"), folder.rstrip("/") + "/", -1)
+    name = F.substring_index(below, "/", 1)
+    return files.filter(below.contains("/") & ~name.startswith(".")).select(F.concat(F.lit(folder.rstrip("/") + "/"), name).alias("path")).distinct().orderBy("path")
+
+
+def file_parts(path: str) -> tuple[str, str]:
+    """A path's file name and its ending, lower case, as images hold them."""
+    name = path.rstrip("/").rpartition("/")[2]
+    stem, dot, ending = name.rpartition(".")
+    return name, ending.lower() if dot and stem else ""
+
+
 @dataclass(frozen=True)
 class Filter:
     """What a listing shows; all given conditions hold together."""
@@ -125,6 +142,16 @@ class Library:
             df = getattr(self, f.name)
             (df if thumbnails or f.name != "thumbnails" else df.limit(0)).write.mode(mode).parquet(f"{path.rstrip('/')}/{f.name}")
 
+    @staticmethod
+    def counts_unopened(spark: SparkSession, path: str) -> DataFrame:
+        """images, folders, collections of a saved library, from its files' footers."""
+        one = lambda k: spark.read.schema(SCHEMAS[k]).parquet(f"{path.rstrip('/')}/{k}").agg(F.count(F.lit(1)).alias(k))
+        return one("images").crossJoin(one("folders")).crossJoin(one("collections"))
+
+    def recovery_inventory(self) -> DataFrame:
+        """id, path, trashed of every image, in order of id."""
+        return self.images.select("id", "path", (F.col("trashed") != 0).alias("trashed")).orderBy("id")
+
     @staticmethod
     def schema_version() -> int:
         return VERSION
@@ -167,6 +194,32 @@ class Library:
     def image(self, image_id: str) -> DataFrame:
         return self.images.filter(F.col("id") == image_id)
 
+    def image_id_taken(self, image_id: str) -> DataFrame:
+        """taken: whether any image, trashed and hidden ones too, has an id."""
+        return self.images.filter(F.col("id") == image_id).agg((F.count(F.lit(1)) > 0).alias("taken"))
+
+    def is_trashed(self, image_id: str) -> DataFrame:
+        return self.image(image_id).select("id", (F.col("trashed") != 0).alias("trashed"))
+
+    def is_hidden(self, image_id: str) -> DataFrame:
+        return self.image(image_id).select("id", (F.col("hidden") != 0).alias("hidden"))
+
+    def hidden_ids_in_folder(self, folder_id: int) -> DataFrame:
+        return self.images.filter((F.col("folder_id") == folder_id) & (F.col("hidden") == 1)).select("id")
+
+    def decoded_dimensions(self, image_id: str, source_key: str) -> DataFrame:
+        return self.decoded_dims.filter((F.col("image_id") == image_id) & (F.col("source_key") == source_key)).select("width", "height")
+
+    def thumbnail(self, image_id: str) -> DataFrame:
+        return self.thumbnails.filter(F.col("image_id") == image_id).select("kind", "data")
+
+    def exif_of(self, image_id: str) -> DataFrame:
+        """What was read from an image's headers, with the reader that read it."""
+        return self.exif.filter(F.col("image_id") == image_id).drop("image_id")
+
+    def meta_value(self, key: str) -> DataFrame:
+        return self.meta.filter(F.col("key") == key).select("value")
+
     def image_id_by_path(self, path: str) -> DataFrame:
         return self.images.filter(F.col("path") == path).select("id")
 
@@ -174,6 +227,15 @@ class Library:
     def list_folders(self) -> DataFrame:
         return self.folders.select("id", "path").orderBy("path")
 
+    def folder_id(self, path: str) -> DataFrame:
+        return self.folders.filter(F.col("path") == path).select("id")
+
+    def folder_spelling_candidates(self, path: str) -> DataFrame:
+        """path of folders that may be another spelling of one: the same but for case, or with the same last name, whatever its case."""
+        name = path.rpartition("/")[2].lower()
+        low = F.lower("path")
+        return self.folders.filter((F.col("path") != path) & ((low == path.lower()) | low.endswith("/" + name) | low.endswith("\\" + name))).select("path")
+
     def hidden_folder_paths(self) -> DataFrame:
         return self.folders.filter("hidden = 1").select("path")
 
@@ -235,6 +297,12 @@ class Library:
         """folders, images, collections."""
         return reduce(lambda a, b: a.crossJoin(b), [getattr(self, k).agg(F.count(F.lit(1)).alias(k)) for k in ("folders", "images", "collections")])
 
+    def irreplaceable_bytes(self) -> DataFrame:
+        """bytes: about what the tables hold besides thumbnails, which can be made again."""
+        texts = [(getattr(self, f.name), [F.coalesce(F.octet_length(F.col(c.name).cast("string")), F.lit(0)) for c in getattr(self, f.name).schema]) for f in fields(self) if f.name != "thumbnails"]
+        parts = [df.agg(F.coalesce(F.sum(sum(sizes, F.lit(0))), F.lit(0)).cast("bigint").alias("bytes")) for df, sizes in texts]
+        return reduce(DataFrame.union, parts).agg(F.sum("bytes").alias("bytes"))
+
     def stats(self) -> DataFrame:
         """thumbnails and their bytes: one row of totals."""
         return self.thumbnails.agg(F.count(F.lit(1)).alias("thumbnails"), F.coalesce(F.sum(F.length("data")), F.lit(0)).cast("bigint").alias("thumbnail_bytes"))
@@ -285,6 +353,24 @@ class Library:
     def set_link_group(self, ids: Sequence[str], group: str | None) -> Library:
         return self._set(ids, link_group=group)
 
+    def assign_folder_if_elsewhere(self, image_id: str, folder_id: int) -> tuple[Library, bool]:
+        """An image in a folder, and whether it was elsewhere."""
+        away = not self.images.filter((F.col("id") == image_id) & ~F.col("folder_id").eqNullSafe(F.lit(folder_id))).isEmpty()
+        return (self.assign_folder(image_id, folder_id) if away else self), away
+
+    def add_image(self, image_id: str, path: str, folder_id: int | None, now: int) -> Library:
+        """An image added with its name and ending from its path; an id or a path that is there is an error."""
+        if not self.images.filter((F.col("id") == image_id) | (F.col("path") == path)).isEmpty():
+            raise LibraryError(f"there is an image {image_id!r} or {path!r} already")
+        name, ending = file_parts(path)
+        row = self.images.sparkSession.createDataFrame([(image_id, path, name, ending, folder_id, 0, "none", None, None, now, 0, 0, 0, None)], SCHEMAS["images"])
+        return replace(self, images=self.images.unionByName(row.select(*self.images.columns)))
+
+    def set_image_path(self, image_id: str, path: str, folder_id: int | None = None) -> Library:
+        """An image at another path, with its name and ending from it, and in another folder if one is given."""
+        name, ending = file_parts(path)
+        return self._set([image_id], path=path, file_name=name, extension=ending, **({} if folder_id is None else {"folder_id": folder_id}))
+
     def assign_folder(self, image_id: str, folder_id: int) -> Library:
         return self._set([image_id], folder_id=folder_id)
 
@@ -354,6 +440,43 @@ class Library:
         top = self.collections.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
         return replace(self, collections=self.collections.unionByName(top.select((F.col("top") + 1).alias("id"), F.lit(clean).alias("name"), F.lit(None).cast("string").alias("graph_id"))))
 
+    def _collection(self, collection_id: int) -> Library:
+        if self.collections.filter(F.col("id") == collection_id).isEmpty():
+            raise NotFound(f"no collection {collection_id}")
+        return self
+
+    def rename_collection(self, collection_id: int, name: str) -> Library:
+        if not self._collection(collection_id).collections.filter((F.lower("name") == name.lower()) & (F.col("id") != collection_id)).isEmpty():
+            raise LibraryError(f"there is a collection named {name!r} already")
+        return replace(self, collections=self.collections.withColumn("name", F.when(F.col("id") == collection_id, F.lit(name)).otherwise(F.col("name"))))
+
+    def set_collection_graph(self, collection_id: int, graph_id: str | None) -> Library:
+        hit = F.col("id") == collection_id
+        return replace(self._collection(collection_id), collections=self.collections.withColumn("graph_id", F.when(hit, F.lit(graph_id).cast("string")).otherwise(F.col("graph_id"))))
+
+    def restore_collection(self, collection_id: int, name: str, graph_id: str | None, members: DataFrame) -> Library:
+        """A deleted collection back with the members (image_id) it had that are still images, under its id if that is free."""
+        if not self.collections.filter(F.lower("name") == name.lower()).isEmpty():
+            raise LibraryError(f"there is a collection named {name!r} already")
+        taken, top = self.collections.agg(F.max(F.when(F.col("id") == collection_id, 1)), F.coalesce(F.max("id"), F.lit(0))).first()
+        back = top + 1 if taken else collection_id
+        row = self.collections.sparkSession.createDataFrame([(back, name, graph_id)], SCHEMAS["collections"])
+        there = members.select("image_id").distinct().join(self.images.select(F.col("id").alias("image_id")), "image_id", "left_semi")
+        return replace(self, collections=self.collections.unionByName(row), members=self.members.unionByName(there.select(F.lit(back).cast("bigint").alias("collection_id"), "image_id")))
+
+    def clear_thumbnail(self, image_id: str) -> Library:
+        return replace(self, thumbnails=self.thumbnails.filter(F.col("image_id") != image_id))
+
+    def clear_rendered_thumbnails(self) -> Library:
+        """Thumbnails that were rendered gone; those that cameras embed stay."""
+        return replace(self, thumbnails=self.thumbnails.filter(F.col("kind") != "rendered"))
+
+    def clear_thumbnails(self) -> Library:
+        return replace(self, thumbnails=self.thumbnails.limit(0))
+
+    def delete_meta(self, key: str) -> Library:
+        return replace(self, meta=self.meta.filter(F.col("key") != key))
+
     def add_to_collection(self, collection_id: int, image_id: str) -> Library:
         row = self.members.sparkSession.createDataFrame([(collection_id, image_id)], SCHEMAS["members"])
         return replace(self, members=self.members.unionByName(row.join(self.members, ["collection_id", "image_id"], "left_anti")))
@@ -389,7 +512,7 @@ class Library:
             mine, theirs = getattr(self, name), getattr(other, name)
             fresh = theirs.join(mine.select(key), key, "left_anti").dropDuplicates([key])
             # fresh ids follow on from the largest here, in the order of the natural key
-            ordered = fresh.withColumn("_n", F.row_number().over(Window.orderBy(key))).crossJoin(top[name])
+            ordered = numbered(fresh, key, name="_n").crossJoin(top[name])
             added = ordered.withColumn("id", F.col("top") + F.col("_n")).select(*mine.columns)
             merged = mine.unionByName(added)
             ids = theirs.select(F.col("id").alias("old"), key).join(merged.select(F.col("id").alias("new"), key), key).select("old", "new")
@@ -431,11 +554,14 @@ def export_names(images: DataFrame, template: str, total: int | None = None) ->
     """images with n and export_name: {name} {n} {stars} {flag} filled in, in listing order, and names that fold to the same told apart by -2, -3, ..."""
     count = total if total is not None else images.count()
     width = len(str(max(1, count)))
-    rows = images.withColumn("n", F.row_number().over(Window.orderBy("file_name", "id")))
+    rows = numbered(images, "file_name", "id")
     name = F.lit(template)
     stem = F.regexp_replace("file_name", r"\.[^.]*$", "")
     for tag, value in (("{name}", stem), ("{n}", F.lpad(F.col("n").cast("string"), width, "0")), ("{stars}", F.col("rating").cast("string")), ("{flag}", F.col("flag"))):
         name = F.replace(name, F.lit(tag), value)
     rows = rows.withColumn("_base", name)
-    again = F.row_number().over(Window.partitionBy(F.lower("_base")).orderBy("n"))
-    return rows.withColumn("_k", again).withColumn("export_name", F.when(F.col("_k") > 1, F.concat("_base", F.lit("-"), F.col("_k").cast("string"))).otherwise(F.col("_base"))).drop("_base", "_k")
+    # few names may take most images: they are numbered in order of the name, whatever task they are in, less the number before their first
+    ranked = numbered(rows, F.lower("_base"), "n", name="_k")
+    first = ranked.groupBy(F.lower("_base").alias("_low")).agg(F.min("_k").alias("_first"))
+    ranked = ranked.join(first, F.lower("_base") == F.col("_low")).withColumn("_k", F.col("_k") - F.col("_first") + 1)
+    return ranked.withColumn("export_name", F.when(F.col("_k") > 1, F.concat("_base", F.lit("-"), F.col("_k").cast("string"))).otherwise(F.col("_base"))).drop("_base", "_k", "_low", "_first")

@@ -55,14 +55,21 @@ def journal(events: DataFrame) -> DataFrame:
 
 
 def journal_batch(events: DataFrame) -> DataFrame:
-    """The same over a table: one user's events at a time."""
-
-    def step(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["ts", "event_id"])
-        out = fold([], [], list(zip(rows["event_id"].tolist(), rows["event_type"].tolist(), rows["value"].tolist(), strict=True)))
-        return pd.DataFrame([(pdf["user_id"].iloc[0], *r) for r in out], columns=["user_id", "event_id", "value", "depth", "undone"])
-
-    return events.select("user_id", "event_id", "ts", "event_type", "value").groupBy("user_id").applyInPandas(step, OUT)
+    """The same over a table: each user's events pass through a task in order, in batches, and only the settings in force are held."""
+    rows = events.select("user_id", "ts", "event_id", "event_type", "value").repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, done, undone = None, [], []
+        for pdf in batches:
+            out = []
+            for key, part in pdf.groupby("user_id", sort=False, dropna=False):
+                if key != user:
+                    user, done, undone = key, [], []
+                found = fold(done, undone, list(zip(part["event_id"].tolist(), part["event_type"].tolist(), part["value"].tolist(), strict=True)))
+                out += [(key, *r) for r in found]
+            yield pd.DataFrame(out, columns=["user_id", "event_id", "value", "depth", "undone"]).astype({"user_id": "int64", "event_id": "int64", "value": "float64", "depth": "int64", "undone": "int64"})
+
+    return rows.mapInPandas(run, OUT)
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
