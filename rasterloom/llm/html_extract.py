@@ -45,6 +45,8 @@ OPEN_RUN, ARTICLE_RUN = Run(4, 3, 0.2), Run(8, 5, 0.6)
 COVERED = 0.7
 #: Pages in a suffix array, about.
 ARRAY_PAGES = 256
+#: Hosts whose numbers of arrays are sent to all tasks; of more they are joined.
+FEW_HOSTS = 100_000
 
 # Elements by what they hold, and words in class, id and role that mark an element.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -273,22 +275,31 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def read(batches):
         for batch in batches:
-            out = {k: [] for k in ("row_key", "states", "texts", "sizes", "tokens")}
+            out = {k: [] for k in ("row_key", "states", "texts")}
             for i, (page, url, html) in enumerate(zip(batch.column("id").to_pylist(), batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True)):
                 found = [x for x in blocks(html) if x[0] != OUT]
-                words = [t.split() for _, t in found]
                 out["row_key"].append(xxhash.xxh3_128_hexdigest(f"{page}\0{url}\0{i}\0{html}".encode("utf-8", "replace")))
                 out["states"].append([s for s, _ in found])
                 out["texts"].append([t for _, t in found])
+            yield {"id": batch.column("id"), "url": batch.column("url"), "host": batch.column("host")} | out
+
+    parsed = materialise(map_arrow(rows, read, f"id {id_type}, url string, host string, row_key string, states array<int>, texts array<string>"), "blocks")
+
+    def tokens(batches):
+        for batch in batches:
+            out = {"sizes": [], "tokens": []}
+            for texts in batch.column("texts").to_pylist():
+                words = [t.split() for t in texts]
                 out["sizes"].append([len(w) for w in words])
                 # sixteen bits a token: runs are several tokens long
                 out["tokens"].append(np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) & 0xFFFF for block in words for w in block], "<u2").tobytes())
-            yield {"id": batch.column("id"), "url": batch.column("url"), "host": batch.column("host")} | out
+            yield {c: batch.column(c) for c in ("row_key", "host", "states")} | out
 
-    parsed = materialise(map_arrow(rows, read, f"id {id_type}, url string, host string, row_key string, states array<int>, texts array<string>, sizes array<int>, tokens binary"), "blocks")
-    streams = parsed.filter(F.size("states") > 0).select("row_key", "host", "states", "sizes", "tokens")
-    arrays = streams.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / ARRAY_PAGES).alias("arrays"))
-    dealt = streams.join(arrays, "host").withColumn("array", F.pmod(F.xxhash64("row_key"), F.col("arrays")))
+    read_in = parsed.filter(F.size("states") > 0)
+    streams = map_arrow(read_in.select("row_key", "host", "states", "texts"), tokens, "row_key string, host string, states array<int>, sizes array<int>, tokens binary")
+    arrays = materialise(read_in.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / ARRAY_PAGES).alias("arrays")), "arrays")
+    # streams needn't move for the sizes of hosts as long as these are few
+    dealt = streams.join(F.broadcast(arrays) if arrays.count() <= FEW_HOSTS else arrays, "host").withColumn("array", F.pmod(F.xxhash64("row_key"), F.col("arrays")))
     dealt = dealt.repartition(partitions(spark), "host", "array")  # the join deals by host alone, and so would a grouping on top of it
     gone = dealt.groupBy("host", "array").applyInPandas(covered_blocks, "row_key string, gone array<int>").filter(F.size("gone") > 0)
     gone = materialise(gone.dropDuplicates(["row_key"]), "gone")
