@@ -3,7 +3,8 @@
 A gear hash rolls over a text's code points; where its upper bits are zero, a chunk may end, so chunk borders depend only on the
 ``REACH`` code points before them and an insertion shifts no border but its own. Chunks have ``SMALLEST`` to ``LARGEST`` code points. A
 chunk whose digest was seen before, in a document with a smaller id or earlier in the same one, is a duplicate; runs of duplicate
-chunks of at least ``MIN_RUN`` code points are cut out, so that one place keeps each passage. A shorter run is chance and stays.
+chunks of at least ``MIN_RUN`` code points, or of a whole text, are cut out, so that one place keeps each passage. A shorter run is
+taken for a phrase and stays. Runs are put together by windows over the chunks of a text, in time linear in its length.
 
 Null texts count as empty and have no chunks. Rows with a null id take no part. Rows
 that share an id are told apart by their texts; rows alike in id and text are one text. An empty table
@@ -14,10 +15,10 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import map_arrow, materialise, text_of
+from rasterloom.llm.common import map_arrow, materialise, partitions, text_of
 
 SMALLEST, LARGEST = 24, 256
 #: A border every 2**BORDER_BITS code points, on average, beyond SMALLEST.
@@ -60,7 +61,7 @@ def borders(points: np.ndarray, gear: np.ndarray) -> list[int]:
 
 
 def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text_key, start, end, d1, d2: every chunk with the halves of its 128-bit digest."""
+    """id, text_key, start, end, whole (the text's length), d1, d2: every chunk with the halves of its 128-bit digest."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -68,7 +69,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for at in range(0, len(ids), 100):
-                out_id, keys, starts, ends, digests = [], [], [], [], []
+                out_id, keys, starts, ends, wholes, digests = [], [], [], [], [], []
                 for doc, text in zip(ids[at : at + 100], texts[at : at + 100], strict=True):
                     raw = text.encode("utf-32-le", "replace")
                     found = borders(np.frombuffer(raw, "<u4"), gear)
@@ -78,28 +79,30 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     keys += [xxhash.xxh3_64_intdigest(raw) - (1 << 63)] * len(found)
                     starts += begin
                     ends += found
+                    wholes += [len(raw) // 4] * len(found)
                     digests += [xxhash.xxh3_128_digest(view[4 * a : 4 * b]) for a, b in zip(begin, found, strict=True)]
                 d = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-                yield {"id": out_id, "text_key": keys, "start": starts, "end": ends, "d1": d[:, 0], "d2": d[:, 1]}
+                yield {"id": out_id, "text_key": keys, "start": starts, "end": ends, "whole": wholes, "d1": d[:, 0], "d2": d[:, 1]}
 
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    return map_arrow(rows, run, f"id {id_type}, text_key long, start int, end int, d1 long, d2 long")
+    return map_arrow(rows, run, f"id {id_type}, text_key long, start int, end int, whole int, d1 long, d2 long")
 
 
-def runs(parts: str):
-    """Chunks in order, joined where they touch, as spans of at least MIN_RUN code points."""
-    kind = "array<struct<start:int,end:int>>"
+def long_enough():
+    return (F.col("end") - F.col("start") >= MIN_RUN) | (F.col("end") - F.col("start") == F.col("whole"))
 
-    def join_on(acc, x):
-        last = F.try_element_at(acc, F.lit(-1))
-        longer = F.struct(last["start"].alias("start"), x["end"].alias("end"))
-        return F.when(F.coalesce(last["end"] == x["start"], F.lit(False)), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))).otherwise(F.concat(acc, F.array(x)))
 
-    return F.filter(F.aggregate(parts, F.array().cast(kind), join_on), lambda x: x["end"] - x["start"] >= MIN_RUN)
+def runs(parts: DataFrame, also: str | None = None) -> DataFrame:
+    """parts (id, text_key, start, end, whole, again) with run: the start of the run of touching chunks that each lies in, of those alike in the column also."""
+    text = Window.partitionBy("id", "text_key").orderBy("start")
+    new = F.coalesce(F.lag("end").over(text) != F.col("start"), F.lit(True))
+    if also:
+        new = new | (F.lag(also).over(text) != F.col(also))
+    return parts.withColumn("new", new).withColumn("run" if not also else f"{also}_run", F.last(F.when(F.col("new"), F.col("start")), True).over(text.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text_key, repeated and removed (arrays of start, end): where a text holds what stands elsewhere too, and what of it goes; only texts with such a run."""
+    """id, text_key, start, end, removed (arrays of start, end): every run of a text that stands elsewhere too, and what of it goes, as spans in order."""
     found = materialise(chunks(docs, id_col, text_col), "chunks")
     place = F.struct("id", "text_key", "start")
     # counts are written before they are joined: a join that shares its exchange with an aggregate can't split a digest that very many chunks have
@@ -108,40 +111,48 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     often = materialise(found.join(seen, ["d1", "d2"]), "repeated")
     # the first place of each digest, within its first document
     first = materialise(often.filter("id = first_id").groupBy("d1", "d2").agg(F.min(place).alias("first")), "first")
-    marked = often.join(first, ["d1", "d2"]).select("id", "text_key", F.struct("start", "end").alias("part"), (place != F.col("first")).alias("again"))
-    parts = marked.groupBy("id", "text_key").agg(F.array_sort(F.collect_set("part")).alias("all"), F.array_sort(F.collect_set(F.when(F.col("again"), F.col("part")))).alias("later"))
-    return parts.select("id", "text_key", runs("all").alias("repeated"), runs("later").alias("removed")).filter(F.size("repeated") > 0)
+    marked = often.join(first, ["d1", "d2"]).select("id", "text_key", "start", "end", "whole", (place != F.col("first")).alias("again"))
+    # rows alike in id and text are one text
+    alone = marked.groupBy("id", "text_key", "start", "end", "whole").agg(F.max("again").alias("again")).repartition(partitions(docs.sparkSession), "id", "text_key")
+    dealt = runs(runs(alone), "again")
+    later = dealt.groupBy("id", "text_key", "whole", "run", "again", "again_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    gone = F.when(F.col("again") & long_enough(), F.struct("start", "end"))
+    whole = later.groupBy("id", "text_key", "whole", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_list(gone)).alias("removed"))
+    return whole.filter(long_enough()).select("id", "text_key", "start", "end", "removed")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, start, end, n_removed: every run of a text that repeats elsewhere, and how many of its code points go; the place that keeps a passage has 0."""
-    one = repeats(docs, id_col, text_col).select("id", "removed", F.explode("repeated").alias("r"))
-    inside = F.aggregate("removed", F.lit(0), lambda a, x: a + F.greatest(F.least(x["end"], F.col("r.end")) - F.greatest(x["start"], F.col("r.start")), F.lit(0)))
-    return one.select(F.col("id").alias(id_col), F.col("r.start").alias("start"), F.col("r.end").alias("end"), inside.alias("n_removed"))
+    total = F.aggregate("removed", F.lit(0), lambda a, x: a + x["end"] - x["start"])
+    return repeats(docs, id_col, text_col).select(F.col("id").alias(id_col), "start", "end", total.alias("n_removed"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the duplicate runs cut out of their texts."""
-    cut = repeats(docs, id_col, text_col).filter(F.size("removed") > 0).select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.col("removed").alias("_spans")).distinct()
-    keyed = map_keys(docs, text_col)
-    joined = keyed.join(cut, (F.col(id_col) == F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left")
-    text = F.col(text_col)
+    spans = F.array_sort(F.flatten(F.collect_list("removed")))
+    cut = repeats(docs, id_col, text_col).filter(F.size("removed") > 0).groupBy("id", "text_key").agg(spans.alias("spans"))
+    keyed = map_keys(docs, id_col, text_col)
+    joined = keyed.join(cut.withColumnRenamed("id", "cut_id"), (F.col("id") == F.col("cut_id")) & (F.col("key") == F.col("text_key")), "left")
+    text = F.col(f"row.`{text_col}`")
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    left = F.aggregate("_spans", zero, lambda acc, x: F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"])).alias("out")), lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNotNull(), left).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    left = F.aggregate("spans", zero, lambda acc, x: F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"])).alias("out")), lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    clean = F.when(F.col("spans").isNotNull(), left).otherwise(text)
+    return joined.select(*[(clean if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
-def map_keys(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with _text_key, as chunks() has it."""
+def map_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs as row, with id and key, the text_key of chunks()."""
     import pyarrow as pa
     from pyspark.sql.types import LongType, StructField, StructType
 
     from rasterloom.llm.common import text_batches
 
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
+
     def run(batches):
         for batch in batches:
-            keys = [xxhash.xxh3_64_intdigest((t or "").encode("utf-32-le", "replace")) - (1 << 63) for t in batch.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "_text_key"])
+            keys = [xxhash.xxh3_64_intdigest(t.encode("utf-32-le", "replace")) - (1 << 63) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], names=["row", "id", "key"])
 
     text_batches(docs.sparkSession)
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_text_key", LongType())]))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:2], StructField("key", LongType())]))
