@@ -1,14 +1,15 @@
 """Severity of toxicity by a cumulative-link ordinal regression.
 
-Grades are 0 (not toxic) to ``GRADES`` - 1. P(grade > k) = sigmoid(w.x - theta_k): one weight vector serves all thresholds, which
-are ordered. Features x are the words of a text and their prefixes of four and five letters, binary, lower case, hashed to
-``FEATURES`` columns; the expected severity is the sum of P(grade > k). The model is fitted on at most ``TRAIN_ROWS`` labelled texts,
-by a hash of their ids, and on the columns that tell the labels apart best; every text is scored, whole.
+Grades are the labels' distinct values in their order, the lowest of which means not toxic; labels that only say toxic or not are two
+grades with one threshold. P(grade > k) = sigmoid(w.x - theta_k): one weight vector serves all thresholds, which are ordered. Features
+x are the words of a text and their prefixes of four and five letters, binary, lower case, hashed to ``FEATURES`` columns; the expected
+severity is the sum of P(grade > k). The model is fitted on at most ``TRAIN_ROWS`` labelled texts, by a hash of their ids, and on the
+columns that tell the labels apart best; every text is scored, whole.
 
-Labels that only say toxic or not are graded by how many of the telling columns a toxic text holds among its words (``severity_labels``).
 Null texts count as empty; rows are scored one by one, so repeated rows and null ids are returned as they come. Labels of ids that
-aren't in the table, and null labels, are left out; ids with several labels count once for each. Without labels of both kinds
-every text has severity 0. An empty table gives an empty result; further columns are left alone.
+aren't in the table, and null labels, are left out; ids with several labels count once for each. Without labels of two kinds
+every text has severity 0; labels of more than ``MOST_GRADES`` kinds are refused. An empty table gives an empty result; further columns
+are left alone.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.common import map_arrow, materialise, text_of
 
-GRADES = 3
+#: Grades that labels may have.
+MOST_GRADES = 32
 FEATURES = 1 << 22
 #: Labelled rows that the model is fitted on, and columns that it keeps.
 TRAIN_ROWS, COLUMNS = 20_000, 2_000
@@ -68,33 +70,24 @@ class Reader:
 
 
 def telling(read: DataFrame, clean: int, toxic: int) -> list[int]:
-    """The columns that are likelier in toxic texts, the most telling COLUMNS of them, ascending. read holds columns and y, one row a text."""
-    counts = read.select(F.explode("columns").alias("c"), "y").groupBy("c").agg(F.sum("y").alias("t"), F.sum(F.lit(1) - F.col("y")).alias("n")).filter(F.col("t") >= LEAST_TEXTS)
+    """The columns that are likelier in toxic texts of any grade, the most telling COLUMNS of them, ascending. read holds columns and y (the grade), one row a text."""
+    counts = read.select(F.explode("columns").alias("c"), (F.col("y") > 0).cast("long").alias("y")).groupBy("c").agg(F.sum("y").alias("t"), F.sum(F.lit(1) - F.col("y")).alias("n")).filter(F.col("t") >= LEAST_TEXTS)
     p, q = F.col("t") / F.lit(float(toxic)), (F.col("n") + 1) / F.lit(float(clean + 1))
     scored = counts.filter(p / q >= LEAST_RATIO).orderBy(F.desc((p - q) * F.log(p / q)), "c").limit(COLUMNS)
     return sorted(r[0] for r in scored.select("c").collect())
 
 
-def severity_labels(held: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Grades: 0 for texts that aren't toxic; toxic ones by how many telling columns they hold, in equal parts."""
-    grades = np.zeros(len(held), np.int64)
-    if toxic.any():
-        cuts = np.quantile(held[toxic], np.arange(1, GRADES - 1) / (GRADES - 1))
-        grades[toxic] = 1 + np.searchsorted(cuts, held[toxic], "left")
-    return grades
-
-
-def fit(columns: list[int], rows: list[tuple[list[int], int]], rounds: int = 400, ridge: float = 3e-5, rate: float = 0.5) -> Model:
-    """Fit weights and thresholds by gradient steps (Adagrad) on the log-likelihood of the grades; thresholds are a first one and positive gaps. rows hold each text's columns, of the given ones only, and its label."""
+def fit(columns: list[int], rows: list[tuple[list[int], int]], grades_: int = 2, rounds: int = 400, ridge: float = 3e-5, rate: float = 0.5) -> Model:
+    """Fit weights and thresholds by gradient steps (Adagrad) on the log-likelihood of the grades; thresholds are a first one and positive gaps. rows hold each text's columns, of the given ones only, and its grade, below grades_."""
     if len({t for _, t in rows}) < 2:
-        return Model(np.zeros(0, np.int64), np.zeros(0), np.full(GRADES - 1, 40.0))
+        return Model(np.zeros(0, np.int64), np.zeros(0), np.full(max(1, grades_ - 1), 40.0))
     at = {c: k for k, c in enumerate(columns)}
     sizes = np.array([len(cs) for cs, _ in rows])
     row, col = np.repeat(np.arange(len(rows)), sizes), np.array([at[c] for cs, _ in rows for c in cs], np.int64)
-    grades = severity_labels(sizes, np.array([t for _, t in rows], bool))
+    grades = np.array([t for _, t in rows], np.int64)
     share = 1 / len(rows)
-    w, first, gaps = np.zeros(len(columns)), 1.0, np.zeros(GRADES - 2)
-    seen = np.full(len(columns) + GRADES - 1, 1e-8)
+    w, first, gaps = np.zeros(len(columns)), 1.0, np.zeros(grades_ - 2)
+    seen = np.full(len(columns) + grades_ - 1, 1e-8)
     for _ in range(rounds):
         theta = first + np.concatenate([[0.0], np.cumsum(np.exp(gaps))])
         x = np.bincount(row, w[col], len(rows)) if len(col) else np.zeros(len(rows))
@@ -105,9 +98,9 @@ def fit(columns: list[int], rows: list[tuple[list[int], int]], rounds: int = 400
         p = np.maximum(low - high, 1e-12)
         d_low, d_high = low * (1 - low) / p * share, high * (1 - high) / p * share
         g_x = d_low - d_high
-        g_theta = np.array([-(d_low * (grades == k + 1)).sum() + (d_high * (grades == k)).sum() for k in range(GRADES - 1)])
+        g_theta = np.array([-(d_low * (grades == k + 1)).sum() + (d_high * (grades == k)).sum() for k in range(grades_ - 1)])
         g_w = np.bincount(col, g_x[row], len(columns)) - ridge * w if len(col) else -ridge * w
-        g_gaps = np.array([g_theta[k + 1 :].sum() * np.exp(gaps[k]) for k in range(GRADES - 2)])
+        g_gaps = np.array([g_theta[k + 1 :].sum() * np.exp(gaps[k]) for k in range(grades_ - 2)])
         g = np.concatenate([g_w, [g_theta.sum()], g_gaps])
         seen += g * g
         step = rate * g / np.sqrt(seen)
@@ -117,7 +110,14 @@ def fit(columns: list[int], rows: list[tuple[list[int], int]], rounds: int = 400
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = TRAIN_ROWS) -> Model:
     """Fit on at most rows labelled texts."""
-    marked = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("label_id"), (F.col(label_col) > 0).cast("int").alias("y"))
+    found = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("label_id"), F.col(label_col).alias("label"))
+    values = sorted(r[0] for r in found.select("label").distinct().limit(MOST_GRADES + 1).collect())
+    if len(values) > MOST_GRADES:
+        raise ValueError(f"labels have more than {MOST_GRADES} values")
+    if len(values) < 2:
+        return fit([], [(0, 0) for _ in values])
+    grade = F.coalesce(*[F.when(F.col("label") == v, F.lit(k)) for k, v in enumerate(values)])
+    marked = found.select("label_id", grade.alias("y"))
     total = marked.count()
     if total > rows:
         share = int((1 << 20) * rows / total)
@@ -131,15 +131,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     read_in = materialise(map_arrow(texts, read, "columns array<int>, y int"), "labelled")
     totals = {r[0]: r[1] for r in read_in.groupBy("y").count().collect()}
-    if len(totals) < 2:
-        return fit([], [(0, y) for y in totals])
-    columns = telling(read_in, totals[0], totals[1])
+    toxic = sum(n for y, n in totals.items() if y)
+    columns = telling(read_in, totals.get(0, 0), toxic) if toxic and totals.get(0) else []
     kept = F.array_intersect("columns", F.array(*map(F.lit, columns)).cast("array<int>")) if columns else F.slice("columns", 1, 0)
-    return fit(columns, [(r[0], r[1]) for r in read_in.select(kept, "y").collect()])  # at most rows texts, of each its telling columns
+    return fit(columns, [(r[0], r[1]) for r in read_in.select(kept, "y").collect()], len(values))  # at most rows texts, of each its telling columns
 
 
 def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, severity (expected), grade (the likeliest), toxic (whether a grade above 0 is likelier than not)."""
+    """id, severity (expected), grade (the likeliest, from 0), toxic (whether a grade above the lowest is likelier than not)."""
     id_type = docs.schema[id_col].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(dict(zip(model.columns.tolist(), model.weights.tolist(), strict=True)))
     scorer = Model(np.zeros(0), np.zeros(0), model.thresholds)
