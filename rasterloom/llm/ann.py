@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import materialise
+from rasterloom.llm.common import materialise, partitions
 
 #: The most centroids of a codebook, and the vectors that a cell holds on average as long as there are no more centroids.
 MOST_CODES, CELL_ROWS = 256, 32
@@ -196,7 +196,7 @@ def search_alike(rows: DataFrame, total: int, k: int) -> DataFrame:
     held, asking = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
     for cell, n, asks in indexed.groupBy("cell").agg(F.count(F.lit(1)), F.sum(F.col("asks").cast("long"))).collect():  # MOST_CODES ** 2 rows at most
         held[cell], asking[cell] = n, asks
-    queries = indexed.filter("asks").dropDuplicates(["id"])
+    queries = indexed.filter("asks").repartition(partitions(spark), "id").dropDuplicates(["id"])  # few rows, but each walks a heap
 
     few = [(r[0], list(r[1])) for r in sampled(indexed.filter("asks"), TUNE_QUERIES, int(asking.sum()), "id", "v")]
     true: dict[int, list[int]] = {}

@@ -2,40 +2,24 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.session import shared_path
+
 #: Words everywhere in this package: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows in an Arrow batch of whole texts, so that long texts don't pile up in a worker.
 TEXT_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Unset, as in tests, a temporary one that goes with this process."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        set_before = spark.sparkContext.getCheckpointDir()
-        if set_before:
-            return set_before
-        local = tempfile.mkdtemp(prefix="rasterloom-")
-        atexit.register(shutil.rmtree, local, True)
-        path = f"file://{local}"
-        spark.sparkContext.setCheckpointDir(path)
-    return path
-
-
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
