@@ -65,6 +65,23 @@ def frame_from_events(events: DataFrame, width: int = 100) -> Rel:
     return image_rel(df, width, -(-n // width))
 
 
+def scene_from_events(events: DataFrame, frames: int = 3, width: int = 100) -> Rel:
+    """The events table as several pictures of scene light, dealt in turn by event_id: channels from -0.5 to 4, alpha 0 where the event is a signup and half where it is an error."""
+    n = -(-events.count() // frames)
+    k = F.floor(F.col("event_id") / F.lit(float(frames)))
+    spread = lambda c: c * F.lit(4.5) - F.lit(0.5)
+    df = events.select(
+        (F.col("event_id") % frames).cast("int").alias("frame_id"),
+        F.floor(k / F.lit(float(width))).cast("int").alias("y"),
+        (k % width).cast("int").alias("x"),
+        spread(F.col("value") / F.lit(500.0)).alias("r"),
+        spread((F.col("user_id") % 97).cast("double") / F.lit(97.0)).alias("g"),
+        spread((F.col("event_id") * 7919 % 1009).cast("double") / F.lit(1009.0)).alias("b"),
+        F.when(F.col("event_type") == "error", F.lit(0.5)).when(F.col("event_type") == "signup", F.lit(0.0)).otherwise(F.lit(1.0)).alias("a"),
+    )
+    return image_rel(df, width, -(-n // width))
+
+
 def plane_from_events(events: DataFrame, width: int = 100) -> Rel:
     """A field over the same grid, as a depth plane."""
     n = events.count()

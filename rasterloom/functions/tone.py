@@ -43,6 +43,16 @@ def decode(v: Column) -> Column:
     return F.when(v <= 0.04045, v / num(12.92)).otherwise(F.pow((v + num(0.055)) / num(1.055), num(2.4)))
 
 
+def encode_display(v: Column) -> Column:
+    """Linear to sRGB as a display has it, 0 to 1."""
+    return encode(clamp(v))
+
+
+def decode_display(v: Column) -> Column:
+    """sRGB as a display has it, 0 to 1, to linear."""
+    return decode(clamp(v))
+
+
 def ramp(v: Column, low: float, high: float) -> Column:
     """Smoothstep; a hard step where low is not below high."""
     if low >= high:

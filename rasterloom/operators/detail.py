@@ -13,7 +13,7 @@ from rasterloom.functions import tone as t
 from rasterloom.functions.tone import num
 from rasterloom.operators.geometry import gathered, moved
 from rasterloom.operators.node import EngineError, Param, choice, node, number
-from rasterloom.operators.point import SIGNED
+from rasterloom.operators.point import DETAIL, SIGNED
 from rasterloom.operators.spatial import COLOURS, along, box_columns, clamped_mean, gaussian
 
 
@@ -38,19 +38,99 @@ SCALES = ((4 / 1365, 1.0), (20 / 1365, 2.0), (55 / 1365, 4.0))
 GAIN, LIMIT_UP, LIMIT_DOWN, EPS, DARK = 2.5, 0.16, 0.6, 0.005, 0.45
 
 
-def local_contrast(rel: Rel, strengths) -> Rel:
-    """The difference of display luma from its guided base at three scales, limited, times a strength, as a ratio of luma."""
+def gains(y: Column, weights: dict[str, float] | None, range_ev: float) -> list[Column]:
+    """What an effect weighs in each channel: its tonal ranges' weights at luma y times its channels'."""
+    if weights is None:
+        return [num(1)] * 3
+    parts = t.tonal(t.seen(y, range_ev))
+    k = sum((part * num(weights[name]) for part, name in zip(parts, ("shadows", "midtones", "highlights"), strict=True)), num(0))
+    return [k * num(weights[name]) for name in ("red", "green", "blue")]
+
+
+def local_contrast(rel: Rel, strengths, weights=(None, None, None), range_ev: float = 0.0) -> Rel:
+    """The difference of display luma from its guided base at three scales, limited, times a strength, as a ratio of luma; weights scale what each scale changes."""
     short = min(rel.width, rel.height)
-    df = rel.df.withColumn("_l", luma()).withColumn("_d", t.encode(F.greatest("_l", num(0)))).withColumn("_f", num(1))
-    for strength, (share, least) in zip(strengths, SCALES, strict=True):
+    df = rel.df.withColumn("_l", luma()).withColumn("_d", t.encode(F.greatest("_l", num(0)))).select("*", *[num(1).alias(f"_f{c}") for c in COLOURS])
+    for strength, (share, least), weight in zip(strengths, SCALES, weights, strict=True):
         if strength:
             radius = max(1, math.floor(max(short * share, least) * math.sqrt(3) + 0.5))
             df = self_guided(df, "_d", "_base", radius, EPS, rel.width, rel.height)
             raw = F.col("_d") - F.col("_base")
             soft = raw / (num(1) + F.abs(raw / F.when(raw > 0, num(LIMIT_UP)).otherwise(num(LIMIT_DOWN))))
             new = F.greatest(F.col("_d") + num(GAIN * strength) * soft, F.col("_d") * num(DARK))
-            df = df.withColumn("_f", F.when(F.col("_l") > 1e-6, F.col("_f") * t.decode(new) / F.col("_l")).otherwise(F.col("_f")))
-    return Rel(df, IMAGE, rel.width, rel.height).image(*[F.col(c) * F.col("_f") for c in COLOURS])
+            df = df.withColumn("_ratio", t.decode(new) / F.col("_l"))
+            for c, k in zip(COLOURS, gains(F.col("_l"), weight, range_ev), strict=True):
+                factor = F.col("_ratio")
+                if weight is not None:  # more than the whole darkening stops at the floor
+                    factor = F.when(k == 1, factor).otherwise(F.greatest(num(1) + k * (factor - num(1)), t.decode(F.col("_d") * num(DARK)) / F.col("_l")))
+                df = df.withColumn(f"_f{c}", F.when(F.col("_l") > 1e-6, F.col(f"_f{c}") * factor).otherwise(F.col(f"_f{c}")))
+    return Rel(df, IMAGE, rel.width, rel.height).image(*[F.col(c) * F.col(f"_f{c}") for c in COLOURS])
+
+
+# How much light a whole dehaze takes for haze, of luma and of each channel, and the tones below which colour is left alone.
+VEIL, CHROMA_VEIL, CHROMA_FADE = 0.10, 0.15, (0.12, 0.40)
+
+
+def luma_dehazed(rel: Rel, k: float) -> list[Column]:
+    """A veil of light taken from luma (or laid on it) in display values; colour goes along as a ratio."""
+    a = VEIL * k
+    y, d = luma(), t.encode(F.greatest(luma(), num(0)))
+    lifted = t.decode((d - num(a)) / num(1 - a))
+    ratio = F.when((y > 1e-6) & (d < 1), t.decode(F.greatest((d - num(a)) / num(1 - a), num(0))) / y).otherwise(num(1))
+    dark = (y <= 1e-6) & F.lit(k < 0)
+    return [F.when(dark, F.col(c) + lifted - y).otherwise(F.col(c) * ratio) for c in COLOURS]
+
+
+def chroma_dehazed(k: float) -> list[Column]:
+    """The veil taken from each channel, at the luma there was; greys stay, and so do dark tones."""
+    a, y = CHROMA_VEIL * max(-1.0, min(1.0, k)), luma()
+    shown = {c: t.encode(F.greatest(c, num(0))) for c in COLOURS}
+    clear = {c: F.when(d < 1, t.decode(F.greatest((d - num(a)) / num(1 - a), num(0)))).otherwise(F.col(c)) for c, d in shown.items()}
+    left = t.luma(*clear.values())
+    w = t.ramp(t.encode(F.greatest(y, num(0))), *CHROMA_FADE)
+    sound = (y > 1e-6) & (left > 1e-6)
+    return [F.when(sound, F.col(c) + (v * (y / F.when(sound, left).otherwise(num(1))) - F.col(c)) * w).otherwise(F.col(c)) for c, v in clear.items()]
+
+
+def replaced(rel: Rel, new: list[Column], weights: dict[str, float] | None = None, guide: Column | None = None, range_ev: float = 0.0) -> Rel:
+    """rel with new colours; under weights each channel goes that part of the way, by the tone of guide, and not below black."""
+    if weights is None:
+        return rel.image(*new)
+    out = []
+    for c, v, k in zip(COLOURS, new, gains(guide, weights, range_ev), strict=True):
+        step = k * (v - F.col(c))
+        out.append(F.when(step != 0, F.greatest(F.col(c) + step, num(0))).otherwise(F.col(c)))
+    return rel.image(*out)
+
+
+def detail_pass(rel: Rel, p) -> Rel:
+    """Dehaze of luma, texture and clarity, then dehaze of colour, each weighed by tone and channel where weights aren't even. The tones are those of the picture that comes in."""
+    k, strengths = p["dehaze"] / 100, [p["texture"] / 100, p["clarity"] / 100, 0.0]
+    weights = []
+    for name in ("texture", "clarity", "dehaze"):
+        found = {part: p[f"{name}_{part}"] / 100 for part in ("shadows", "midtones", "highlights", "red", "green", "blue")}
+        weights.append(found)
+    even = all(abs(v - 1) < 1e-6 for w in weights for v in w.values())
+    weights = [None if all(abs(v - 1) < 1e-6 for v in w.values()) else w for w in weights]
+    if not k and not any(strengths):
+        return rel
+    first = None
+    if not even and k:  # the luma that comes in steers the colour half too
+        first = F.col("_first")
+        rel = Rel(rel.df.withColumn("_first", luma()), rel.kind, rel.width, rel.height)
+
+    def carried(new: Rel, old: Rel) -> Rel:
+        if first is None:
+            return new
+        return Rel(new.df.join(old.df.select(*KEY, "_first"), KEY), new.kind, new.width, new.height)
+
+    if k:
+        rel = carried(replaced(rel, luma_dehazed(rel, k), weights[2], first, p["range_ev"]), rel)
+    if any(strengths):
+        rel = carried(local_contrast(rel, strengths, (weights[0], weights[1], None), p["range_ev"]), rel)
+    if k:
+        rel = replaced(rel, chroma_dehazed(k), weights[2], first, p["range_ev"])
+    return rel
 
 
 @node("clarity", masked=True, texture=SIGNED(), clarity=SIGNED(), local_contrast=SIGNED())
@@ -59,20 +139,9 @@ def clarity(inputs, p):
     return local_contrast(inputs["in"], s) if any(s) else inputs["in"]
 
 
-@node("detail", masked=True, texture=SIGNED(), clarity=SIGNED(), dehaze=SIGNED())
+@node("detail", masked=True, params=DETAIL)
 def detail(inputs, p):
-    """A veil of luma lifted or laid, then texture and clarity."""
-    rel, k = inputs["in"], p["dehaze"] / 100
-    if k:
-        a = 0.10 * k
-        df = rel.df.withColumn("_l", luma()).withColumn("_d", t.encode(F.greatest("_l", num(0))))
-        d = F.col("_d")
-        lifted = t.decode((d - num(a)) / num(1 - a))
-        ratio = F.when((F.col("_l") > 1e-6) & (d < 1), t.decode(F.greatest((d - num(a)) / num(1 - a), num(0))) / F.col("_l")).otherwise(num(1))
-        dark = (F.col("_l") <= 1e-6) & F.lit(k < 0)
-        rel = Rel(df, IMAGE, rel.width, rel.height).image(*[F.when(dark, F.col(c) + lifted - F.col("_l")).otherwise(F.col(c) * ratio) for c in COLOURS])
-    s = [p["texture"] / 100, p["clarity"] / 100, 0.0]
-    return local_contrast(rel, s) if any(s) else rel
+    return detail_pass(inputs["in"], p)
 
 
 @node("sharpen", masked=True, amount=number(0, 0, 300), radius=number(1, 0.1, 5), threshold=number(0, 0, 255))
@@ -106,18 +175,6 @@ def black_white(inputs, p):
     return inputs["in"].image(*[F.col(c) + (grey - F.col(c)) * num(k) for c in COLOURS])
 
 
-def wide_gaussian(rel: Rel, sigma: float, channels: list[str]) -> Rel:
-    """A gaussian; beyond a sigma of 8 three boxes of the same spread, whose cost doesn't grow with the sigma."""
-    if sigma <= 8:
-        return gaussian(rel, sigma, channels)
-    from rasterloom.operators.spatial import box_mean
-
-    radius = max(1, round((math.sqrt(4 * sigma * sigma + 1) - 1) / 2))
-    for _ in range(3):
-        rel = box_mean(rel, radius, channels)
-    return rel
-
-
 @node("halation", takes=("depth",), masked=True, threshold=number(50), background=number(50), by_depth=SIGNED(), radius=number(4, 0.5, 30), diffusion=number(60), hue=number(18, 0, 360), saturation=number(70), blue_comp=number(0), amount=number(100, 0, 300), mix=number(100), bloom=number(0), bloom_radius=number(20, 5, 60), view=Param(""))
 def halation(inputs, p):
     """Light over a threshold spreads, tinted, around its source; with bloom it spreads wide and white."""
@@ -136,7 +193,7 @@ def halation(inputs, p):
         k = k * t.clamp(num(1) + num(p["by_depth"] / 100) * (num(2) * F.coalesce("_far", num(0.5)) - num(1)), 0, 2)
     if p["background"] > 0:
         dim = Rel(df.withColumn("v", F.when(F.col("_y") < cut, F.col("_y")).otherwise(num(0))).select(*KEY, "v"), FIELD, rel.width, rel.height)
-        df = df.join(wide_gaussian(dim, radius, ["v"]).df.select(*KEY, F.col("v").alias("_near")), KEY)
+        df = df.join(gaussian(dim, radius, ["v"]).df.select(*KEY, F.col("v").alias("_near")), KEY)
         dark = F.sqrt(num(1) - t.clamp(F.col("_near") / num(cut)))
         gate = num(1) - num(p["background"] / 100) * (num(1) - dark)
     else:
@@ -149,7 +206,7 @@ def halation(inputs, p):
         return shown.image(v, v, v, num(1))
 
     def spread(sigma: float, name: str):
-        return wide_gaussian(source, sigma, COLOURS).df.select(*KEY, *[F.col(c).alias(f"{name}{c}") for c in COLOURS])
+        return gaussian(source, sigma, COLOURS).df.select(*KEY, *[F.col(c).alias(f"{name}{c}") for c in COLOURS])
 
     df = rel.df
     halo = [num(0)] * 3
@@ -188,7 +245,7 @@ def spread_alpha(rel: Rel, radius: float, dx: float, dy: float, invert: bool, ga
     if invert:
         cover = cover.field(num(1) - F.col("v"))
     if radius >= 0.5:
-        cover = wide_gaussian(cover, max(sigma, 0.3), ["v"])
+        cover = gaussian(cover, max(sigma, 0.3), ["v"])
     return moved(cover, rel.width, rel.height, F.col("x") - pad, F.col("y") - pad).field(t.clamp(F.col("v") * num(gain)))
 
 
@@ -287,9 +344,13 @@ def read_cube(text: str) -> tuple[int, list[float], list[float], np.ndarray]:
     return size, low, high, np.array(rows)
 
 
+#: Sides of lookup tables that are sent to all tasks; larger ones are joined.
+BROADCAST_SIZE = 33
+
+
 @node("lut", masked=True, path=Param(""), amount=number(100))
 def lut(inputs, p):
-    """A .cube table looked up trilinearly in display values: each pixel meets the eight corners around it by a join on their index, against a table of at most 256 cubed rows that is broadcast up to size 33."""
+    """A .cube table looked up trilinearly in display values: each pixel meets the eight corners around it by joins on their index, with a table that is broadcast up to BROADCAST_SIZE cubed rows."""
     rel, k = inputs["in"], min(1.0, p["amount"] / 100)
     if not p["path"].strip() or k <= 0:
         return rel
@@ -297,23 +358,21 @@ def lut(inputs, p):
     lines = spark.read.text(p["path"].strip(), wholetext=True).first()
     size, low, high, table = read_cube(lines[0] if lines else "")
     corners = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(table)], "_i int, _cr double, _cg double, _cb double")
-    if size <= 33:
-        corners = F.broadcast(corners)
     df = rel.df
     for c, lo, hi in zip(COLOURS, low, high, strict=True):
         at = t.clamp((t.encode(F.greatest(c, num(0))) - num(lo)) / num(max(hi - lo, 1e-6))) * num(size - 1)
         df = df.withColumn(f"_t{c}", at).withColumn(f"_n{c}", F.least(F.floor(f"_t{c}"), F.lit(size - 2)).cast("int")).withColumn(f"_f{c}", F.col(f"_t{c}") - F.col(f"_n{c}"))
-    parts = []
-    for db in (0, 1):
-        for dg in (0, 1):
-            for dr in (0, 1):
-                w = num(1)
-                for c, d in zip(COLOURS, (dr, dg, db), strict=True):
-                    w = w * (F.col(f"_f{c}") if d else num(1) - F.col(f"_f{c}"))
-                parts.append(F.struct((F.col("_nr") + dr + (F.col("_ng") + dg) * size + (F.col("_nb") + db) * size * size).alias("i"), w.alias("w")))
-    wide = df.select(*KEY, *rel.channels, F.explode(F.array(*parts)).alias("_p")).withColumn("_i", F.col("_p.i")).join(corners, "_i")
-    found = wide.groupBy(*KEY, *rel.channels).agg(*[F.sum(F.col("_p.w") * F.col(f"_c{c}")).alias(f"_v{c}") for c in COLOURS])
-    return Rel(found, IMAGE, rel.width, rel.height).image(*[F.col(c) + (t.decode(t.clamp(F.col(f"_v{c}"))) - F.col(c)) * num(k) for c in COLOURS])
+    total = {c: num(0) for c in COLOURS}
+    for n in range(8):
+        step = dict(zip(COLOURS, (n & 1, n >> 1 & 1, n >> 2), strict=True))
+        w = num(1)
+        for c, d in step.items():
+            w = w * (F.col(f"_f{c}") if d else num(1) - F.col(f"_f{c}"))
+        corner = corners.select(F.col("_i").alias(f"_i{n}"), *[F.col(f"_c{c}").alias(f"_{n}{c}") for c in COLOURS])
+        at = F.col("_nr") + step["r"] + (F.col("_ng") + step["g"]) * size + (F.col("_nb") + step["b"]) * size * size
+        df = df.join(F.broadcast(corner) if size <= BROADCAST_SIZE else corner, at == F.col(f"_i{n}"))
+        total = {c: v + w * F.col(f"_{n}{c}") for c, v in total.items()}
+    return Rel(df, IMAGE, rel.width, rel.height).image(*[F.col(c) + (t.decode(t.clamp(total[c])) - F.col(c)) * num(k) for c in COLOURS])
 
 
 LENS = {k: SIGNED(m=100) for k in ("distortion", "ca_red", "ca_blue", "vignette")} | {k: SIGNED(m=3) for k in ("dist_a", "dist_b", "dist_c", "tca_cr", "tca_br", "tca_cb", "tca_bb", "vig_k1", "vig_k2", "vig_k3")} | {k: number(1, 0.1, 4) for k in ("dist_scale", "tca_vr", "tca_vb")} | {"vignette_mid": number(50), "dist_model": choice("none", "ptlens", "poly3", "poly5")}

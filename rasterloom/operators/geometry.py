@@ -14,22 +14,23 @@ from rasterloom.operators.node import choice, node, number
 from rasterloom.operators.point import SIGNED
 
 
-def gathered(rel: Rel, places: DataFrame) -> DataFrame:
-    """Bilinear samples at _gx, _gy, in pixel centres from 0, with edges clamped; places without a value keep their key and have nulls. Each place is sent to the four pixels around it, which meet again by key."""
+def gathered(rel: Rel, places: DataFrame, channels: list[str] | None = None) -> DataFrame:
+    """Bilinear samples at _gx, _gy, in pixel centres from 0, with edges clamped; places without a value keep their key and have nulls. Each place is sent to the four pixels around it, which meet again by its columns, the same after a lost task; places alike in all columns are one."""
+    channels = channels or rel.channels
     others = [c for c in places.columns if c not in ("_gx", "_gy")]
     x, y = F.least(F.greatest("_gx", num(0)), num(rel.width - 1)), F.least(F.greatest("_gy", num(0)), num(rel.height - 1))
-    at = places.select(*others, F.monotonically_increasing_id().alias("_id"), x.alias("_gx"), y.alias("_gy"))
+    at = places.select(*others, x.alias("_gx"), y.alias("_gy"))
     x0, y0 = F.floor("_gx"), F.floor("_gy")
     tx, ty = F.col("_gx") - x0, F.col("_gy") - y0
     x1, y1 = F.least(x0 + 1, F.lit(rel.width - 1)), F.least(y0 + 1, F.lit(rel.height - 1))
     corner = lambda a, b, w: F.struct(a.cast("int").alias("x"), b.cast("int").alias("y"), w.alias("w"))
     four = F.array(corner(x0, y0, (num(1) - tx) * (num(1) - ty)), corner(x1, y0, tx * (num(1) - ty)), corner(x0, y1, (num(1) - tx) * ty), corner(x1, y1, tx * ty))
-    wide = at.select(*[F.col(c).alias(f"_k_{c}") for c in others], "_id", F.explode(F.filter(four, lambda c: c["w"] > 0)).alias("_c"))
+    wide = at.select(*[F.col(c).alias(f"_k_{c}") for c in others], F.explode(F.filter(four, lambda c: c["w"] > 0)).alias("_c"))
     wide = wide.select("*", F.col("_c.x").alias("_sx"), F.col("_c.y").alias("_sy"), F.col("_c.w").alias("_w"))
-    source = rel.df.select(F.col("frame_id").alias("_k_frame_id"), F.col("x").alias("_sx"), F.col("y").alias("_sy"), *rel.channels)
+    source = rel.df.select(F.col("frame_id").alias("_k_frame_id"), F.col("x").alias("_sx"), F.col("y").alias("_sy"), *channels)
     joined = wide.join(source, ["_k_frame_id", "_sx", "_sy"], "left")
-    found = joined.groupBy("_id", *[f"_k_{c}" for c in others]).agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in rel.channels])
-    return found.select(*[F.col(f"_k_{c}").alias(c) for c in others], *rel.channels)
+    found = joined.groupBy(*[f"_k_{c}" for c in others]).agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in channels])
+    return found.select(*[F.col(f"_k_{c}").alias(c) for c in others], *channels)
 
 
 def grid(rel: Rel, width: int, height: int) -> DataFrame:
@@ -163,8 +164,8 @@ def displacement_map(inputs, p):
     return Rel(found.select(*KEY, *[(F.when(F.col("_in"), F.col(c)).otherwise(num(0)) if cut else F.col(c)).alias(c) for c in rel.channels]), rel.kind, rel.width, rel.height)
 
 
-def area_mean(rel: Rel, factor: int) -> Rel:
+def area_mean(rel: Rel, factor: int, channels: list[str] | None = None) -> Rel:
     """A frame reduced by a whole factor: the mean of each square; at the right and lower edge of what is there."""
     w, h = -(-rel.width // factor), -(-rel.height // factor)
     df = rel.df.withColumn("x", F.floor(F.col("x") / factor).cast("int")).withColumn("y", F.floor(F.col("y") / factor).cast("int"))
-    return Rel(df.groupBy(*KEY).agg(*[F.avg(c).alias(c) for c in rel.channels]), rel.kind, w, h)
+    return Rel(df.groupBy(*KEY).agg(*[F.avg(c).alias(c) for c in channels or rel.channels]), rel.kind, w, h)

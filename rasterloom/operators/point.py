@@ -73,9 +73,15 @@ def color_checker(inputs, p):
     return inputs["in"].image(*[c + (n - c) * num(k) for c, n in zip((R(), G(), B()), new, strict=True)])
 
 
-@node("standard_color", masked=True, temperature=number(6500, 2000, 50000), tint=SIGNED(m=150), exposure=SIGNED(m=5), contrast=SIGNED(), saturation=SIGNED(), vibrance=SIGNED())
+#: What the detail pass reads: three effects, each weighed by tonal range and channel.
+DETAIL = {k: SIGNED() for k in ("texture", "clarity", "dehaze")} | {f"{k}_{part}": number(100, 0, 200) for k in ("texture", "clarity", "dehaze") for part in ("shadows", "midtones", "highlights", "red", "green", "blue")} | {"range_ev": SIGNED(m=20)}
+
+
+@node("standard_color", masked=True, temperature=number(6500, 2000, 50000), tint=SIGNED(m=150), exposure=SIGNED(m=5), contrast=SIGNED(), saturation=SIGNED(), vibrance=SIGNED(), params=DETAIL)
 def standard_color(inputs, p):
-    """White balance, gain, contrast on luma, then saturation and vibrance as distance from luma."""
+    """White balance, gain, contrast on luma, then saturation and vibrance as distance from luma, and the detail pass, which older graphs ask for here."""
+    from rasterloom.operators.detail import detail_pass
+
     gains = [g * 2.0 ** p["exposure"] for g in t.balance_gains(p["temperature"], p["tint"])]
     rel = inputs["in"].image(R() * num(gains[0]), G() * num(gains[1]), B() * num(gains[2]))
     if p["contrast"]:
@@ -85,7 +91,7 @@ def standard_color(inputs, p):
     y, high, low = t.luma(R(), G(), B()), F.greatest(R(), G(), B()), F.least(R(), G(), B())
     chroma = t.clamp((high - low) / F.greatest(F.abs(high), num(1e-6)))
     factor = num(1 + p["saturation"] / 100) * (num(1) + num(p["vibrance"] / 100) * (num(1) - chroma))
-    return rel.image(*[y + (c - y) * factor for c in (R(), G(), B())])
+    return detail_pass(rel.image(*[y + (c - y) * factor for c in (R(), G(), B())]), p)
 
 
 @node("levels", masked=True, black=number(0, 0, 0.99), white=number(1, 0.01, 1), gamma=number(1, 0.1, 10), black_soft=number(0), white_soft=number(0))
@@ -527,14 +533,14 @@ def fx_gradient_overlay(inputs, p):
 @node("to_display", gamma=number(0, 0, 4))
 def to_display(inputs, p):
     g = p["gamma"]
-    return rgb(inputs["in"], lambda *c: tuple(F.pow(t.clamp(v), num(1 / g)) if g > 0 else t.encode(v) for v in c))
+    return rgb(inputs["in"], lambda *c: tuple(F.pow(t.clamp(v), num(1 / g)) if g > 0 else t.encode_display(v) for v in c))
 
 
 @node("to_scene", takes=("reference",), gamma=number(0, 0, 4))
 def to_scene(inputs, p):
     """Display to linear; a reference of the same size gives back what it holds above 1."""
     g, rel, ref = p["gamma"], inputs["in"], inputs.get("reference")
-    out = rgb(rel, lambda *c: tuple(F.pow(t.clamp(v), num(g)) if g > 0 else t.decode(v) for v in c))
+    out = rgb(rel, lambda *c: tuple(F.pow(t.clamp(v), num(g)) if g > 0 else t.decode_display(v) for v in c))
     if ref is None or not ref.same_size(rel):
         return out
     both = Rel(out.joined(ref, "o_"), rel.kind, rel.width, rel.height)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, Window
@@ -75,14 +76,66 @@ def kernel(sigma: float, reach: float = 2.5) -> list[float]:
     return [v / sum(k) for v in k]
 
 
+#: Beyond this sigma frames are reduced before they are blurred, to a sigma of about REDUCED_SIGMA.
+WIDE_SIGMA, REDUCED_SIGMA = 12.0, 6.0
+#: Up to so many places of a kernel are neighbours by name, more are gathered as an array.
+NAMED = 9
+
+
+def weighted_places(rel: Rel, axis: str, k: list[float], channels: list[str]) -> Rel:
+    """Each channel as the sum of its neighbours along an axis by the weights k, the edge's value standing for places beyond it. A row's neighbours are gathered once for all channels."""
+    size, r = (rel.width if axis == "x" else rel.height), len(k) // 2
+    near = min(r, size - 1)
+    tail, k = sum(k[: r - near]), k[r - near : r + near + 1]  # what lies beyond the frame from any place
+    before = [tail + sum(k[:n]) for n in range(near + 1)]
+    after = [tail + sum(k[len(k) - n :]) for n in range(near + 1)]
+    w = along(axis)
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    at = F.col(axis)
+    ends = [f(c).over(whole).alias(f"_{name}{c}") for c in channels for name, f in (("a", F.first), ("z", F.last))]
+    df = rel.df.select(*KEY, *rel.channels, F.collect_list(F.struct(at.alias("_at"), *channels)).over(w.rowsBetween(-near, near)).alias("_near"), *ends)
+    weights = F.array(*map(num, k))
+
+    def pick(values: list[float], n: Column) -> Column:
+        return F.element_at(F.array(*map(num, values)), F.greatest(n, F.lit(0)).cast("int") + 1)
+
+    def value(c: str) -> Column:
+        inside = F.aggregate("_near", num(0), lambda acc, e: acc + e[c] * F.element_at(weights, (e["_at"] - at + near + 1).cast("int")))
+        return inside + F.col(f"_a{c}") * pick(before, F.lit(near) - at) + F.col(f"_z{c}") * pick(after, at + F.lit(near - size + 1))
+
+    return Rel(df.select(*KEY, *[value(c).alias(c) if c in channels else F.col(c) for c in rel.channels]), rel.kind, rel.width, rel.height)
+
+
+def reduced_gaussian(rel: Rel, sigma: float, factor: int, channels: list[str]) -> Rel:
+    """A wide gaussian: means of squares, blurred, and drawn up again between their centres. Its cost hardly depends on the sigma."""
+    from rasterloom.operators.geometry import area_mean, gathered
+
+    chosen = Rel(rel.df.select(*KEY, *channels), rel.kind, rel.width, rel.height)
+    small = area_mean(chosen, factor, channels)
+    for axis in "xy":
+        small = weighted_places(small, axis, kernel(sigma / factor), channels)
+    places = rel.df.select(*KEY, *[((F.col(c) + num(0.5)) / num(factor) - num(0.5)).alias(f"_g{c}") for c in "xy"])
+    wide = gathered(small, places, channels)
+    if set(channels) == set(rel.channels):
+        return Rel(wide.select(*KEY, *rel.channels), rel.kind, rel.width, rel.height)
+    others = [c for c in rel.channels if c not in channels]
+    return Rel(rel.df.select(*KEY, *others).join(wide, KEY).select(*KEY, *rel.channels), rel.kind, rel.width, rel.height)
+
+
 def gaussian(rel: Rel, sigma: float, channels: list[str] | None = None, reach: float = 2.5) -> Rel:
-    """A separable gaussian with clamped edges: weighted neighbours along rows and then columns."""
+    """A separable gaussian with clamped edges: weighted neighbours along rows and then columns; wide ones on a reduced frame."""
     if sigma <= 0:
         return rel
+    channels = channels or rel.channels
+    factor = math.floor(sigma / REDUCED_SIGMA)
+    if sigma > WIDE_SIGMA and min(rel.width, rel.height) >= 4 * factor:
+        return reduced_gaussian(rel, sigma, factor, channels)
     k = kernel(sigma, reach)
     r = len(k) // 2
-
     for axis in "xy":
+        if len(k) > NAMED:
+            rel = weighted_places(rel, axis, k, channels)
+            continue
 
         def weighted(c: Column, axis=axis) -> Column:
             return sum((num(v) * n for v, n in zip(k, neighbours(axis, c, list(range(-r, r + 1))), strict=True)), num(0))
@@ -111,21 +164,22 @@ def premultiplied(rel: Rel) -> Rel:
 
 
 def unpremultiplied(rel: Rel) -> Rel:
+    """Straight colour again, not below black; nothing where nothing covers."""
     a = F.col("a")
-    return rel.image(*[F.when(a > 1e-6, F.col(c) / F.when(a > 1e-6, a).otherwise(num(1))).otherwise(F.col(c)) for c in COLOURS], a)
+    return rel.image(*[F.when(a > 1e-6, F.greatest(F.col(c) / F.when(a > 1e-6, a).otherwise(num(1)), num(0))).otherwise(num(0)) for c in COLOURS], a)
 
 
 def motion(rel: Rel, length: float, angle: float) -> Rel:
-    """Mean of bilinear samples along a line through each pixel."""
-    from rasterloom.operators.geometry import gathered
-
-    steps = max(2, math.ceil(length))
-    dx, dy = math.cos(math.radians(angle)) * length / (steps - 1), math.sin(math.radians(angle)) * length / (steps - 1)
-    at = [k - (steps - 1) / 2 for k in range(steps)]
-    places = rel.df.select(*KEY, F.explode(F.array(*map(num, at))).alias("_k"))
-    places = places.select(*KEY, (F.col("x") + num(dx) * F.col("_k")).alias("_gx"), (F.col("y") + num(dy) * F.col("_k")).alias("_gy"))
-    found = gathered(rel, places)
-    return Rel(found.groupBy(*KEY).agg(*[F.avg(c).alias(c) for c in rel.channels]), rel.kind, rel.width, rel.height)
+    """Mean of the pixels that a line through each pixel passes, the edge's standing for those beyond it."""
+    half = max(1, math.floor(length + 0.5)) // 2
+    dx, dy = math.cos(math.radians(angle)), math.sin(math.radians(angle))
+    steps = Counter((math.floor(dx * k + 1e-9), math.floor(dy * k + 1e-9)) for k in range(-half, half + 1))
+    taps = F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), num(n / (2 * half + 1)).alias("w")) for (x, y), n in sorted(steps.items())]))
+    held = lambda c, size: F.least(F.greatest(F.col(c) + F.col(f"_t.{c}"), F.lit(0)), F.lit(size - 1)).alias(f"_s{c}")
+    wide = rel.df.select(*KEY, taps.alias("_t")).select(F.col("frame_id"), F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("_t.w").alias("_w"), held("x", rel.width), held("y", rel.height))
+    source = rel.df.select("frame_id", F.col("y").alias("_sy"), F.col("x").alias("_sx"), *rel.channels)
+    found = wide.join(source, ["frame_id", "_sy", "_sx"]).groupBy("frame_id", F.col("_y").alias("y"), F.col("_x").alias("x")).agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in rel.channels])
+    return Rel(found, rel.kind, rel.width, rel.height)
 
 
 @node("blur", masked=True, radius=number(0, 0, 200), kind=choice("gaussian", "box", "motion"), angle=SIGNED(m=180))
@@ -162,9 +216,10 @@ def opaque_blend(base: Rel, top: Rel, mode: str, opacity: float) -> Rel:
 
 
 def back_to_scene(display: Rel, source: Rel) -> Rel:
-    """Display values decoded, with what the source holds above 1 given back."""
+    """Display values decoded; what the source holds above 1 stays, changed by as much as its place at white was."""
     df = display.joined(source, "o_", "inner")
-    return Rel(df, IMAGE, source.width, source.height).image(*[t.decode(F.col(c)) + F.greatest(F.col(f"o_{c}") - num(1), num(0)) for c in COLOURS])
+    new, old = [t.decode_display(F.col(c)) for c in COLOURS], [F.col(f"o_{c}") for c in COLOURS]
+    return Rel(df, IMAGE, source.width, source.height).image(*[F.when(o > 1, o + (n - num(1))).otherwise(n) for n, o in zip(new, old, strict=True)])
 
 
 def inverted(rel: Rel) -> Rel:
@@ -177,12 +232,13 @@ def sharpening(inputs, p):
     rel, k = inputs["in"], min(1.0, p["intensity"] / 100)
     if k <= 0:
         return rel
-    display = rel.image(*[t.encode(F.col(c)) for c in COLOURS])
+    display = rel.image(*[t.encode_display(F.col(c)) for c in COLOURS])
     y = t.luma(*[F.col(c) for c in COLOURS])
     if p["mode"] == "hipass":
         top = high_passed(display.image(y, y, y), p["radius"])
     else:
-        top = opaque_blend(display, unpremultiplied(gaussian(premultiplied(inverted(display)), p["radius"])), "vivid_light", 1.0)
+        soft = inverted(display)
+        top = opaque_blend(display, unpremultiplied(gaussian(premultiplied(soft), p["radius"])) if p["radius"] > 0 else soft, "vivid_light", 1.0)
     over = opaque_blend(display, top, "overlay", k)
     kept = opaque_blend(over, opaque_blend(display, over, "luminosity", 1.0), "normal", min(1.0, p["keep_color"] / 100))
     return back_to_scene(kept, rel)
@@ -194,9 +250,10 @@ def skin_soften(inputs, p):
     rel, k = inputs["in"], min(1.0, p["strength"] / 100)
     if k <= 0:
         return rel
-    display = rel.image(*[t.encode(F.col(c)) for c in COLOURS])
-    top = gaussian(high_passed(inverted(display), p["softening"]), p["detail_back"], COLOURS)
-    return back_to_scene(opaque_blend(display, top, "vivid_light", k), rel)
+    display = rel.image(*[t.encode_display(F.col(c)) for c in COLOURS])
+    passed = high_passed(inverted(display), p["softening"])
+    top = unpremultiplied(gaussian(premultiplied(passed), p["detail_back"])) if p["detail_back"] > 0 else passed
+    return back_to_scene(opaque_blend(display, opaque_blend(display, top, "vivid_light", 1.0), "normal", k), rel)
 
 
 @node("hot_pixel", masked=True, sensitivity=number(50))

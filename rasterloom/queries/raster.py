@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.frame import FIELD, KEY, Rel, field_rel, frame_from_events, image_rel, plane_from_events
+from rasterloom.frame import FIELD, KEY, Rel, field_rel, frame_from_events, image_rel, plane_from_events, scene_from_events
 from rasterloom.operators import combine, detail, geometry, masks, point, select, spatial, stack  # noqa: F401
 from rasterloom.operators.node import run
 from rasterloom.plans.graph import Graph
+from rasterloom.session import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,6 +33,10 @@ def swapped(rel: Rel) -> Rel:
     return rel.image(F.col("b"), F.col("r"), F.col("g"), F.col("g"))
 
 
+def scene(spark: SparkSession, sf_dir: str) -> Rel:
+    return scene_from_events(events(spark, sf_dir))
+
+
 #: Added before rounding: values that differ in their last bit round alike, off the halves.
 OFF = 1e-9
 
@@ -40,18 +45,41 @@ def shown(rel: Rel, digits: int = 6) -> DataFrame:
     return rel.df.select("y", "x", *[(F.round(F.col(c) + F.lit(OFF), digits) + F.lit(0.0)).alias(c) for c in rel.channels])
 
 
+#: Rows of a frame in a result that holds several, so that y tells frames apart.
+FRAME_ROWS = 500_000_000
+
+
+def shown_frames(rel: Rel, digits: int = 6) -> DataFrame:
+    y = (F.col("frame_id") * FRAME_ROWS + F.col("y")).cast("int").alias("y")
+    return rel.df.select(y, "x", *[(F.round(F.col(c) + F.lit(OFF), digits) + F.lit(0.0)).alias(c) for c in rel.channels])
+
+
 def one(node: str, params: dict | None = None, port: str = "in", field: bool = False, digits: int = 6, **extra: str) -> Query:
     """A node over the picture (or the plane) with other inputs by name: picture, plane, swapped, luma."""
 
-    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        inputs = {port: plane(spark, sf_dir) if field else picture(spark, sf_dir)}
+    def query(spark: SparkSession, sf_dir: str, base=picture, show=shown) -> DataFrame:
+        inputs = {port: plane(spark, sf_dir) if field else base(spark, sf_dir)}
         for k, what in extra.items():
-            inputs[k] = {"plane": plane, "picture": picture, "swapped": lambda s, d: swapped(picture(s, d)), "luma": lambda s, d: run("luminance_extract", {"in": picture(s, d)})}[what](spark, sf_dir)
-        return shown(run(node, inputs, params), digits)
+            inputs[k] = {"plane": plane, "picture": base, "swapped": lambda s, d: swapped(base(s, d)), "luma": lambda s, d: run("luminance_extract", {"in": base(s, d)})}[what](spark, sf_dir)
+        return show(run(node, inputs, params), digits)
 
     return query
 
 
+def in_scene(query: Query) -> Query:
+    """A query of one() over several pictures of scene light."""
+    return lambda spark, sf_dir: query(spark, sf_dir, base=scene, show=shown_frames)
+
+
+#: Nodes that look at one pixel only, so that pictures of scene light show all their cases.
+SCENE = (
+    "exposure exposure__gain white_balance color_checker standard_color levels color_balance split_tone channel_gain soft_clip soft_clip__channel chroma_key chroma_key_despill channel_extract channel_mixer color_transform "
+    "color_grade gamut_map tone_profile lift gradient__tone gradient_map fx_color_overlay to_display to_display__gamma to_scene luma_chroma_split luma_chroma_join invert desaturate alpha_association__extract alpha_association__premultiply "
+    "alpha_association__unpremultiply luminance_extract luminance_range_mask range_mask color_range_mask hue_range_mask merge chromatic_adapt paper black_white detail__dehaze tone_mask__shadows tone_mask__midtones tone_mask__highlights tone_mask__bell "
+    "measure__luma measure__red measure__green measure__blue measure__hue measure__chroma measure__saturation measure__alpha view_transform__sigmoid view_transform__filmic view_transform__agx view_transform__aces"
+).split()
+
+
 TONE = {"exposure": 0.5, "contrast": 30.0, "highlights": -40.0, "shadows": 35.0, "whites": 10.0, "blacks": -15.0, "color_contrast": 20.0}
 WHEELS = {"shadows_hue": 40.0, "shadows_sat": 50.0, "midtones_lum": 20.0, "highlights_hue": -120.0, "highlights_sat": 30.0, "highlights_lum": -10.0}
 
@@ -140,6 +168,15 @@ NODES |= {
     "clarity": one("clarity", {"texture": 30.0, "clarity": 40.0}),
     "detail": one("detail", {"texture": 20.0, "dehaze": 30.0}),
     "detail__dehaze": one("detail", {"dehaze": 30.0}),
+    "detail__weighed": one("detail", {"dehaze": 40.0, "dehaze_shadows": 50.0, "dehaze_highlights": 150.0, "dehaze_red": 80.0}),
+    "standard_color__dehaze": one("standard_color", {"saturation": 20.0, "dehaze": -25.0}),
+    "detail__texture": one("detail", {"texture": 30.0, "clarity": -20.0, "texture_midtones": 60.0}),
+    "blur__wide": one("blur", {"radius": 14.0}, digits=5),
+    "blur__gaussian_8": one("blur", {"radius": 8.0}, digits=5),
+    "blur__motion": one("blur", {"radius": 3.0, "kind": "motion", "angle": 30.0}),
+    "depth_map": one("depth_map"),
+    "export_layer": one("export_layer", port="image"),
+    "output": one("output"),
     "sharpen": one("sharpen", {"amount": 80.0, "radius": 0.6}),
     "black_white": one("black_white", {"amount": 80.0, "red": 40.0, "green": 50.0}),
     "halation": one("halation", {"threshold": 20.0, "radius": 8.0, "bloom": 20.0, "bloom_radius": 10.0}),
@@ -175,6 +212,18 @@ NODES |= {f"morphology__{m}": one("morphology", {"mode": m, "radius": 1.0, "shap
 NODES["morphology__round"] = one("morphology", {"mode": "dilate", "radius": 2.0, "shape": "round"}, field=True)
 
 
+SCENE += [f"blend__{m}" for m in combine.MODES]
+
+
+def looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lookup table of three steps a side, written for the occasion: channels turned round and bent."""
+    steps = (0.0, 0.5, 1.0)
+    rows = [f"{b * b} {r * 0.9 + 0.05} {g * (1 - 0.2 * r)}" for b in steps for g in steps for r in steps]
+    path = shared_path(spark, "lut")
+    spark.createDataFrame([("\n".join(["LUT_3D_SIZE 3", *rows]),)], "value string").coalesce(1).write.text(path)
+    return shown(run("lut", {"in": picture(spark, sf_dir)}, {"path": path, "amount": 80.0}))
+
+
 def area_downscale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(geometry.area_mean(picture(spark, sf_dir), 4))
 
@@ -218,7 +267,8 @@ def render_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     out = dict(NODES)
     out |= {f"stack__{m}": stack_query(m) for m in stack.MODES}
-    out |= {"area_downscale": area_downscale, "noise_estimate": noise_estimate, "render_slice": render_slice}
+    out |= {f"scene__{k}": in_scene(NODES[k]) for k in SCENE}
+    out |= {"lut": looked_up, "area_downscale": area_downscale, "noise_estimate": noise_estimate, "render_slice": render_slice}
     return out
 
 

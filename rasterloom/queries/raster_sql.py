@@ -13,6 +13,11 @@ FRAME = """SELECT CAST(floor(event_id / CAST(100 AS DOUBLE)) AS INTEGER) AS y, C
   CASE WHEN event_type = 'error' THEN CAST(0.5 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS a,
   CAST((event_id * 104729) % 1013 AS DOUBLE) / CAST(1012 AS DOUBLE) AS v,
   CAST(100 AS DOUBLE) AS w, ceil((SELECT count(*) FROM events) / CAST(100 AS DOUBLE)) AS h FROM events"""
+#: Several pictures of scene light, told apart by y.
+SCENE_FRAME = """SELECT CAST((event_id % 3) * 500000000 + floor(floor(event_id / CAST(3 AS DOUBLE)) / CAST(100 AS DOUBLE)) AS INTEGER) AS y, CAST(CAST(floor(event_id / CAST(3 AS DOUBLE)) AS BIGINT) % 100 AS INTEGER) AS x,
+  value / CAST(500 AS DOUBLE) * CAST(4.5 AS DOUBLE) - CAST(0.5 AS DOUBLE) AS r, CAST(user_id % 97 AS DOUBLE) / CAST(97 AS DOUBLE) * CAST(4.5 AS DOUBLE) - CAST(0.5 AS DOUBLE) AS g,
+  CAST((event_id * 7919) % 1009 AS DOUBLE) / CAST(1009 AS DOUBLE) * CAST(4.5 AS DOUBLE) - CAST(0.5 AS DOUBLE) AS b,
+  CASE event_type WHEN 'error' THEN CAST(0.5 AS DOUBLE) WHEN 'signup' THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS a FROM events"""
 LUMA = "(0.2126::DOUBLE * r + 0.7152::DOUBLE * g + 0.0722::DOUBLE * b)"
 
 
@@ -265,11 +270,11 @@ def build() -> dict[str, str]:
         pre=f"{OKLAB}, c0 AS (SELECT *, sqrt(la * la + lb * lb) AS ch, atan2(lb, la) + {d(math.radians(20))} AS hh FROM k), c1 AS (SELECT *, greatest(ch * {d(1.15)} * (1 + {d(0.25)} * (1 - least(ch / {d(0.3)}, 1))), 0) AS cc FROM c0), " + unlab("c1", "ll", "cc * cos(hh)", "cc * sin(hh)") + f", v1 AS (SELECT *, {luma('nr', 'ng', 'nb')} AS yy, least(nr, ng, nb) AS mn FROM u3)",
         src="v1",
     )
-    s["gamut_map"] = image("r", "g", "b")  # the picture holds nothing negative
+    s["gamut_map"] = image(*(f"CASE WHEN mn >= 0 THEN {c} WHEN yy <= 0 THEN {c} + (0 - {c}) * {d(0.7)} ELSE {c} + (yy + ({c} - yy) * (yy / (yy - mn)) - {c}) * {d(0.7)} END" for c in "rgb"), pre=f"t0 AS (SELECT *, {LUMA} AS yy, least(r, g, b) AS mn FROM f)", src="t0")
     d0 = lambda c: f"(CASE WHEN {c} <= {d(0.76)} THEN {c} ELSE {d(0.76)} + {d(0.24)} * (1 - exp(-({c} - {d(0.76)}) / {d(0.24)})) END)"
     s["tone_profile"] = image(
         *(f"greatest(yy + ({c} - yy) * {d(1.1)}, 0)" for c in "rgb"),
-        pre=f"t0 AS (SELECT y, x, a, {', '.join(f'{enc(f'{c} * {d(2**0.3)}')} AS {c}' for c in 'rgb')} FROM f), t1 AS (SELECT y, x, a, {', '.join(f'{d0(c)} AS {c}' for c in 'rgb')} FROM t0), t2 AS (SELECT y, x, a, {', '.join(clip(f'{c} + ({c} * {c} * (3 - 2 * {c}) - {c}) * {d(0.34)}') + f' AS {c}' for c in 'rgb')} FROM t1), t3 AS (SELECT y, x, a, {', '.join(dec(f'({c} - {d(0.2)} * {c} * pow(1 - {c}, 3))') + f' AS {c}' for c in 'rgb')} FROM t2), t4 AS (SELECT *, {LUMA} AS yy FROM t3)",
+        pre=f"t0 AS (SELECT y, x, a, {', '.join(f'{enc(f'greatest({c}, 0) * {d(2**0.3)}')} AS {c}' for c in 'rgb')} FROM f), t1 AS (SELECT y, x, a, {', '.join(f'{d0(c)} AS {c}' for c in 'rgb')} FROM t0), t2 AS (SELECT y, x, a, {', '.join(clip(f'{c} + ({c} * {c} * (3 - 2 * {c}) - {c}) * {d(0.34)}') + f' AS {c}' for c in 'rgb')} FROM t1), t3 AS (SELECT y, x, a, {', '.join(dec(f'({c} - {d(0.2)} * {c} * pow(1 - {c}, 3))') + f' AS {c}' for c in 'rgb')} FROM t2), t4 AS (SELECT *, {LUMA} AS yy FROM t3)",
         src="t4",
     )
     s["lift"] = image("r", "g", "b", d(1))
@@ -284,16 +289,16 @@ def build() -> dict[str, str]:
     s["fx_color_overlay"] = image(*(f"{ch} + ({d(v)} - {ch}) * {d(0.4)}" for ch, v in zip("rgb", hexd("#ff8000"), strict=True)))
     c, sn = math.cos(math.radians(90)), math.sin(math.radians(90))
     s["fx_gradient_overlay"] = image(*(f"{ch} + ({v} - {ch}) * {d(0.6)}" for ch, v in zip("rgb", stops("t", (0, 0, 0), (1, 1, 1), 0.5), strict=True)), pre=lin(c, sn), src="t0")
-    s["to_display"] = each(enc)
+    s["to_display"] = each(lambda c: enc(clip(c)))
     s["to_display__gamma"] = each(lambda c: f"pow({clip(c)}, {d(1 / 2.2)})")
-    s["to_scene"] = image(*(f"{dec(c)} + greatest({o} - 1, 0)" for c, o in zip("rgb", "brg", strict=True)))
+    s["to_scene"] = image(*(f"{dec(clip(c))} + greatest({o} - 1, 0)" for c, o in zip("rgb", "brg", strict=True)))
     s["luma_chroma_split"] = each(lambda c: f"{c} - {LUMA}")
     s["luma_chroma_join"] = image(*(f"{LUMA} + {o}" for o in "brg"))
     s["invert"] = each(lambda c: f"{c} + ((1 - {clip(c)}) - {c}) * {d(0.7)}")
     s["desaturate"] = each(lambda c: f"{c} + ({LUMA} - {c}) * {d(0.6)}")
     s["alpha_association__extract"] = image("a", "a", "a", d(1))
     s["alpha_association__premultiply"] = each(lambda c: f"{c} * a")
-    s["alpha_association__unpremultiply"] = each(lambda c: f"{c} / a")
+    s["alpha_association__unpremultiply"] = each(lambda c: f"CASE WHEN a > 1e-6 THEN {c} / a ELSE {c} END")
     s["alpha_association__replace"] = image("r", "g", "b", clip("v"))
     s["luminance_extract"] = field(LUMA)
     s["luminance_range_mask"] = field(f"{smooth('yy', 0.3 - 0.1, 0.3)} * (1 - {smooth('yy', 0.6, 0.6 + 0.1)})", pre=f"t0 AS (SELECT *, {LUMA} AS yy FROM f)", src="t0")
@@ -330,7 +335,7 @@ def build() -> dict[str, str]:
     for m, e in (("add", f"v + {LUMA}"), ("subtract", f"v - {LUMA}"), ("multiply", f"v * {LUMA}"), ("divide", f"CASE WHEN abs({LUMA}) > 1e-9 THEN v / {LUMA} ELSE 0 END"), ("min", f"least(v, {LUMA})"), ("max", f"greatest(v, {LUMA})"), ("difference", f"abs(v - {LUMA})"), ("power", f"pow(greatest(v, 0), {LUMA})")):
         s[f"math__{m}"] = field(f"({e}) * {d(0.5)} + {d(0.1)}")
     gain = 2**0.5
-    px = lambda c: f"({c} * {d(gain)})"
+    px = lambda c: f"(greatest({c}, 0) * {d(gain)})"
     gp = 0.18**1.7
     s["view_transform__sigmoid"] = each(lambda c: dec(f"(pow({px(c)}, {d(1.7)}) / (pow({px(c)}, {d(1.7)}) + {d(gp)}))"))
     hb = lambda c: f"(({c} * ({d(0.15)} * {c} + {d(0.05)}) + {d(0.004)}) / ({c} * ({d(0.15)} * {c} + {d(0.5)}) + {d(0.06)}) - {d(0.02 / 0.3)})"
@@ -361,7 +366,7 @@ def build() -> dict[str, str]:
         s[f"radial_mask__{m}"] = field("1 - " + smooth("dd", -0.3, 0.0), pre=f"{rm}, m2 AS (SELECT *, {e} AS dd FROM m1)", src="m2")
     pm = "t0 AS (SELECT y, x, w, h, a, r * a AS r, g * a AS g, b * a AS b FROM f)"
     box = lambda ax, src, dst: f"{dst} AS (SELECT y, x, w, h, {', '.join(f'{window_mean(ch, ax, 2)} AS {ch}' for ch in 'rgba')} FROM {src})"
-    un = [f"CASE WHEN a > 1e-6 THEN {ch} / a ELSE {ch} END" for ch in "rgb"]
+    un = [f"CASE WHEN a > 1e-6 THEN greatest({ch} / a, 0) ELSE 0 END" for ch in "rgb"]
     s["blur__box"] = image(*un, pre=f"{pm}, {box('x', 't0', 't1')}, {box('y', 't1', 't2')}", src="t2")
 
     def gauss(src, chans, sigma, keep=""):
@@ -415,8 +420,28 @@ def build() -> dict[str, str]:
     s["inpaint"] = image(*(f"{c} + ({o} - {c}) * {clip('v')}" for c, o in zip("rgb", "brg", strict=True)))
     vr = "sqrt((x - (w - 1) / 2) * (x - (w - 1) / 2) + (y - (h - 1) / 2) * (y - (h - 1) / 2)) / sqrt((w - 1) * (w - 1) / 4 + (h - 1) * (h - 1) / 4)"
     s["lens_correct__falloff"] = image(*(f"{c} * (1 + {d(0.4)} * {smooth('rr', 0.3, 1.0)})" for c in "rgb"), pre=f"t0 AS (SELECT *, {vr} AS rr FROM f)", src="t0")
-    dz = 0.10 * 0.3
-    s["detail__dehaze"] = image(*(f"{c} * k" for c in "rgb"), pre=f"t0 AS (SELECT *, {LUMA} AS l, {enc(LUMA)} AS dd FROM f), t1 AS (SELECT *, CASE WHEN l > 1e-6 AND dd < 1 THEN {dec(f'greatest((dd - {d(dz)}) / {d(1 - dz)}, 0)')} / l ELSE 1 END AS k FROM t0)", src="t1")
+    def veil(k, src):
+        """Steps from src's colours to v1, with luma's veil taken (r1, g1, b1), and for k below 0 laid on black too."""
+        a = 0.10 * k
+        dark = f"WHEN l <= 1e-6 THEN {{0}} + {dec(f'({enc('greatest(l, 0)')} - {d(a)}) / {d(1 - a)}')} - l" if k < 0 else ""
+        return f"v0 AS (SELECT *, {LUMA} AS l FROM {src}), v1 AS (SELECT *, {', '.join(f'CASE {dark.format(c)} WHEN l > 1e-6 AND {enc('l')} < 1 THEN {c} * ({dec(f'greatest(({enc('l')} - {d(a)}) / {d(1 - a)}, 0)')} / l) ELSE {c} END AS {c}1' for c in 'rgb')} FROM v0)"
+
+    def haze(k, src="v1"):
+        """Steps from r1, g1, b1 of src to w2, with colour's veil taken at the luma there is (r2, g2, b2)."""
+        a = 0.15 * k
+        shown = lambda c: enc(f"greatest({c}1, 0)")
+        fade = smooth(enc("greatest(l1, 0)"), 0.12, 0.40)
+        return f"w0 AS (SELECT *, {luma('r1', 'g1', 'b1')} AS l1, {', '.join(f'CASE WHEN {shown(c)} < 1 THEN {dec(f'greatest(({shown(c)} - {d(a)}) / {d(1 - a)}, 0)')} ELSE {c}1 END AS c{c}' for c in 'rgb')} FROM {src}), w1 AS (SELECT *, {luma('cr', 'cg', 'cb')} AS l2 FROM w0), w2 AS (SELECT *, {', '.join(f'CASE WHEN l1 > 1e-6 AND l2 > 1e-6 THEN {c}1 + (c{c} * (l1 / l2) - {c}1) * {fade} ELSE {c}1 END AS {c}2' for c in 'rgb')} FROM w1)"
+
+    s["detail__dehaze"] = image("r2", "g2", "b2", pre=f"{veil(0.3, 'f')}, {haze(0.3)}", src="w2")
+    sat0 = f"s0 AS (SELECT y, x, a, {', '.join(f'{LUMA} + ({c} - {LUMA}) * {d(1.2)} AS {c}' for c in 'rgb')} FROM f)"
+    s["standard_color__dehaze"] = image("r2", "g2", "b2", pre=f"{sat0}, {veil(-0.25, 's0')}, {haze(-0.25)}", src="w2")
+    # each half goes so much of its way, by the tone that comes in and the channel
+    band = f"({WS} * {d(0.5)} + {WM} + {WH} * {d(1.5)})"
+    step = lambda new, old, c: f"CASE WHEN {band} * {d(0.8 if c == 'r' else 1)} * ({new} - {old}) <> 0 THEN greatest({old} + {band} * {d(0.8 if c == 'r' else 1)} * ({new} - {old}), 0) ELSE {old} END"
+    first = f"n0 AS (SELECT *, {SEEN} AS sn FROM f)"
+    half = f"p0 AS (SELECT y, x, a, sn, {', '.join(f'{step(c + '1', c, c)} AS {c}1' for c in 'rgb')} FROM v1)"
+    s["detail__weighed"] = image(*(step(c + "2", c + "1", c) for c in "rgb"), pre=f"{first}, {veil(0.4, 'n0')}, {half}, {haze(0.4, 'p0')}", src="w2")
     offs = [(a, b) for a in range(-4, 5) for b in range(-4, 5)]
     s["distance_field"] = final(f"o AS (SELECT * FROM (VALUES {', '.join(str(v) for v in offs)}) t(dy, dx)), i AS (SELECT y, x, {clip('v')} >= 0.5 AS k FROM f), j AS (SELECT i.y, i.x, i.k, min(CASE WHEN n.k <> i.k THEN sqrt(dy * dy + dx * dx) END) AS dd FROM i CROSS JOIN o JOIN i n ON n.y = i.y + dy AND n.x = i.x + dx GROUP BY ALL), q AS (SELECT y, x, {clip(f'0.5 + 0.5 * ' + clip(f'(CASE WHEN k THEN 1 ELSE -1 END) * (coalesce(dd, 1e6) - 0.5) / 3', -1, 1))} AS v FROM j)", "v")
     cat = ((0.401288, 0.650173, -0.051461), (-0.250268, 1.204414, 0.045854), (-0.002079, 0.048952, 0.953127))
@@ -431,15 +456,34 @@ def build() -> dict[str, str]:
     sep, warm = level((1.22, 1.0, 0.72)), level((1.0, 0.975, 0.92))
     wsh = smooth("d2", 0.9 - 0.4, 0.9 + 0.4)
     tints = [f"((1 + ({d(a)} - 1) * 0.5::DOUBLE * (1 - {wsh})) + ({d(b)} - (1 + ({d(a)} - 1) * 0.5::DOUBLE * (1 - {wsh}))) * 0.3::DOUBLE)" for a, b in zip(sep, warm, strict=True)]
-    s["paper"] = image(*(f"(CASE WHEN yy <= 1e-6 THEN pow(10::DOUBLE, -d2) ELSE {c} * (pow(10::DOUBLE, -d2) / yy) END) * {tn}" for c, tn in zip("rgb", tints, strict=True)), pre=f"t0 AS (SELECT *, {LUMA} AS yy FROM f), t1 AS (SELECT *, -log10({clip('yy', 1e-6, 1)}) AS d0 FROM t0), t2 AS (SELECT *, greatest({d(1.16)} * (d0 - {d(pv)} + {d(1.65 * 0.301 * 0.5)}) + {d(pv)}, 0) AS d1 FROM t1), t3 AS (SELECT *, {clip(f'{d(-0.25)} * ln(exp(-d1 / 0.25::DOUBLE) + {d(math.exp(-2.1 / 0.25))})', 0, 2.1)} AS d2 FROM t2)", src="t3")
+    s["paper"] = image(*(f"(CASE WHEN yy <= 1e-6 THEN pow(10::DOUBLE, -d2) ELSE greatest({c}, 0) * (pow(10::DOUBLE, -d2) / yy) END) * {tn}" for c, tn in zip("rgb", tints, strict=True)), pre=f"t0 AS (SELECT *, {luma("greatest(r, 0)", "greatest(g, 0)", "greatest(b, 0)")} AS yy FROM f), t1 AS (SELECT *, -log10({clip('yy', 1e-6, 1)}) AS d0 FROM t0), t2 AS (SELECT *, greatest({d(1.16)} * (d0 - {d(pv)} + {d(1.65 * 0.301 * 0.5)}) + {d(pv)}, 0) AS d1 FROM t1), t3 AS (SELECT *, {clip(f'{d(-0.25)} * ln(exp(-d1 / 0.25::DOUBLE) + {d(math.exp(-2.1 / 0.25))})', 0, 2.1)} AS d2 FROM t2)", src="t3")
     s["noise_estimate"] = f"""WITH f AS ({FRAME}), t0 AS (SELECT *, {LUMA} AS yy FROM f WHERE (floor(x / 5.0) + 1) * 5 <= w AND (floor(y / 5.0) + 1) * 5 <= h), t1 AS (SELECT floor(x / 5.0) AS tx, floor(y / 5.0) AS ty, {enc('yy')} AS l, {enc('abs(r - yy)')} + {enc('abs(b - yy)')} AS c FROM t0),
     t2 AS (SELECT least(floor(avg(l) * 8), 7) AS bin, stddev_pop(l) AS ls, stddev_pop(c) AS cs FROM t1 GROUP BY tx, ty), t3 AS (SELECT bin, list_sort(list(ls))[CAST(floor((count(*) - 1) * 0.1::DOUBLE + 0.5) AS BIGINT) + 1] AS ls, list_sort(list(cs))[CAST(floor((count(*) - 1) * 0.1::DOUBLE + 0.5) AS BIGINT) + 1] AS cs FROM t2 GROUP BY bin)
     SELECT 0 AS frame_id, round((SELECT avg(v) FROM (SELECT ls AS v FROM t3 ORDER BY ls LIMIT 2)), 6) AS luma_sigma, round((SELECT avg(v) FROM (SELECT cs AS v FROM t3 ORDER BY cs LIMIT 2)), 6) AS chroma_sigma"""
     s["stack__hdr"] = f"""{fr}, e AS (SELECT f, CAST(row_number() OVER (ORDER BY f) AS DOUBLE) AS e FROM (SELECT DISTINCT f FROM s)), k AS (SELECT y, x, v / {d(500)} AS v, e, (1 - {smooth(f'(v / {d(500)})', 0.8, 0.95)}) * e * e / ({d((3 / 40000) ** 2)} + abs(v / {d(500)}) / 40000) AS wt FROM s JOIN e USING (f)),
     t AS (SELECT y, x, sum(wt * v / e) AS sv, sum(wt) AS sw, max(v / e) AS mb FROM k GROUP BY y, x) SELECT y, x, round((SELECT median(e) FROM e) * CASE WHEN sw > 0 THEN sv / sw ELSE mb END + 1e-9::DOUBLE, 5) AS v FROM t"""
+    s["blur__gaussian_8"] = image(*un, pre=f"{pm}, {gauss('t0', 'rgba', 8.0)}", src="gy", digits=5)
+    # wide: means of squares of two, a blur of half the width, drawn up between their centres
+    small = f"{pm}, sm AS (SELECT CAST(floor(y / 2.0) AS INTEGER) AS y, CAST(floor(x / 2.0) AS INTEGER) AS x, ceil(max(w) / 2) AS w, ceil(max(h) / 2) AS h, {', '.join(f'avg({ch}) AS {ch}' for ch in 'rgba')} FROM t0 GROUP BY ALL)"
+    near = lambda v, n: f"least(greatest(({v} + 0.5) / 2 - 0.5, 0), ceil({n} / 2) - 1)"
+    up = f"u0 AS (SELECT y, x, {near('x', 'w')} AS gx, {near('y', 'h')} AS gy, ceil(w / 2) AS sw, ceil(h / 2) AS sh FROM f), u1 AS (SELECT *, gx - floor(gx) AS tx, gy - floor(gy) AS ty, floor(gx) AS x0, floor(gy) AS y0, least(floor(gx) + 1, sw - 1) AS x1, least(floor(gy) + 1, sh - 1) AS y1 FROM u0)"
+    mix = lambda ch: f"(p00.{ch} * (1 - tx) + p01.{ch} * tx) * (1 - ty) + (p10.{ch} * (1 - tx) + p11.{ch} * tx) * ty AS {ch}"
+    joins = " ".join(f"JOIN gy p{i}{j} ON p{i}{j}.y = u1.y{i} AND p{i}{j}.x = u1.x{j}" for i in (0, 1) for j in (0, 1))
+    s["blur__wide"] = image(*un, pre=f"{small}, {gauss('sm', 'rgba', 7.0)}, {up}, u2 AS (SELECT u1.y, u1.x, {', '.join(map(mix, 'rgba'))} FROM u1 {joins})", src="u2", digits=5)
+    taps = [(math.floor(math.cos(math.radians(30)) * k + 1e-9), math.floor(math.sin(math.radians(30)) * k + 1e-9)) for k in range(-3, 4)]
+    s["blur__motion"] = image(*un, pre=f"{pm}, o AS (SELECT * FROM (VALUES {', '.join(map(str, taps))}) t(ox, oy)), m0 AS (SELECT k.y, k.x, {', '.join(f'avg(s.{ch}) AS {ch}' for ch in 'rgba')} FROM t0 k CROSS JOIN o JOIN t0 s ON s.x = least(greatest(k.x + ox, 0), k.w - 1) AND s.y = least(greatest(k.y + oy, 0), k.h - 1) GROUP BY k.y, k.x)", src="m0")
+    # a table of three steps a side: each channel is linear between its steps, and the table's values are products of such
+    half_ = lambda v: f"(CASE WHEN {v} < 0.5 THEN {v} * 0.5 ELSE 0.25 + ({v} - 0.5) * 1.5 END)"
+    er_, eg_, eb_ = (clip(enc(f"greatest({c}, 0)")) for c in "rgb")
+    new = (half_(eb_), f"({er_} * {d(0.9)} + {d(0.05)})", f"({eg_} * (1 - {d(0.2)} * {er_}))")
+    s["lut"] = image(*(f"{c} + ({dec(clip(v))} - {c}) * {d(0.8)}" for c, v in zip("rgb", new, strict=True)))
+    s["depth_map"] = s["export_layer"] = s["output"] = image("r", "g", "b")
     s["render_slice"] = f"WITH f AS ({FRAME}), t AS (SELECT *, {LUMA} AS yy FROM f), m AS (SELECT *, {smooth('yy', 0.2, 0.3)} * (1 - {smooth('yy', 0.6, 0.7)}) AS k FROM t) SELECT y, round(avg({luma('r + r * k', 'g + g * k', 'b + b * k')}), 6) AS luma, count(*) AS n FROM m GROUP BY y"
     return s
 
 
 def oracle_sql() -> dict[str, str]:
-    return build()
+    from rasterloom.queries.raster import SCENE
+
+    found = build()
+    return found | {f"scene__{k}": found[k].replace(FRAME, SCENE_FRAME) for k in SCENE}

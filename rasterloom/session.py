@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -26,19 +27,29 @@ def local_session(cores: str | int = "*", app: str = "rasterloom", **extra: str)
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which the session names in spark.checkpoint.dir. Unset, a local master takes one that goes with this process, and no other master is guessed for."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if path:
+        return path
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    local = tempfile.mkdtemp(prefix="rasterloom-")
+    atexit.register(shutil.rmtree, local, True)
+    spark.sparkContext.setCheckpointDir(f"file://{local}")
+    return f"file://{local}"
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the folder that driver and executors share, and read from there. The session names it in spark.checkpoint.dir; unset, a local master takes a folder that goes with this process, and no other master is guessed for."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """df written to the shared folder and read from there."""
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path:
-            if not context.master.startswith("local"):
-                raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-            local = tempfile.mkdtemp(prefix="rasterloom-")
-            atexit.register(shutil.rmtree, local, True)
-            path = f"file://{local}"
-        context.setCheckpointDir(path)
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
 
 
