@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 
 def d(v) -> str:
     return f"CAST({float(v)!r} AS DOUBLE)"
@@ -482,8 +484,175 @@ def build() -> dict[str, str]:
     return s
 
 
+def selfguided(tag, src, col, out, r, eps=0.005):
+    """Steps to a column out over src: col led by its own box means, rows and then columns, twice."""
+    both = lambda names, ax: ", ".join(f"{window_mean(n, ax, r)} AS {n}" for n in names)
+    var = "greatest(_c - _m * _m, 0)"
+    return (
+        f"{tag}1 AS (SELECT *, {col} AS _m, {col} * {col} AS _c FROM {src}), {tag}2 AS (SELECT * REPLACE ({both(('_m', '_c'), 'x')}) FROM {tag}1), {tag}3 AS (SELECT * REPLACE ({both(('_m', '_c'), 'y')}) FROM {tag}2), "
+        f"{tag}4 AS (SELECT *, {var} / ({var} + {d(eps)}) AS _a FROM {tag}3), {tag}5 AS (SELECT *, _m * (1 - _a) AS _b FROM {tag}4), {tag}6 AS (SELECT * REPLACE ({both(('_a', '_b'), 'x')}) FROM {tag}5), {tag}7 AS (SELECT * REPLACE ({both(('_a', '_b'), 'y')}) FROM {tag}6), "
+        f"{tag} AS (SELECT * EXCLUDE (_m, _c, _a, _b), _a * {col} + _b AS {out} FROM {tag}7)"
+    )
+
+
+def contrast_scales(scales):
+    """Steps to k: f with l, dd and a factor for each channel (fr, fg, fb) from scales of (strength, box radius, weights or None)."""
+    steps, at = [f"k0 AS (SELECT *, {LUMA} AS l, {enc(LUMA)} AS dd, {SEEN} AS sn, 1.0::DOUBLE AS fr, 1.0::DOUBLE AS fg, 1.0::DOUBLE AS fb FROM f)"], "k0"
+    for i, (strength, r, weight) in enumerate(scales):
+        steps.append(selfguided(f"sg{i}", at, "dd", "base", r))
+        raw = "(dd - base)"
+        soft = f"({raw} / (1 + abs({raw} / (CASE WHEN {raw} > 0 THEN {d(0.16)} ELSE {d(0.6)} END))))"
+        ratio = f"({dec(f'greatest(dd + {d(2.5 * strength)} * {soft}, dd * {d(0.45)})')} / l)"
+        if weight:
+            ratio = f"(CASE WHEN {weight} = 1 THEN {ratio} ELSE greatest(1 + {weight} * ({ratio} - 1), {dec(f'dd * {d(0.45)}')} / l) END)"
+        steps.append(f"kk{i} AS (SELECT * EXCLUDE (base) REPLACE ({', '.join(f'CASE WHEN l > 1e-6 THEN f{c} * {ratio} ELSE f{c} END AS f{c}' for c in 'rgb')}) FROM sg{i})")
+        at = f"kk{i}"
+    return ", ".join(steps) + f", k AS (SELECT * FROM {at})"
+
+
+def opaque(src, dst, base, top, mode, k, out):
+    """A step that lays columns top* over base* (each with its alpha) in a mode by k times the top's alpha, as out*."""
+    a = f"(({k}) * {clip(f'{top}a')})"
+    if mode == "luminosity":
+        lum = lambda q: f"(0.3::DOUBLE * {q}r + 0.59::DOUBLE * {q}g + 0.11::DOUBLE * {q}b)"
+        pre = f"{dst}0 AS (SELECT *, {lum(top)} - {lum(base)} AS _dl FROM {src}), {dst}1 AS (SELECT *, {', '.join(f'{base}{c} + _dl AS _s{c}' for c in 'rgb')} FROM {dst}0), {dst}2 AS (SELECT *, {lum('_s')} AS _la, least(_sr, _sg, _sb) AS _lo, greatest(_sr, _sg, _sb) AS _hi FROM {dst}1), {dst}3 AS (SELECT *, {', '.join(f'CASE WHEN _lo < 0 THEN _la + (_s{c} - _la) * _la / greatest(_la - _lo, 1e-6) ELSE _s{c} END AS _d{c}' for c in 'rgb')} FROM {dst}2), "
+        new = {c: f"(CASE WHEN _hi > 1 THEN _la + (_d{c} - _la) * (1 - _la) / greatest(_hi - _la, 1e-6) ELSE _d{c} END)" for c in "rgb"}
+        drop, src = " EXCLUDE (_dl, _sr, _sg, _sb, _la, _lo, _hi, _dr, _dg, _db)", f"{dst}3"
+    else:
+        pre, drop, new = "", "", {c: f"({blend_channel(mode, base + c, top + c)})" for c in "rgb"}
+    return f"{pre}{dst} AS (SELECT *{drop}, {', '.join(f'{base}{c} + ({new[c]} - {base}{c}) * {a} AS {out}{c}' for c in 'rgb')}, {a} + {clip(f'{base}a')} * (1 - {a}) AS {out}a FROM {src})"
+
+
+def blurred(src, dst, cols, sigma):
+    """Steps that blur columns in place by a small gaussian."""
+    k = gauss_kernel(sigma)
+    one = lambda ax: ", ".join(f"{gauss_pass(c, ax, k)} AS {c}" for c in cols)
+    return f"{dst}x AS (SELECT * REPLACE ({one('x')}) FROM {src}), {dst} AS (SELECT * REPLACE ({one('y')}) FROM {dst}x)"
+
+
+def colour_guided(src, targets, r, eps, clamped):
+    """Steps to gq: targets led by three guide columns ur, ug, ub: box means of products, a solve of three by three, box means of the coefficients."""
+    mean = window_mean if clamped else (lambda c, ax, n: f"avg({c}) OVER (PARTITION BY {'y' if ax == 'x' else 'x'} ORDER BY {ax} ROWS BETWEEN {n} PRECEDING AND {n} FOLLOWING)")
+    g = ("ur", "ug", "ub")
+    pairs = [(0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2)]
+    cols = {f"p{i}{j}": f"{g[i]} * {g[j]}" for i, j in pairs} | {f"p{i}_{q}": f"{g[i]} * {q}" for i in range(3) for q in targets} | {f"m{i}": g[i] for i in range(3)} | {f"m_{q}": q for q in targets}
+    both = lambda names, ax: ", ".join(f"{mean(n, ax, r)} AS {n}" for n in names)
+    out = [f"g0 AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in cols.items())} FROM {src})", f"g1 AS (SELECT * REPLACE ({both(cols, 'x')}) FROM g0)", f"g2 AS (SELECT * REPLACE ({both(cols, 'y')}) FROM g1)"]
+    out.append("g3 AS (SELECT *, " + ", ".join(f"p{i}{j} - m{i} * m{j}{f' + {d(eps)}' if i == j else ''} AS s{i}{j}" for i, j in pairs) + ", " + ", ".join(f"p{i}_{q} - m{i} * m_{q} AS v{i}_{q}" for i in range(3) for q in targets) + " FROM g2)")
+    s_ = lambda i, j: f"s{min(i, j)}{max(i, j)}"
+
+    def det(cols_):
+        (a, b, c), (e, f, h), (i, j, k) = cols_
+        return f"({a} * ({f} * {k} - {h} * {j}) - {b} * ({e} * {k} - {h} * {i}) + {c} * ({e} * {j} - {f} * {i}))"
+
+    full = [[s_(i, j) for j in range(3)] for i in range(3)]
+    swap = lambda n, q: [[f"v{i}_{q}" if j == n else full[i][j] for j in range(3)] for i in range(3)]  # noqa: E731  Cramer's rule
+    coef = [f"a{n}_{q}" for n in range(3) for q in targets]
+    out.append("g4 AS (SELECT *, " + ", ".join(f"{det(swap(n, q))} / {det(full)} AS a{n}_{q}" for n in range(3) for q in targets) + " FROM g3)")
+    out.append("g5 AS (SELECT *, " + ", ".join(f"m_{q} - a0_{q} * m0 - a1_{q} * m1 - a2_{q} * m2 AS b_{q}" for q in targets) + " FROM g4)")
+    coef += [f"b_{q}" for q in targets]
+    out += [f"g6 AS (SELECT * REPLACE ({both(coef, 'x')}) FROM g5)", f"g7 AS (SELECT * REPLACE ({both(coef, 'y')}) FROM g6)"]
+    out.append("gq AS (SELECT *, " + ", ".join(f"a0_{q} * ur + a1_{q} * ug + a2_{q} * ub + b_{q} AS q_{q}" for q in targets) + " FROM g7)")
+    return ", ".join(out)
+
+
+def cubic(x, points):
+    """A monotone cubic through points, of slope 1 beyond them."""
+    n = len(points)
+    h = [b[0] - a[0] for a, b in zip(points, points[1:], strict=False)]
+    slope = [(b[1] - a[1]) / w for a, b, w in zip(points, points[1:], h, strict=False)]
+    m = [slope[0], *(0.0 if a * b <= 0 else (a + b) / 2 for a, b in zip(slope, slope[1:], strict=False)), slope[-1]]
+    for i, sl in enumerate(slope):
+        if sl == 0:
+            m[i] = m[i + 1] = 0.0
+        elif (r := ((m[i] / sl) ** 2 + (m[i + 1] / sl) ** 2) ** 0.5) > 3:
+            m[i], m[i + 1] = 3 * m[i] / r, 3 * m[i + 1] / r
+    out = f"CASE WHEN {x} < {d(points[0][0])} THEN {d(points[0][1])} + {x} - {d(points[0][0])} "
+    for i in range(n - 1):
+        t = f"(({x} - {d(points[i][0])}) / {d(h[i])})"
+        hermite = f"({d(points[i][1])} * (2 * pow({t}, 3) - 3 * pow({t}, 2) + 1) + {d(m[i] * h[i])} * (pow({t}, 3) - 2 * pow({t}, 2) + {t}) + {d(points[i + 1][1])} * (3 * pow({t}, 2) - 2 * pow({t}, 3)) + {d(m[i + 1] * h[i])} * (pow({t}, 3) - pow({t}, 2)))"
+        out += f"WHEN {x} <= {d(points[i + 1][0])} THEN {hermite} "
+    return f"({out} ELSE {d(points[-1][1])} + {x} - {d(points[-1][0])} END)"
+
+
+def neighbourly(s: dict[str, str]) -> None:
+    """Nodes with neighbourhoods and those of several steps. Radii that follow the frame's size are those of frames of 100 rows and more."""
+    import math
+
+    scale = "r * fr", "g * fg", "b * fb"
+    s["clarity"] = image(*scale, pre=contrast_scales([(0.3, 2, None), (0.4, 3, None)]), src="k")
+    weight = f"({WS} + {WM} * {d(0.6)} + {WH})"
+    s["detail__texture"] = image(*scale, pre=contrast_scales([(0.3, 2, weight), (-0.2, 3, None)]), src="k")
+    a = 0.10 * 0.3
+    lifted = ", ".join(f"CASE WHEN {LUMA} > 1e-6 AND {enc(LUMA)} < 1 THEN {c} * ({dec(f'greatest(({enc(LUMA)} - {d(a)}) / {d(1 - a)}, 0)')} / {LUMA}) ELSE {c} END AS {c}" for c in "rgb")
+    a2 = 0.15 * 0.3
+    clear = lambda c: f"(CASE WHEN {enc(c)} < 1 THEN {dec(f'greatest(({enc(c)} - {d(a2)}) / {d(1 - a2)}, 0)')} ELSE {c} END)"
+    textured = contrast_scales([(0.2, 2, None)]).replace("FROM f)", "FROM z0)", 1)
+    s["detail"] = image(
+        *(f"CASE WHEN l1 > 1e-6 AND l2 > 1e-6 THEN r{c} + (c{c} * (l1 / l2) - r{c}) * {smooth(enc('l1'), 0.12, 0.40)} ELSE r{c} END" for c in "rgb"),
+        pre=f"z0 AS (SELECT * REPLACE ({lifted}) FROM f), {textured}, z1 AS (SELECT y, x, a, r * fr AS rr, g * fg AS rg, b * fb AS rb FROM k), z2 AS (SELECT *, {luma('rr', 'rg', 'rb')} AS l1, {', '.join(f'{clear('r' + c)} AS c{c}' for c in 'rgb')} FROM z1), z3 AS (SELECT *, {luma('cr', 'cg', 'cb')} AS l2 FROM z2)",
+        src="z3",
+    )
+    size = 0.6 * math.sqrt(3)
+    pre, at = f"h0 AS (SELECT *, {', '.join(f'{enc(c)} AS e{c}' for c in 'rgb')} FROM f)", "h0"
+    for c in "rgb":
+        pre += f", {selfguided(f'lo{c}', at, f'e{c}', f'l{c}', 1)}, {selfguided(f'hi{c}', f'lo{c}', f'e{c}', f'h{c}', 2)}"
+        at = f"hi{c}"
+    s["sharpen"] = image(*(f"{c} + {d(0.8)} * ({c} - {dec(f'greatest(l{c} + (h{c} - l{c}) * {d(size - 1)}, 0)')})" for c in "rgb"), pre=pre, src=at)
+    disp = f"d0 AS (SELECT y, x, w, h, a, r AS xr, g AS xg, b AS xb, {', '.join(f'{enc(clip(c))} AS d{c}' for c in 'rgb')}, a AS da FROM f)"
+    back = lambda q: [f"CASE WHEN x{c} > 1 THEN x{c} + ({dec(clip(q + c))} - 1) ELSE {dec(clip(q + c))} END" for c in "rgb"]
+    un = lambda q, n: f"{', '.join(f'CASE WHEN {q}a > 1e-6 THEN greatest({q}{c} / {q}a, 0) ELSE 0 END AS {n}{c}' for c in 'rgb')}, {q}a AS {n}a"
+    soft = f"s0 AS (SELECT *, {', '.join(f'(1 - {clip('d' + c)}) * a AS i{c}' for c in 'rgb')}, a AS ia FROM d0), {blurred('s0', 's1', ['ir', 'ig', 'ib', 'ia'], 0.8)}, s2 AS (SELECT *, {un('i', 'j')} FROM s1)"
+    s["sharpening"] = image(*back("n"), "na", pre=f"{disp}, {soft}, {opaque('s2', 'o1', 'd', 'j', 'vivid_light', 1, 't')}, {opaque('o1', 'o2', 'd', 't', 'overlay', d(0.4), 'v')}, {opaque('o2', 'o3', 'd', 'v', 'luminosity', 1, 'u')}, {opaque('o3', 'o4', 'v', 'u', 'normal', 1, 'n')}", src="o4")
+    inv = f"s0 AS (SELECT *, {', '.join(f'(1 - {clip('d' + c)}) AS i{c}, (1 - {clip('d' + c)}) AS k{c}' for c in 'rgb')} FROM d0), {blurred('s0', 's1', ['kr', 'kg', 'kb'], 1.0)}, s2 AS (SELECT *, {', '.join(f'{clip(f'(i{c} - k{c}) * 0.5 + 0.5')} * a AS p{c}' for c in 'rgb')}, a AS pa FROM s1), {blurred('s2', 's3', ['pr', 'pg', 'pb', 'pa'], 0.6)}, s4 AS (SELECT *, {un('p', 'j')} FROM s3)"
+    s["skin_soften"] = image(*back("n"), "na", pre=f"{disp}, {inv}, {opaque('s4', 'o1', 'd', 'j', 'vivid_light', 1, 't')}, {opaque('o1', 'o2', 'd', 't', 'normal', d(0.5), 'n')}", src="o2")
+    guide = ", ".join(f"{enc(c)} AS u{c}" for c in "rgb")
+    s["guided_filter_mask"] = field(clip("q_tt"), pre=f"t0 AS (SELECT *, {clip('v')} AS tt, {guide} FROM f), {colour_guided('t0', ['tt'], 2, 0.01, False)}", src="gq")
+    s["guided_filter"] = image(*(dec(f"q_t{c}") for c in "rgb"), pre=f"t0 AS (SELECT *, {guide}, {', '.join(f'{enc(c)} AS t{c}' for c in 'rgb')} FROM f), {colour_guided('t0', ['tr', 'tg', 'tb'], 2, 0.02, True)}", src="gq")
+    s["median__luminance"] = final(f"o AS (SELECT * FROM (VALUES (0,0),(-1,0),(1,0),(0,-1),(0,1)) t(dy, dx)), j AS (SELECT f.y, f.x, n.r, n.g, n.b, {luma('n.r', 'n.g', 'n.b')} AS l FROM f CROSS JOIN o JOIN f n ON n.y = f.y + o.dy AND n.x = f.x + o.dx), m AS (SELECT y, x, list_sort(list({{'l': l, 'r': r, 'g': g, 'b': b}}))[CAST(floor((count(*) - 1) * 0.5::DOUBLE + 0.5) AS BIGINT) + 1] AS m FROM j GROUP BY y, x), q AS (SELECT f.y, f.x, m.m.r AS r, m.m.g AS g, m.m.b AS b, f.a FROM f JOIN m ON f.y = m.y AND f.x = m.x)")
+    # a trapezoid, wider below by k, drawn into the frame: places are divided by what grows with the depth
+    k, z = 1 + 2 * 0.3 / 4, 1.05
+    xx, yy = f"((x + 0.5 - w / 2) / {d(z)} + w / 2)", f"((y + 0.5 - h / 2) / {d(z)} + h / 2)"
+    deep = f"(1 + {d(k - 1)} * {yy} / h)"
+    s["perspective"] = final(gathered(f"w / 2 + ({xx} - w / 2) / {deep}", f"h * {d(k)} * ({yy} / h) / {deep}"))
+    s["curves"] = image(*(f"{c} * sc" for c in "rgb"), pre=f"c0 AS (SELECT * REPLACE ({', '.join(f'{dec(cubic(enc(c), [(0, 0), (0.4, 0.5), (1, 1)]))} AS {c}' for c in 'rgb')}) FROM f), c1 AS (SELECT *, CASE WHEN {LUMA} > 1e-6 THEN {dec(cubic(enc(LUMA), [(0, 0.05), (1, 0.95)]))} / {LUMA} ELSE 1 END AS sc FROM c0)", src="c1")
+    rr = "(sqrt((x - (w - 1) / 2) * (x - (w - 1) / 2) + (y - (h - 1) / 2) * (y - (h - 1) / 2)) / sqrt((w - 1) * (w - 1) / 4 + (h - 1) * (h - 1) / 4))"
+    parts = []
+    for c, extra in zip("rgb", (0.02 + 30 / 20000, 0.02, 0.02), strict=True):
+        sc = f"(1 + {d(extra)} * {rr} * {rr})"
+        one = gathered(f"(w - 1) / 2 + (x - (w - 1) / 2) * {sc} + 0.5", f"(h - 1) / 2 + (y - (h - 1) / 2) * {sc} + 0.5", c, inside=False)
+        for name in ("g00", "g0", "g1", "g2", "g3", "q"):
+            one = re.sub(rf"\b{name}\b", f"{name}_{c}", one)
+        parts.append(one)
+    s["lens_correct"] = image(*(f"q_{c}.{c} * (1 + {d(0.25)} * {smooth('rr', 0.5, 1.0)})" for c in "rgb"), pre=", ".join(parts) + f", f1 AS (SELECT *, {rr} AS rr FROM f)", src="f1 JOIN q_r USING (y, x) JOIN q_g USING (y, x) JOIN q_b USING (y, x)").replace("SELECT y, x, q_r.r", "SELECT f1.y, f1.x, q_r.r").replace("a AS a FROM f1 JOIN", "f1.a AS a FROM f1 JOIN")
+    near = [f"coalesce(abs(v2 - {fn}(v2) OVER (PARTITION BY {p_} ORDER BY {ax})), 0)" for p_, ax in (("y", "x"), ("x", "y")) for fn in ("lag", "lead")]
+    s["model_denoise"] = image(
+        *(f"CASE WHEN greatest(r, g, b) >= 1 THEN {c} ELSE {dec(clip(f'yn + (s{c} - ys) + ((d{c} - v2) - (s{c} - ys)) * 0.5'))} END" for c in "rgb"),
+        pre=f"m0 AS (SELECT *, {clip('b')} AS dr, {clip('r')} AS dg, {clip('g')} AS db, {', '.join(f'{enc(c)} AS s{c}' for c in 'rgb')} FROM f), m1 AS (SELECT *, {luma('dr', 'dg', 'db')} AS v2, {luma('sr', 'sg', 'sb')} AS ys FROM m0), m2 AS (SELECT *, greatest({', '.join(near)}) AS gr FROM m1), m3 AS (SELECT *, ys + (v2 - ys) * {d(0.7)} + (ys - v2) * {d(0.7 * 0.2)} * {smooth('gr', 0.01, 0.08)} AS yn FROM m2)",
+        src="m3",
+    )
+    zone = f"({clip(f'{clip(f'log2(greatest({dec('greatest(base, 0)')}, 1e-9) / {d(0.18)})', -8, 6)}', -4, 4)} + 4)"
+    ev = {2: 0.5, 5: -0.7}
+    gain = " ".join(f"WHEN z <= {i + 1} THEN {d(ev.get(i, 0))} + {d(ev.get(i + 1, 0) - ev.get(i, 0))} * (z - {i})" for i in range(8))
+    s["tone_eq"] = image(*(f"{c} * pow(2::DOUBLE, CASE {gain} ELSE 0 END)" for c in "rgb"), pre=f"e0 AS (SELECT *, {enc(LUMA)} AS dd FROM f), {selfguided('e1', 'e0', 'dd', 'base', 2)}, e2 AS (SELECT *, {zone} AS z FROM e1)", src="e2")
+    kx, ky = "(w / least(w, h))", "(h / least(w, h))"
+    px, py = f"((x + 0.5) / w * {kx})", f"((y + 0.5) / h * {ky})"
+    along = clip(f"({px} - 0.1 * {kx}) / (0.8 * {kx})")
+    s["brush_mask"] = field("1 - " + smooth("dd", 0.1, 0.2), pre=f"b0 AS (SELECT *, sqrt(pow({px} - (0.1 * {kx} + {along} * 0.8 * {kx}), 2) + pow({py} - 0.5 * {ky}, 2)) AS dd FROM f)", src="b0")
+    (sx, sy), (ex, ey) = [(sat * math.cos(math.radians(h_)), sat * math.sin(math.radians(h_))) for h_, sat in ((30, 0.5), (60, 0.8))]
+    wb = f"(1 - {smooth('away', 0, 1 / 3)})"
+    cone = "(CASE WHEN k6 = 0 THEN {0} WHEN k6 = 1 THEN {1} WHEN k6 = 2 THEN {2} WHEN k6 = 3 THEN {3} WHEN k6 = 4 THEN {4} ELSE {5} END)"
+    faces = {"r": ("1", "xx", "0", "0", "xx", "1"), "g": ("xx", "1", "1", "xx", "0", "0"), "b": ("0", "0", "xx", "1", "1", "xx")}
+    s["color_bend"] = image(
+        *(f"CASE WHEN yy <= 0 OR wt <= 0 THEN {c} ELSE m{c} * (yy / greatest({luma('mr', 'mg', 'mb')}, 1e-6)) END" for c in "rgb"),
+        pre=f"{SAT}, t0 AS (SELECT *, {LUMA} AS yy, sat * cos(radians(hue)) AS px, sat * sin(radians(hue)) AS py FROM hs3), t1 AS (SELECT *, sqrt(pow(px - {d(sx)}, 2) + pow(py - {d(sy)}, 2)) AS away FROM t0), t2 AS (SELECT *, {wb} AS wt FROM t1), t3 AS (SELECT *, px + wt * {d(ex - sx)} AS nx, py + wt * {d(ey - sy)} AS ny FROM t2), t4 AS (SELECT *, {clip('sqrt(nx * nx + ny * ny)')} AS ns, CASE WHEN atan2(ny, nx) < 0 THEN degrees(atan2(ny, nx)) + 360 ELSE degrees(atan2(ny, nx)) END AS nh FROM t3), t5 AS (SELECT *, nh / 60 - 6 * floor(nh / 360) AS h6 FROM t4), t6 AS (SELECT *, floor(h6) AS k6, 1 - abs(h6 - 2 * floor(h6 / 2) - 1) AS xx FROM t5), t7 AS (SELECT *, {', '.join(f'1 + ns * ({cone.format(*faces[c])} - 1) AS m{c}' for c in 'rgb')} FROM t6)",
+        src="t7",
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     from rasterloom.queries.raster import SCENE
 
     found = build()
+    neighbourly(found)
     return found | {f"scene__{k}": found[k].replace(FRAME, SCENE_FRAME) for k in SCENE}
