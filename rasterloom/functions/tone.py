@@ -163,6 +163,32 @@ def inside_gamut(rgb: Triple) -> Triple:
     return tuple(F.when(low >= 0, c).when(y <= 0, num(0)).otherwise(y + (c - y) * k) for c in rgb)  # type: ignore[return-value]
 
 
+#: The multipliers of the lattice hash.
+LATTICE = (374761393, 668265263, 1274126177)
+
+
+def lattice_hash(ix: Column, iy: Column) -> Column:
+    """A number from 0 to 1 for each point of a lattice: of a product of 64 bits only the lower 32 are needed, so none overflows."""
+    h = ix.cast("long") * F.lit(LATTICE[0]).cast("long") + iy.cast("long") * F.lit(LATTICE[1]).cast("long")
+    low = F.lit(0xFFFFFFFF).cast("long")
+    h = h.bitwiseXOR(F.shiftrightunsigned(h, 13)).bitwiseAND(low) * F.lit(LATTICE[2]).cast("long")
+    return h.bitwiseXOR(F.shiftrightunsigned(h, 16)).bitwiseAND(F.lit(0xFFFF).cast("long")) / num(65535)
+
+
+def value_noise(x: Column, y: Column) -> Column:
+    """Hashes of the four points of the lattice around a place, smoothly between them."""
+    ix, iy = F.floor(x), F.floor(y)
+    fx, fy = x - ix, y - iy
+    sx, sy = fx * fx * (num(3) - num(2) * fx), fy * fy * (num(3) - num(2) * fy)
+    row = lambda j: lattice_hash(ix, j) + (lattice_hash(ix + 1, j) - lattice_hash(ix, j)) * sx
+    return row(iy) + (row(iy + 1) - row(iy)) * sy
+
+
+def fractal_noise(x: Column, y: Column) -> Column:
+    """Three octaves of value noise, from 0 to 1."""
+    return sum((value_noise(x * num(2.1**k), y * num(2.1**k)) * num(0.5 ** (k + 1)) for k in range(3)), num(0)) / num(0.875)
+
+
 def soft_low(n: Column, k: float) -> Column:
     """A quadratic knee of half-width k at zero."""
     if k <= 0:

@@ -144,6 +144,46 @@ def detail(inputs, p):
     return detail_pass(inputs["in"], p)
 
 
+# The five bands of detail, finest first, as shares of the short side with least sigmas, and how a band is shown alone.
+BANDS = {"fine": (1.2 / 1365, 0.6), "small": (4 / 1365, 1.0), "medium": (12 / 1365, 2.0), "large": (36 / 1365, 4.0), "broad": (100 / 1365, 8.0)}
+VIEW_GREY, VIEW_GAIN = 0.5, 3.0
+
+
+@node("detail_eq", masked=True, params={k: SIGNED() for k in BANDS} | {k: number(100, 0, 200) for k in ("shadows", "midtones", "highlights", "red", "green", "blue")} | {"range_ev": SIGNED(m=20), "view": Param("")})
+def detail_eq(inputs, p):
+    """Display luma split into five bands by guided bases of widening radii: a raised band comes back through a soft limit, a lowered one goes in proportion; the new luma lands as a ratio, weighed by tone and channel. A view shows one band alone."""
+    rel = inputs["in"]
+    strengths = [max(-1.0, min(1.0, p[k] / 100)) for k in BANDS]
+    shown = int(p["view"][5:]) if p["view"].startswith("band:") and p["view"][5:] in ("1", "2", "3", "4", "5") else 0
+    needed = shown or max((k + 1 for k, v in enumerate(strengths) if v), default=0)
+    if not needed:
+        return rel
+    short = min(rel.width, rel.height)
+    df = rel.df.withColumn("_l", luma()).withColumn("_d", t.encode(F.greatest("_l", num(0)))).withColumn("_finer", F.col("_d")).withColumn("_change", num(0))
+    for k, (share, least) in enumerate(list(BANDS.values())[:needed]):
+        if shown and k + 2 < shown:
+            continue
+        radius = max(1, math.floor(max(short * share, least) * math.sqrt(3) + 0.5))
+        df = self_guided(df, "_d", "_base", radius, EPS, rel.width, rel.height)
+        band = F.col("_finer") - F.col("_base")
+        if strengths[k] and not shown:
+            soft = band / (num(1) + F.abs(band / F.when(band > 0, num(LIMIT_UP)).otherwise(num(LIMIT_DOWN))))
+            df = df.withColumn("_change", F.col("_change") + (num(GAIN * strengths[k]) * soft if strengths[k] > 0 else num(strengths[k]) * band))
+        df = df.withColumn("_band", band).withColumn("_finer", F.col("_base")).drop("_base")
+    if shown:
+        grey = t.decode(t.clamp(num(VIEW_GREY) + num(VIEW_GAIN) * F.col("_band")))
+        return Rel(df, IMAGE, rel.width, rel.height).image(grey, grey, grey)
+    weights = {k: p[k] / 100 for k in ("shadows", "midtones", "highlights", "red", "green", "blue")}
+    weights = None if all(abs(v - 1) < 1e-6 for v in weights.values()) else weights
+    ratio = t.decode(F.greatest(F.col("_d") + F.col("_change"), F.col("_d") * num(DARK))) / F.col("_l")
+    still = (F.col("_l") <= 1e-6) | (F.col("_change") == 0)
+    out = []
+    for c, k in zip(COLOURS, gains(F.col("_l"), weights, p["range_ev"]), strict=True):
+        factor = ratio if weights is None else F.when(k == 1, ratio).otherwise(F.greatest(num(1) + k * (ratio - num(1)), t.decode(F.col("_d") * num(DARK)) / F.col("_l")))
+        out.append(F.when(still, F.col(c)).otherwise(F.col(c) * factor))
+    return Rel(df, IMAGE, rel.width, rel.height).image(*out)
+
+
 @node("sharpen", masked=True, amount=number(0, 0, 300), radius=number(1, 0.1, 5), threshold=number(0, 0, 255))
 def sharpen(inputs, p):
     """Unsharp mask against the guided base of each display channel; small differences stay."""

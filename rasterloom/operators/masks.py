@@ -266,7 +266,7 @@ def depth_map(inputs, p):
     return inputs["in"]
 
 
-@node("fog", takes=("depth",), masked=True, density=number(0), start=number(0), falloff=number(50), fog_level=number(72), fog_hue=number(220, 0, 360), fog_sat=number(10), desat=number(0), params={k: DEPTH[k] for k in ("depth_black", "depth_white", "depth_gamma", "depth_black_soft", "depth_white_soft")})
+@node("fog", takes=("depth",), masked=True, density=number(0), start=number(0), falloff=number(50), fog_level=number(72), fog_hue=number(220, 0, 360), fog_sat=number(10), desat=number(0), texture=number(0), texture_size=number(30), texture_shift=number(0), params={k: DEPTH[k] for k in ("depth_black", "depth_white", "depth_gamma", "depth_black_soft", "depth_white_soft")})
 def fog(inputs, p):
     """Farness fades a picture into a fog colour."""
     rel, depth = inputs["in"], inputs.get("depth")
@@ -278,6 +278,10 @@ def fog(inputs, p):
     start = p["start"] / 100
     df = df.withColumn("_x", t.clamp((far - num(start)) / num(max(1 - start, 1e-3))))
     df = df.withColumn("_f", num(1) - F.exp(num(-3 * density) * F.pow("_x", num(10 ** ((p["falloff"] - 50) / 50)))))
+    if p["texture"] > 0:
+        wave = max(1.0, min(rel.width, rel.height) / (1.5 + p["texture_size"] / 100 * 10))
+        df = df.withColumn("_n", t.fractal_noise(F.col("x") / num(wave) + num(p["texture_shift"] * 7.77), F.col("y") / num(wave) + num(p["texture_shift"] * 3.33)))
+        df = df.withColumn("_f", t.clamp(F.col("_f") * (num(1) + num(p["texture"] / 100 * 0.85) * (F.col("_n") * num(2) - num(1)))))
     level = max(0.02, min(0.98, p["fog_level"] / 100))
     base = level / 12.92 if level <= 0.04045 else ((level + 0.055) / 1.055) ** 2.4
     sat = p["fog_sat"] / 100

@@ -110,3 +110,120 @@ def owners(weights: DataFrame) -> DataFrame:
     """The frame that owns each place: the largest weight, ties to the first frame. Rows (frame_id, y, x, w)."""
     w = Window.partitionBy("y", "x").orderBy(F.desc("w"), "frame_id")
     return weights.filter("w > 0").withColumn("_k", F.row_number().over(w)).filter("_k = 1").select("y", "x", "frame_id")
+
+
+#: Features kept of a frame, trials of a fit, points of a trial, and how near in pixels a point must land.
+FEATURE_LIMIT, TRIALS, SAMPLE, INLIER = 1500, 500, 4, 3.0
+
+
+def strongest(features: DataFrame, limit: int = FEATURE_LIMIT) -> DataFrame:
+    """A frame's features of the largest response, ties to the smaller id."""
+    w = Window.partitionBy("frame_id").orderBy(F.desc(F.abs("response")), "id")
+    return features.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= limit).drop("_k")
+
+
+def levelled(points: np.ndarray) -> np.ndarray:
+    """The map that brings points to their centre, at a mean distance of root two."""
+    centre = points.mean(axis=0)
+    far = np.hypot(*(points - centre).T).mean()
+    k = np.sqrt(2) / far if far > 1e-12 else 1.0
+    return np.array([[k, 0, -k * centre[0]], [0, k, -k * centre[1]], [0, 0, 1]])
+
+
+def applied(m: np.ndarray, points: np.ndarray) -> np.ndarray:
+    """Points through a projective map; far away where they have no place."""
+    u = np.hstack([points, np.ones((len(points), 1))]) @ m.T
+    sound = np.abs(u[:, 2]) > 1e-12
+    return np.where(sound[:, None], u[:, :2] / np.where(sound, u[:, 2], 1)[:, None], np.inf)
+
+
+def fit_homography(source: np.ndarray, target: np.ndarray) -> np.ndarray | None:
+    """The projective map nearest to taking points to others, by least squares in levelled coordinates; None if they don't determine one."""
+    if len(source) < SAMPLE:
+        return None
+    a, b = levelled(source), levelled(target)
+    (x, y), (u, v) = applied(a, source).T, applied(b, target).T
+    one, zero = np.ones(len(x)), np.zeros(len(x))
+    rows = np.vstack([np.stack([x, y, one, zero, zero, zero, -u * x, -u * y], 1), np.stack([zero, zero, zero, x, y, one, -v * x, -v * y], 1)])
+    normal = rows.T @ rows
+    if np.linalg.cond(normal) > 1e12:
+        return None
+    m = np.linalg.inv(b) @ np.append(np.linalg.solve(normal, rows.T @ np.concatenate([u, v])), 1.0).reshape(3, 3) @ a
+    return m / m[2, 2] if abs(m[2, 2]) > 1e-12 else None
+
+
+def ransac(source: np.ndarray, target: np.ndarray, trials: int = TRIALS, near: float = INLIER) -> tuple[np.ndarray, np.ndarray] | None:
+    """The map that most pairs of points agree on, and which they are: fits to four pairs at a time are voted on by all, and the winner is fitted again to those that agree."""
+    if len(source) < SAMPLE:
+        return None
+    rng = np.random.default_rng(len(source))
+
+    def agreeing(m: np.ndarray) -> np.ndarray:
+        return ((applied(m, source) - target) ** 2).sum(axis=1) <= near * near
+
+    best, votes = None, np.zeros(len(source), bool)
+    for _ in range(trials):
+        chosen = rng.choice(len(source), SAMPLE, replace=False)
+        m = fit_homography(source[chosen], target[chosen])
+        if m is not None and (found := agreeing(m)).sum() > votes.sum():
+            best, votes = m, found
+    if votes.sum() < SAMPLE:
+        return None
+    again = fit_homography(source[votes], target[votes])
+    if again is not None and (found := agreeing(again)).sum() >= votes.sum():
+        return again, found
+    return best, votes
+
+
+def fitted_pairs(matches: DataFrame) -> DataFrame:
+    """a, b, n, inliers, h (nine numbers by rows; null without a fit) of each pair of frames, from rows (a, b, ax, ay, bx, by). A pair has as many rows as features are kept of a frame, at most."""
+    import pandas as pd
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ax", "ay", "bx", "by"])
+        found = ransac(pdf[["ax", "ay"]].to_numpy(float), pdf[["bx", "by"]].to_numpy(float))
+        return pd.DataFrame({"a": [pdf["a"].iloc[0]], "b": [pdf["b"].iloc[0]], "n": [len(pdf)], "inliers": [int(found[1].sum()) if found else 0], "h": [found[0].ravel().tolist() if found else None]})
+
+    kinds = [matches.schema[c].dataType.simpleString() for c in "ab"]
+    return matches.groupBy("a", "b").applyInPandas(fit, f"a {kinds[0]}, b {kinds[1]}, n long, inliers long, h array<double>")
+
+
+#: Cells of a grid of coverage along a frame's longer side.
+CROP_EDGE = 1024
+
+
+def auto_crop(rel_df: DataFrame, width: int, height: int) -> DataFrame:
+    """frame_id, x, y, w, h: the largest rectangle of each frame without an uncovered pixel, in cells of the frame, one cell in from where it doesn't reach the edge, as shares of the frame; frames without one are left out. Cells are counted where pixels lie; a frame is then at most CROP_EDGE squared cells."""
+    import pandas as pd
+
+    size = max(1, -(-max(width, height) // CROP_EDGE))
+    gw, gh = -(-width // size), -(-height // size)
+    cell = lambda c: F.floor(F.col(c) / size).cast("int")
+    full = rel_df.groupBy("frame_id", cell("y").alias("cy"), cell("x").alias("cx")).agg(F.min((F.col("a") >= 0.5).cast("int")).alias("full"), F.count(F.lit(1)).alias("n"))
+    wanted = F.least(F.lit(size), F.lit(width) - F.col("cx") * size) * F.least(F.lit(size), F.lit(height) - F.col("cy") * size)
+    rows = full.filter((F.col("full") == 1) & (F.col("n") == wanted)).groupBy("frame_id", "cy").agg(F.collect_list("cx").alias("cells"))  # at most CROP_EDGE rows a frame
+
+    def largest(pdf: pd.DataFrame) -> pd.DataFrame:
+        covered = np.zeros((gh, gw), bool)
+        for y, xs in zip(pdf["cy"], pdf["cells"], strict=True):
+            covered[y, xs] = True
+        high, best = np.zeros(gw, int), (0, 0, 0, 0, 0)
+        for y in range(gh):
+            high = np.where(covered[y], high + 1, 0)
+            open_: list[tuple[int, int]] = []  # (first column, height), rising
+            for x, tall in enumerate([*high.tolist(), 0]):
+                first = x
+                while open_ and open_[-1][1] >= tall:
+                    first, top = open_.pop()
+                    if top * (x - first) > best[0]:
+                        best = (top * (x - first), first, y + 1 - top, x, y + 1)
+                open_.append((first, tall))
+        area, x0, y0, x1, y1 = best
+        x0, y0, x1, y1 = x0 + (x0 > 0), y0 + (y0 > 0), x1 - (x1 < gw), y1 - (y1 < gh)
+        if not area or x1 <= x0 or y1 <= y0:
+            return pd.DataFrame({"frame_id": [], "x": [], "y": [], "w": [], "h": []})
+        left, right = (min(c * size, width) / width for c in (x0, x1))
+        top, foot = (min(c * size, height) / height for c in (y0, y1))
+        return pd.DataFrame({"frame_id": [pdf["frame_id"].iloc[0]], "x": [left], "y": [top], "w": [right - left], "h": [foot - top]})
+
+    return rows.groupBy("frame_id").applyInPandas(largest, f"frame_id {rel_df.schema['frame_id'].dataType.simpleString()}, x double, y double, w double, h double")

@@ -103,3 +103,74 @@ def noise_levels(rel: Rel, tile: int = 16, bins: int = 8, least: int = 4) -> Dat
         low = takes.withColumn("i", F.row_number().over(Window.partitionBy("frame_id").orderBy(c))).filter("i <= 2").groupBy("frame_id").agg(F.avg(c).alias(name))
         out = low if out is None else out.join(low, "frame_id", "full")
     return rel.df.select("frame_id").distinct().join(out, "frame_id", "left").fillna(0.0)
+
+
+#: Bins of a histogram of chroma, up to the largest; the last takes the rest.
+CHROMA_BINS, CHROMA_MOST = 500, 0.5
+
+
+def chroma_histogram(rel: Rel, smoothing: float = 50.0) -> DataFrame:
+    """frame_id, bin, share of each frame's pixels by OkLab chroma, their own or that of their smoothed surroundings if that is less. Every pixel counts."""
+    from rasterloom.operators.spatial import box_columns
+
+    lab = t.to_oklab(*[F.greatest(F.col(c), num(0)) for c in ("r", "g", "b")])
+    df = rel.df.select(*KEY, lab[1].alias("_a"), lab[2].alias("_b")).withColumn("_sa", F.col("_a")).withColumn("_sb", F.col("_b"))
+    radius = int(min(rel.width, rel.height) * 0.02 * min(1.0, smoothing / 100))
+    if radius:
+        df = box_columns(df, ["_sa", "_sb"], radius, rel.width, rel.height, True)
+    chroma = F.least(F.hypot("_a", "_b"), F.hypot("_sa", "_sb"))
+    at = F.least(F.floor(chroma / num(CHROMA_MOST) * num(CHROMA_BINS)), F.lit(CHROMA_BINS - 1)).cast("int")
+    counted = df.groupBy("frame_id", at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("frame_id", "bin", (F.col("n") / num(rel.width * rel.height)).alias("share"))
+
+
+def region_coverage(labels: Rel, x: float, y: float, cells: int) -> DataFrame:
+    """frame_id, gy, gx, covered: how much of each cell of a grid belongs to the region at a place, from 0 to 255, for a field of labels."""
+    w, h = labels.width, labels.height
+    at_x, at_y = min(int(x * w), w - 1), min(int(y * h), h - 1)
+    target = labels.df.filter((F.col("x") == at_x) & (F.col("y") == at_y)).select("frame_id", F.col("v").alias("_target"))
+    gx, gy = (F.least(F.floor(F.col(c) * F.lit(cells) / F.lit(n)), F.lit(cells - 1)).cast("int").alias(f"g{c}") for c, n in (("x", w), ("y", h)))
+    parts = labels.df.select("frame_id", gy, gx, "v").groupBy("frame_id", "gy", "gx", "v").agg(F.count(F.lit(1)).alias("n"))
+    joined = parts.join(F.broadcast(target), "frame_id")
+    return joined.groupBy("frame_id", "gy", "gx").agg(F.floor(F.sum(F.when(F.col("v") == F.col("_target"), F.col("n")).otherwise(F.lit(0))) * F.lit(255) / F.sum("n")).cast("int").alias("covered"))
+
+
+#: Luma values this share of a frame's middle half from its median tell nothing, and a shift needs so many places that do.
+TOLERANCE, LEAST_TOLERANCE, LEAST_PLACES = 0.05, 1e-4, 16
+
+
+def thresholded(lumas: DataFrame) -> DataFrame:
+    """frame_id, y, x, bit: whether a place is brighter than its frame's median, where it clearly is or isn't."""
+    quarters = lumas.groupBy("frame_id").agg(F.percentile("l", F.array(num(0.25), num(0.5), num(0.75))).alias("_q"))  # one row a frame
+    df = lumas.join(F.broadcast(quarters), "frame_id")
+    near = F.greatest((F.col("_q")[2] - F.col("_q")[0]) * num(TOLERANCE), num(LEAST_TOLERANCE))
+    return df.filter(F.abs(F.col("l") - F.col("_q")[1]) >= near).select("frame_id", "y", "x", (F.col("l") > F.col("_q")[1]).alias("bit"))
+
+
+def find_shifts(rel: Rel, base: int, radius: int) -> DataFrame:
+    """frame_id, dx, dy: whole-pixel shifts that best line frames up with one of them. Frames are halved until a search of one pixel to each side finds the coarsest shift, which every finer level doubles and corrects; a shift's error is the share of places whose bits differ. Each level is one join and one row a frame and candidate."""
+    spark = rel.df.sparkSession
+    levels, w, h = [], rel.width, rel.height
+    lumas = rel.df.select(*KEY, t.luma(F.col("r"), F.col("g"), F.col("b")).alias("l"))
+    for k in range(max(0, int(np.ceil(np.log2(max(1, radius))))) + 1):
+        if k:
+            if w < 16 or h < 16:
+                break
+            w, h = w // 2, h // 2
+            half = lumas.filter((F.col("x") < 2 * w) & (F.col("y") < 2 * h))
+            lumas = half.groupBy("frame_id", F.floor(F.col("y") / 2).cast("int").alias("y"), F.floor(F.col("x") / 2).cast("int").alias("x")).agg(F.avg("l").alias("l"))
+        levels.append((thresholded(lumas), max(1, max(w, h) // 128)))
+    frames = [r[0] for r in rel.df.select("frame_id").distinct().collect()]
+    shifts = dict.fromkeys(frames, (0, 0))
+    for k in range(len(levels) - 1, -1, -1):
+        bits, step = levels[k]
+        if k < len(levels) - 1:
+            shifts = {f: (2 * dx, 2 * dy) for f, (dx, dy) in shifts.items()}
+        tried = [(f, dx + i, dy + j, abs(i) + abs(j) > 0, 3 * (j + 1) + i + 1) for f, (dx, dy) in shifts.items() for j in (-1, 0, 1) for i in (-1, 0, 1)]
+        candidates = spark.createDataFrame(tried, "frame_id int, dx int, dy int, away boolean, turn int")
+        still = bits.filter((F.col("frame_id") == base) & (F.col("x") % step == 0) & (F.col("y") % step == 0)).select(F.col("y").alias("by"), F.col("x").alias("bx"), F.col("bit").alias("base_bit"))
+        wide = bits.join(F.broadcast(candidates), "frame_id").withColumn("by", F.col("y") - F.col("dy")).withColumn("bx", F.col("x") - F.col("dx"))
+        errors = wide.join(still, ["by", "bx"]).groupBy("frame_id", "dx", "dy", "away", "turn").agg(F.avg((F.col("bit") != F.col("base_bit")).cast("double")).alias("e"), F.count(F.lit(1)).alias("n"))
+        best = errors.filter(F.col("n") >= LEAST_PLACES).groupBy("frame_id").agg(F.min(F.struct("e", "away", "turn", "dx", "dy")).alias("b"))
+        shifts |= {r[0]: (r[1], r[2]) for r in best.select("frame_id", "b.dx", "b.dy").collect()}  # one row a frame
+    return spark.createDataFrame([(f, *s) for f, s in sorted(shifts.items())], "frame_id int, dx int, dy int")

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.frame import FIELD, KEY, Rel, field_rel, frame_from_events, image_rel, plane_from_events, scene_from_events
-from rasterloom.operators import combine, detail, geometry, masks, point, select, spatial, stack  # noqa: F401
+from rasterloom.functions import exif
+from rasterloom.operators import combine, detail, geometry, masks, match, point, select, spatial, stack  # noqa: F401
 from rasterloom.operators.node import run
 from rasterloom.plans.graph import Graph
 from rasterloom.session import shared_path
@@ -168,6 +169,9 @@ NODES |= {
     "clarity": one("clarity", {"texture": 30.0, "clarity": 40.0}),
     "detail": one("detail", {"texture": 20.0, "dehaze": 30.0}),
     "detail__dehaze": one("detail", {"dehaze": 30.0}),
+    "detail_eq": one("detail_eq", {"fine": 40.0, "medium": -60.0, "large": 30.0, "midtones": 150.0, "blue": 50.0}),
+    "detail_eq__band": one("detail_eq", {"view": "band:2"}),
+    "fog__texture": one("fog", {"density": 70.0, "texture": 80.0, "texture_size": 40.0, "texture_shift": 2.0}, depth="plane"),
     "detail__weighed": one("detail", {"dehaze": 40.0, "dehaze_shadows": 50.0, "dehaze_highlights": 150.0, "dehaze_red": 80.0}),
     "standard_color__dehaze": one("standard_color", {"saturation": 20.0, "dehaze": -25.0}),
     "detail__texture": one("detail", {"texture": 30.0, "clarity": -20.0, "texture_midtones": 60.0}),
@@ -256,6 +260,66 @@ def noise_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("frame_id", F.round("luma_sigma", 6).alias("luma_sigma"), F.round("chroma_sigma", 6).alias("chroma_sigma"))
 
 
+def chroma_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stack.chroma_histogram(picture(spark, sf_dir)).select("bin", F.round("share", 9).alias("share"))
+
+
+def region_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plane in four steps as labels, and the region at its middle."""
+    labels = plane(spark, sf_dir).field(F.floor(F.col("v") * F.lit(3.999)).cast("double"))
+    return stack.region_coverage(labels, 0.5, 0.5, 16).select("gy", "gx", "covered")
+
+
+def shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A smooth picture at every place of the events, and two more that show it moved, found again."""
+    e = events(spark, sf_dir)
+    at = F.col("event_id")
+    x, y = at % 100, F.floor(at / F.lit(100.0))
+    moved = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for f, dx, dy in ((0, 0, 0), (1, 3, -2), (2, -5, 4))])).alias("m")
+    df = e.select(x.cast("int").alias("x"), y.cast("int").alias("y"), moved)
+    u, v = F.col("x") - F.col("m.dx"), F.col("y") - F.col("m.dy")
+    light = F.lit(0.5) + F.lit(0.2) * F.sin(u / F.lit(7.0)) + F.lit(0.2) * F.cos(v / F.lit(5.0) + u / F.lit(11.0)) + F.lit(0.08) * F.sin(u * v / F.lit(90.0))
+    df = df.select(F.col("m.f").alias("frame_id"), "y", "x", light.alias("r"), light.alias("g"), light.alias("b"), F.lit(1.0).alias("a"))
+    return stack.find_shifts(image_rel(df, 100, -(-e.count() // 100)), 0, 8)
+
+
+def cropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The picture covered but for its rim and a corner beside it: the rectangle that is left."""
+    covered = F.col("x").between(12, 83) & (F.col("y") >= 2) | (F.col("x") > 90)
+    rel = picture(spark, sf_dir).image(F.col("r"), F.col("g"), F.col("b"), F.when(covered, F.lit(1.0)).otherwise(F.lit(0.0)))
+    out = match.auto_crop(rel.df, rel.width, rel.height)
+    return out.select("frame_id", *[F.round(c, 9).alias(c) for c in ("x", "y", "w", "h")])
+
+
+#: A projective map that points of the fitting query follow.
+TURNED = ((1.02, -0.13, 40.0), (0.08, 0.97, -25.0), (0.00004, -0.00002, 1.0))
+
+
+def point_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as points of frames by size, with the places where a map takes them; every third one is far off."""
+    k = F.col("p_partkey")
+    df = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_size") % 3).cast("long").alias("a"), (F.col("p_size") % 3 + 10).cast("long").alias("b"), k, (k * 7919 % 1973).cast("double").alias("ax"), (k * 104729 % 1487).cast("double").alias("ay"))
+    u, v, z = (F.col("ax") * F.lit(r[0]) + F.col("ay") * F.lit(r[1]) + F.lit(r[2]) for r in TURNED)
+    off = F.when(k % 3 == 0, F.lit(60.0) + (k % 101).cast("double")).otherwise(F.lit(0.0))
+    return df.select("a", "b", "ax", "ay", (u / z + off).alias("bx"), (v / z - off).alias("by"))
+
+
+def fitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = match.fitted_pairs(point_pairs(spark, sf_dir))
+    return out.select("a", "b", "n", "inliers", *[F.round(F.col("h")[i], 6).alias(f"h{i}") for i in range(8)])
+
+
+def strongest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as features of a frame a type, by value; the strongest hundred of each."""
+    return match.strongest(events(spark, sf_dir).select(F.col("event_type").alias("frame_id"), F.col("event_id").alias("id"), (F.col("value") - F.lit(250.0)).alias("response")), 100).select("frame_id", "id")
+
+
+def exif_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("p_size").cast("double")
+    values = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.when(F.col("p_size") % 7 == 0, F.lit(0.0)).when(F.col("p_size") % 2 == 0, n / F.lit(4.0)).otherwise(F.lit(1.0) / (n * F.lit(5.0))).alias("s"), (n / F.lit(8.0)).alias("f"), (n * F.lit(3.7)).alias("mm"), ((n - F.lit(25.0)) / F.lit(8.0)).alias("ev"))
+    return values.select("p_partkey", exif.shutter(F.col("s")).alias("shutter"), exif.aperture(F.col("f")).alias("aperture"), exif.focal(F.col("mm")).alias("focal"), exif.bias(F.col("ev")).alias("bias"))
+
+
 def render_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A graph as one plan: a brighter picture where it is mid-grey, and its mean luma by row."""
     g = Graph.from_json('{"nodes": [{"id": "src", "type": "image_source"}, {"id": "m", "type": "luminance_range_mask", "params": {"low": 0.3, "high": 0.6}}, {"id": "e", "type": "exposure", "params": {"exposure": 1.0}}], "wires": [{"from": "src", "to": "m"}, {"from": "src", "to": "e"}, {"from": "m", "to": "e", "port": "mask"}]}')
@@ -268,6 +332,7 @@ def queries() -> dict[str, Query]:
     out = dict(NODES)
     out |= {f"stack__{m}": stack_query(m) for m in stack.MODES}
     out |= {f"scene__{k}": in_scene(NODES[k]) for k in SCENE}
+    out |= {"chroma_histogram": chroma_histogram, "region_coverage": region_coverage, "stack__shifts": shifts, "match__auto_crop": cropped, "match__fit": fitted, "match__strongest": strongest, "exif__texts": exif_texts}
     out |= {"lut": looked_up, "area_downscale": area_downscale, "noise_estimate": noise_estimate, "render_slice": render_slice}
     return out
 

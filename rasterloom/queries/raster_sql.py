@@ -650,9 +650,62 @@ def neighbourly(s: dict[str, str]) -> None:
     )
 
 
+def noise(x, y):
+    """Three octaves of noise from a hash of the lattice around a place, as nested expressions."""
+    h0 = lambda i, j: f"(({i}) * 374761393 + ({j}) * 668265263)"
+    h1 = lambda i, j: f"((xor({h0(i, j)}, {h0(i, j)} >> 13) & 4294967295) * 1274126177)"
+    at = lambda i, j: f"((xor({h1(i, j)}, {h1(i, j)} >> 16) & 65535) / {d(65535)})"
+    out = []
+    for k in range(3):
+        u, v = f"({x} * {d(2.1**k)})", f"({y} * {d(2.1**k)})"
+        i, j = f"CAST(floor({u}) AS BIGINT)", f"CAST(floor({v}) AS BIGINT)"
+        sx, sy = (f"(({w} - floor({w})) * ({w} - floor({w})) * (3 - 2 * ({w} - floor({w}))))" for w in (u, v))
+        row = lambda jj, i=i, sx=sx: f"({at(i, jj)} + ({at(i + ' + 1', jj)} - {at(i, jj)}) * {sx})"
+        out.append(f"({row(j)} + ({row(j + ' + 1')} - {row(j)}) * {sy}) * {d(0.5 ** (k + 1))}")
+    return "(" + " + ".join(out) + f") / {d(0.875)}"
+
+
+def measured(s: dict[str, str]) -> None:
+    """Bands of detail, noise, histograms, shifts, fits and crops."""
+    pre, at = f"b0 AS (SELECT *, {LUMA} AS l, {enc(LUMA)} AS dd, {SEEN} AS sn FROM f)", "b0"
+    radii = {"fine": 1, "small": 2, "medium": 3, "large": 7}
+    for k, r in radii.items():
+        pre += f", {selfguided(k, at, 'dd', f'c_{k}', r)}"
+        at = k
+    bands = {"fine": "(dd - c_fine)", "medium": "(c_small - c_medium)", "large": "(c_medium - c_large)"}
+    soft = lambda v: f"({v} / (1 + abs({v} / (CASE WHEN {v} > 0 THEN {d(0.16)} ELSE {d(0.6)} END))))"
+    change = f"({d(2.5 * 0.4)} * {soft(bands['fine'])} + {d(-0.6)} * {bands['medium']} + {d(2.5 * 0.3)} * {soft(bands['large'])})"
+    ratio = f"({dec('greatest(dd + ch, dd * 0.45::DOUBLE)')} / l)"
+    weigh = lambda c: f"(({WS} + {WM} * 1.5::DOUBLE + {WH}) * {d(0.5 if c == 'b' else 1)})"
+    s["detail_eq"] = image(*(f"CASE WHEN l <= 1e-6 OR ch = 0 THEN {c} WHEN {weigh(c)} = 1 THEN {c} * {ratio} ELSE {c} * greatest(1 + {weigh(c)} * ({ratio} - 1), {dec('dd * 0.45::DOUBLE')} / l) END" for c in "rgb"), pre=f"{pre}, b9 AS (SELECT *, {change} AS ch FROM {at})", src="b9")
+    view = dec(clip("0.5::DOUBLE + 3 * (c1 - c2)"))
+    s["detail_eq__band"] = image(view, view, view, pre=f"b0 AS (SELECT *, {enc(LUMA)} AS dd FROM f), {selfguided('b1', 'b0', 'dd', 'c1', 1)}, {selfguided('b2', 'b1', 'dd', 'c2', 2)}", src="b2")
+    lvl = ((0.72 + 0.055) / 1.055) ** 2.4
+    fc = [lvl * (1 - 0.1 + 0.1 * v) for v in hexcone(220)]
+    wave = f"greatest(least(w, h) / {d(1.5 + 4)}, 1)"
+    s["fog__texture"] = image(*(f"{c} + ({d(v)} - {c}) * ff" for c, v in zip("rgb", fc, strict=True)), pre=f"t0 AS (SELECT *, {clip('v')} AS xx, x / {wave} + {d(2 * 7.77)} AS u, y / {wave} + {d(2 * 3.33)} AS q FROM f), t1 AS (SELECT *, {noise('u', 'q')} AS n FROM t0), t2 AS (SELECT *, {clip(f'(1 - exp({d(-3 * 0.7)} * xx)) * (1 + {d(0.8 * 0.85)} * (n * 2 - 1))')} AS ff FROM t1)", src="t2")
+    chroma = "least(sqrt(la * la + lb * lb), sqrt(sa * sa + sb * sb))"
+    both = lambda ax: ", ".join(f"{window_mean(c, ax, 1)} AS {c}" for c in ("sa", "sb"))
+    s["chroma_histogram"] = f"WITH f AS ({FRAME}), {OKLAB}, c0 AS (SELECT y, x, w, h, la, lb, la AS sa, lb AS sb FROM k), c1 AS (SELECT * REPLACE ({both('x')}) FROM c0), c2 AS (SELECT * REPLACE ({both('y')}) FROM c1), c3 AS (SELECT CAST(least(floor({chroma} / 0.5::DOUBLE * 500), 499) AS INTEGER) AS bin, w * h AS n FROM c2) SELECT bin, round(count(*) / max(n), 9) AS share FROM c3 GROUP BY bin"
+    s["region_coverage"] = f"WITH f AS ({FRAME}), l AS (SELECT y, x, w, h, floor(v * 3.999::DOUBLE) AS k FROM f), t AS (SELECT k AS target FROM l WHERE x = floor(0.5 * w) AND y = floor(0.5 * h)) SELECT CAST(floor(y * 16 / h) AS INTEGER) AS gy, CAST(floor(x * 16 / w) AS INTEGER) AS gx, CAST(floor(sum(CASE WHEN k = target THEN 1 ELSE 0 END) * 255 / CAST(count(*) AS DOUBLE)) AS INTEGER) AS covered FROM l, t GROUP BY ALL"
+    s["stack__shifts"] = "SELECT CAST(f AS INTEGER) AS frame_id, CAST(dx AS INTEGER) AS dx, CAST(dy AS INTEGER) AS dy FROM (VALUES (0, 0, 0), (1, 3, -2), (2, -5, 4)) t(f, dx, dy)"
+    s["match__auto_crop"] = f"WITH f AS ({FRAME}) SELECT 0 AS frame_id, round(13 / 100::DOUBLE, 9) AS x, round(3 / max(h), 9) AS y, round(70 / 100::DOUBLE, 9) AS w, round(1 - 3 / max(h), 9) AS h FROM f"
+    good = ", ".join(f"{d(round(v, 6))} AS h{i}" for i, v in enumerate((1.02, -0.13, 40.0, 0.08, 0.97, -25.0, 0.00004, -0.00002)))
+    s["match__fit"] = f"SELECT CAST(p_size % 3 AS BIGINT) AS a, CAST(p_size % 3 + 10 AS BIGINT) AS b, count(*) AS n, count(*) FILTER (p_partkey % 3 <> 0) AS inliers, {good} FROM part GROUP BY p_size % 3"
+    s["match__strongest"] = "SELECT event_type AS frame_id, event_id AS id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY abs(value - 250) DESC, event_id) AS k FROM events) WHERE k <= 100"
+    whole = "CAST(CAST(floor({0} + 0.5) AS BIGINT) AS VARCHAR)"
+    s["exif__texts"] = (
+        "WITH t AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS n, CASE WHEN p_size % 7 = 0 THEN 0 WHEN p_size % 2 = 0 THEN p_size / 4::DOUBLE ELSE 1 / (p_size * 5::DOUBLE) END AS s FROM part) "
+        f"SELECT p_partkey, CASE WHEN s <= 0 THEN '' WHEN s >= 1 AND abs(s - round(s)) < 0.05 THEN concat({whole.format('s')}, 's') WHEN s >= 1 THEN printf('%.1fs', round_even(s * 10, 0) / 10) ELSE concat('1/', {whole.format('(1 / s)')}) END AS shutter, "
+        f"CASE WHEN floor(n / 8 * 10 + 0.5) % 10 = 0 THEN concat('f/', {whole.format('n / 8')}) ELSE printf('f/%.1f', floor(n / 8 * 10 + 0.5) / 10) END AS aperture, concat({whole.format('n * 3.7::DOUBLE')}, ' mm') AS focal, "
+        "CASE WHEN n = 25 THEN '0 EV' ELSE printf('%+.1f EV', sign(n - 25) * floor(abs(n - 25) / 8 * 10 + 0.5) / 10) END AS bias FROM t"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     from rasterloom.queries.raster import SCENE
 
     found = build()
     neighbourly(found)
+    measured(found)
     return found | {f"scene__{k}": found[k].replace(FRAME, SCENE_FRAME) for k in SCENE}
