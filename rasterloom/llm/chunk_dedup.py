@@ -145,8 +145,6 @@ def map_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     import pyarrow as pa
     from pyspark.sql.types import LongType, StructField, StructType
 
-    from rasterloom.llm.common import text_batches
-
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"), text_of(text_col).alias("text"))
 
     def run(batches):
@@ -154,5 +152,4 @@ def map_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             keys = [xxhash.xxh3_64_intdigest(t.encode("utf-32-le", "replace")) - (1 << 63) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], names=["row", "id", "key"])
 
-    text_batches(docs.sparkSession)
     return rows.mapInArrow(run, StructType([*rows.schema.fields[:2], StructField("key", LongType())]))

@@ -1,4 +1,4 @@
-"""Shared helpers: materialising, text batches, words."""
+"""Shared helpers: tables written between steps, Arrow steps, words."""
 
 from __future__ import annotations
 
@@ -12,8 +12,6 @@ from rasterloom.session import shared_path
 
 #: Words everywhere in this package: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows in an Arrow batch of whole texts, so that long texts don't pile up in a worker.
-TEXT_ROWS = 1000
 
 
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
@@ -21,14 +19,18 @@ def materialise(df: DataFrame, name: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored = path
+    return out
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches of the Python steps by TEXT_ROWS rows."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > TEXT_ROWS:
-        spark.conf.set(key, str(TEXT_ROWS))
+def discard(*tables: DataFrame) -> None:
+    """Delete what materialise() wrote for tables that nothing reads any more."""
+    for table in tables:
+        if path := getattr(table, "stored", None):
+            context = table.sparkSession.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def partitions(spark: SparkSession, at_least: int = 1) -> int:
@@ -41,7 +43,7 @@ def text_of(column: str = "text") -> Column:
 
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """mapInArrow over record batches; function takes a batch and returns or yields record batches or dicts of columns."""
+    """mapInArrow over record batches; function takes batches and yields dicts of columns. Spark bounds a batch's bytes (spark.sql.execution.arrow.maxBytesPerBatch), so long texts don't pile up in a worker."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -52,5 +54,4 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
         for out in function(batches):
             yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
-    text_batches(df.sparkSession)
     return df.mapInArrow(run, struct)

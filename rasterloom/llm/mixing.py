@@ -31,7 +31,6 @@ MOST = 2
 BUCKET_ROWS = 512
 #: Newton ends when every source's words are within this share of its target.
 TOLERANCE = 1e-6
-STEPS = 60
 
 
 def targets(sizes: dict[str | None, int], weights: Sequence[float] = WEIGHTS, total: float = TOTAL, most: float = MOST) -> dict[str | None, float]:
@@ -57,7 +56,7 @@ class Dual:
     def __init__(self, target: float, size: int, most: float):
         self.low, self.high, self.value = -math.inf, math.inf, 0.0
         self.target = target
-        self.done = False
+        self.done, self.steps = False, 0
         if target <= 0 or size <= 0:
             self.value, self.done = -math.inf, True
         elif target >= most * size:
@@ -66,14 +65,16 @@ class Dual:
     def step(self, words: float, slope: float) -> None:
         """One Newton step from the words at value, by halves where it would leave the bracket."""
         gap = self.target - words
-        if abs(gap) <= TOLERANCE * self.target:
-            self.done = True
+        if abs(gap) <= TOLERANCE * self.target or math.nextafter(self.low, self.high) >= self.high:
+            self.done = True  # met, or as near as numbers allow
             return
         if gap > 0:
             self.low = self.value
         else:
             self.high = self.value
-        new = self.value + gap / slope if slope > 0 else math.nan
+        self.steps += 1
+        # every third step halves the bracket, whatever Newton would do, so the bracket ends
+        new = self.value + gap / slope if slope > 0 and self.steps % 3 else math.nan
         if not self.low < new < self.high:
             new = (self.low + self.high) / 2 if math.isfinite(self.low + self.high) else self.value + math.copysign(1 + abs(self.value), gap)
         self.value = new
@@ -83,7 +84,7 @@ def fit(counts: DataFrame, stats: dict[str | None, tuple[int, int]], goal: dict[
     """Solve the dual of every source. counts: (source, size, n); stats: a source's size and documents."""
     spark = counts.sparkSession
     duals = {s: Dual(goal[s], stats[s][0], most) for s in stats}
-    for _ in range(STEPS):
+    while True:  # brackets shrink, so every dual ends
         at = [(s, d.value, stats[s][0] / stats[s][1]) for s, d in duals.items() if not d.done]
         if not at:
             break

@@ -30,8 +30,8 @@ TOKENIZER = "word_bpe_49k.json"
 MARKS = ".,;:!?#$%&*()[]{}+=/^~"
 #: Words remembered with their ids in a worker, in each of two generations.
 REMEMBERED = 500_000
-#: Buckets that the ranks of a length are counted in.
-BUCKETS = 1024
+#: Buckets that the ranks of a length are counted in, at least, and pieces in a bucket of a larger corpus.
+BUCKETS, BUCKET_PIECES = 1024, 200_000
 
 
 class WordEncoder:
@@ -269,7 +269,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, tokeni
     counts = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}  # one row a length, capacity rows at most
     table = spark.sparkContext.broadcast(places(plan(counts, capacity)))
 
-    bucketed = cut.withColumn("bucket", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(BUCKETS)).cast("int"))
+    buckets = max(BUCKETS, -(-sum(counts.values()) // BUCKET_PIECES))
+    bucketed = cut.withColumn("bucket", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     in_bucket = bucketed.groupBy("bucket", "length").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = in_bucket.select("bucket", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))

@@ -194,7 +194,4 @@ def filter_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: s
             texts = batch.column(text_col).to_pylist()
             yield batch.filter(pa.array([not any(r.rejects(t) for r in cascade) for t in map(Text, texts)], pa.bool_()))
 
-    from rasterloom.llm.common import text_batches
-
-    text_batches(docs.sparkSession)
     return docs.mapInArrow(keep, docs.schema)
