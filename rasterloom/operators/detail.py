@@ -443,12 +443,11 @@ def lens_correct(inputs, p):
     if untouched:
         return rel
     df = df.withColumns({f"_s{ch}": profile * tca[ch] * (num(1) + num(extra) * r * r) for ch, extra in zip(COLOURS, (k + red, k, k + blue), strict=True)})
-    out = df.select(*KEY, "a", "_gain")
-    for ch in COLOURS:
-        single = Rel(rel.df.select(*KEY, F.col(ch).alias("v")), FIELD, rel.width, rel.height)
-        places = df.select(*KEY, (num(cx) + dx * F.col(f"_s{ch}")).alias("_gx"), (num(cy) + dy * F.col(f"_s{ch}")).alias("_gy"))
-        out = out.join(gathered(single, places).select(*KEY, F.col("v").alias(ch)), KEY)
-    return Rel(out, IMAGE, rel.width, rel.height).image(*[F.col(ch) * F.col("_gain") for ch in COLOURS])
+    # a pixel's three places are gathered together and meet again as one row
+    at = F.explode(F.array(*[F.struct(F.lit(i).alias("ch"), (num(cx) + dx * F.col(f"_s{ch}")).alias("x"), (num(cy) + dy * F.col(f"_s{ch}")).alias("y")) for i, ch in enumerate(COLOURS)]))
+    places = df.select(*KEY, F.col("a").alias("_alpha"), "_gain", at.alias("_p")).select(*KEY, "_alpha", "_gain", F.col("_p.ch").alias("_ch"), F.col("_p.x").alias("_gx"), F.col("_p.y").alias("_gy"))
+    found = gathered(rel, places, COLOURS).groupBy(*KEY, F.col("_alpha").alias("a"), "_gain").agg(*[F.max(F.when(F.col("_ch") == i, F.col(ch))).alias(ch) for i, ch in enumerate(COLOURS)])
+    return Rel(found, IMAGE, rel.width, rel.height).image(*[F.col(ch) * F.col("_gain") for ch in COLOURS])
 
 
 @node("model_denoise", takes=("raster",), masked=True, luminance=number(50), chroma=number(50), detail=number(50))

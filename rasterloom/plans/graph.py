@@ -168,7 +168,42 @@ class Graph:
             done[keys[n]] = rel
             return rel
 
-        return build(node_id)
+        out = build(node_id)
+        self.kept = [r.df for r in done.values() if r.df.is_cached]
+        return out
+
+    def release(self) -> None:
+        """Let go of what the last render with persist kept."""
+        for df in self.__dict__.pop("kept", []):
+            df.unpersist()
+
+    def run_as(self, node_id: str, sources: dict[str, Rel], group: str, write) -> None:
+        """Render a node and write it as a job group of its own, which cancel() ends between and within nodes; write takes the rendered relation. What it kept is let go."""
+        rel = self.render(node_id, sources, persist=True)
+        context = rel.df.sparkSession.sparkContext
+        context.setJobGroup(group, f"render {node_id}", interruptOnCancel=True)
+        try:
+            write(rel)
+        finally:
+            self.release()
+            context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def cancel(spark, group: str) -> None:
+    """End a render's jobs."""
+    spark.sparkContext.cancelJobGroup(group)
+
+
+def progress(spark, group: str) -> tuple[int, int]:
+    """Tasks that a render's jobs have done and have."""
+    tracker = spark.sparkContext.statusTracker()
+    done = total = 0
+    for job in tracker.getJobIdsForGroup(group):
+        info = tracker.getJobInfo(job)
+        for stage in info.stageIds if info else ():
+            if found := tracker.getStageInfo(stage):
+                done, total = done + found.numCompletedTasks, total + found.numTasks
+    return done, total
 
 
 def registry_manifest() -> list[dict]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.frame import FIELD, KEY, Rel, field_rel, frame_from_events, image_rel, plane_from_events, scene_from_events
 from rasterloom.functions import exif
-from rasterloom.operators import combine, detail, geometry, masks, match, point, select, spatial, stack  # noqa: F401
+from rasterloom.operators import combine, detail, geometry, masks, match, point, select, spatial, stack, views  # noqa: F401
 from rasterloom.operators.node import run
 from rasterloom.plans.graph import Graph
 from rasterloom.session import shared_path
@@ -314,6 +314,21 @@ def strongest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.strongest(events(spark, sf_dir).select(F.col("event_type").alias("frame_id"), F.col("event_id").alias("id"), (F.col("value") - F.lit(250.0)).alias("response")), 100).select("frame_id", "id")
 
 
+def influence(mode: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rel = picture(spark, sf_dir)
+        return shown(views.influence(rel, run("color_grade", {"in": rel}, {"exposure": 0.4, "saturation": 40.0}), mode))
+
+    return query
+
+
+def cut_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What shows of the picture under a linear mask, cut to its bounds."""
+    rel = picture(spark, sf_dir)
+    mask = run("linear_mask", {"in": rel}, {"angle": 0.0, "position": 0.7, "span": 0.2})
+    return views.cut(rel, 0.5, mask).select("y", "x", *[F.round(F.col(c) + F.lit(OFF), 6).alias(c) for c in "rgba"])
+
+
 def exif_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("p_size").cast("double")
     values = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.when(F.col("p_size") % 7 == 0, F.lit(0.0)).when(F.col("p_size") % 2 == 0, n / F.lit(4.0)).otherwise(F.lit(1.0) / (n * F.lit(5.0))).alias("s"), (n / F.lit(8.0)).alias("f"), (n * F.lit(3.7)).alias("mm"), ((n - F.lit(25.0)) / F.lit(8.0)).alias("ev"))
@@ -332,7 +347,7 @@ def queries() -> dict[str, Query]:
     out = dict(NODES)
     out |= {f"stack__{m}": stack_query(m) for m in stack.MODES}
     out |= {f"scene__{k}": in_scene(NODES[k]) for k in SCENE}
-    out |= {"chroma_histogram": chroma_histogram, "region_coverage": region_coverage, "stack__shifts": shifts, "match__auto_crop": cropped, "match__fit": fitted, "match__strongest": strongest, "exif__texts": exif_texts}
+    out |= {"chroma_histogram": chroma_histogram, "region_coverage": region_coverage, "stack__shifts": shifts, "match__auto_crop": cropped, "match__fit": fitted, "match__strongest": strongest, "exif__texts": exif_texts, "view__cut": cut_out} | {f"view__influence_{m}": influence(m) for m in views.MODES}
     out |= {"lut": looked_up, "area_downscale": area_downscale, "noise_estimate": noise_estimate, "render_slice": render_slice}
     return out
 

@@ -693,6 +693,15 @@ def measured(s: dict[str, str]) -> None:
     good = ", ".join(f"{d(round(v, 6))} AS h{i}" for i, v in enumerate((1.02, -0.13, 40.0, 0.08, 0.97, -25.0, 0.00004, -0.00002)))
     s["match__fit"] = f"SELECT CAST(p_size % 3 AS BIGINT) AS a, CAST(p_size % 3 + 10 AS BIGINT) AS b, count(*) AS n, count(*) FILTER (p_partkey % 3 <> 0) AS inliers, {good} FROM part GROUP BY p_size % 3"
     s["match__strongest"] = "SELECT event_type AS frame_id, event_id AS id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY abs(value - 250) DESC, event_id) AS k FROM events) WHERE k <= 100"
+    grade = f"{OKLAB}, c0 AS (SELECT *, sqrt(la * la + lb * lb) AS ch, atan2(lb, la) AS hh FROM k), c1 AS (SELECT *, greatest(ch * 1.4::DOUBLE, 0) AS cc FROM c0), {unlab('c1', 'll', 'cc * cos(hh)', 'cc * sin(hh)')}, v1 AS (SELECT *, {luma('nr', 'ng', 'nb')} AS yy, least(nr, ng, nb) AS mn FROM u3), v2 AS (SELECT y, x, a, r, g, b, {', '.join(f'(CASE WHEN mn >= 0 THEN n{c} WHEN yy <= 0 THEN 0 ELSE yy + (n{c} - yy) * (yy / (yy - mn)) END) * {d(2**0.4)} AS z{c}' for c in 'rgb')} FROM v1)"
+    seen = lambda e: enc(f"greatest({e}, 0)")
+    change = f"{grade}, i0 AS (SELECT *, {', '.join(f'{seen('z' + c)} - {seen(c)} AS d{c}' for c in 'rgb')}, {seen(luma('zr', 'zg', 'zb'))} AS yo, {seen(LUMA)} AS yi FROM v2), i1 AS (SELECT *, yo - yi AS dl FROM i0), i2 AS (SELECT *, least(abs(dl) / {{0}}, 1) AS tl0, least(sqrt(pow(dr - dl, 2) + pow(dg - dl, 2) + pow(db - dl, 2)) / {{0}}, 1) AS tc0 FROM i1)".replace("{0}", d(0.15))
+    for mode, tl, tc in (("luma", "tl0", "0"), ("color", "0", "tc0"), ("both", "tl0", "tc0")):
+        paints = zip((1.0, 0.55, 0.12), (0.2, 0.55, 1.0), (0.95, 0.25, 0.85), strict=True)
+        s[f"view__influence_{mode}"] = image(*(dec(clip(f"yo * 0.35::DOUBLE * (1 - least({tl} + {tc}, 1)) + (CASE WHEN {tl} + {tc} > 0 THEN ((CASE WHEN dl >= 0 THEN {d(u)} ELSE {d(v)} END) * {tl} + {d(w_)} * {tc}) / ({tl} + {tc}) ELSE 0 END) * least({tl} + {tc}, 1)")) for u, v, w_ in paints), pre=change, src="i2")
+    s["view__influence_isolate"] = image(*(dec(clip(f"0.5::DOUBLE + 2 * d{c}")) for c in "rgb"), pre=change, src="i2")
+    edge = "(1 - " + smooth("((x + 0.5) / w - 0.5 + 0.5)", 0.7 - 0.1, 0.7 + 0.1) + ")"
+    s["view__cut"] = f"WITH f AS ({FRAME}), t0 AS (SELECT *, a * {edge} AS aa FROM f), bx AS (SELECT min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM t0 WHERE aa >= 0.5), q AS (SELECT CAST(y - y0 AS INTEGER) AS y, CAST(x - x0 AS INTEGER) AS x, r, g, b, aa AS a FROM t0, bx WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1) SELECT y, x, {', '.join(f'round({c} + {d(1e-9)}, 6) AS {c}' for c in 'rgba')} FROM q"
     whole = "CAST(CAST(floor({0} + 0.5) AS BIGINT) AS VARCHAR)"
     s["exif__texts"] = (
         "WITH t AS (SELECT p_partkey, CAST(p_size AS DOUBLE) AS n, CASE WHEN p_size % 7 = 0 THEN 0 WHEN p_size % 2 = 0 THEN p_size / 4::DOUBLE ELSE 1 / (p_size * 5::DOUBLE) END AS s FROM part) "

@@ -5,16 +5,17 @@ A library is a value: every update returns a new one whose tables are built lazi
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, fields, replace
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.session import numbered
+from rasterloom.session import checkpointed, numbered
 
-VERSION = 18
+VERSION, VERSION_KEY = 18, "schema_version"
 FLAGS = ("none", "pick", "reject")
 SCHEMAS = {
     "folders": "id bigint, path string, last_opened bigint, picked_at bigint, hidden int",
@@ -134,13 +135,60 @@ class Library:
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> Library:
-        return Library(**{name: spark.read.schema(schema).parquet(f"{path.rstrip('/')}/{name}") for name, schema in SCHEMAS.items()})
+        """A saved library; one of another version is refused."""
+        if pending := Library.pending_upgrade(spark, path):
+            raise LibraryError(f"{path} has version {pending[0]}, not {VERSION}")
+        lib = Library(**{name: spark.read.schema(schema).parquet(f"{path.rstrip('/')}/{name}") for name, schema in SCHEMAS.items()})
+        return replace(lib, meta=lib.meta.filter(F.col("key") != VERSION_KEY))
+
+    def save(self, path: str, thumbnails: bool = True, mode: str = "errorifexists", go_on: Callable[[str], bool] | None = None) -> bool:
+        """A snapshot of all tables, meta with the version last, so that a folder with it is whole; without thumbnails that table is written empty. go_on is asked before each table, and False ends the snapshot unfinished."""
+        version = self.meta.sparkSession.createDataFrame([(VERSION_KEY, str(VERSION))], SCHEMAS["meta"])
+        for name in sorted(SCHEMAS, key=lambda k: k == "meta"):
+            if go_on and not go_on(name):
+                return False
+            df = getattr(self, name)
+            df = df.filter(F.col("key") != VERSION_KEY).unionByName(version) if name == "meta" else df
+            (df if thumbnails or name != "thumbnails" else df.limit(0)).write.mode(mode).parquet(f"{path.rstrip('/')}/{name}")
+        return True
+
+    @staticmethod
+    def saved_version(spark: SparkSession, path: str) -> int | None:
+        """The version of a saved library; None for a folder without a whole one."""
+        try:
+            row = spark.read.schema(SCHEMAS["meta"]).parquet(f"{path.rstrip('/')}/meta").filter(F.col("key") == VERSION_KEY).first()
+        except AnalysisException:
+            return None
+        return int(row.value) if row else None
+
+    @staticmethod
+    def is_unfinished(spark: SparkSession, path: str) -> bool:
+        """Whether a snapshot was begun here and not ended."""
+        return Library.saved_version(spark, path) is None
+
+    @staticmethod
+    def pending_upgrade(spark: SparkSession, path: str) -> tuple[int, int] | None:
+        """(from, to) if a saved library is older than this version, None if it is this one; a newer one, or none, is an error."""
+        found = Library.saved_version(spark, path)
+        if found is None:
+            raise LibraryError(f"{path} holds no library")
+        if found > VERSION:
+            raise LibraryError(f"{path} has version {found}, newer than {VERSION}")
+        return (found, VERSION) if found < VERSION else None
 
-    def save(self, path: str, thumbnails: bool = True, mode: str = "errorifexists") -> None:
-        """A snapshot of all tables; without thumbnails that table is written empty."""
-        for f in fields(self):
-            df = getattr(self, f.name)
-            (df if thumbnails or f.name != "thumbnails" else df.limit(0)).write.mode(mode).parquet(f"{path.rstrip('/')}/{f.name}")
+    @staticmethod
+    def snapshot_unopened(spark: SparkSession, path: str, to: str) -> None:
+        """A copy of a saved library as it is, whatever its version, without opening it; the copy is whole when its meta is there."""
+        for name in sorted(SCHEMAS, key=lambda k: k == "meta"):
+            spark.read.schema(SCHEMAS[name]).parquet(f"{path.rstrip('/')}/{name}").write.parquet(f"{to.rstrip('/')}/{name}")
+
+    def checkpoint(self) -> Library:
+        """The same library with its tables written to the shared folder, so that plans of many updates don't pile up."""
+        return Library(**{f.name: checkpointed(getattr(self, f.name)) for f in fields(self)})
+
+    def batch(self, *steps: Callable[[Library], Library]) -> Library:
+        """Updates one after another; if one fails none has taken place, since every library is a value."""
+        return reduce(lambda lib, step: step(lib), steps, self)
 
     @staticmethod
     def counts_unopened(spark: SparkSession, path: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.operators.stack import finite
@@ -72,6 +72,21 @@ def journal_batch(events: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, OUT)
 
 
+def watched_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of the pictures that turn up in a folder, as path, length and modification time; started with started(), a scan at a time, each after the last has ended."""
+    from rasterloom.sources.library import is_supported
+
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.filter(is_supported(F.element_at(F.split(name, r"\."), -1)) & ~name.startswith(".")).select("path", "length", "modificationTime")
+
+
+def started(stream: DataFrame, handle, checkpoint: str, every: str | None = "15 seconds"):
+    """A watched folder handed on batch by batch: handle takes a DataFrame and the batch's number. Without a time between scans, what is there now is handled and the query ends."""
+    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """An engine extra: events by type in tumbling windows, with a watermark."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
