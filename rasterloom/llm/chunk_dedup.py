@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import map_arrow, materialise, partitions, text_of
+from rasterloom.llm.common import map_arrow, materialise, partitions, text_batches, text_of
 
 SMALLEST, LARGEST = 24, 256
 #: A border every 2**BORDER_BITS code points, on average, beyond SMALLEST.
@@ -152,4 +152,5 @@ def map_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             keys = [xxhash.xxh3_64_intdigest(t.encode("utf-32-le", "replace")) - (1 << 63) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], names=["row", "id", "key"])
 
+    text_batches(docs.sparkSession)
     return rows.mapInArrow(run, StructType([*rows.schema.fields[:2], StructField("key", LongType())]))

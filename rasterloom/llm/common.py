@@ -12,6 +12,8 @@ from rasterloom.session import shared_path
 
 #: Words everywhere in this package: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows in an Arrow batch of whole texts, so that long texts don't pile up in a worker.
+TEXT_ROWS = 1000
 
 
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
@@ -33,6 +35,13 @@ def discard(*tables: DataFrame) -> None:
             at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of the Python steps by TEXT_ROWS rows, for this session: Spark reads the bound when a lazy step runs at last, so it can't be put back before. A session that has set a lower one keeps it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
 def partitions(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
@@ -43,7 +52,7 @@ def text_of(column: str = "text") -> Column:
 
 
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """mapInArrow over record batches; function takes batches and yields dicts of columns. Spark bounds a batch's bytes (spark.sql.execution.arrow.maxBytesPerBatch), so long texts don't pile up in a worker."""
+    """mapInArrow over record batches; function takes batches and yields dicts of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -54,4 +63,5 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
         for out in function(batches):
             yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
+    text_batches(df.sparkSession)
     return df.mapInArrow(run, struct)

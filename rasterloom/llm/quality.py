@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import map_arrow, text_of
+from rasterloom.llm.common import map_arrow, text_batches, text_of
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -194,4 +194,5 @@ def filter_quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: s
             texts = batch.column(text_col).to_pylist()
             yield batch.filter(pa.array([not any(r.rejects(t) for r in cascade) for t in map(Text, texts)], pa.bool_()))
 
+    text_batches(docs.sparkSession)
     return docs.mapInArrow(keep, docs.schema)
