@@ -711,10 +711,53 @@ def measured(s: dict[str, str]) -> None:
     )
 
 
+def lit(s: dict[str, str]) -> None:
+    """Light and effects: halation, effects of a layer's coverage, means by likeness, bands of hue. Radii are those of frames of 100 rows and more."""
+    import math
+
+    cut = 0.18 * 2 ** (0.2 * 4)
+    near = blurred("h0", "h1", ["dim"], 8.0)
+    pre = f"h0 AS (SELECT *, {LUMA} AS yy, greatest({LUMA} - {d(cut)}, 0) AS ov, CASE WHEN {LUMA} < {d(cut)} THEN {LUMA} ELSE 0 END AS dim FROM f), {near}, h2 AS (SELECT *, ov / greatest(yy, 1e-6) * (1 - 0.5::DOUBLE * (1 - sqrt(1 - {clip(f'dim / {d(cut)}')}))) AS kk FROM h1), "
+    pre += f"h3 AS (SELECT *, {', '.join(f'{c} * kk AS {q}{c}' for q in ('w_', 'n_', 'b_') for c in 'rgb')} FROM h2), {blurred('h3', 'h4', ['w_r', 'w_g', 'w_b'], 8.0)}, {blurred('h4', 'h5', ['n_r', 'n_g', 'n_b'], 3.6)}, {blurred('h5', 'h6', ['b_r', 'b_g', 'b_b'], 10.0)}, "
+    halo = {c: f"(w_{c} * 0.6::DOUBLE + greatest(w_{c} - n_{c}, 0) * 0.4::DOUBLE)" for c in "rgb"}
+    pre += f"h7 AS (SELECT *, {luma(halo['r'], halo['g'], halo['b'])} AS lh, {luma('b_r', 'b_g', 'b_b')} * 0.2::DOUBLE AS gl FROM h6)"
+    tint = [1 + (v - 1) * 0.7 for v in hexcone(18)]
+    s["halation"] = image(*(f"greatest({c} + lh * {d(v)} + gl, 0)" for c, v in zip("rgb", tint, strict=True)), pre=pre, src="h7")
+    hh = 0.008 + 0.10 * 0.4 * 0.4
+    offs = ", ".join(f"({i}, {j})" for i in range(-3, 4) for j in range(-3, 4))
+    s["nlm_denoise"] = image(*(dec(f"s{c} / sw") for c in "rgb"), pre=f"o AS (SELECT * FROM (VALUES {offs}) t(dy, dx)), e AS (SELECT *, {', '.join(f'{enc(c)} AS e{c}' for c in 'rgb')} FROM f), j AS (SELECT e.y, e.x, e.a, n.er, n.eg, n.eb, exp(-(pow(n.er - e.er, 2) + pow(n.eg - e.eg, 2) + pow(n.eb - e.eb, 2)) / 3 / {d(hh * hh)}) AS k FROM e CROSS JOIN o JOIN e n ON n.x = least(greatest(e.x + dx, 0), e.w - 1) AND n.y = least(greatest(e.y + dy, 0), e.h - 1)), m AS (SELECT y, x, a, {', '.join(f'sum(k * e{c}) AS s{c}' for c in 'rgb')}, sum(k) AS sw FROM j GROUP BY y, x, a)", src="m")
+
+    def room(pad):
+        """The frame's coverage on a frame with room around it."""
+        return f"sz AS (SELECT max(w) AS fw, max(h) AS fh FROM f), xs AS (SELECT unnest(range(CAST(fw AS BIGINT) + {2 * pad})) AS x FROM sz), ys AS (SELECT unnest(range(CAST(fh AS BIGINT) + {2 * pad})) AS y FROM sz), rm AS (SELECT ys.y, xs.x, fw + {2 * pad} AS w, fh + {2 * pad} AS h, coalesce({clip('f.a')}, 0) AS cv FROM xs CROSS JOIN ys CROSS JOIN sz LEFT JOIN f ON f.x = xs.x - {pad} AND f.y = ys.y - {pad})"
+
+    def back(pad, gain):
+        return f"sp AS (SELECT CAST(y - {pad} AS INTEGER) AS y, CAST(x - {pad} AS INTEGER) AS x, {clip(f'cv * {gain}')} AS sv FROM bl WHERE x >= {pad} AND y >= {pad} AND x < w - {pad} AND y < h - {pad})"
+
+    pad, sh = 7, math.sqrt(2)
+    at = lambda v, size: f"least(greatest({v} - {d(sh)}, 0), {size} - 1)"
+    tap = lambda i, j: f"CASE WHEN ({'tx' if j else '1 - tx'}) * ({'ty' if i else '1 - ty'}) > 0 THEN p{i}{j}.cv * ({'tx' if j else '1 - tx'}) * ({'ty' if i else '1 - ty'}) ELSE 0 END"
+    joins = " ".join(f"JOIN rm p{i}{j} ON p{i}{j}.y = least(m1.y0 + {i}, m1.h - 1) AND p{i}{j}.x = least(m1.x0 + {j}, m1.w - 1)" for i in (0, 1) for j in (0, 1))
+    moved = f"m0 AS (SELECT y, x, w, h, {at('x', 'w')} AS gx, {at('y', 'h')} AS gy FROM rm), m1 AS (SELECT *, floor(gx) AS x0, floor(gy) AS y0, gx - floor(gx) AS tx, gy - floor(gy) AS ty FROM m0), mv AS (SELECT m1.y, m1.x, m1.w, m1.h, {' + '.join(tap(i, j) for i in (0, 1) for j in (0, 1))} AS cv FROM m1 {joins})"
+    s["fx_shadow"] = image(*(f"({c} * a) / greatest(oa, 1e-6)" for c in "rgb"), "oa", pre=f"{room(pad)}, {moved}, {blurred('mv', 'bl', ['cv'], 1.5)}, {back(pad, 2)}, q0 AS (SELECT f.*, sv * 0.75::DOUBLE AS k FROM f JOIN sp USING (y, x)), q1 AS (SELECT *, a + k * (1 - a) AS oa FROM q0)", src="q1")
+    inverted = "iv AS (SELECT * REPLACE (1 - cv AS cv) FROM rm)"
+    s["fx_glow"] = image(*(f"{c} + ({v} - {c}) * {clip('sv * 0.75::DOUBLE * a')}" for c, v in zip("rgb", (1, 0, 0), strict=True)), pre=f"{room(5)}, {inverted}, {blurred('iv', 'bl', ['cv'], 1.5)}, {back(5, 2)}, q0 AS (SELECT f.*, sv FROM f JOIN sp USING (y, x))", src="q0")
+    c, sn = math.cos(math.radians(135)), -math.sin(math.radians(135))
+    side = lambda fn, part, ax: f"coalesce({fn}(sv) OVER (PARTITION BY {part} ORDER BY {ax}), sv)"
+    slope = f"-(({side('lead', 'y', 'x')} - {side('lag', 'y', 'x')}) * {d(c)} + ({side('lead', 'x', 'y')} - {side('lag', 'x', 'y')}) * {d(sn)}) * 4"
+    s["fx_bevel"] = image(*(f"CASE WHEN a <= 0 OR abs(li) < 1e-4 THEN {ch} ELSE {ch} + ((CASE WHEN li > 0 THEN 1 ELSE 0 END) - {ch}) * least(abs(li), 1) * 0.75::DOUBLE * a END" for ch in "rgb"), pre=f"{room(4)}, {blurred('rm', 'bl', ['cv'], 1.0)}, {back(4, 1)}, b1 AS (SELECT *, {slope} AS li FROM sp), q0 AS (SELECT f.*, li FROM f JOIN b1 USING (y, x))", src="q0")
+    wide = lambda ax: ", ".join(f"{window_mean(q, ax, 1)} AS {q}" for q in ("sa", "sb"))
+    hue = "(CASE WHEN atan2(sb, sa) < 0 THEN degrees(atan2(sb, sa)) + 360 ELSE degrees(atan2(sb, sa)) END)"
+    gap = "least(abs(hi - 120), 360 - abs(hi - 120))"
+    pre = f"{OKLAB}, n0 AS (SELECT *, la AS sa, lb AS sb FROM k), n1 AS (SELECT * REPLACE ({wide('x')}) FROM n0), n2 AS (SELECT * REPLACE ({wide('y')}) FROM n1), n3 AS (SELECT *, sqrt(sa * sa + sb * sb) AS ci, sqrt(la * la + lb * lb) AS cz, {hue} AS hi FROM n2), n4 AS (SELECT *, (1 - {smooth(gap, 40, 80)}) * {smooth('least(ci, cz)', 0.01, 0.05)} AS ee FROM n3), n5 AS (SELECT *, atan2(lb, la) + radians({clip('15 * ee', -90, 90)}) AS hx, least(cz * greatest(1 + 0.3::DOUBLE * ee, 0), 1.5) AS cx, {clip('0.3::DOUBLE * ee', -2, 2)} AS ev FROM n4), {unlab('n5', 'll', 'cx * cos(hx)', 'cx * sin(hx)')}"
+    s["color_console"] = image(*(f"CASE WHEN ee = 0 THEN {ch} ELSE greatest(n{ch}, 0) * pow(2::DOUBLE, ev) END" for ch in "rgb"), pre=pre, src="u3")
+
+
 def oracle_sql() -> dict[str, str]:
     from rasterloom.queries.raster import SCENE
 
     found = build()
     neighbourly(found)
     measured(found)
+    lit(found)
     return found | {f"scene__{k}": found[k].replace(FRAME, SCENE_FRAME) for k in SCENE}
