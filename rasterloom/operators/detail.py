@@ -511,14 +511,14 @@ def matte_mask(inputs, p):
     return out.field(num(1) - F.col("v")) if p["invert"] else out
 
 
-def hashed(seed: int, *columns) -> Column:
-    """A number from 0 to 1 of integers, the same everywhere."""
-    return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 40)) / num(float(1 << 40))
+def hashed(seed: int) -> Column:
+    """A number from 0 to 1 for each pixel of each frame, the same everywhere."""
+    return t.lattice_hash(F.col("x") + F.lit(7919 * seed), F.col("y") + F.col("frame_id").cast("long") * F.lit(104_729))
 
 
 def noise_plane(rel: Rel, size: float, seed: int) -> Rel:
     """Noise of mean 0 and deviation 1 in each frame: a hash a pixel, smoothed to a grain size."""
-    plane = rel.field(hashed(seed, "frame_id", "y", "x") - num(0.5))
+    plane = rel.field(hashed(seed) - num(0.5))
     plane = gaussian(plane, max(0.0, size / 50.0))
     stats = plane.df.groupBy("frame_id").agg(F.avg("v").alias("_m"), F.stddev_pop("v").alias("_s"))
     return Rel(plane.df.join(stats, "frame_id"), FIELD, rel.width, rel.height).field((F.col("v") - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s")).otherwise(num(1)))

@@ -711,6 +711,26 @@ def measured(s: dict[str, str]) -> None:
     )
 
 
+def grainy(s: dict[str, str]) -> None:
+    """Fields of noise: a hash a pixel, blurred, brought to mean 0 and deviation 1."""
+
+    def hashed(seed):
+        h0 = f"((x + {7919 * seed}) * CAST(374761393 AS BIGINT) + y * CAST(668265263 AS BIGINT))"
+        h1 = f"((xor({h0}, {h0} >> 13) & 4294967295) * 1274126177)"
+        return f"((xor({h1}, {h1} >> 16) & 65535) / {d(65535)} - 0.5::DOUBLE)"
+
+    def fields(seeds, sigma):
+        names = [f"n{c}" for c in "rgb"]
+        own = ", ".join(f"{hashed(k)} AS {n}" for n, k in zip(names, seeds, strict=True))
+        level = ", ".join(f"({n} - avg({n}) OVER ()) / stddev_pop({n}) OVER () AS {n}" for n in names)
+        return f"w0 AS (SELECT *, {own} FROM f), {blurred('w0', 'w1', names, sigma)}, w2 AS (SELECT * REPLACE ({level}) FROM w1)"
+
+    s["noise"] = image(*(clip(f"0.5::DOUBLE + n{c} * 0.15::DOUBLE") for c in "rgb"), d(1), pre=fields((0, 1, 2), 0.4), src="w2")
+    held = clip(LUMA)
+    k = f"({d(0.4 * 0.1)} * (0.35::DOUBLE + 0.65::DOUBLE * 4 * {held} * (1 - {held})) * ({WS} * 1.5::DOUBLE + {WM} + {WH}))"
+    s["grain"] = image(*(f"{c} + {k} * n{c}" for c in "rgb"), pre=f"{fields((1, 1, 1), 0.5)}, w3 AS (SELECT *, {SEEN} AS sn FROM w2)", src="w3")
+
+
 def lit(s: dict[str, str]) -> None:
     """Light and effects: halation, effects of a layer's coverage, means by likeness, bands of hue. Radii are those of frames of 100 rows and more."""
     import math
@@ -760,4 +780,5 @@ def oracle_sql() -> dict[str, str]:
     neighbourly(found)
     measured(found)
     lit(found)
+    grainy(found)
     return found | {f"scene__{k}": found[k].replace(FRAME, SCENE_FRAME) for k in SCENE}
