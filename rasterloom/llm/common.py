@@ -16,11 +16,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 TEXT_ROWS = 1000
 
 
-def materialise(df: DataFrame, name: str = "step") -> DataFrame:
+def materialise(df: DataFrame, name: str = "step", compression: str = "snappy") -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back, which cuts its lineage and survives lost executors."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored = path
     return out

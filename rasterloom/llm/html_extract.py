@@ -283,7 +283,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 out["texts"].append([t for _, t in found])
             yield {"id": batch.column("id"), "url": batch.column("url"), "host": batch.column("host")} | out
 
-    parsed = materialise(map_arrow(rows, read, f"id {id_type}, url string, host string, row_key string, states array<int>, texts array<string>"), "blocks")
+    parsed = materialise(map_arrow(rows, read, f"id {id_type}, url string, host string, row_key string, states array<int>, texts array<string>"), "blocks", "zstd")
 
     def tokens(batches):
         for batch in batches:
