@@ -731,6 +731,10 @@ def grainy(s: dict[str, str]) -> None:
     s["grain"] = image(*(f"{c} + {k} * n{c}" for c in "rgb"), pre=f"{fields((1, 1, 1), 0.5)}, w3 AS (SELECT *, {SEEN} AS sn FROM w2)", src="w3")
 
 
+#: Queries whose radii follow the frame's size, with SQL for frames of 100 rows and more.
+BY_SIZE = ("tone_eq", "chroma_histogram", "color_console", "halation", "stack__shifts")
+
+
 def lit(s: dict[str, str]) -> None:
     """Light and effects: halation, effects of a layer's coverage, means by likeness, bands of hue. Radii are those of frames of 100 rows and more."""
     import math
