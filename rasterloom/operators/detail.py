@@ -47,6 +47,11 @@ def gains(y: Column, weights: dict[str, float] | None, range_ev: float) -> list[
     return [k * num(weights[name]) for name in ("red", "green", "blue")]
 
 
+def lit_luma() -> Column:
+    """Luma to divide by: 1 where there is none."""
+    return F.when(F.col("_l") > 1e-6, F.col("_l")).otherwise(num(1))
+
+
 def local_contrast(rel: Rel, strengths, weights=(None, None, None), range_ev: float = 0.0) -> Rel:
     """The difference of display luma from its guided base at three scales, limited, times a strength, as a ratio of luma; weights scale what each scale changes."""
     short = min(rel.width, rel.height)
@@ -58,11 +63,11 @@ def local_contrast(rel: Rel, strengths, weights=(None, None, None), range_ev: fl
             raw = F.col("_d") - F.col("_base")
             soft = raw / (num(1) + F.abs(raw / F.when(raw > 0, num(LIMIT_UP)).otherwise(num(LIMIT_DOWN))))
             new = F.greatest(F.col("_d") + num(GAIN * strength) * soft, F.col("_d") * num(DARK))
-            df = df.withColumn("_ratio", t.decode(new) / F.col("_l"))
+            df = df.withColumn("_ratio", t.decode(new) / lit_luma())
             for c, k in zip(COLOURS, gains(F.col("_l"), weight, range_ev), strict=True):
                 factor = F.col("_ratio")
                 if weight is not None:  # more than the whole darkening stops at the floor
-                    factor = F.when(k == 1, factor).otherwise(F.greatest(num(1) + k * (factor - num(1)), t.decode(F.col("_d") * num(DARK)) / F.col("_l")))
+                    factor = F.when(k == 1, factor).otherwise(F.greatest(num(1) + k * (factor - num(1)), t.decode(F.col("_d") * num(DARK)) / lit_luma()))
                 df = df.withColumn(f"_f{c}", F.when(F.col("_l") > 1e-6, F.col(f"_f{c}") * factor).otherwise(F.col(f"_f{c}")))
     return Rel(df, IMAGE, rel.width, rel.height).image(*[F.col(c) * F.col(f"_f{c}") for c in COLOURS])
 
@@ -73,10 +78,10 @@ VEIL, CHROMA_VEIL, CHROMA_FADE = 0.10, 0.15, (0.12, 0.40)
 
 def luma_dehazed(rel: Rel, k: float) -> list[Column]:
     """A veil of light taken from luma (or laid on it) in display values; colour goes along as a ratio."""
-    a = VEIL * k
+    a, safe = VEIL * k, F.when(luma() > 1e-6, luma()).otherwise(num(1))
     y, d = luma(), t.encode(F.greatest(luma(), num(0)))
     lifted = t.decode((d - num(a)) / num(1 - a))
-    ratio = F.when((y > 1e-6) & (d < 1), t.decode(F.greatest((d - num(a)) / num(1 - a), num(0))) / y).otherwise(num(1))
+    ratio = F.when((y > 1e-6) & (d < 1), t.decode(F.greatest((d - num(a)) / num(1 - a), num(0))) / safe).otherwise(num(1))
     dark = (y <= 1e-6) & F.lit(k < 0)
     return [F.when(dark, F.col(c) + lifted - y).otherwise(F.col(c) * ratio) for c in COLOURS]
 
@@ -175,11 +180,11 @@ def detail_eq(inputs, p):
         return Rel(df, IMAGE, rel.width, rel.height).image(grey, grey, grey)
     weights = {k: p[k] / 100 for k in ("shadows", "midtones", "highlights", "red", "green", "blue")}
     weights = None if all(abs(v - 1) < 1e-6 for v in weights.values()) else weights
-    ratio = t.decode(F.greatest(F.col("_d") + F.col("_change"), F.col("_d") * num(DARK))) / F.col("_l")
+    ratio = t.decode(F.greatest(F.col("_d") + F.col("_change"), F.col("_d") * num(DARK))) / lit_luma()
     still = (F.col("_l") <= 1e-6) | (F.col("_change") == 0)
     out = []
     for c, k in zip(COLOURS, gains(F.col("_l"), weights, p["range_ev"]), strict=True):
-        factor = ratio if weights is None else F.when(k == 1, ratio).otherwise(F.greatest(num(1) + k * (ratio - num(1)), t.decode(F.col("_d") * num(DARK)) / F.col("_l")))
+        factor = ratio if weights is None else F.when(k == 1, ratio).otherwise(F.greatest(num(1) + k * (ratio - num(1)), t.decode(F.col("_d") * num(DARK)) / lit_luma()))
         out.append(F.when(still, F.col(c)).otherwise(F.col(c) * factor))
     return Rel(df, IMAGE, rel.width, rel.height).image(*out)
 

@@ -51,6 +51,14 @@ def test_dehaze_restores_colour(spark):
     assert np.allclose(grey, grid(run("detail", {"in": picture(spark, np.full((3, 3), 0.4))}, {"dehaze": 80.0}), "b"))
 
 
+@pytest.mark.parametrize(("name", "params"), [("clarity", {"clarity": 50.0}), ("detail", {"texture": 40.0, "dehaze": 30.0}), ("detail", {"clarity": 40.0, "clarity_red": 50.0, "dehaze": -30.0}), ("detail_eq", {"fine": 50.0, "red": 50.0}), ("standard_color", {"contrast": 40.0, "dehaze": 20.0}), ("tone_eq", {"ev_0": 1.0})])
+def test_pixels_without_light(spark, name, params):
+    a = np.random.default_rng(6).random((5, 5))
+    a[1:3, 1:4] = 0.0
+    got = grid(run(name, {"in": picture(spark, a)}, params))
+    assert np.isfinite(got).all() and (params.get("dehaze", 0) < 0 or np.allclose(got[1:3, 1:4], 0.0))
+
+
 def slow_gaussian(a, sigma):
     r = math.ceil(2.5 * sigma)
     k = np.exp(-np.arange(-r, r + 1) ** 2 / (2 * sigma * sigma))
