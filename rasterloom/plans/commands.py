@@ -47,7 +47,7 @@ class Journal:
             w = g.disconnect(*a)
             return ("connect", w.from_id, w.to_id, w.to_port)
         if name == "batch":
-            before, back = copy.deepcopy(g), []
+            before, back = Graph(copy.deepcopy(g.nodes), copy.deepcopy(g.wires), g.kept), []
             try:
                 for c in a[0]:
                     back.append(self._apply(c))

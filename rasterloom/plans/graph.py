@@ -34,6 +34,7 @@ class Wire:
 class Graph:
     nodes: dict[str, Node] = field(default_factory=dict)
     wires: list[Wire] = field(default_factory=list)
+    kept: list = field(default_factory=list, repr=False, compare=False)  # what the last render with persist keeps
 
     @staticmethod
     def from_json(text: str) -> Graph:
@@ -152,6 +153,7 @@ class Graph:
         for w in self.wires:
             readers[keys[w.from_id]] = readers.get(keys[w.from_id], 0) + 1
         done: dict[str, Rel] = {}
+        kept: list = []
 
         def build(n: str) -> Rel:
             if keys[n] in done:
@@ -165,17 +167,19 @@ class Graph:
                 rel = run(node.type, {p: build(i) for p, i in self.incoming(n).items()}, node.params, node.enabled)
                 if persist and readers.get(keys[n], 0) > 1:
                     rel = replace(rel, df=rel.df.persist())
+                    kept.append(rel.df)
             done[keys[n]] = rel
             return rel
 
         out = build(node_id)
-        self.kept = [r.df for r in done.values() if r.df.is_cached]
+        self.kept = kept
         return out
 
     def release(self) -> None:
         """Let go of what the last render with persist kept."""
-        for df in self.__dict__.pop("kept", []):
+        for df in self.kept:
             df.unpersist()
+        self.kept = []
 
     def run_as(self, node_id: str, sources: dict[str, Rel], group: str, write) -> None:
         """Render a node and write it as a job group of its own, which cancel() ends between and within nodes; write takes the rendered relation. What it kept is let go."""
