@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.operators import match
-from rasterloom.sources.library import Filter, Library, export_names, shutter_seconds
+from rasterloom.sources.library import SCHEMAS, Filter, Library, export_names, is_pano, is_stack, is_supported, shutter_seconds
 from rasterloom.session import numbered
-from rasterloom.streaming.merge import journal_batch
+from rasterloom.streaming.merge import journal_batch, running_merge
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -138,6 +139,40 @@ def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export_names(lib.list_images(Filter(min_rating=4, flag="pick"), ordered=False), "{flag}-{stars}").select("id", "n", "export_name")
 
 
+def stored(lib: Library, table: str, row: tuple, key: list[str]) -> Library:
+    """A row put into a table in place of the one with its key."""
+    return lib.upsert(table, lib.images.sparkSession.createDataFrame([row], SCHEMAS[table]), key)
+
+
+def endings(lib: Library) -> DataFrame:
+    """Images as if every seventh were a panorama, every ninth a stack and every eleventh a text, told by their endings."""
+    k = F.col("id").cast("bigint")
+    ending = F.when(k % 7 == 0, "PANO").when(k % 9 == 0, "stack").when(k % 11 == 0, "txt").otherwise(F.col("extension"))
+    return lib.images.select("id", ending.alias("e")).select("id", is_supported(F.col("e")).alias("supported"), is_pano(F.col("e")).alias("pano"), is_stack(F.col("e")).alias("stack"))
+
+
+def grey_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' mean values by hour and day as frames, one for each of five groups of users."""
+    e = read(spark, sf_dir, "events")
+    v = F.round(F.avg("value"), 6)
+    return e.groupBy((F.col("user_id") % 5).cast("int").alias("frame_id"), F.hour("ts").alias("y"), F.dayofmonth("ts").alias("x")).agg(v.alias("v"))
+
+
+def overlap_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = grey_frames(spark, sf_dir).select("frame_id", "y", "x", *[F.col("v").alias(c) for c in "rgb"], F.lit(1.0).alias("a"))
+    return match.overlap_means(df).select("a", "b", "n", F.round("mean_a", 5).alias("mean_a"), F.round("mean_b", 5).alias("mean_b"))
+
+
+def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running merge of frames, over all of them at once."""
+    return running_merge(grey_frames(spark, sf_dir)).select("y", "x", F.round("v_mean", 5).alias("v_mean"), "v_max", "v_min", "v_n")
+
+
+def in_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = read(spark, sf_dir, "part").select((F.col("p_partkey") % 1000).cast("double").alias("px"), (F.col("p_partkey") * 7 % 800).cast("double").alias("py"))
+    return match.features_in_overlap(points, np.array([[1.0, 0.1, -200.0], [0.0, 1.0, 50.0], [0.0, 0.0005, 1.0]]), 600, 500)
+
+
 def queries() -> dict[str, Query]:
     out: dict[str, Query] = {
         "catalog__list_images": listed(Filter()),
@@ -165,17 +200,17 @@ def queries() -> dict[str, Query]:
         "catalog__counts": of(lambda lib: lib.counts()),
         "catalog__image_has_own_work": of(lambda lib: lib.image_has_own_work()),
         "catalog__rename_folder_paths": of(lambda lib: lib.rename_folder_paths("/ASIA", "/ORIENT").folders.select("id", "path")),
-        "catalog__recover_hidden": of(lambda lib: lib.recover_hidden("/ASIA/INDIA/Customer#000000007").images.filter("hidden = 1").select("id")),
+        "catalog__recover_hidden": of(lambda lib: lib.recover_hidden("/ASIA/NATION_17/Customer#000000007").images.filter("hidden = 1").select("id")),
         "catalog__flush_folder": of(flushed),
         "catalog__import_from": imported,
         "catalog__metadata_sort": metadata_sort,
         "catalog__export_names": exported,
         "catalog__image": of(lambda lib: lib.image("7").select("id", "path", "rating")),
-        "catalog__folder_id": of(lambda lib: lib.folder_id("/ASIA/INDIA/Customer#000000007")),
-        "catalog__folder_spelling_candidates": of(lambda lib: lib.folder_spelling_candidates("/asia/india/customer#000000007")),
-        "catalog__meta": of(lambda lib: lib.meta_value("nation.INDIA")),
-        "catalog__meta_keys": of(lambda lib: lib.meta_keys("nation.I")),
-        "catalog__delete_meta": of(lambda lib: lib.delete_meta("nation.INDIA").meta),
+        "catalog__folder_id": of(lambda lib: lib.folder_id("/ASIA/NATION_17/Customer#000000007")),
+        "catalog__folder_spelling_candidates": of(lambda lib: lib.folder_spelling_candidates("/asia/nation_17/customer#000000007")),
+        "catalog__meta": of(lambda lib: lib.meta_value("nation.NATION_7")),
+        "catalog__meta_keys": of(lambda lib: lib.meta_keys("nation.NATION_1")),
+        "catalog__delete_meta": of(lambda lib: lib.delete_meta("nation.NATION_7").meta),
         "catalog__recovery_inventory": of(lambda lib: lib.recovery_inventory()),
         "catalog__irreplaceable_bytes": of(lambda lib: lib.irreplaceable_bytes()),
         "catalog__stats": of(lambda lib: lib.stats()),
@@ -187,7 +222,7 @@ def queries() -> dict[str, Query]:
         "catalog__is_trashed": of(lambda lib: lib.is_trashed("33")),
         "catalog__is_hidden": of(lambda lib: lib.is_hidden("26")),
         "catalog__hidden_ids_in_folder": of(lambda lib: lib.hidden_ids_in_folder(7)),
-        "catalog__decoded_dimensions": of(lambda lib: lib.decoded_dimensions("7", "F")),
+        "catalog__decoded_dimensions": of(lambda lib: lib.decoded_dimensions("7", "F").union(lib.decoded_dimensions("7", "O")).union(lib.decoded_dimensions("7", "P"))),
         "catalog__thumbnail": of(lambda lib: lib.thumbnail("7").select("kind", F.col("data").cast("string").alias("data"))),
         "catalog__clear_thumbnail": of(lambda lib: lib.clear_thumbnail("7").thumbnails.select("image_id", "kind")),
         "catalog__clear_rendered_thumbnails": of(lambda lib: lib.clear_rendered_thumbnails().thumbnails.select("image_id", "kind")),
@@ -203,10 +238,33 @@ def queries() -> dict[str, Query]:
         "catalog__set_rating": of(lambda lib: lib.set_rating("7", 5).images.select("id", "rating")),
         "catalog__set_flag": of(lambda lib: lib.set_flag("7", "reject").images.select("id", "flag")),
         "catalog__set_link_group": of(lambda lib: lib.set_link_group(["7", "32"], "l1").images.select("id", "link_group")),
-        "catalog__hide_folder": of(lambda lib: lib.hide_folder("/ASIA/INDIA/Customer#000000007").hidden_folder_paths()),
+        "catalog__hide_folder": of(lambda lib: lib.hide_folder("/ASIA/NATION_17/Customer#000000007").hidden_folder_paths()),
         "catalog__absorb_image": of(lambda lib: lib.absorb_image("7", "32").keywords),
         "catalog__add_folder": of(lambda lib: lib.add_folder("/NEW").folders.select("id", "path", "hidden")),
         "catalog__forget_images": of(lambda lib: lib.forget_images(lib.images.filter("trashed = 1").select("id")).keywords),
+        "catalog__set_edited": of(lambda lib: lib.set_edited("7").images.select("id", "edited")),
+        "catalog__clear_edited": of(lambda lib: lib.set_edited("32", False).images.select("id", "edited")),
+        "catalog__set_hidden": of(lambda lib: lib.set_hidden("7", True).images.select("id", "hidden")),
+        "catalog__set_trashed": of(lambda lib: lib.set_trashed("7", True).images.select("id", "trashed")),
+        "catalog__set_dimensions": of(lambda lib: lib.set_dimensions("7", 600, 400).images.filter("width is not null").select("id", "width", "height")),
+        "catalog__assign_folder": of(lambda lib: lib.assign_folder("7", 9).images.select("id", "folder_id")),
+        "catalog__touch_folder": of(lambda lib: lib.touch_folder(7, 99).folders.select("id", "last_opened")),
+        "catalog__pick_folder": of(lambda lib: lib.pick_folder(7, 99).folders.select("id", "picked_at")),
+        "catalog__trashed_count": of(lambda lib: lib.count_in("/ASIA/NATION_17/Customer#000000007", "trashed = 1")),
+        "catalog__hidden_count": of(lambda lib: lib.count_in("/ASIA/NATION_17/Customer#000000007", "hidden = 1")),
+        "catalog__keywords_of": of(lambda lib: lib.keywords_of("7")),
+        "catalog__create_collection": of(lambda lib: lib.create_collection(" New ").collections.select("id", "name")),
+        "catalog__add_to_collection": of(lambda lib: lib.add_to_collection(3, "7").add_to_collection(3, "7").members),
+        "catalog__remove_from_collection": of(lambda lib: lib.add_to_collection(3, "7").remove_from_collection(3, "7").members),
+        "catalog__store_thumbnail": of(lambda lib: stored(lib, "thumbnails", ("7", "rendered", bytearray(b"new"), 5), ["image_id"]).thumbnails.select("image_id", "kind", F.col("data").cast("string").alias("data"))),
+        "catalog__put_exif": of(lambda lib: stored(lib, "exif", ("7", "Make", None, None, None, None, None, None, "2024:01:02 03:04:05", 5, 4), ["image_id"]).exif.select("image_id", "make", "taken", "reader")),
+        "catalog__set_meta": of(lambda lib: stored(lib, "meta", ("nation.NATION_7", "new"), ["key"]).meta),
+        "catalog__set_decoded_dimensions": of(lambda lib: stored(lib, "decoded_dims", ("7", "F", 1, 2), ["image_id", "source_key"]).decoded_dims),
+        "catalog__remove_image": of(lambda lib: lib.forget_images(lib.image("7").select("id")).images.select("id")),
+        "catalog__extensions": of(endings),
+        "match__overlap_means": overlap_means,
+        "match__features_in_overlap": in_overlap,
+        "merge__running": merged,
         "match__features": feature_match,
         "match__verify": verified,
         "match__components": frame_groups,
@@ -227,6 +285,8 @@ META = "SELECT concat('nation.', n_name) AS key, CAST(n_regionkey AS VARCHAR) AS
 SEEN = "(folder_id IS NULL OR folder_id NOT IN (SELECT id FROM folders WHERE hidden = 1))"
 
 
+GREY = "SELECT CAST(user_id % 5 AS INTEGER) AS frame_id, CAST(hour(ts) AS INTEGER) AS y, CAST(day(ts) AS INTEGER) AS x, round(avg(value), 6) AS v FROM events GROUP BY ALL"
+LIGHT = "(CAST(0.2126 AS DOUBLE) * {0} + CAST(0.7152 AS DOUBLE) * {0} + CAST(0.0722 AS DOUBLE) * {0})"
 #: Each user's events in turn, with the values that are set (done) and those that were taken back (undone) as lists.
 JOURNAL = """WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 r AS (SELECT user_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, CAST([] AS DOUBLE[]) AS done, CAST([] AS DOUBLE[]) AS undone, false AS moved FROM (SELECT DISTINCT user_id FROM events)
@@ -270,7 +330,7 @@ def oracle_sql() -> dict[str, str]:
         "catalog__counts": "SELECT (SELECT count(*) FROM customer) AS folders, (SELECT count(*) FROM orders) AS images, (SELECT count(*) FROM supplier) AS collections",
         "catalog__image_has_own_work": f"{BASE}SELECT id FROM images WHERE rating > 0 OR flag <> 'none' OR edited = 1 UNION SELECT image_id FROM members UNION SELECT image_id FROM keywords",
         "catalog__rename_folder_paths": f"{BASE}SELECT id, CASE WHEN {scope('/ASIA')} THEN concat('/ORIENT', substr(path, 6)) ELSE path END AS path FROM folders",
-        "catalog__recover_hidden": f"{BASE}SELECT id FROM images WHERE hidden = 1 AND (folder_id IS NULL OR folder_id NOT IN (SELECT id FROM folders WHERE path = '/ASIA/INDIA/Customer#000000007'))",
+        "catalog__recover_hidden": f"{BASE}SELECT id FROM images WHERE hidden = 1 AND (folder_id IS NULL OR folder_id NOT IN (SELECT id FROM folders WHERE path = '/ASIA/NATION_17/Customer#000000007'))",
         "catalog__flush_folder": f"{BASE}, gone AS (SELECT id FROM images WHERE folder_id IN (SELECT id FROM folders WHERE {scope('/ASIA')})) SELECT (SELECT count(*) FROM folders WHERE NOT {scope('/ASIA')}) AS folders, (SELECT count(*) FROM images WHERE id NOT IN (SELECT id FROM gone)) AS images, (SELECT count(*) FROM supplier) AS collections, (SELECT count(*) FROM keywords WHERE image_id NOT IN (SELECT id FROM gone)) AS keywords, (SELECT count(*) FROM members WHERE image_id NOT IN (SELECT id FROM gone)) AS members",
         "catalog__import_from": f"{BASE}, mine AS (SELECT id, path FROM folders WHERE id % 3 <> 0), fresh AS (SELECT path, (SELECT max(id) FROM mine) + row_number() OVER (ORDER BY path) AS id FROM folders WHERE id % 3 = 0), both_ AS (SELECT id, path FROM mine UNION ALL SELECT id, path FROM fresh), placed AS (SELECT i.id, CASE WHEN k % 2 = 1 OR k % 10 = 0 THEN i.folder_id ELSE b.id END AS folder_id FROM images i JOIN folders f ON f.id = i.folder_id LEFT JOIN both_ b ON b.path = f.path), had AS (SELECT m.image_id, s_name, s_suppkey % 4 <> 0 OR k % 2 = 0 AS kept FROM members m JOIN images i ON i.id = m.image_id JOIN supplier ON s_suppkey = m.collection_id) SELECT p.id, p.folder_id, b.path AS folder, (SELECT count(*) FROM keywords WHERE image_id = p.id) AS keywords, (SELECT count(*) FROM had WHERE image_id = p.id AND kept) AS members, (SELECT min(s_name) FROM had WHERE image_id = p.id AND kept) AS first_member FROM placed p LEFT JOIN both_ b ON b.id = p.folder_id",
         "catalog__metadata_sort": "WITH t AS (SELECT p_partkey AS id, p_name, CASE WHEN p_size % 5 = 0 THEN NULL WHEN p_size % 2 = 0 THEN CAST(1 AS DOUBLE) / (p_size * 10) ELSE p_size / CAST(10 AS DOUBLE) END AS seconds FROM part) SELECT id, round(seconds, 9) AS seconds, CAST(row_number() OVER (ORDER BY seconds DESC NULLS LAST, p_name, id) AS INTEGER) AS place FROM t",
@@ -280,11 +340,11 @@ def oracle_sql() -> dict[str, str]:
         "match__components": "SELECT o_orderkey AS frame, min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority) AS grp FROM orders",
         "match__ownership": "WITH t AS (SELECT CAST(user_id % 5 AS INTEGER) AS frame_id, CAST(hour(ts) AS INTEGER) AS y, CAST(day(ts) AS INTEGER) AS x, count(*) AS w FROM events GROUP BY ALL) SELECT y, x, frame_id FROM (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY w DESC, frame_id) AS k FROM t) WHERE k = 1",
         "catalog__image": f"{BASE}SELECT id, path, rating FROM images WHERE k = 7",
-        "catalog__folder_id": f"{BASE}SELECT id FROM folders WHERE path = '/ASIA/INDIA/Customer#000000007'",
-        "catalog__folder_spelling_candidates": f"{BASE}SELECT path FROM folders WHERE path <> '/asia/india/customer#000000007' AND lower(path) LIKE '%/customer#000000007'",
-        "catalog__meta": f"SELECT value FROM ({META}) WHERE key = 'nation.INDIA'",
-        "catalog__meta_keys": f"SELECT key FROM ({META}) WHERE key LIKE 'nation.I%'",
-        "catalog__delete_meta": f"SELECT key, value FROM ({META}) WHERE key <> 'nation.INDIA'",
+        "catalog__folder_id": f"{BASE}SELECT id FROM folders WHERE path = '/ASIA/NATION_17/Customer#000000007'",
+        "catalog__folder_spelling_candidates": f"{BASE}SELECT path FROM folders WHERE path <> '/asia/nation_17/customer#000000007' AND lower(path) LIKE '%/customer#000000007'",
+        "catalog__meta": f"SELECT value FROM ({META}) WHERE key = 'nation.NATION_7'",
+        "catalog__meta_keys": f"SELECT key FROM ({META}) WHERE starts_with(key, 'nation.NATION_1')",
+        "catalog__delete_meta": f"SELECT key, value FROM ({META}) WHERE key <> 'nation.NATION_7'",
         "catalog__recovery_inventory": f"{BASE}SELECT id, path, trashed = 1 AS trashed FROM images",
         "catalog__stats": "SELECT count(*) AS thumbnails, CAST(sum(octet_length(encode(o_orderpriority))) AS BIGINT) AS thumbnail_bytes FROM orders",
         "catalog__add_image": f"{BASE}SELECT id, path, file_name, extension, folder_id FROM images UNION ALL SELECT 'new', '/p/New One.JPG', 'New One.JPG', 'jpg', 7",
@@ -295,7 +355,7 @@ def oracle_sql() -> dict[str, str]:
         "catalog__is_trashed": f"{BASE}SELECT id, trashed = 1 AS trashed FROM images WHERE k = 33",
         "catalog__is_hidden": f"{BASE}SELECT id, hidden = 1 AS hidden FROM images WHERE k = 26",
         "catalog__hidden_ids_in_folder": f"{BASE}SELECT id FROM images WHERE folder_id = 7 AND hidden = 1",
-        "catalog__decoded_dimensions": "SELECT CAST(o_orderkey % 6000 AS INTEGER) AS width, CAST(o_orderkey % 4000 AS INTEGER) AS height FROM orders WHERE o_orderkey = 7 AND o_orderstatus = 'F'",
+        "catalog__decoded_dimensions": "SELECT CAST(o_orderkey % 6000 AS INTEGER) AS width, CAST(o_orderkey % 4000 AS INTEGER) AS height FROM orders WHERE o_orderkey = 7",
         "catalog__thumbnail": "SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'rendered' ELSE 'embedded' END AS kind, o_orderpriority AS data FROM orders WHERE o_orderkey = 7",
         "catalog__clear_thumbnail": f"SELECT image_id, kind FROM ({THUMBS}) WHERE image_id <> '7'",
         "catalog__clear_rendered_thumbnails": f"SELECT image_id, kind FROM ({THUMBS}) WHERE kind <> 'rendered'",
@@ -311,9 +371,32 @@ def oracle_sql() -> dict[str, str]:
         "catalog__set_rating": f"{BASE}SELECT id, CASE WHEN k = 7 THEN 5 ELSE rating END AS rating FROM images",
         "catalog__set_flag": f"{BASE}SELECT id, CASE WHEN k = 7 THEN 'reject' ELSE flag END AS flag FROM images",
         "catalog__set_link_group": f"{BASE}SELECT id, CASE WHEN k IN (7, 32) THEN 'l1' END AS link_group FROM images",
-        "catalog__hide_folder": f"{BASE}SELECT path FROM folders WHERE hidden = 1 OR path = '/ASIA/INDIA/Customer#000000007'",
+        "catalog__hide_folder": f"{BASE}SELECT path FROM folders WHERE hidden = 1 OR path = '/ASIA/NATION_17/Customer#000000007'",
         "catalog__absorb_image": f"{BASE}SELECT DISTINCT CASE WHEN image_id = '32' THEN '7' ELSE image_id END AS image_id, keyword FROM keywords",
         "catalog__add_folder": f"{BASE}SELECT id, path, hidden FROM folders UNION ALL SELECT (SELECT max(id) FROM folders) + 1, '/NEW', 0",
         "catalog__forget_images": f"{BASE}SELECT image_id, keyword FROM keywords WHERE image_id NOT IN (SELECT id FROM images WHERE trashed = 1)",
+        "catalog__set_edited": f"{BASE}SELECT id, CASE WHEN k = 7 THEN 1 ELSE edited END AS edited FROM images",
+        "catalog__clear_edited": f"{BASE}SELECT id, CASE WHEN k = 32 THEN 0 ELSE edited END AS edited FROM images",
+        "catalog__set_hidden": f"{BASE}SELECT id, CASE WHEN k = 7 THEN 1 ELSE hidden END AS hidden FROM images",
+        "catalog__set_trashed": f"{BASE}SELECT id, CASE WHEN k = 7 THEN 1 ELSE trashed END AS trashed FROM images",
+        "catalog__set_dimensions": f"{BASE}SELECT id, 600 AS width, 400 AS height FROM images WHERE k = 7",
+        "catalog__assign_folder": f"{BASE}SELECT id, CASE WHEN k = 7 THEN 9 ELSE folder_id END AS folder_id FROM images",
+        "catalog__touch_folder": f"{BASE}SELECT id, CASE WHEN id = 7 THEN 99 ELSE last_opened END AS last_opened FROM folders",
+        "catalog__pick_folder": f"{BASE}SELECT id, CASE WHEN id = 7 THEN 99 ELSE picked_at END AS picked_at FROM folders",
+        "catalog__trashed_count": f"{BASE}SELECT count(*) AS n FROM images WHERE trashed = 1 AND folder_id IN (SELECT id FROM folders WHERE path = '/ASIA/NATION_17/Customer#000000007')",
+        "catalog__hidden_count": f"{BASE}SELECT count(*) AS n FROM images WHERE hidden = 1 AND folder_id IN (SELECT id FROM folders WHERE path = '/ASIA/NATION_17/Customer#000000007')",
+        "catalog__keywords_of": f"{BASE}SELECT keyword FROM keywords WHERE image_id = '7'",
+        "catalog__create_collection": "SELECT s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT (SELECT max(s_suppkey) FROM supplier) + 1, 'New'",
+        "catalog__add_to_collection": f"{BASE}SELECT collection_id, image_id FROM members UNION SELECT 3, '7'",
+        "catalog__remove_from_collection": f"{BASE}SELECT collection_id, image_id FROM members WHERE NOT (collection_id = 3 AND image_id = '7')",
+        "catalog__store_thumbnail": "SELECT CAST(o_orderkey AS VARCHAR) AS image_id, CASE WHEN o_orderkey % 2 = 0 OR o_orderkey = 7 THEN 'rendered' ELSE 'embedded' END AS kind, CASE WHEN o_orderkey = 7 THEN 'new' ELSE o_orderpriority END AS data FROM orders",
+        "catalog__put_exif": f"WITH {EXIF} SELECT image_id, CASE WHEN image_id = '7' THEN 'Make' ELSE make END AS make, CASE WHEN image_id = '7' THEN '2024:01:02 03:04:05' ELSE taken END AS taken, CASE WHEN image_id = '7' THEN 4 ELSE reader END AS reader FROM exif",
+        "catalog__set_meta": f"SELECT key, CASE WHEN key = 'nation.NATION_7' THEN 'new' ELSE value END AS value FROM ({META})",
+        "catalog__set_decoded_dimensions": "SELECT CAST(o_orderkey AS VARCHAR) AS image_id, o_orderstatus AS source_key, CAST(o_orderkey % 6000 AS INTEGER) AS width, CAST(o_orderkey % 4000 AS INTEGER) AS height FROM orders WHERE NOT (o_orderkey = 7 AND o_orderstatus = 'F') UNION ALL SELECT '7', 'F', 1, 2",
+        "catalog__remove_image": f"{BASE}SELECT id FROM images WHERE k <> 7",
+        "catalog__extensions": "SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderkey % 7 = 0 OR o_orderkey % 9 = 0 OR o_orderkey % 11 <> 0 AS supported, o_orderkey % 7 = 0 AS pano, o_orderkey % 7 <> 0 AND o_orderkey % 9 = 0 AS stack FROM orders",
+        "match__overlap_means": f"WITH g AS ({GREY}) SELECT p.frame_id AS a, q.frame_id AS b, count(*) AS n, round(avg({LIGHT.format('p.v')}), 5) AS mean_a, round(avg({LIGHT.format('q.v')}), 5) AS mean_b FROM g p JOIN g q ON p.y = q.y AND p.x = q.x AND p.frame_id < q.frame_id WHERE p.v IS NOT NULL GROUP BY ALL",
+        "match__features_in_overlap": "WITH t AS (SELECT CAST(p_partkey % 1000 AS DOUBLE) AS px, CAST(p_partkey * 7 % 800 AS DOUBLE) AS py FROM part), u AS (SELECT (px + CAST(0.1 AS DOUBLE) * py - 200) / (CAST(0.0005 AS DOUBLE) * py + 1) AS x, (py + 50) / (CAST(0.0005 AS DOUBLE) * py + 1) AS y FROM t) SELECT count(*) FILTER (x BETWEEN 0 AND 600 AND y BETWEEN 0 AND 500) AS n FROM u",
+        "merge__running": f"WITH g AS ({GREY}) SELECT y, x, round(avg(v), 5) AS v_mean, max(v) AS v_max, min(v) AS v_min, count(v) AS v_n FROM g GROUP BY y, x",
         "journal__replay": JOURNAL,
     }

@@ -52,6 +52,14 @@ def is_supported(extension: Column) -> Column:
     return F.lower(extension).isin(*PICTURES, *PANORAMAS, *STACKS)
 
 
+def is_pano(extension: Column) -> Column:
+    return F.lower(extension).isin(*PANORAMAS)
+
+
+def is_stack(extension: Column) -> Column:
+    return F.lower(extension).isin(*STACKS)
+
+
 def discover_files(spark: SparkSession, folder: str, shallow: bool = False) -> DataFrame:
     """path, length of the pictures in a folder; hidden folders and double files are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(not shallow).lower()).load(folder).select("path", "length")
