@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm import licenses, toxicity
+from rasterloom.llm import byte_bpe, licenses, merkle, toxicity
 from rasterloom.llm.ann import search
 from rasterloom.llm.chunk_dedup import substring_dedup
 from rasterloom.llm.html_extract import extract
@@ -15,6 +15,7 @@ from rasterloom.llm.minhash import near_duplicates
 from rasterloom.llm.mixing import mix
 from rasterloom.llm.packing import pack
 from rasterloom.llm.pii import find_pii
+from rasterloom.llm.prefix_trie import conversation_trie
 from rasterloom.llm.quality import quality
 
 
@@ -66,6 +67,23 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), path)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copy that is checked lacks the line ends of every document whose id's crc32 is even."""
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    found = merkle.audited(table(spark, sf_dir, "documents"), touched, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    return found.drop("proof")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
@@ -78,4 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_minhash": op9_minhash,
         "op10_licenses": op10_licenses,
+        "op11_prefix_trie": op11_prefix_trie,
+        "op12_byte_bpe": op12_byte_bpe,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
