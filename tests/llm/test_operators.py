@@ -948,3 +948,214 @@ def test_queries_have_names(spark):
 
     assert sorted({int(re.match(r"op(\d+)_", n)[1]) for n in queries()}) == list(range(1, 11))
     assert json.dumps(sorted(queries()))
+
+
+# -- op11 ---------------------------------------------------------------------
+TALK = "conv_id long, turn long, role string, text string, depth int, owner string"
+
+
+def talk_table(spark, rows):
+    return spark.createDataFrame([(*r, 1, "x") for r in rows], TALK)
+
+
+def brute_trie(rows):
+    convs = defaultdict(list)
+    for c, turn, role, text in rows:
+        if c is not None:
+            role, text = role or "", text or ""
+            tie = hashlib.sha256(f"{len(role)}:{role}{text}".encode()).hexdigest()
+            convs[c].append((turn is not None, turn or 0, tie, (role, text)))
+    convs = {c: [t[3] for t in sorted(v)] for c, v in convs.items()}
+    built = {}
+    for c in convs:
+        h = zlib.crc32(str(c).encode()) % 4
+        built[c] = tuple(convs.get(c - int(math.fmod(c, 20)), [])[:h] + convs[c][h:])
+    members = defaultdict(list)
+    for c, seq in built.items():
+        for d in range(len(seq) + 1):
+            members[seq[:d]].append(c)
+    out = {}
+    for p, who in members.items():
+        under = [q for q in members if q[: len(p)] == p]
+        own = min(who)
+        out[own, len(p)] = (
+            min(members[p[:-1]]) if p else None, len(who), sum(len(q) == len(p) + 1 for q in under),
+            sum(not any(len(z) == len(q) + 1 and z[: len(q)] == q for z in members) for q in under),
+            sum((len(members[q]) - 1) * len(re.findall(r"[^\x20\x09-\x0D]+", q[-1][1])) for q in under if q),
+            hashlib.sha256(",".join(map(str, sorted(c for c in who if len(built[c]) == len(p)))).encode()).hexdigest(),
+        )
+    return out
+
+
+def talks(seed, n, most=6, words=("a", "b b", "c d e", "", None)):
+    r = random.Random(seed)
+    return [(c, t if r.random() < 0.95 else None, r.choice(["user", "assistant", None]), r.choice(words)) for c in range(n) if r.random() < 0.9 for t in range(r.randint(1, most))]
+
+
+def as_nodes(df):
+    assert [k for _, k in df.dtypes] == ["bigint"] * 7 + ["string"]
+    found = df.collect()
+    assert len({(r[0], r[1]) for r in found}) == len(found)
+    return {(r[0], r[1]): tuple(r)[2:] for r in found}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_prefix_trie_is_as_brute_force(spark, seed):
+    from rasterloom.llm.prefix_trie import conversation_trie
+
+    rows = talks(seed, 130) + [(None, 0, "user", "a"), (-7, 1, "user", "a"), (5, 3, "user", "a"), (5, 3, "user", "a"), (20_000, 1, "user", "long " * 5000)]
+    rows += [(9000 + c, t, "user", "a") for c in range(60) for t in range(3)]  # copies
+    rows += [(7000, t, "user", f"x{t % 3}") for t in range(700)]  # a third of all turns
+    assert as_nodes(conversation_trie(talk_table(spark, rows))) == brute_trie(rows)
+
+
+def test_prefix_trie_of_a_staircase_and_of_many_ends(spark, monkeypatch):
+    """Each conversation leaves the one before it a turn later: a tree of chains as high as it can be; and ids of one node in many chunks."""
+    from rasterloom.llm import prefix_trie
+
+    monkeypatch.setattr(prefix_trie, "ENDS", 7)
+    rows = [(20 * c, t, "user", f"t{t}" if t <= c else f"own{c}") for c in range(25) for t in range(c + 2)]
+    rows += [(3000 + c, 0, "user", "same") for c in range(200)]
+    assert as_nodes(prefix_trie.conversation_trie(talk_table(spark, rows))) == brute_trie(rows)
+
+
+def test_prefix_trie_of_nothing(spark):
+    from rasterloom.llm.prefix_trie import conversation_trie
+
+    assert conversation_trie(talk_table(spark, [])).count() == 0
+    assert conversation_trie(talk_table(spark, [(None, 1, "user", "x")])).count() == 0
+
+
+def test_running_totals_reach_over_ranges(spark):
+    """A key of most rows is dealt over several ranges."""
+    from rasterloom.llm.running import running
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [("k", i, 7 * i % 11) for i in range(500)] + [("a", i, i) for i in range(9)] + [("z", 1, 5)]
+        df = spark.createDataFrame(rows, "key string, i long, v long").repartition(5)
+        dealt = df.repartitionByRange("key", "i").select(F.spark_partition_id().alias("p")).distinct().count()
+        got = {(r["key"], r["i"]): (r["s"], r["x"]) for r in running(df, "key", [F.col("i").desc()], {"s": (F.col("v"), "sum"), "x": (F.col("v"), "bit_xor")}).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert dealt > 1
+    for k in "akz":
+        s = x = 0
+        for _, i, v in sorted((r for r in rows if r[0] == k), key=lambda r: -r[1]):
+            s, x = s + v, x ^ v
+            assert got[k, i] == (s, x)
+
+
+# -- op12 ---------------------------------------------------------------------
+STRETCHES = ["a", "b", "the", "'", "s", "'re", "ll", " ", "  ", "\n", "1", "23", "!", "...", "é", "中文", "字", " ", "　", "\U0001f600", "\x1c", "\x85", "͸", "<|endoftext|>"]
+
+
+@pytest.fixture(scope="module")
+def codec():
+    from rasterloom.llm.byte_bpe import codec as made
+
+    return made()
+
+
+def test_every_token_comes_from_its_own_merges(codec):
+    """Then a sequence is an encoding if and only if its neighbours agree."""
+    ranks = {b: i for i, b in enumerate(codec.bytes_of)}
+
+    def merged(raw):
+        parts = [raw[i : i + 1] for i in range(len(raw))]
+        while len(parts) > 1:
+            k = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 30))
+            if parts[k] + parts[k + 1] not in ranks:
+                break
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return [ranks[p] for p in parts]
+
+    assert all(merged(b) == [i] for i, b in enumerate(codec.bytes_of))
+
+
+@pytest.mark.parametrize("plain", [0, 10, 256])
+def test_halves_join_to_the_library_ids(codec, plain, monkeypatch):
+    from rasterloom.llm import byte_bpe
+
+    monkeypatch.setattr(byte_bpe, "LEAF", 5)
+    monkeypatch.setattr(byte_bpe, "PLAIN", plain)
+    r = random.Random(plain)
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 70))) for pool in [STRETCHES] * 1500 + [r.sample(STRETCHES, 2) for _ in range(1500)]]
+    texts += ["x" * 2000, " " * 900 + "x", "中" * 700, "中文字" * 300, "12345" * 200, "'s" * 300, "ab'll" * 200, "\n" * 700]
+    for t in texts:
+        ids = codec.encode(t)
+        assert ids == codec.library.encode_ordinary(t), repr(t)
+        assert codec.decode(ids) == t.encode()
+
+
+def test_byte_bpe_of_a_table(spark, docs, rows, empty, codec):
+    from rasterloom.llm import byte_bpe
+
+    for segment in (byte_bpe.SEGMENT, 1000):  # long texts as one row, and as many segments
+        found = byte_bpe.decode(byte_bpe.encode(docs, segment=segment)).collect()
+        want = Counter((i, tuple(codec.library.encode_ordinary(t or "")), (t or "").encode()) for i, t, _ in rows)
+        assert Counter((r["doc_id"], tuple(r["ids"]), bytes(r["decoded"])) for r in found) == want
+    assert byte_bpe.decode(byte_bpe.encode(empty)).count() == 0
+
+
+# -- op13 ---------------------------------------------------------------------
+def digest_of(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def brute_manifest(rows):
+    """rows of (doc_id, text, lang, source, n_chars): a Counter of the query's rows."""
+
+    def leaf(doc, text, lang, source, n):
+        return digest_of(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in (doc, source, lang, n, text)))
+
+    def tree(nodes):
+        """The root and, for each leaf, (before, after) level by level."""
+        steps, at = [[] for _ in nodes], list(range(len(nodes)))
+        while len(nodes) > 1:
+            for k, i in enumerate(at):
+                run = nodes[i // 3 * 3 : i // 3 * 3 + 3]
+                steps[k].append(("".join(run[: i % 3]), "".join(run[i % 3 + 1 :])))
+            at = [i // 3 for i in at]
+            nodes = [digest_of(*nodes[i : i + 3]) for i in range(0, len(nodes), 3)]
+        return nodes[0], steps
+
+    groups = defaultdict(list)
+    for row in rows:
+        groups[row[3]].append(row)
+    order = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {}
+    for s in order:
+        groups[s].sort(key=lambda r: (r[0] is not None, r[0] or 0, leaf(*r)))
+        trees[s] = tree([leaf(*r) for r in groups[s]])
+    if not order:
+        return Counter()
+    root, upper = tree([trees[s][0] for s in order])
+    out = Counter()
+    for s, above in zip(order, upper, strict=True):
+        for row, own in zip(groups[s], trees[s][1], strict=True):
+            doc, text, *rest = row
+            touched = doc is not None and zlib.crc32(str(doc).encode()) % 2 == 0
+            h = leaf(doc, text.replace("\n", "") if touched and text is not None else text, *rest)
+            for a, b in own + above:
+                h = digest_of(a, h, b)
+            proof = "".join(a + b for a, b in own + above)
+            out[doc, leaf(*row), trees[s][0], root, digest_of(proof), h, h == root] += 1
+    return out
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 29, 170])
+def test_merkle_manifest_is_as_brute_force(spark, n):
+    from rasterloom.llm.queries import op13_merkle_manifest  # noqa: F401
+    from rasterloom.llm import merkle
+
+    r = random.Random(n)
+    rows = [(r.randint(-5, 10 * n), prose(r.randint(0, 9), k) + r.choice(["", "\nx", "\n"]), r.choice(["en", None, "dé"]), r.choice(["s", "s", "s", "Z", "ü", "\U0001f600", "￮", None, ""]), r.choice([None, k])) for k in range(n)]
+    if n > 20:
+        rows += [(None, None, None, None, None), (7, None, "en", "one", 1), rows[0], rows[0]]
+    full = [(i, t, lang, s, c, "x", 1, 2, "y", 3, "z") for i, t, lang, s, c in rows]
+    df = spark.createDataFrame(full, SCHEMA)
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    found = merkle.audited(df, touched, F.replace(F.col("text"), F.lit("\n"), F.lit("")))
+    got = Counter((x["doc_id"], x["leaf"], x["subroot"], x["root"], x["proof_sha256"], x["folded_root"], x["verified"]) for x in found.collect())
+    assert got == brute_manifest(rows)
