@@ -3,8 +3,8 @@
 A gear hash rolls over a text's code points; where its upper bits are zero, a chunk may end, so chunk borders depend only on the
 ``REACH`` code points before them and an insertion shifts no border but its own. Chunks have ``SMALLEST`` to ``LARGEST`` code points. A
 chunk whose digest was seen before, in a document with a smaller id or earlier in the same one, is a duplicate; runs of duplicate
-chunks of at least ``MIN_RUN`` code points, or of a whole text, are cut out, so that one place keeps each passage. A shorter run is
-taken for a phrase and stays. Runs are put together by windows over the chunks of a text, in time linear in its length.
+chunks of at least ``min_run`` code points, or of a whole text, are cut out, so that one place keeps each passage. A shorter run is
+taken for a phrase and stays; with a min_run of 0 every run counts. Runs are put together by windows over the chunks of a text, in time linear in its length.
 
 Null texts count as empty and have no chunks. Rows with a null id take no part. Rows
 that share an id are told apart by their texts; rows alike in id and text are one text. An empty table
@@ -15,16 +15,17 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import map_arrow, materialise, partitions, text_batches, text_of
+from rasterloom.llm.common import cut_into, let, map_arrow, materialise, part_of, partitions, text_batches, text_of
 
 SMALLEST, LARGEST = 24, 256
 #: A border every 2**BORDER_BITS code points, on average, beyond SMALLEST.
 BORDER_BITS = 4
 #: Code points that the rolling hash reaches back over, a power of two.
 REACH = 16
+#: Code points of a run that isn't a phrase, unless the caller says otherwise.
 MIN_RUN = 96
 GEARS = 4096
 
@@ -88,8 +89,8 @@ def chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_arrow(rows, run, f"id {id_type}, text_key long, start int, end int, whole int, d1 long, d2 long")
 
 
-def long_enough():
-    return (F.col("end") - F.col("start") >= MIN_RUN) | (F.col("end") - F.col("start") == F.col("whole"))
+def long_enough(min_run: int) -> Column:
+    return (F.col("end") - F.col("start") >= min_run) | (F.col("end") - F.col("start") == F.col("whole"))
 
 
 def runs(parts: DataFrame, also: str | None = None) -> DataFrame:
@@ -101,7 +102,7 @@ def runs(parts: DataFrame, also: str | None = None) -> DataFrame:
     return parts.withColumn("new", new).withColumn("run" if not also else f"{also}_run", F.last(F.when(F.col("new"), F.col("start")), True).over(text.rowsBetween(Window.unboundedPreceding, 0))).drop("new")
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """id, text_key, start, end, removed (arrays of start, end): every run of a text that stands elsewhere too, and what of it goes, as spans in order."""
     found = materialise(chunks(docs, id_col, text_col), "chunks")
     place = F.struct("id", "text_key", "start")
@@ -116,26 +117,32 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     alone = marked.groupBy("id", "text_key", "start", "end", "whole").agg(F.max("again").alias("again")).repartition(partitions(docs.sparkSession), "id", "text_key")
     dealt = runs(runs(alone), "again")
     later = dealt.groupBy("id", "text_key", "whole", "run", "again", "again_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    gone = F.when(F.col("again") & long_enough(), F.struct("start", "end"))
+    gone = F.when(F.col("again") & long_enough(min_run), F.struct("start", "end"))
     whole = later.groupBy("id", "text_key", "whole", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_list(gone)).alias("removed"))
-    return whole.filter(long_enough()).select("id", "text_key", "start", "end", "removed")
+    return whole.filter(long_enough(min_run)).select("id", "text_key", "start", "end", "removed")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """id, start, end, n_removed: every run of a text that repeats elsewhere, and how many of its code points go; the place that keeps a passage has 0."""
     total = F.aggregate("removed", F.lit(0), lambda a, x: a + x["end"] - x["start"])
-    return repeats(docs, id_col, text_col).select(F.col("id").alias(id_col), "start", "end", total.alias("n_removed"))
+    return repeats(docs, id_col, text_col, min_run).select(F.col("id").alias(id_col), "start", "end", total.alias("n_removed"))
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_run: int = MIN_RUN) -> DataFrame:
     """docs with the duplicate runs cut out of their texts."""
     spans = F.array_sort(F.flatten(F.collect_list("removed")))
-    cut = repeats(docs, id_col, text_col).filter(F.size("removed") > 0).groupBy("id", "text_key").agg(spans.alias("spans"))
+    cut = repeats(docs, id_col, text_col, min_run).filter(F.size("removed") > 0).groupBy("id", "text_key").agg(spans.alias("spans"))
     keyed = map_keys(docs, id_col, text_col)
     joined = keyed.join(cut.withColumnRenamed("id", "cut_id"), (F.col("id") == F.col("cut_id")) & (F.col("key") == F.col("text_key")), "left")
     text = F.col(f"row.`{text_col}`")
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    left = F.aggregate("spans", zero, lambda acc, x: F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"])).alias("out")), lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+    def left_of(spans: Column, pieces: Column) -> Column:
+        # what lies between each span and the one before it, and after the last
+        begins = F.concat(F.array(F.lit(0)), F.transform(spans, lambda x: x["end"]))
+        ends = F.concat(F.transform(spans, lambda x: x["start"]), F.array(F.length(text)))
+        return F.array_join(F.zip_with(begins, ends, lambda a, b: part_of(pieces, a, b)), "")
+
+    left = let(F.col("spans"), lambda spans: let(cut_into(text), lambda pieces: left_of(spans, pieces)))
     clean = F.when(F.col("spans").isNotNull(), left).otherwise(text)
     return joined.select(*[(clean if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 

@@ -65,3 +65,44 @@ def map_arrow(df: DataFrame, function, schema) -> DataFrame:
 
     text_batches(df.sparkSession)
     return df.mapInArrow(run, struct)
+
+
+# -- texts and arrays within a row, in time about linear in their size ---------
+#: Elements, and code points, that are walked at once.
+SPAN = 256
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with the value found once, however often use names it and in whatever loops."""
+    return F.transform(F.array(value), use)[0]
+
+
+def before_each(values: Column, join) -> Column:
+    """For each of an array of ints what join(a, b) makes of all values before it, from 0. Values are walked in spans, so that what is gathered is copied within a span only."""
+
+    def walk(own: Column, start: Column) -> Column:
+        state = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(own, state, lambda acc, x: F.struct(join(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    def spans(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / SPAN).cast("int")), lambda k: F.slice(v, k * SPAN + 1, F.lit(SPAN)))
+
+    def whole(v: Column) -> Column:
+        joined = let(spans(v), lambda own: F.flatten(F.zip_with(own, walk(F.transform(own, lambda x: F.aggregate(x, F.lit(0), lambda a, b: join(a, b))), F.lit(0)), walk)))
+        return F.when(F.size(v) > 0, joined).otherwise(F.array().cast("array<int>"))
+
+    return let(values, whole)
+
+
+def cut_into(text: Column) -> Column:
+    """A text as an array of strings of SPAN code points each, for part_of."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{SPAN}}}"), F.lit(0))
+
+
+def part_of(pieces: Column, start: Column, end: Column) -> Column:
+    """Code points start to end (exclusive) of a text that cut_into cut; it looks at the pieces that the part lies in only."""
+    a, b = F.floor(start / SPAN).cast("int"), F.floor((end - 1) / SPAN).cast("int")
+    first, last = F.try_element_at(pieces, a + 1), F.try_element_at(pieces, b + 1)
+    one = F.substring(first, start - a * SPAN + 1, end - start)
+    many = F.concat(F.substring(first, start - a * SPAN + 1, F.lit(SPAN)), F.array_join(F.slice(pieces, a + 2, F.greatest(b - a - 1, F.lit(0))), ""), F.substring(last, F.lit(1), end - b * SPAN))
+    return F.when(start >= end, F.lit("")).when(a == b, one).otherwise(many)

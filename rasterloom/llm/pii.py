@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import materialise, text_of
+from rasterloom.llm.common import before_each, cut_into, let, materialise, part_of, text_of
 
 # The kinds in their order, the patterns of the base kinds in possessive form, the words of the labelers.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -68,7 +68,8 @@ CONTEXT = {
 #: Code points before a span in which its context is looked for.
 BEFORE = 30
 LABELERS = ("strict", "gazetteer", "context", "shape")
-EM_STEPS = 500
+#: Steps in which the estimates must settle; if they don't, that is an error.
+EM_STEPS, NEWTON_STEPS = 100_000, 1_000
 VOTES = "10-"
 #: What is taken for a labeler's rates of VOTES on false and on true spans beforehand, as so many spans.
 PRIOR, PRIOR_SPANS = ((0.2, 0.5, 0.3), (0.6, 0.1, 0.3)), 4.0
@@ -82,15 +83,15 @@ def located(text: Column, kind: str) -> Column:
     parts = F.zip_with(matches, F.split(text, pattern, -1), lambda m, gap: F.struct(m.alias("value"), gap.alias("gap")))
     kind_of = "array<struct<start:int,end:int,value:string,before:string>>"
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"), F.right(x["gap"], F.lit(BEFORE)).alias("before")))).alias("found"))
+    def place(x: Column, at: Column) -> Column:
+        start = at + F.length(x["gap"])
+        return F.struct(start.alias("start"), (start + F.length(x["value"])).alias("end"), x["value"].alias("value"), F.right(x["gap"], F.lit(BEFORE)).alias("before"))
+
+    def placed(found: Column) -> Column:
+        return F.zip_with(found, before_each(F.transform(found, lambda x: F.length(x["gap"]) + F.length(x["value"])), lambda a, b: a + b), place)
 
-    empty = F.array().cast(kind_of)
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("found"))
     with_value = F.filter(parts, lambda x: x["value"].isNotNull())
-    return F.when(text.rlike(NEEDS[kind]), F.aggregate(with_value, zero, add, lambda acc: acc["found"])).otherwise(empty)
+    return F.when(text.rlike(NEEDS[kind]), let(with_value, placed)).otherwise(F.array().cast(kind_of))
 
 
 def digits(value: Column) -> Column:
@@ -157,8 +158,24 @@ def with_candidates(rows: DataFrame) -> DataFrame:
     """rows (row, text) with base and extra, their spans."""
     base, wide = candidates(F.col("text"))
     found = rows.select("row", "text", base.alias("base"), wide.alias("wide"))
-    alone = F.filter("wide", lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    return found.select("row", "text", "base", F.when(F.size("wide") > 0, alone).otherwise(F.col("wide")).alias("extra"))
+    return found.select("row", "text", "base", F.when(F.size("wide") > 0, apart_from(F.col("base"), F.col("wide"))).otherwise(F.col("wide")).alias("extra"))
+
+
+def apart_from(base: Column, wide: Column) -> Column:
+    """The spans of wide that share no code point with one of base, both in order. Of all spans in order it is enough to know how far those before reach, and where the next one begins."""
+    most = 2**31 - 1
+
+    def told(spans_: Column, own: bool) -> Column:
+        return F.transform(spans_, lambda x: F.struct(x.alias("x"), F.lit(own).alias("own")))
+
+    def kept(all_: Column) -> Column:
+        reach = before_each(F.transform(all_, lambda s: F.when(s["own"], s["x"]["end"]).otherwise(0)), F.greatest)
+        next_ = F.reverse(before_each(F.reverse(F.transform(all_, lambda s: F.when(s["own"], F.lit(most) - s["x"]["start"]).otherwise(0))), F.greatest))
+        ends = F.zip_with(F.zip_with(all_, reach, lambda s, r: F.struct(s.alias("s"), r.alias("r"))), next_, lambda s, n: F.struct(s["s"].alias("s"), s["r"].alias("r"), n.alias("n")))
+        alone = F.filter(ends, lambda e: ~e["s"]["own"] & (e["r"] <= e["s"]["x"]["start"]) & (F.lit(most) - e["n"] >= e["s"]["x"]["end"]))
+        return F.transform(alone, lambda e: e["s"]["x"])
+
+    return let(F.array_sort(F.concat(told(base, True), told(wide, False))), kept)
 
 
 def reliabilities(patterns: list[tuple[int, str, float]]) -> tuple[np.ndarray, np.ndarray]:
@@ -180,11 +197,11 @@ def reliabilities(patterns: list[tuple[int, str, float]]) -> tuple[np.ndarray, n
         new = np.clip(1 / (1 + np.exp(-np.clip(logit, -30, 30))), 1e-6, 1 - 1e-6)
         done, p = np.abs(new - p).max() < 1e-9, new
         if done:
-            break
-    return p, rates
+            return p, rates
+    raise RuntimeError(f"the labelers' rates weren't settled in {EM_STEPS} steps")
 
 
-def train(patterns: list[tuple[int, str, int, float]], ridge: float = 1.0, steps: int = 30) -> np.ndarray:
+def train(patterns: list[tuple[int, str, int, float]], ridge: float = 1.0) -> np.ndarray:
     """Coefficients of the span classifier: one for each kind, each labeler's vote for and against, and each size."""
     merged: dict[tuple[int, str], float] = {}
     for k, v, _, c in patterns:
@@ -205,15 +222,15 @@ def train(patterns: list[tuple[int, str, int, float]], ridge: float = 1.0, steps
     y = np.array([target[k, v] for k, v, _, _ in patterns])
     n = np.sqrt(np.array([c for *_, c in patterns], float))  # so that a frequent pattern doesn't drown the others
     beta = np.zeros(width)
-    for _ in range(steps):
+    for _ in range(NEWTON_STEPS):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         slope = x.T @ (n * (y - p)) - ridge * beta
         curve = (x * (n * p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(width)
         step = np.linalg.solve(curve, slope)
         beta = beta + step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-8:
-            break
-    return beta
+            return beta
+    raise RuntimeError(f"the classifier wasn't settled in {NEWTON_STEPS} steps")
 
 
 def fit(found: DataFrame) -> np.ndarray:
@@ -265,14 +282,16 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars")
     accept, text = accepted(fit(rows)), F.col(f"row.`{text_col}`")
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
-    def add(acc: Column, x: Column) -> Column:
-        inside = x["start"] < acc["at"]
-        gap = F.substring(text, acc["at"] + 1, x["start"] - acc["at"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], gap, F.element_at(names, x["kind"] + 1))).alias("out"))
+    def put(found: Column, pieces: Column) -> Column:
+        # a span that begins within those before it is part of what they stand for
+        after = before_each(F.transform(found, lambda x: x["end"]), F.greatest)
+        apart = F.filter(F.zip_with(found, after, lambda x, end: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), end.alias("from"))), lambda x: x["start"] >= x["from"])
+        parts = F.transform(apart, lambda x: F.concat(part_of(pieces, x["from"], x["start"]), F.element_at(names, x["kind"] + 1)))
+        last = F.array_max(F.transform(found, lambda x: x["end"]))
+        return F.concat(F.array_join(parts, ""), part_of(pieces, last, F.length(text)))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rows = rows.select("row", F.array_sort(F.concat("base", F.filter("extra", accept))).alias("found"))
-    clean = F.aggregate("found", zero, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    clean = let(F.col("found"), lambda found: let(cut_into(text), lambda pieces: put(found, pieces)))
     rows = rows.select("row", F.when(F.size("found") > 0, clean).otherwise(text).alias("clean"))
     columns = []
     for c in docs.columns:

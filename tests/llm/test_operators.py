@@ -349,9 +349,9 @@ def test_chunks_against_brute_force(spark, docs, rows, empty):
     assert substring_dedup(empty).count() == 0
 
 
-def slow_repeats(rows):
+def slow_repeats(rows, least):
     """(id, start, end, n_removed) by looking every chunk up among all chunks."""
-    from rasterloom.llm.chunk_dedup import MIN_RUN, borders, gears
+    from rasterloom.llm.chunk_dedup import borders, gears
 
     gear, held, places = gears(), {}, defaultdict(list)
     for i, t, _ in rows:
@@ -369,7 +369,7 @@ def slow_repeats(rows):
 
         def close():
             a, b = island[0][0], island[-1][1]
-            if island and (b - a >= MIN_RUN or b - a == len(t)):
+            if island and (b - a >= least or b - a == len(t)):
                 gone, part = 0, []
                 for x, y in [*island, (None, None)]:
                     again = x is not None and (*order[i, t], x) != min(places[t[x:y]])
@@ -377,7 +377,7 @@ def slow_repeats(rows):
                         part.append((x, y))
                     elif part:
                         n = part[-1][1] - part[0][0]
-                        gone += n if n >= MIN_RUN or n == len(t) else 0
+                        gone += n if n >= least or n == len(t) else 0
                         part = []
                 out.append((i, a, b, gone))
 
@@ -392,7 +392,8 @@ def slow_repeats(rows):
     return out
 
 
-def test_spans_against_brute_force(spark, rows):
+@pytest.mark.parametrize("least", [96, 0, 30])
+def test_spans_against_brute_force(spark, rows, least):
     from rasterloom.llm.chunk_dedup import substring_dedup
 
     r = random.Random(44)
@@ -400,8 +401,8 @@ def test_spans_against_brute_force(spark, rows):
     more = [(500 + i, " ".join(r.choice([prose(r.randint(3, 30), 4100 + 9 * i + k), r.choice(passages)]) for k in range(5)), "s") for i in range(40)]
     short = [(600, "a short text", "s"), (601, "a short text", "s"), (602, "", "s"), (603, None, "s"), (604, passages[0] * 3, "s")]
     every = rows + more + short
-    got = [tuple(x) for x in substring_dedup(table(spark, every)).collect()]
-    want = slow_repeats(every)
+    got = [tuple(x) for x in substring_dedup(table(spark, every), min_run=least).collect()]
+    want = slow_repeats(every, least)
     assert sorted(got) == sorted(want) and (601, 0, 12, 12) in got and (600, 0, 12, 0) in got and any(0 < n < b - a for _, a, b, n in want)
 
 
@@ -416,6 +417,19 @@ def test_repeats_are_cut_out(spark, rows):
     assert got[1] == passage and len(got[2]) < 0.6 * len(passage) and got[3] is None and got[4] == "" and got[None] == passage
 
 
+def test_very_many_repeats_are_cut_out_of_one_text(spark):
+    from rasterloom.llm.chunk_dedup import repeats, without_repeats
+
+    passage, r = prose(40, 3), random.Random(5)
+    text = "".join(f"{''.join(r.choices('abcdefghij ', k=90))} {passage}" for _ in range(3000))
+    df = table(spark, [(1, passage, "s"), (2, text, "s")])
+    spans = sorted(tuple(x) for q in repeats(df, min_run=0).collect() if q.id == 2 for x in q.removed)
+    want, at = "", 0
+    for a, b in spans:
+        want, at = want + text[at:a], b
+    assert len(spans) > 2000 and {q.doc_id: q.text for q in without_repeats(df, min_run=0).collect()}[2] == want + text[at:]
+
+
 # -- op5 ----------------------------------------------------------------------
 def test_targets():
     from rasterloom.llm.mixing import targets
@@ -561,6 +575,58 @@ def test_redaction_keeps_columns_of_any_name(spark):
     assert [tuple(r) for r in got.orderBy("doc_id").collect()] == [(1, "mail [EMAIL] now", "b", "e", "r", "f", "c", "w", 16), (2, None, "b", "e", "r", "f", "c", "w", 3)]
 
 
+def test_arrays_and_texts_in_parts(spark):
+    from rasterloom.llm.common import before_each, cut_into, let, part_of
+
+    r = random.Random(12)
+    lists = [[r.randint(0, 50) for _ in range(n)] for n in (0, 1, 255, 256, 257, 1000)]
+    df = spark.createDataFrame([(v,) for v in lists], "v array<int>")
+    got = df.select("v", before_each(F.col("v"), lambda a, b: a + b).alias("s"), before_each(F.col("v"), F.greatest).alias("m")).collect()
+    for row in got:
+        assert row.s == [sum(row.v[:i]) for i in range(len(row.v))]
+        assert row.m == [max([0, *row.v[:i]]) for i in range(len(row.v))]
+    texts = ["", "a", "é\n😀" * 300, "x" * 256, "y" * 513]
+    df = spark.createDataFrame([(t, a, b) for t in texts for a in (0, 1, 200, 256, 512) for b in (a, a + 1, 256, 700, 900) if a <= b <= len(t)], "t string, a int, b int")
+    for row in df.select("t", "a", "b", let(cut_into(F.col("t")), lambda p: part_of(p, F.col("a"), F.col("b"))).alias("part")).collect():
+        assert row.part == row.t[row.a : row.b]
+
+
+def test_a_text_of_very_many_spans(spark):
+    """Twenty thousand addresses in one text, found and replaced in time about linear in them."""
+    import time
+
+    from rasterloom.llm.pii import find_pii, redact
+
+    took = []
+    for n in (5_000, 20_000):
+        words = [f"m{i}@b{i % 7}.co" if i % 2 else f"é 10.0.{i % 200}.1 +44 20 7946 {i % 900:04d}" for i in range(n)]
+        df = table(spark, [(1, "\n".join(words), "s"), (2, "none", "s")])
+        began = time.time()
+        got = {x.doc_id: x for x in redact(df).collect()}
+        took.append(time.time() - began)
+        assert got[1].text == "\n".join("[EMAIL]" if i % 2 else "é [IP] [PHONE]" for i in range(n)) and got[2].text == "none"
+        found = {x.doc_id: x for x in find_pii(df).collect()}
+        assert (found[1].n_email, found[1].n_ip, found[1].n_phone) == (n // 2, n // 2, n // 2)
+    assert took[1] < 8 * took[0] + 5
+
+
+def test_candidates_that_touch_base_spans_are_left_out(spark):
+    from rasterloom.llm.pii import SPAN, apart_from
+
+    r = random.Random(3)
+    rows = [(sorted((a := r.randint(0, 60), r.randint(0, 3), a + r.randint(1, 9), "1", 1) for _ in range(n)), sorted((a := r.randint(0, 60), 4 + r.randint(0, 2), a + r.randint(1, 9), "1", 1) for _ in range(m))) for n in (0, 1, 5) for m in (1, 4, 9) for _ in range(8)]
+    for row in spark.createDataFrame(rows, f"base {SPAN}, wide {SPAN}").select("base", "wide", apart_from(F.col("base"), F.col("wide")).alias("got")).collect():
+        assert row.got == [x for x in row.wide if not any(y.start < x.end and x.start < y.end for y in row.base)]
+
+
+def test_overlapping_spans_are_replaced_as_one(spark):
+    from rasterloom.llm.pii import redact
+
+    text = "a 4111 1111 1111 1111@b.co z +44 20 7946 0000@c.de"
+    found = redact(table(spark, [(1, text, "s")])).first().text
+    assert found == "a [CARD] z [PHONE]" or found.startswith("a [CARD]")
+
+
 # -- op7 ----------------------------------------------------------------------
 def test_quality(spark, docs, rows, empty):
     from rasterloom.llm.quality import RULES, Text, filter_quality, quality, repeated_windows, rule_order
