@@ -723,6 +723,82 @@ def test_thresholds_of_known_grades_are_found():
     assert np.allclose(model.weights, weight, atol=0.2) and np.allclose(model.thresholds, theta, atol=0.2)
 
 
+def test_words_that_grades_share_tell_them_apart(spark):
+    """A word of most of grade 2 and of some of the others, one of grades 1 and 2, and one of clean texts: each speaks for its side."""
+    from rasterloom.llm import toxicity
+
+    r, rows, labels = random.Random(26), [], []
+    shares = {"blood": (0.15, 0.05, 0.9), "damn": (0.02, 0.85, 0.8), "please": (0.8, 0.05, 0.05)}
+    for i in range(1500):
+        grade = r.choices([0, 1, 2], [5, 2, 2])[0]
+        words = prose(40, i).split() + [w for w, by in shares.items() if r.random() < by[grade]]
+        r.shuffle(words)
+        rows.append((i, " ".join(words), "s"))
+        labels.append((i, grade))
+    df = table(spark, rows)
+    model = toxicity.train(df, spark.createDataFrame([x for x in labels if x[0] % 2], "doc_id long, toxic int"))
+    weight = dict(zip(model.columns.tolist(), model.weights.tolist(), strict=True))
+    whole = {w: weight[toxicity.columns_of(w)[0]] for w in shares}
+    assert whole["blood"] > 0.5 and whole["damn"] > 0.5 and whole["please"] < -0.5
+    got = {x.doc_id: x for x in toxicity.severity(df, model).collect()}
+    held = [(i, g) for i, g in labels if i % 2 == 0]
+    assert np.mean([got[i].grade == 1 for i, g in held if g == 1]) > 0.6
+    means = [np.mean([got[i].severity for i, g in held if g == k]) for k in range(3)]
+    assert means[0] + 0.4 < means[1] < means[2] - 0.3
+
+
+def test_severity_against_brute_force(spark, rows):
+    """The columns by counting, the weights by the slope of the likelihood told anew, and every score."""
+    from rasterloom.llm import toxicity
+
+    r = random.Random(2)
+    more = [(2000 + i, " ".join(r.choices(["knave", "rogue", "kind", "fair", "loom", "warp", "weft", "beam"], [1 + 9 * (i % 3 == 2), 1 + 9 * (i % 3 > 0), 9 - 8 * (i % 3 > 0), 5, 9, 9, 9, 9], k=12)), "s") for i in range(240)]
+    df = table(spark, rows + more)
+    model = toxicity.train(df, spark.createDataFrame([(2000 + i, [0, 5, 9][i % 3]) for i in range(240)], "doc_id long, toxic int"))
+
+    def columns(text):
+        words = {w for w in re.findall(r"[^\W\d_]+", (text or "").lower())}
+        return {xxhash.xxh3_64_intdigest(f"{n}:{w[:n] if n else w}") % toxicity.FEATURES for w in words for n in (0, 4, 5) if len(w) >= n}
+
+    held = [(columns(t), i % 3) for i, (_, t, _) in enumerate(more)]
+    want = set()
+    for c in set().union(*(x for x, _ in held)):
+        for k in (1, 2):
+            up, low = [c in x for x, g in held if g >= k], [c in x for x, g in held if g < k]
+            share, ratio = (sum(up) + sum(low)) / len(held), 0.0
+            for side in (up, low):
+                for n, p in ((sum(side), share), (len(side) - sum(side), 1 - share)):
+                    ratio += 2 * n * math.log(n / (len(side) * p)) if n else 0
+            most = up if sum(up) / len(up) > sum(low) / len(low) else low
+            if share < 1 and sum(most) >= 4 and ratio >= toxicity.LEAST_RATIO:
+                want.add(c)
+    assert want and model.columns.tolist() == sorted(want)
+    weight = dict(zip(model.columns.tolist(), model.weights.tolist(), strict=True))
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+
+    def loss(w, theta):
+        gaps = [math.log(b - a) for a, b in zip(theta, theta[1:], strict=False)]
+        out = 5e-5 * (sum(v * v for v in w.values()) + sum(g * g for g in gaps))
+        for x, g in held:
+            s = sum(w[c] for c in x if c in w)
+            above = [1.0, *(sigmoid(s - t) for t in theta), 0.0]
+            out -= math.log(above[g] - above[g + 1]) / len(held)
+        return out
+
+    theta, h = model.thresholds.tolist(), 1e-4
+    for c in weight:
+        assert abs(loss(weight | {c: weight[c] + h}, theta) - loss(weight | {c: weight[c] - h}, theta)) / (2 * h) < 1e-5
+    for k in range(2):
+        up, down = ([t + d * (j == k) for j, t in enumerate(theta)] for d in (h, -h))
+        assert abs(loss(weight, up) - loss(weight, down)) / (2 * h) < 1e-5
+    want_rows = Counter()
+    for i, t, _ in rows + more:
+        s = sum(weight.get(c, 0.0) for c in columns(t))
+        above = [1.0, *(sigmoid(s - t_) for t_ in theta), 0.0]
+        want_rows[i, round(sum(above[1:-1]), 9), max(range(3), key=lambda g: above[g] - above[g + 1]), above[1] >= 0.5] += 1
+    assert Counter((x.doc_id, round(x.severity, 9), x.grade, x.toxic) for x in toxicity.severity(df, model).collect()) == want_rows
+
+
 # -- op9 ----------------------------------------------------------------------
 def shingle_set(t):
     w = (t or "").split()
