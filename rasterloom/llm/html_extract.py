@@ -1,14 +1,16 @@
 """Main text of web pages: a host's suffix arrays over its pages' token streams, and marks of the pages' structure.
 
-A page is read into blocks, each in the article (inside article, main and the like), open (outside, unmarked) or out (inside an element
-that is marked as a menu, header, footer, side bar, notice, advert, form or comments). Out blocks go. All others of a host are token
+A page is read into blocks, each in the article (inside article, main and the like), in doubt (there, but inside an element whose only
+mark is a word that may head prose as well, as a section "discussion"), open (outside, unmarked) or out (inside an element that is
+marked as a menu, header, footer, side bar, notice, advert, form or comments). Out blocks go. All others of a host are token
 streams, one a page, joined in a suffix array with its common prefixes; equal streams are one page. A substring of at least
-``OPEN_RUN.tokens`` tokens on at least ``OPEN_RUN.pages`` distinct pages and ``OPEN_RUN.share`` of the array's is boilerplate to open blocks, one
-of at least ``ARTICLE_RUN.tokens`` on ``ARTICLE_RUN.pages`` pages and ``ARTICLE_RUN.share`` of them to blocks in the article, where
-quotations and passages that some pages share are text. A block of which ``COVERED`` of the tokens lie in boilerplate goes, unique runs stay.
-So marks say how much repetition a block may have, and the arrays what is repeated. A host's pages are dealt over arrays of about
-``ARRAY_PAGES`` by a hash, so that a host with very many pages is many arrays; what stands on a share of a host's pages stands on about
-that share of each array's. On a host of one or two distinct pages nothing is known to repeat, so only marks decide.
+``OPEN_RUN.tokens`` tokens on at least ``OPEN_RUN.pages`` distinct pages and ``OPEN_RUN.share`` of the host's is boilerplate to blocks that
+are open or in doubt, one of at least ``ARTICLE_RUN.tokens`` on ``ARTICLE_RUN.pages`` pages and ``ARTICLE_RUN.share`` of them to blocks in the
+article, where quotations and passages that some pages share are text. A block of which ``COVERED`` of the tokens lie in boilerplate
+goes, unique runs stay. So marks say how much repetition a block may have, and the arrays what is repeated. A host of very many pages is
+several arrays of about ``ARRAY_PAGES``, dealt by a digest of the stream. What stands on a share of a host's pages stands on that share of
+one array's at least, so the arrays propose runs, all count the proposed ones, and the sums decide for the whole host. On a host of one
+or two distinct pages nothing is known to repeat, so only marks decide.
 
 White space is what Python's str.split() takes for it, no-break spaces included. Null html counts as empty and has an empty text. Pages
 are treated one by one but for the arrays; repeated rows are told apart, so each gets its row back; pages without a host share the
@@ -33,7 +35,7 @@ from rasterloom.llm.common import map_arrow, materialise, partitions, text_of
 
 
 class Run(NamedTuple):
-    """What makes a substring boilerplate: its tokens, and the distinct pages of an array that hold it, as a number and as a share."""
+    """What makes a substring boilerplate: its tokens, and the distinct pages of a host that hold it, as a number and as a share."""
 
     tokens: int
     pages: int
@@ -64,6 +66,9 @@ BESIDE = frozenset(
     "area articles author bar block body bottom box button buttons center column container content count entry footer global group header heading icons info inner inline item items left level link links list main message outer page panel "
     "post posts primary reader right row secondary section side site slot stories sticky sub text thread title top unit user widget wrap wrapper".split()
 )
+#: Marks that, alone in a name, may head prose inside an article as well, on such elements; and those that may on a plain division.
+DOUBTFUL = frozenset("menu header banner footer notice alert login register search form comment discussion reactions social related disclaimer copyright".split())
+PROSE, DIVISION = frozenset("section pre code blockquote table dl figure".split()), frozenset("alert discussion copyright search".split())
 #: Marks that don't count on paragraphs, headings and inline elements, which such names merely place.
 LAYOUT = frozenset("header masthead topbar banner footer colophon aside nav navigation menu search form".split())
 PHRASES = frozenset("p h1 h2 h3 h4 h5 h6 a abbr b cite code del em font i ins kbd mark q s samp small span strong sub sup time u var".split())
@@ -75,15 +80,16 @@ ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|itemprop|style)(?:\
 CLOSES_P = BLOCKS - frozenset("body caption dd dt head html legend li optgroup option tbody td tfoot th thead title tr".split())
 ENDS_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
-OUT, OPEN, IN = 0, 1, 2
+OUT, OPEN, IN, DOUBT = 0, 1, 2, 3
 
 
-def marked(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is something other than text."""
-    if tag in DROPPED or (tag == "header" and not in_article):
+def marked(tag: str, attributes: str, in_article: bool) -> bool | None:
+    """Whether an element is something other than text; None in doubt."""
+    if tag in DROPPED and not (tag == "label" and in_article) or (tag == "header" and not in_article):
         return True
     if not attributes:
         return False
+    doubt = False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
@@ -97,12 +103,15 @@ def marked(tag: str, attributes: str, in_article: bool) -> bool:
                     return False
                 found = MARKS.intersection(parts)
                 if found and MARKS.union(BESIDE).issuperset(parts) and not (tag in PHRASES and found <= LAYOUT):
-                    return True
-    return False
+                    if in_article and len(parts) == 1 and (tag in PROSE and found <= DOUBTFUL or tag == "div" and found <= DIVISION):
+                        doubt = True
+                    else:
+                        return True
+    return None if doubt else False
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
-    """The page's blocks in order, each as (OUT, OPEN or IN, text)."""
+    """The page's blocks in order, each as (OUT, OPEN, IN or DOUBT, text)."""
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []  # open elements with the state inside them
     held: Counter[str] = Counter()  # how many of each are open
@@ -170,7 +179,8 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS:
             continue
         if state != OUT or tag in ARTICLE and not any(s == OUT and t not in ("form",) for t, s in stack):
-            new = OUT if marked(tag, attributes, state == IN) else IN if tag in ARTICLE or state == IN or re.search(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody", attributes) else state
+            mark = marked(tag, attributes, state in (IN, DOUBT))
+            new = OUT if mark else DOUBT if mark is None or state == DOUBT and tag not in ARTICLE else IN if tag in ARTICLE or state == IN or re.search(r"role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody", attributes) else state
         else:
             new = OUT
         if new == OUT != state and tag not in BLOCKS:
@@ -224,38 +234,78 @@ def suffix_array(tokens: np.ndarray, pages: np.ndarray) -> tuple[np.ndarray, np.
     return order, common
 
 
-def repeated(streams: list[np.ndarray], kinds: tuple[Run, ...]) -> list[list[np.ndarray]]:
-    """For each kind of run and each page's stream, which tokens lie in a substring of that many tokens on that many distinct pages. A suffix's longest such substring is covered by those of the suffixes that begin within it, so the groups of suffixes with so long a common prefix tell all."""
-    sizes = np.array([len(s) for s in streams])
-    total = int(sizes.sum())
-    tokens = np.concatenate(streams) if total else np.zeros(0, np.int64)
-    page = np.repeat(np.arange(len(streams)), sizes)
-    order, common = suffix_array(tokens, page)
-    distinct, out = int((sizes > 0).sum()), []
-    for kind in kinds:
-        first = common < kind.tokens
-        start = np.flatnonzero(first)
-        group = np.cumsum(first) - 1
-        # pages of a group, each once
-        by_page = np.lexsort((page[order], group))
-        g, p = group[by_page], page[order][by_page]
-        new = np.concatenate([[True], (g[1:] != g[:-1]) | (p[1:] != p[:-1])]) if total else np.zeros(0, bool)
-        pages_in = np.bincount(g[new], minlength=len(start))
-        often = (pages_in >= max(kind.pages, kind.share * distinct)) & (np.diff(np.append(start, total)) > 1)
-        at = order[often[group]] if total else np.zeros(0, np.int64)
-        delta = np.zeros(total + kind.tokens + 1, np.int64)
-        np.add.at(delta, at, 1)
-        np.add.at(delta, at + kind.tokens, -1)
-        cover = np.cumsum(delta)[:total] > 0
-        out.append(np.split(cover, np.cumsum(sizes)[:-1]))
+#: Odd numbers that windows' tokens are mixed with.
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def windows(tokens: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit hash of the tokens of each window that begins at one of these places."""
+    h = np.full(len(at), length, np.uint64)
+    for k in range(length):
+        h = (h ^ tokens[at + k].astype(np.uint64)) * MIX
+        h ^= h >> np.uint64(29)
+    return h.view(np.int64)
+
+
+class Streams:
+    """The token streams of an array's distinct pages with their suffixes grouped by each kind of run."""
+
+    def __init__(self, streams: list[np.ndarray], kinds: tuple[Run, ...]):
+        self.sizes = np.array([len(s) for s in streams], np.int64)
+        self.total, self.kinds = int(self.sizes.sum()), kinds
+        self.tokens = np.concatenate(streams) if self.total else np.zeros(0, np.int64)
+        self.page = np.repeat(np.arange(len(streams)), self.sizes)
+        self.distinct = int((self.sizes > 0).sum())
+        self.order, self.common = suffix_array(self.tokens, self.page)
+
+    def groups(self, kind: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Suffixes with a common prefix of a run's length: each suffix's group, and the first suffix of each group, its distinct pages, and whether its prefix is long enough."""
+        first = self.common < kind.tokens
+        start, group = np.flatnonzero(first), np.cumsum(first) - 1
+        by_page = np.lexsort((self.page[self.order], group))
+        g, p = group[by_page], self.page[self.order][by_page]
+        new = np.concatenate([[True], (g[1:] != g[:-1]) | (p[1:] != p[:-1])]) if self.total else np.zeros(0, bool)
+        at = self.order[start]
+        whole = (at + kind.tokens <= self.total) & (self.page[np.minimum(at + kind.tokens, self.total) - 1] == self.page[at]) if self.total else np.zeros(0, bool)
+        return group, at, np.bincount(g[new], minlength=len(start)), whole
+
+    def covers(self, often: list[np.ndarray]) -> list[list[np.ndarray]]:
+        """For each kind and each page, which tokens lie in a run of a group that is often. A suffix's longest such run is covered by those of the suffixes that begin within it, so groups of just a run's length tell all."""
+        out = []
+        for kind, flags in zip(self.kinds, often, strict=True):
+            at = self.order[flags[self.groups(kind)[0]]] if self.total else np.zeros(0, np.int64)
+            delta = np.zeros(self.total + kind.tokens + 1, np.int64)
+            np.add.at(delta, at, 1)
+            np.add.at(delta, at + kind.tokens, -1)
+            out.append(np.split(np.cumsum(delta)[: self.total] > 0, np.cumsum(self.sizes)[:-1]))
+        return out
+
+
+def often_here(held: Streams, least: bool = True) -> list[np.ndarray]:
+    """For each kind of run, which groups are on enough of the pages held here; without least on the share of them alone."""
+    out = []
+    for kind in held.kinds:
+        _, _, pages, whole = held.groups(kind)
+        out.append(whole & (pages >= max(kind.pages if least else 1, kind.share * held.distinct)))
     return out
 
 
-def covered_blocks(group: pd.DataFrame) -> pd.DataFrame:
-    """Of an array's pages, the numbers of the blocks that boilerplate covers."""
+def repeated(streams: list[np.ndarray], kinds: tuple[Run, ...]) -> list[list[np.ndarray]]:
+    """For each kind of run and each page's stream, which tokens lie in a substring of that many tokens on that many distinct pages."""
+    held = Streams(streams, kinds)
+    return held.covers(often_here(held))
+
+
+def held_streams(group: pd.DataFrame) -> tuple[Streams, list[int]]:
+    """The distinct streams of an array's pages, and each page's."""
     raw: dict[bytes, int] = {}
     which = [raw.setdefault(t, len(raw)) for t in group["tokens"]]  # equal streams are one page
-    open_cover, article_cover = repeated([np.frombuffer(t, "<u2").astype(np.int64) for t in raw], (OPEN_RUN, ARTICLE_RUN))
+    return Streams([np.frombuffer(t, "<u2").astype(np.int64) for t in raw], (OPEN_RUN, ARTICLE_RUN)), which
+
+
+def gone_blocks(group: pd.DataFrame, which: list[int], covers: list[list[np.ndarray]]) -> pd.DataFrame:
+    """Of an array's pages, the numbers of the blocks that boilerplate covers."""
+    open_cover, article_cover = covers
     out = []
     for k, states, sizes in zip(which, group["states"], group["sizes"], strict=True):
         ends = np.cumsum(sizes)
@@ -263,6 +313,63 @@ def covered_blocks(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"row_key": group["row_key"], "gone": out})
 
 
+def covered_blocks(group: pd.DataFrame) -> pd.DataFrame:
+    """gone_blocks of a host that is one array."""
+    held, which = held_streams(group)
+    return gone_blocks(group, which, held.covers(often_here(held)))
+
+
+GONE, RUNS = "row_key string, gone array<int>", "host string, kind int, run long, pages long"
+
+
+def whole_host(dealt: DataFrame, n: int) -> DataFrame:
+    """gone_blocks of hosts that are several arrays, from dealt(host, array, row_key, states, sizes, tokens). Kind -1 counts an array's distinct pages."""
+
+    def counted(key, group: pd.DataFrame, wanted: pd.DataFrame | None) -> pd.DataFrame:
+        if group.empty:
+            return pd.DataFrame(columns=["host", "kind", "run", "pages"])
+        held, _ = held_streams(group)
+        rows = [(-1, 0, held.distinct)]
+        for k, kind in enumerate(held.kinds):
+            _, at, pages, whole = held.groups(kind)
+            flags = often_here(held, least=False)[k] if wanted is None else whole
+            runs = windows(held.tokens, at[flags], kind.tokens)
+            for run, count in zip(runs.tolist(), pages[flags].tolist(), strict=True):
+                rows.append((k, run, count))
+        out = pd.DataFrame(rows, columns=["kind", "run", "pages"])
+        if wanted is not None:
+            proposed = pd.MultiIndex.from_frame(wanted[["kind", "run"]])
+            out = out[(out["kind"] == -1) | pd.MultiIndex.from_frame(out[["kind", "run"]]).isin(proposed)]
+        return out.assign(host=key[0])[["host", "kind", "run", "pages"]]
+
+    def decided(key, group: pd.DataFrame, often: pd.DataFrame) -> pd.DataFrame:
+        if group.empty:
+            return pd.DataFrame(columns=["row_key", "gone"])
+        held, which = held_streams(group)
+        flags = []
+        for k, kind in enumerate(held.kinds):
+            _, at, _, whole = held.groups(kind)
+            ok = whole.copy()
+            ok[whole] = np.isin(windows(held.tokens, at[whole], kind.tokens), often["run"][often["kind"] == k].to_numpy(np.int64))
+            flags.append(ok)
+        return gone_blocks(group, which, held.covers(flags))
+
+    def to_arrays(runs: DataFrame) -> DataFrame:
+        return runs.join(places, "host").repartition(n, "host", "array")
+
+    dealt = materialise(dealt, "arrays", "zstd")
+    places = materialise(dealt.select("host", "array").distinct(), "places")
+    arrays = dealt.repartition(n, "host", "array").groupBy("host", "array")
+    proposed = arrays.applyInPandas(lambda key, group: counted(key, group, None), RUNS).filter("kind >= 0").select("host", "kind", "run").distinct()
+    proposed = materialise(proposed, "proposed")
+    counts = arrays.cogroup(to_arrays(proposed).groupBy("host", "array")).applyInPandas(counted, RUNS)
+    counts = materialise(counts.groupBy("host", "kind", "run").agg(F.sum("pages").alias("pages")), "counts")
+    pages = counts.filter("kind = -1").select("host", F.col("pages").alias("distinct"))
+    least = F.when(F.col("kind") == 0, F.greatest(F.lit(OPEN_RUN.pages), F.col("distinct") * OPEN_RUN.share)).otherwise(F.greatest(F.lit(ARTICLE_RUN.pages), F.col("distinct") * ARTICLE_RUN.share))
+    often = counts.filter("kind >= 0").join(pages, "host").filter(F.col("pages") >= least).select("host", "kind", "run")
+    return arrays.cogroup(to_arrays(materialise(often, "often")).groupBy("host", "array")).applyInPandas(decided, GONE)
+
+
 def host_of(url: str) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1))
 
@@ -287,22 +394,29 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def tokens(batches):
         for batch in batches:
-            out = {"sizes": [], "tokens": []}
+            out = {"sizes": [], "tokens": [], "stream": []}
             for texts in batch.column("texts").to_pylist():
                 words = [t.split() for t in texts]
                 out["sizes"].append([len(w) for w in words])
                 # sixteen bits a token: runs are several tokens long
-                out["tokens"].append(np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) & 0xFFFF for block in words for w in block], "<u2").tobytes())
+                raw = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "replace")) & 0xFFFF for block in words for w in block], "<u2").tobytes()
+                out["tokens"].append(raw)
+                out["stream"].append(xxhash.xxh3_64_intdigest(raw) - (1 << 63))
             yield {c: batch.column(c) for c in ("row_key", "host", "states")} | out
 
     read_in = parsed.filter(F.size("states") > 0)
-    streams = map_arrow(read_in.select("row_key", "host", "states", "texts"), tokens, "row_key string, host string, states array<int>, sizes array<int>, tokens binary")
+    streams = map_arrow(read_in.select("row_key", "host", "states", "texts"), tokens, "row_key string, host string, states array<int>, sizes array<int>, tokens binary, stream long")
     arrays = materialise(read_in.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / ARRAY_PAGES).alias("arrays")), "arrays")
+    n_hosts, most = arrays.agg(F.count(F.lit(1)), F.max("arrays")).first()
     # streams needn't move for the sizes of hosts as long as these are few
-    dealt = streams.join(F.broadcast(arrays) if arrays.count() <= FEW_HOSTS else arrays, "host").withColumn("array", F.pmod(F.xxhash64("row_key"), F.col("arrays")))
-    dealt = dealt.repartition(partitions(spark), "host", "array")  # the join deals by host alone, and so would a grouping on top of it
-    gone = dealt.groupBy("host", "array").applyInPandas(covered_blocks, "row_key string, gone array<int>").filter(F.size("gone") > 0)
-    gone = materialise(gone.dropDuplicates(["row_key"]), "gone")
+    dealt = streams.join(F.broadcast(arrays) if n_hosts <= FEW_HOSTS else arrays, "host").withColumn("array", F.pmod("stream", F.col("arrays"))).drop("stream")
+    n = partitions(spark)
+    single = dealt.filter("arrays = 1") if (most or 0) > 1 else dealt
+    single = single.repartition(n, "host", "array")  # the join deals by host alone, and so would a grouping on top of it
+    gone = single.groupBy("host", "array").applyInPandas(covered_blocks, GONE)
+    if (most or 0) > 1:
+        gone = gone.unionByName(whole_host(dealt.filter("arrays > 1").drop("arrays"), n))
+    gone = materialise(gone.filter(F.size("gone") > 0).dropDuplicates(["row_key"]), "gone")
 
     kept = F.filter("texts", lambda x, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
     joined = parsed.select("id", "url", "row_key", "texts").join(gone, "row_key", "left")

@@ -181,7 +181,7 @@ def test_arrays_decide_on_blocks_of_the_article(spark):
 
 
 def slow_extract(pages):
-    """What extract() gives, by windows of every page against every other, for hosts of less than an array."""
+    """What extract() gives, by windows of every page against every other."""
     from rasterloom.llm.html_extract import ARTICLE_RUN, COVERED, IN, OPEN_RUN, OUT, blocks
 
     read = [(i, re.match(r"\w+://([^/]*)", u)[1], [b for b in blocks(h or "") if b[0] != OUT]) for i, u, h in pages]
@@ -204,6 +204,47 @@ def slow_extract(pages):
     return out
 
 
+@pytest.mark.parametrize(
+    "inside",
+    [
+        '<section id="discussion"><h2>Discussion</h2><p>We found that</p></section>', '<section class="search"><p>We looked for it</p></section>', '<section id="copyright"><p>On copyright law</p></section>', '<section id="menu"><p>Soup and bread</p></section>',
+        '<div class="alert"><p>Mind the step</p></div>', '<pre class="comment">-- a note</pre>', "<p>Press <label>start</label> to begin</p>", '<section class="search"><section id="menu"><header><h3>More</h3></header></section></section>',
+    ],
+)
+def test_a_word_in_a_name_alone_drops_no_prose_of_an_article(spark, inside):
+    from rasterloom.llm.html_extract import extract
+
+    html = f'<nav>menu</nav><article><p>First</p>{inside}<div class="comments"><p>a reader</p></div><div class="search-form">find</div><aside>side</aside></article><section class="menu">Home</section>'
+    want = "\n\n".join(["First", *re.findall(r">([^<>]+)", inside.replace("<label>", "").replace("</label>", ""))])
+    assert extract(page_table(spark, [(1, "http://h/", html)])).first().text == want
+
+
+def test_a_doubtful_part_goes_if_it_repeats(spark):
+    from rasterloom.llm.html_extract import extract
+
+    pages = [(i, f"http://h/{i}", f'<article><p>{prose(25, i)}</p><div class="alert">this site will be closed on sunday</div></article>') for i in range(12)]
+    pages += [(20 + i, f"http://g/{i}", f'<article><p>{prose(25, i)}</p><div class="alert">this site will be closed on sunday</div></article>') for i in range(2)]
+    got = {r.page_id: r.text for r in extract(page_table(spark, pages)).collect()}
+    assert got == {i: prose(25, i) for i in range(12)} | {20 + i: prose(25, i) + "\n\nthis site will be closed on sunday" for i in range(2)}
+
+
+@pytest.mark.parametrize("size", [100, 9])
+def test_the_whole_host_decides_however_its_pages_are_dealt(spark, monkeypatch, size):
+    """Passages just above and just below the shares of a host's pages, in one array and in many; copies of a page are one."""
+    from rasterloom.llm import html_extract
+
+    monkeypatch.setattr(html_extract, "ARRAY_PAGES", size)
+    shared = {n: prose(12, 900 + n) for n in (2, 11, 12, 13, 35, 36, 37, 60)}
+    pages = []
+    for i in range(60):
+        parts = [f"<{'p' if n % 2 else 'div'}>{t}</{'p' if n % 2 else 'div'}>" for n, t in shared.items() if (i * 7 + n) % 60 < n]
+        cut = i % (len(parts) + 1)
+        pages.append((i, "http://h/", "".join(parts[:cut]) + f"<article><p>{prose(9, i)}</p>{''.join(parts[cut:])}</article>"))
+    pages += [(100 + k, "http://h/", pages[3][2]) for k in range(40)] + [(200 + i, "http://g/", f"<div>{prose(9, i)}</div>") for i in range(3)]
+    got = Counter((x.page_id, x.text) for x in html_extract.extract(page_table(spark, pages)).collect())
+    assert got == Counter(slow_extract(pages))
+
+
 def test_extraction_against_brute_force(spark):
     from rasterloom.llm.html_extract import extract
 
