@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rasterloom.llm.common import materialise
+from rasterloom.llm.common import discard, materialise
 from rasterloom.llm.minhash import without_near_duplicates
 from rasterloom.llm.mixing import mixed_documents
 from rasterloom.llm.packing import pack
@@ -52,7 +52,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        done = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = materialise(docs, name)
+            done = materialise(done, name)
+            discard(docs)  # the copy that the stage before wrote
+        docs = done
     return docs
