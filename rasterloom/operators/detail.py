@@ -15,6 +15,7 @@ from rasterloom.operators.geometry import gathered, moved
 from rasterloom.operators.node import EngineError, Param, choice, node, number
 from rasterloom.operators.point import DETAIL, SIGNED
 from rasterloom.operators.spatial import COLOURS, along, box_columns, clamped_mean, gaussian
+from rasterloom.operators.tiles import over_tiles
 
 
 def luma() -> Column:
@@ -577,24 +578,35 @@ def tone_eq(inputs, p):
     return Rel(df, IMAGE, rel.width, rel.height).image(*[F.col(c) * F.col("_k") for c in COLOURS])
 
 
-@node("nlm_denoise", masked=True, strength=number(0), mode=choice("knn"))
+#: Pixels around one that non-local means look at, and around those that patches compare; weights from which two agree, and the share of the neighbours that must, for the mean to hold in full.
+SEARCH, PATCH, AGREE, FLAT = 3, 2, 0.36, 0.66
+
+
+@node("nlm_denoise", masked=True, strength=number(0), mode=choice("knn", "nlm"))
 def nlm_denoise(inputs, p):
-    """Each pixel a mean of those around it, weighed by how near their colours are to its own."""
+    """Each pixel a mean of those around it, weighed by how near their colours (knn) or the colours of the patches around them (nlm) are to its own; where few agree the pixel stays. One pass a shift, with box sums of the shifted differences."""
     rel, s = inputs["in"], p["strength"] / 100
     if s <= 0:
         return rel
-    h = 0.008 + 0.10 * s * s
-    from rasterloom.operators.spatial import neighbours
-
-    df = rel.df.withColumn("_c", F.array(*[t.encode(F.greatest(c, num(0))) for c in COLOURS]))
-    df = df.withColumn("_row", F.array(*neighbours("x", F.col("_c"), list(range(-3, 4)))))
-    df = df.withColumn("_all", F.concat(*neighbours("y", F.col("_row"), list(range(-3, 4)))))
-
-    def weight(q):
-        d = sum(((q[i] - F.col("_c")[i]) * (q[i] - F.col("_c")[i]) for i in range(3)), num(0)) / num(3)
-        return F.exp(-d / num(h * h))
-
-    zero = F.struct(*[num(0).alias(f"s{i}") for i in range(3)], num(0).alias("w"))
-    total = F.aggregate("_all", zero, lambda acc, q: F.struct(*[(acc[f"s{i}"] + weight(q) * q[i]).alias(f"s{i}") for i in range(3)], (acc["w"] + weight(q)).alias("w")))
-    df = df.withColumn("_t", total)
-    return Rel(df, IMAGE, rel.width, rel.height).image(*[t.decode(F.col(f"_t.s{i}") / F.col("_t.w")) for i in range(3)])
+    h2, block = (0.008 + 0.10 * s * s) ** 2, PATCH if p["mode"] == "nlm" else 0
+    reach, n = SEARCH + block, 2 * block + 1
+
+    def run(planes, y0, x0):
+        own = [planes[c] for c in "rgb"]
+        tall, wide = own[0].shape
+        rgb = [np.pad(v, reach, mode="edge") for v in own]
+        sums, total, agree = [np.zeros_like(v) for v in own], np.zeros_like(own[0]), np.zeros_like(own[0])
+        at = lambda v, dy, dx, grow: v[SEARCH + block - grow + dy : SEARCH + block + grow + dy + tall, SEARCH + block - grow + dx : SEARCH + block + grow + dx + wide]
+        for dy in range(-SEARCH, SEARCH + 1):
+            for dx in range(-SEARCH, SEARCH + 1):
+                apart = sum((at(v, 0, 0, block) - at(v, dy, dx, block)) ** 2 for v in rgb) / 3
+                rows = sum(apart[i : i + tall] for i in range(n))
+                weight = np.exp(-sum(rows[:, i : i + wide] for i in range(n)) / (n * n * h2))
+                agree += weight > AGREE
+                total += weight
+                for k, v in enumerate(rgb):
+                    sums[k] += at(v, dy, dx, 0) * weight
+        blend = np.minimum(agree / (2 * SEARCH + 1) ** 2 / FLAT, 1) ** 2
+        return {c: v + (m / total - v) * blend for c, v, m in zip("rgb", own, sums, strict=True)} | {"a": planes["a"], "there": planes["there"]}
+
+    return Rel(over_tiles(rel.df, rel.width, rel.height, reach, ["r", "g", "b", "a"], ["r", "g", "b", "a"], run), IMAGE, rel.width, rel.height)

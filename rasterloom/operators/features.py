@@ -144,8 +144,8 @@ def described(img: np.ndarray, y: float, x: float, sigma: float, angle: float) -
     return hist
 
 
-def pyramid_step(runs: DataFrame, octave: int, width: int, height: int) -> DataFrame:
-    """Rows of ROW: the points of an octave, and the runs of the next one. runs(frame_id, at_y, at_x, desc) are those of this octave."""
+def pyramid_step(runs: DataFrame, octave: int, width: int, height: int, bare: bool = False) -> DataFrame:
+    """Rows of ROW: the points of an octave (bare: its extremes, with their value as response), and the runs of the next one. runs(frame_id, at_y, at_x, desc) are those of this octave."""
     import pandas as pd
 
     columns = [c.split()[0] for c in ROW.split(", ")]
@@ -169,7 +169,12 @@ def pyramid_step(runs: DataFrame, octave: int, width: int, height: int) -> DataF
         levels = levels_of(base, octave == 0)
         dogs, scale, out = np.diff(levels, axis=0), float(1 << octave), []
         for i, y, x in extremes(dogs) if min(base.shape) >= 4 else []:
-            if (y + y0) // CORE != ty or (x + x0) // CORE != tx or (found := placed(dogs, i, y, x)) is None:
+            if (y + y0) // CORE != ty or (x + x0) // CORE != tx:
+                continue
+            if bare:
+                out.append((POINT, frame, octave, int(i), int(y + y0), int(x + x0), None, None, None, None, float(dogs[i, y, x]), None))
+                continue
+            if (found := placed(dogs, i, y, x)) is None:
                 continue
             fi, fy, fx, response = found
             sigma, img = SIGMA * 2 ** (fi / SCALES), levels[min(int(math.floor(fi + 0.5)), len(levels) - 1)]
@@ -186,15 +191,15 @@ def pyramid_step(runs: DataFrame, octave: int, width: int, height: int) -> DataF
     return dealt.groupBy("frame_id", "ty", "tx").applyInPandas(run, ROW)
 
 
-def scale_space_points(rel: Rel) -> DataFrame:
-    """frame_id, octave, level, at_y, at_x (where the extreme was found, in the octave's pixels), y, x, scale (in the frame's), angle, response, desc of every feature point."""
+def scale_space_points(rel: Rel, bare: bool = False, octaves: int | None = None) -> DataFrame:
+    """frame_id, octave, level, at_y, at_x (where the extreme was found, in the octave's pixels), y, x, scale (in the frame's), angle, response, desc of every feature point; bare: of every extreme, with its value as response and no more. Of as many octaves as fit, or fewer."""
     luma = num(0.2126) * F.col("r") + num(0.7152) * F.col("g") + num(0.0722) * F.col("b")
     seen = F.pow(F.greatest(F.coalesce(luma, num(0)), num(0)), num(1 / 2.2))  # as an eye sees it, so that shadows have points too
     runs = rel.df.select(F.col("frame_id").cast("int"), F.col("y").alias("at_y"), (F.floor(F.col("x") / RUN) * RUN).cast("int").alias("at_x"), "x", seen.alias("v"))
     runs = runs.groupBy("frame_id", "at_y", "at_x").agg(F.array_sort(F.collect_list(F.struct("x", "v")))["v"].alias("desc"))
     width, height, found = rel.width, rel.height, None
-    for octave in range(octaves_of(width, height)):
-        step = checkpointed(pyramid_step(runs, octave, width, height))
+    for octave in range(min(octaves or 8, octaves_of(width, height))):
+        step = checkpointed(pyramid_step(runs, octave, width, height, bare))
         points = step.filter(F.col("kind") == POINT).drop("kind")
         found = points if found is None else found.unionByName(points)
         runs = step.filter(F.col("kind") == PIXELS).select("frame_id", "at_y", "at_x", "desc")

@@ -92,20 +92,6 @@ def overlap_means(rel_df: DataFrame) -> DataFrame:
     return one.join(other, ["y", "x"]).filter("frame_id < f2").groupBy(F.col("frame_id").alias("a"), F.col("f2").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.avg("l").alias("mean_a"), F.avg("l2").alias("mean_b"))
 
 
-def solve_gains(overlaps: list[tuple[int, int, int, float, float]], frames: int, sigma_n: float = 10.0, sigma_g: float = 0.1) -> np.ndarray:
-    """Gains that level overlaps, drawn toward 1: regularised normal equations over the frames."""
-    m, r = np.zeros((frames, frames)), np.zeros(frames)
-    for a, b, n, x, y in overlaps:
-        for i, j, u, v in ((a, b, x, y), (b, a, y, x)):
-            m[i, i] += n * (u * u / sigma_n**2 + 1 / sigma_g**2)
-            m[i, j] -= n * u * v / sigma_n**2
-            r[i] += n / sigma_g**2
-    for i in range(frames):
-        if m[i, i] == 0:
-            m[i, i] = r[i] = 1.0
-    return np.linalg.solve(m, r)
-
-
 def owners(weights: DataFrame) -> DataFrame:
     """The frame that owns each place: the largest weight, ties to the first frame. Rows (frame_id, y, x, w)."""
     w = Window.partitionBy("y", "x").orderBy(F.desc("w"), "frame_id")

@@ -211,6 +211,31 @@ def turned(cameras: dict, r: np.ndarray) -> dict:
     return {k: Camera(c.f, c.r @ r.T) for k, c in cameras.items()}
 
 
+# -- exposure -----------------------------------------------------------------
+#: How far frames may differ where they show the same, in steps of 255, and how far gains may stray from 1.
+SIGMA_N, SIGMA_G = 10.0, 0.1
+
+
+def gains(overlaps: DataFrame) -> DataFrame:
+    """pano, frame, gain: what levels the frames of each panorama, drawn toward 1, from overlaps(pano, a, b, n, mean_a, mean_b), one row for each two frames with n places in common and their mean luma there. A panorama's frames are one small system in one task."""
+    import pandas as pd
+
+    kinds = [overlaps.schema[c].dataType.simpleString() for c in ("pano", "a")]
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        frames = sorted(set(pdf["a"]) | set(pdf["b"]))
+        at = {f: i for i, f in enumerate(frames)}
+        m, r = np.eye(len(frames)) / SIGMA_G**2, np.full(len(frames), 1 / SIGMA_G**2)
+        for a, b, n, u, v in pdf[["a", "b", "n", "mean_a", "mean_b"]].itertuples(index=False):
+            i, j, u, v = at[a], at[b], 255 * u, 255 * v
+            for p, q, x, y in ((i, j, u, v), (j, i, v, u)):
+                m[p, p] += n * x * x / SIGMA_N**2
+                m[p, q] -= n * x * y / SIGMA_N**2
+        return pd.DataFrame({"pano": [pdf["pano"].iloc[0]] * len(frames), "frame": frames, "gain": np.linalg.solve(m, r)})
+
+    return overlaps.groupBy("pano").applyInPandas(solve, f"pano {kinds[0]}, frame {kinds[1]}, gain double")
+
+
 # -- seams --------------------------------------------------------------------
 # Cells of the reduced canvas at most, costs' steps to 1, the tie to a frame, weight under which a frame is near its border,
 # cost of a seam anywhere, how much an edge cheapens it, pixels it keeps from what differs, pull to the more direct frame, what has moved.
