@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.operators import match
+from rasterloom.operators import match, panorama
 from rasterloom.streaming.merge import fold, journal, journal_batch, running_merge, windowed_counts
 
 
@@ -20,8 +20,9 @@ def test_two_nearest_is_exact(spark):
 def test_overlaps_and_gains(spark):
     points = spark.createDataFrame([(0.0, 0.0), (5.0, 5.0), (9.0, 1.0)], "px double, py double")
     assert match.features_in_overlap(points, np.array([[1, 0, 3], [0, 1, 0], [0, 0, 1.0]]), 10, 10).first().n == 2
-    gains = match.solve_gains([(0, 1, 1000, 0.2, 0.4)], 2, sigma_n=0.001)
-    assert gains[0] * 0.2 == pytest.approx(gains[1] * 0.4, rel=0.02)
+    overlaps = spark.createDataFrame([("p", 0, 1, 100_000, 0.2, 0.4), ("q", 0, 1, 1, 0.0, 0.0)], "pano string, a long, b long, n long, mean_a double, mean_b double")
+    gains = {(r.pano, r.frame): r.gain for r in panorama.gains(overlaps).collect()}
+    assert gains["p", 0] * 0.2 == pytest.approx(gains["p", 1] * 0.4, rel=0.02) and gains["q", 0] == gains["q", 1] == 1
 
 
 def test_owner_ties_go_to_the_first(spark):
