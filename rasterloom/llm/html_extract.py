@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from typing import NamedTuple
 
 import numpy as np
@@ -47,8 +47,8 @@ OPEN_RUN, ARTICLE_RUN = Run(4, 3, 0.2), Run(8, 5, 0.6)
 COVERED = 0.7
 #: Pages in a suffix array, about.
 ARRAY_PAGES = 256
-#: Hosts whose numbers of arrays are sent to all tasks; of more they are joined.
-FEW_HOSTS = 100_000
+#: Hosts whose numbers of arrays, and runs that are sent to all tasks; more are joined.
+FEW_HOSTS, FEW_RUNS = 100_000, 500_000
 
 # Elements by what they hold, and words in class, id and role that mark an element.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -303,71 +303,110 @@ def held_streams(group: pd.DataFrame) -> tuple[Streams, list[int]]:
     return Streams([np.frombuffer(t, "<u2").astype(np.int64) for t in raw], (OPEN_RUN, ARTICLE_RUN)), which
 
 
-def gone_blocks(group: pd.DataFrame, which: list[int], covers: list[list[np.ndarray]]) -> pd.DataFrame:
-    """Of an array's pages, the numbers of the blocks that boilerplate covers."""
-    open_cover, article_cover = covers
-    out = []
-    for k, states, sizes in zip(which, group["states"], group["sizes"], strict=True):
-        ends = np.cumsum(sizes)
-        out.append([i for i, (s, n, e) in enumerate(zip(states, sizes, ends, strict=True)) if n and (article_cover if s == IN else open_cover)[k][e - n : e].mean() >= COVERED])
-    return pd.DataFrame({"row_key": group["row_key"], "gone": out})
+def gone_of(states, sizes, open_cover: np.ndarray, article_cover: np.ndarray) -> list[int]:
+    """Of a page's blocks the numbers of those that boilerplate covers."""
+    ends = np.cumsum(sizes)
+    return [i for i, (s, n, e) in enumerate(zip(states, sizes, ends, strict=True)) if n and (article_cover if s == IN else open_cover)[e - n : e].mean() >= COVERED]
+
+
+LOOK = "row_key string, gone array<int>, host string, kind int, run long, pages long"
 
 
-def covered_blocks(group: pd.DataFrame) -> pd.DataFrame:
-    """gone_blocks of a host that is one array."""
+def first_look(group: pd.DataFrame) -> pd.DataFrame:
+    """Of an array's pages: those of a host that is one array are decided, of others the runs that are on the share of the pages here are proposed. Kind -1 counts the array's distinct pages."""
+    columns = [c.split()[0] for c in LOOK.split(", ")]
     held, which = held_streams(group)
-    return gone_blocks(group, which, held.covers(often_here(held)))
-
-
-GONE, RUNS = "row_key string, gone array<int>", "host string, kind int, run long, pages long"
-
-
-def whole_host(dealt: DataFrame, n: int) -> DataFrame:
-    """gone_blocks of hosts that are several arrays, from dealt(host, array, row_key, states, sizes, tokens). Kind -1 counts an array's distinct pages."""
-
-    def counted(key, group: pd.DataFrame, wanted: pd.DataFrame | None) -> pd.DataFrame:
-        if group.empty:
-            return pd.DataFrame(columns=["host", "kind", "run", "pages"])
-        held, _ = held_streams(group)
-        rows = [(-1, 0, held.distinct)]
-        for k, kind in enumerate(held.kinds):
-            _, at, pages, whole = held.groups(kind)
-            flags = often_here(held, least=False)[k] if wanted is None else whole
-            runs = windows(held.tokens, at[flags], kind.tokens)
-            for run, count in zip(runs.tolist(), pages[flags].tolist(), strict=True):
-                rows.append((k, run, count))
-        out = pd.DataFrame(rows, columns=["kind", "run", "pages"])
-        if wanted is not None:
-            proposed = pd.MultiIndex.from_frame(wanted[["kind", "run"]])
-            out = out[(out["kind"] == -1) | pd.MultiIndex.from_frame(out[["kind", "run"]]).isin(proposed)]
-        return out.assign(host=key[0])[["host", "kind", "run", "pages"]]
-
-    def decided(key, group: pd.DataFrame, often: pd.DataFrame) -> pd.DataFrame:
-        if group.empty:
-            return pd.DataFrame(columns=["row_key", "gone"])
-        held, which = held_streams(group)
-        flags = []
-        for k, kind in enumerate(held.kinds):
-            _, at, _, whole = held.groups(kind)
-            ok = whole.copy()
-            ok[whole] = np.isin(windows(held.tokens, at[whole], kind.tokens), often["run"][often["kind"] == k].to_numpy(np.int64))
-            flags.append(ok)
-        return gone_blocks(group, which, held.covers(flags))
-
-    def to_arrays(runs: DataFrame) -> DataFrame:
-        return runs.join(places, "host").repartition(n, "host", "array")
-
-    dealt = materialise(dealt, "arrays", "zstd")
-    places = materialise(dealt.select("host", "array").distinct(), "places")
-    arrays = dealt.repartition(n, "host", "array").groupBy("host", "array")
-    proposed = arrays.applyInPandas(lambda key, group: counted(key, group, None), RUNS).filter("kind >= 0").select("host", "kind", "run").distinct()
-    proposed = materialise(proposed, "proposed")
-    counts = arrays.cogroup(to_arrays(proposed).groupBy("host", "array")).applyInPandas(counted, RUNS)
-    counts = materialise(counts.groupBy("host", "kind", "run").agg(F.sum("pages").alias("pages")), "counts")
-    pages = counts.filter("kind = -1").select("host", F.col("pages").alias("distinct"))
-    least = F.when(F.col("kind") == 0, F.greatest(F.lit(OPEN_RUN.pages), F.col("distinct") * OPEN_RUN.share)).otherwise(F.greatest(F.lit(ARTICLE_RUN.pages), F.col("distinct") * ARTICLE_RUN.share))
-    often = counts.filter("kind >= 0").join(pages, "host").filter(F.col("pages") >= least).select("host", "kind", "run")
-    return arrays.cogroup(to_arrays(materialise(often, "often")).groupBy("host", "array")).applyInPandas(decided, GONE)
+    if group["arrays"].iloc[0] == 1:
+        covers = held.covers(often_here(held))
+        rows = [(key, gone_of(st, sz, covers[0][k], covers[1][k]), None, None, None, None) for key, k, st, sz in zip(group["row_key"], which, group["states"], group["sizes"], strict=True)]
+        return pd.DataFrame([r for r in rows if r[1]], columns=columns)
+    host, rows = group["host"].iloc[0], []
+    for k, (kind, flags) in enumerate(zip(held.kinds, often_here(held, least=False), strict=True)):
+        _, at, _, _ = held.groups(kind)
+        rows += [(None, None, host, k, run, None) for run in windows(held.tokens, at[flags], kind.tokens).tolist()]
+    return pd.DataFrame([*rows, (None, None, host, -1, 0, held.distinct)], columns=columns)
+
+
+Wanted = dict[tuple[str, int], np.ndarray]
+
+
+def as_wanted(rows) -> Wanted:
+    """Runs by host and kind, from (host, kind, run)."""
+    found: dict[tuple[str, int], list[int]] = defaultdict(list)
+    for host, kind, run in rows:
+        found[host, kind].append(run)
+    return {k: np.sort(np.array(v, np.int64)) for k, v in found.items()}
+
+
+def runs_of(raw: bytes) -> list[np.ndarray]:
+    """The hash of the run of each kind that begins at each token."""
+    tokens = np.frombuffer(raw, "<u2").astype(np.int64)
+    return [windows(tokens, np.arange(max(0, len(tokens) - kind.tokens + 1)), kind.tokens) for kind in (OPEN_RUN, ARTICLE_RUN)]
+
+
+def held_runs(hosts, streams, tokens, wanted: Wanted) -> dict[str, list]:
+    """host, kind, run, stream for each wanted run of each page."""
+    out = {c: [] for c in ("host", "kind", "run", "stream")}
+    for host, stream, raw in zip(hosts, streams, tokens, strict=True):
+        for kind, runs in enumerate(runs_of(raw)):
+            if (host, kind) in wanted:
+                found = np.intersect1d(runs, wanted[host, kind]).tolist()
+                for c, v in zip(out, (host, kind, None, stream), strict=True):
+                    out[c] += found if c == "run" else [v] * len(found)
+    return out
+
+
+def gone_pages(keys, hosts, states, sizes, tokens, often: Wanted) -> dict[str, list]:
+    """row_key, gone for each page of which blocks go, by the runs that are often on its host."""
+    out = {"row_key": [], "gone": []}
+    for key, host, st, sz, raw in zip(keys, hosts, states, sizes, tokens, strict=True):
+        covers = []
+        for kind, runs in enumerate(runs_of(raw)):
+            at = np.flatnonzero(np.isin(runs, often[host, kind])) if (host, kind) in often else np.zeros(0, np.int64)
+            delta = np.zeros(len(raw) // 2 + 1, np.int64)
+            np.add.at(delta, at, 1)
+            np.add.at(delta, at + (OPEN_RUN, ARTICLE_RUN)[kind].tokens, -1)
+            covers.append(np.cumsum(delta)[:-1] > 0)
+        if gone := gone_of(st, sz, *covers):
+            out["row_key"].append(key)
+            out["gone"].append(gone)
+    return out
+
+
+GONE, HELD = "row_key string, gone array<int>", "host string, kind int, run long, stream long"
+
+
+def with_runs(streams: DataFrame, runs: DataFrame, function, names: list[str], schema: str) -> DataFrame:
+    """function over streams with the runs(host, kind, run) of their hosts, which are sent to all tasks while they are few and meet the streams of their host's arrays else."""
+    if runs.count() <= FEW_RUNS:
+        shared = streams.sparkSession.sparkContext.broadcast(as_wanted(runs.select("host", "kind", "run").collect()))
+
+        def mapped(batches):
+            for batch in batches:
+                yield function(*(batch.column(c).to_pylist() for c in names), shared.value)
+
+        return map_arrow(streams.select(*names), mapped, schema)
+
+    def met(own: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(function(*(own[c] for c in names), as_wanted(wanted[["host", "kind", "run"]].itertuples(index=False))))
+
+    n = partitions(streams.sparkSession)
+    places = materialise(streams.select("host", "array").distinct(), "places")
+    told = runs.join(places, "host").repartition(n, "host", "array").groupBy("host", "array")
+    return streams.repartition(n, "host", "array").groupBy("host", "array").cogroup(told).applyInPandas(met, schema)
+
+
+def whole_hosts(streams: DataFrame, looks: DataFrame, proposed: DataFrame) -> DataFrame:
+    """What goes of the pages of hosts that are several arrays: all of such a host's pages count the runs that any of its arrays proposed."""
+    hosts = proposed.select("host").distinct()
+    streams = streams.join(hosts, "host")
+    held = with_runs(streams, proposed, held_runs, ["host", "stream", "tokens"], HELD).distinct()
+    counts = held.groupBy("host", "kind", "run").agg(F.count(F.lit(1)).alias("pages"))
+    distinct = looks.filter("kind = -1").groupBy("host").agg(F.sum("pages").alias("distinct"))
+    open_, article = (F.greatest(F.lit(float(r.pages)), F.col("distinct") * r.share) for r in (OPEN_RUN, ARTICLE_RUN))
+    often = counts.join(distinct, "host").filter(F.col("pages") >= F.when(F.col("kind") == 0, open_).otherwise(article)).select("host", "kind", "run")
+    often = materialise(often, "often")
+    return with_runs(streams, often, gone_pages, ["row_key", "host", "states", "sizes", "tokens"], GONE)
 
 
 def host_of(url: str) -> F.Column:
@@ -409,14 +448,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     arrays = materialise(read_in.groupBy("host").agg(F.ceil(F.count(F.lit(1)) / ARRAY_PAGES).alias("arrays")), "arrays")
     n_hosts, most = arrays.agg(F.count(F.lit(1)), F.max("arrays")).first()
     # streams needn't move for the sizes of hosts as long as these are few
-    dealt = streams.join(F.broadcast(arrays) if n_hosts <= FEW_HOSTS else arrays, "host").withColumn("array", F.pmod("stream", F.col("arrays"))).drop("stream")
-    n = partitions(spark)
-    single = dealt.filter("arrays = 1") if (most or 0) > 1 else dealt
-    single = single.repartition(n, "host", "array")  # the join deals by host alone, and so would a grouping on top of it
-    gone = single.groupBy("host", "array").applyInPandas(covered_blocks, GONE)
-    if (most or 0) > 1:
-        gone = gone.unionByName(whole_host(dealt.filter("arrays > 1").drop("arrays"), n))
-    gone = materialise(gone.filter(F.size("gone") > 0).dropDuplicates(["row_key"]), "gone")
+    dealt = streams.join(F.broadcast(arrays) if n_hosts <= FEW_HOSTS else arrays, "host").withColumn("array", F.pmod("stream", F.col("arrays")))
+    spread = dealt.drop("stream").repartition(partitions(spark), "host", "array")  # the join deals by host alone, and so would a grouping on top of it
+    looks = materialise(spread.groupBy("host", "array").applyInPandas(first_look, LOOK), "looks")
+    gone = looks.filter("row_key is not null").select("row_key", "gone")
+    proposed = looks.filter("kind >= 0").select("host", "kind", "run").distinct() if (most or 0) > 1 else None
+    if proposed is not None and not proposed.isEmpty():
+        gone = gone.unionByName(whole_hosts(dealt.drop("arrays"), looks, materialise(proposed, "proposed")))
+    gone = materialise(gone.dropDuplicates(["row_key"]), "gone")
 
     kept = F.filter("texts", lambda x, i: ~F.coalesce(F.array_contains("gone", i), F.lit(False)))
     joined = parsed.select("id", "url", "row_key", "texts").join(gone, "row_key", "left")

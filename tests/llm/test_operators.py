@@ -228,12 +228,13 @@ def test_a_doubtful_part_goes_if_it_repeats(spark):
     assert got == {i: prose(25, i) for i in range(12)} | {20 + i: prose(25, i) + "\n\nthis site will be closed on sunday" for i in range(2)}
 
 
-@pytest.mark.parametrize("size", [100, 9])
-def test_the_whole_host_decides_however_its_pages_are_dealt(spark, monkeypatch, size):
-    """Passages just above and just below the shares of a host's pages, in one array and in many; copies of a page are one."""
+@pytest.mark.parametrize(("size", "few"), [(100, 9), (9, 500_000), (9, 0)])
+def test_the_whole_host_decides_however_its_pages_are_dealt(spark, monkeypatch, size, few):
+    """Passages just above and just below the shares of a host's pages, in one array and in many, with runs sent to all tasks and joined; copies of a page are one."""
     from rasterloom.llm import html_extract
 
     monkeypatch.setattr(html_extract, "ARRAY_PAGES", size)
+    monkeypatch.setattr(html_extract, "FEW_RUNS", few)
     shared = {n: prose(12, 900 + n) for n in (2, 11, 12, 13, 35, 36, 37, 60)}
     pages = []
     for i in range(60):
