@@ -10,44 +10,116 @@ from rasterloom.functions.tone import num
 from rasterloom.session import checkpointed
 
 RATIO = 0.8
-BLOCK = 2048
+#: Descriptors in a block and in a cell of an index, about, and cells at most.
+BLOCK, CELL, PIVOTS = 2048, 256, 1024
 
 
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), num(0), lambda s, v: s + v)
 
 
-def two_nearest(a: DataFrame, b: DataFrame) -> DataFrame:
-    """a_id, b_id, d1, d2: for each descriptor of a its nearest of b and the distances to the two nearest; ties to the smaller id. a and b hold id and desc. Both are dealt in blocks; each pair of blocks meets in one task, as two matrices, and hands on two rows a descriptor."""
-    import pandas as pd
+def stacked(column) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, 1))
+
+
+def best_two(a_ids: np.ndarray, u: np.ndarray, ids: np.ndarray, v: np.ndarray) -> list[tuple]:
+    """(a_id, b_id, distance) of the two nearest of v to each of u, ties to the smaller id; ids are in order."""
+    out, lengths = [], (v * v).sum(axis=1)
+    for at in range(0, len(u), 256):
+        part = u[at : at + 256]
+        # products choose, with slack for their rounding; each distance is then taken alone
+        near = lengths[None, :] - 2 * (part @ v.T)
+        second = np.partition(near, min(1, len(v) - 1), axis=1)[:, min(1, len(v) - 1)]
+        slack = 1e-9 * ((part * part).sum(axis=1) + lengths.max() + 1)
+        for aid, row, own, limit in zip(a_ids[at : at + 256], part, near, second + slack, strict=True):
+            places = np.flatnonzero(own <= limit)
+            d = np.sqrt(((v[places] - row) ** 2).sum(axis=1))
+            out += [(aid, ids[places[k]], d[k]) for k in np.argsort(d, kind="stable")[:2]]
+    return out
 
-    def block(df: DataFrame, n: int) -> DataFrame:
-        return df.select("id", F.col("desc").cast("array<double>").alias("desc"), F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"))
 
-    na, nb = (max(1, -(-df.count() // BLOCK)) for df in (a, b))
-    left = block(a, na).withColumnRenamed("block", "p").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(nb - 1))))
-    right = block(b, nb).withColumnRenamed("block", "q").withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(na - 1))))
-    id_type = a.schema["id"].dataType.simpleString()
+def two_nearest(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a_id, b_id, d1, d2: for each descriptor of a its nearest of b and the distances to the two nearest; ties to the smaller id. a and b hold id and desc.
+
+    Descriptors of b lie in cells around pivots, with the distance to the furthest of each. One of a is first compared with the cells next to it that hold two; how far the second of these is says which other cells may hold a nearer one, and only those are looked through as well. So the answer is exact, and the work follows how descriptors cluster. Cells and the askers of a cell are dealt in blocks."""
+    import pandas as pd
 
-    def nearest(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if not len(x) or not len(y):
+    spark = a.sparkSession
+    kinds = [df.schema["id"].dataType.simpleString() for df in (a, b)]
+    vectors = [df.filter(F.col("id").isNotNull()).select("id", F.col("desc").cast("array<double>").alias("desc")) for df in (a, b)]
+    wanted = min(PIVOTS, max(1, vectors[1].count() // CELL))
+    pivots = np.array([r[0] for r in vectors[1].orderBy(F.xxhash64("id", "desc"), "id").limit(wanted).select("desc").collect()], float)
+    empty = spark.createDataFrame([], f"a_id {kinds[0]}, b_id {kinds[1]}, d1 double, d2 double")
+    if not len(pivots):
+        return empty
+    shared = spark.sparkContext.broadcast(pivots)
+
+    def apart(v: np.ndarray) -> np.ndarray:
+        p = shared.value
+        return np.sqrt(np.maximum((v * v).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * v @ p.T, 0))
+
+    def place(batches):
+        for pdf in batches:
+            d = apart(stacked(pdf["desc"])) if len(pdf) else np.zeros((0, 1))
+            yield pdf.assign(cell=d.argmin(1) if len(pdf) else [], far=d.min(1) if len(pdf) else [])
+
+    cells = checkpointed(vectors[1].mapInPandas(place, f"id {kinds[1]}, desc array<double>, cell int, far double"))
+    held, reach = np.zeros(len(pivots), np.int64), np.full(len(pivots), -np.inf)
+    for cell, n, far in cells.groupBy("cell").agg(F.count(F.lit(1)), F.max("far")).collect():  # PIVOTS rows at most
+        held[cell], reach[cell] = n, far
+    parts = np.maximum(1, -(-held // BLOCK))
+    asked = checkpointed(vectors[0].mapInPandas(place, f"id {kinds[0]}, desc array<double>, cell int, far double").withColumnRenamed("cell", "home"))
+    askers = np.ones(len(pivots), np.int64)
+    for cell, n in asked.groupBy("home").count().collect():  # PIVOTS rows at most
+        askers[cell] = max(1, -(-n // BLOCK))
+    index = spark.sparkContext.broadcast((held, reach, parts, askers))
+
+    def first(d: np.ndarray) -> np.ndarray:
+        """The nearest cells that hold two, of each row of distances to pivots."""
+        order = np.argsort(d, axis=1, kind="stable")
+        so_far = np.cumsum(index.value[0][order], axis=1)
+        needed = np.concatenate([np.zeros((len(d), 1), bool), so_far[:, :-1] >= 2], axis=1)
+        out = np.zeros(d.shape, bool)
+        np.put_along_axis(out, order, ~needed, axis=1)
+        return out
+
+    def visits(batches):
+        """Where each asker goes: with a bound to every cell that may hold something nearer, without to the first ones."""
+        held, reach, parts, askers = index.value
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            d = apart(stacked(pdf["desc"]))
+            to = first(d)
+            if "bound" in pdf:
+                bound = pdf["bound"].fillna(np.inf).to_numpy(float)[:, None]
+                to = ~to & (held > 0) & (d - reach[None, :] <= bound * (1 + 1e-9) + 1e-6)
+            row, cell = np.nonzero(to)
+            h, home = pdf["h"].to_numpy(), pdf["home"].to_numpy()
+            rows = pd.DataFrame({"id": pdf["id"].to_numpy()[row], "desc": pdf["desc"].to_numpy()[row], "home": home[row], "block": h[row] % askers[home[row]], "cell": cell})
+            yield rows.loc[rows.index.repeat(parts[cell])].assign(part=np.concatenate([np.arange(p) for p in parts[cell]]) if len(cell) else [])
+
+    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        if x.empty or y.empty:
             return pd.DataFrame({"a_id": [], "b_id": [], "d": []})
         y = y.sort_values("id")
-        u, v = np.stack(x["desc"].to_numpy()), np.stack(y["desc"].to_numpy())
-        ids, out, lengths = y["id"].to_numpy(), [], (v * v).sum(axis=1)
-        for at in range(0, len(u), 256):
-            # products choose with some slack, each distance is then taken alone
-            near = lengths[None, :] - 2 * (u[at : at + 256] @ v.T)
-            few = np.argpartition(near, min(7, len(v) - 1), axis=1)[:, :8] if len(v) > 8 else np.tile(np.arange(len(v)), (len(near), 1))
-            for aid, row, places in zip(x["id"].iloc[at : at + 256], u[at : at + 256], few, strict=True):
-                places = np.sort(places)
-                d = np.sqrt(((v[places] - row) ** 2).sum(axis=1))
-                for k in np.argsort(d, kind="stable")[:2]:
-                    out.append((aid, ids[places[k]], d[k]))
-        return pd.DataFrame(out, columns=["a_id", "b_id", "d"])
-
-    found = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(nearest, f"a_id {id_type}, b_id {id_type}, d double")
-    best = found.groupBy("a_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "b_id"))), 1, 2).alias("n"))
+        return pd.DataFrame(best_two(x["id"].to_numpy(), stacked(x["desc"]), y["id"].to_numpy(), stacked(y["desc"])), columns=["a_id", "b_id", "d"])
+
+    def looked_through(askers_: DataFrame) -> DataFrame:
+        going = checkpointed(askers_.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 30))).mapInPandas(visits, f"id {kinds[0]}, desc array<double>, home int, block long, cell int, part long"))
+        shares = F.array(*[F.lit(int(p)) for p in parts])
+        own = cells.withColumn("part", F.pmod(F.xxhash64("id"), F.element_at(shares, F.col("cell") + 1)))
+        keys = ["cell", "part", "home", "block"]
+        met = own.join(going.select(*keys).distinct(), ["cell", "part"]).select("id", "desc", *[F.col(k).alias(f"_{k}") for k in keys])
+        return going.groupBy(*keys).cogroup(met.groupBy(*[f"_{k}" for k in keys])).applyInPandas(compare, f"a_id {kinds[0]}, b_id {kinds[1]}, d double")
+
+    def two(found: DataFrame) -> DataFrame:
+        return found.groupBy("a_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "b_id"))), 1, 2).alias("n"))
+
+    start = checkpointed(two(looked_through(asked)))
+    bounds = start.select(F.col("a_id").alias("id"), F.try_element_at("n", F.lit(2))["d"].alias("bound"))
+    more = looked_through(asked.join(bounds, "id", "left"))
+    best = two(start.select("a_id", F.explode("n").alias("n")).select("a_id", "n.b_id", "n.d").unionByName(more))
     return best.select("a_id", F.col("n")[0]["b_id"].alias("b_id"), F.col("n")[0]["d"].alias("d1"), F.try_element_at("n", F.lit(2))["d"].alias("d2"))
 
 
@@ -70,18 +142,23 @@ def features_in_overlap(points: DataFrame, h: np.ndarray, width: int, height: in
 
 
 def frame_groups(edges: DataFrame, frames: DataFrame) -> DataFrame:
-    """frame, grp: frames that are linked, directly or through others, by the smallest of them. Labels spread and jump until none changes."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    labels = frames.select(F.col("frame"), F.col("frame").alias("grp"))
+    """frame, grp: frames that are linked, directly or through others, by the smallest of them. Each frame hands its larger neighbours to the smallest frame it knows, then itself and its smaller ones; that leaves a star a group after about as many turns as a chain's length has binary digits, in whatever order its frames are numbered."""
+    links = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    before = None
     while True:
-        near = both.join(labels.select(F.col("frame").alias("b"), F.col("grp").alias("g")), "b").groupBy(F.col("a").alias("frame")).agg(F.min("g").alias("g"))
-        hooked = labels.join(near, "frame", "left").select("frame", F.col("grp").alias("old"), F.least("grp", F.coalesce("g", "grp")).alias("grp"))
-        up = labels.select(F.col("frame").alias("grp"), F.col("grp").alias("top"))
-        step = hooked.join(up, "grp").select("frame", "old", F.least("grp", "top").alias("grp"))
-        step = checkpointed(step)
-        labels = step.select("frame", "grp")
-        if step.filter("old <> grp").isEmpty():
-            return labels
+        links = checkpointed(links)
+        now = links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
+        if now == before:
+            break
+        before = now
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = checkpointed(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        larger = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        larger = checkpointed(larger)
+        least = checkpointed(larger.groupBy("u").agg(F.min("v").alias("m")))
+        links = larger.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    tops = links.select(F.col("u").alias("frame"), F.col("v").alias("grp"))
+    return frames.select("frame").join(tops, "frame", "left").select("frame", F.coalesce("grp", "frame").alias("grp"))
 
 
 def overlap_means(rel_df: DataFrame) -> DataFrame:

@@ -270,35 +270,41 @@ def region_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stack.region_coverage(labels, 0.5, 0.5, 16).select("gy", "gx", "covered")
 
 
+#: How far the frames of the shifting query are moved, and the furthest that is looked for.
+MOVES, FURTHEST = ((0, 0, 0), (1, 3, -2), (2, -5, 4)), 8
+
+
 def shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A smooth picture at every place of the events, and two more that show it moved, found again."""
-    e = events(spark, sf_dir)
-    at = F.col("event_id")
-    x, y = at % 100, F.floor(at / F.lit(100.0))
-    moved = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for f, dx, dy in ((0, 0, 0), (1, 3, -2), (2, -5, 4))])).alias("m")
-    df = e.select(x.cast("int").alias("x"), y.cast("int").alias("y"), moved)
-    u, v = F.col("x") - F.col("m.dx"), F.col("y") - F.col("m.dy")
-    light = F.lit(0.5) + F.lit(0.2) * F.sin(u / F.lit(7.0)) + F.lit(0.2) * F.cos(v / F.lit(5.0) + u / F.lit(11.0)) + F.lit(0.08) * F.sin(u * v / F.lit(90.0))
-    df = df.select(F.col("m.f").alias("frame_id"), "y", "x", light.alias("r"), light.alias("g"), light.alias("b"), F.lit(1.0).alias("a"))
-    return stack.find_shifts(image_rel(df, 100, -(-e.count() // 100)), 0, 8)
+    """The picture, blurred, and two copies that are moved and cut where they leave it, found again."""
+    rel = run("blur", {"in": picture(spark, sf_dir)}, {"radius": 3.0, "kind": "box"})
+    copies = F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for f, dx, dy in MOVES])).alias("m")
+    df = rel.df.select("y", "x", *"rgba", copies)
+    y, x = F.col("y") + F.col("m.dy"), F.col("x") + F.col("m.dx")
+    df = df.filter(x.between(0, rel.width - 1) & y.between(0, rel.height - 1)).select(F.col("m.f").alias("frame_id"), y.alias("y"), x.alias("x"), *"rgba")
+    return stack.find_shifts(image_rel(df, rel.width, rel.height), 0, FURTHEST)
 
 
 def cropped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The picture covered but for its rim and a corner beside it: the rectangle that is left."""
-    covered = F.col("x").between(12, 83) & (F.col("y") >= 2) | (F.col("x") > 90)
-    rel = picture(spark, sf_dir).image(F.col("r"), F.col("g"), F.col("b"), F.when(covered, F.lit(1.0)).otherwise(F.lit(0.0)))
+    """The picture covered but where a user's event is an error of a small value: the largest rectangle without such a hole."""
+    rel = picture(spark, sf_dir)
+    hole = (F.col("a") < 1) & (F.col("r") < 0.02)
+    rel = rel.image(F.col("r"), F.col("g"), F.col("b"), F.when(hole, F.lit(0.0)).otherwise(F.lit(1.0)))
     out = match.auto_crop(rel.df, rel.width, rel.height)
-    return out.select("frame_id", *[F.round(c, 9).alias(c) for c in ("x", "y", "w", "h")])
+    return out.select(F.round(F.col("w") * F.col("h"), 9).alias("area"))
 
 
 #: A projective map that points of the fitting query follow.
 TURNED = ((1.02, -0.13, 40.0), (0.08, 0.97, -25.0), (0.00004, -0.00002, 1.0))
 
 
+#: Parts in a row that are the points of one frame.
+FRAME_PARTS = 300
+
+
 def point_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as points of frames by size, with the places where a map takes them; every third one is far off."""
+    """Parts as points of frames, some hundreds in a row each, with the places where a map takes them; every third one is far off."""
     k = F.col("p_partkey")
-    df = spark.read.parquet(f"{sf_dir}/part.parquet").select((F.col("p_size") % 3).cast("long").alias("a"), (F.col("p_size") % 3 + 10).cast("long").alias("b"), k, (k * 7919 % 1973).cast("double").alias("ax"), (k * 104729 % 1487).cast("double").alias("ay"))
+    df = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.floor(k / FRAME_PARTS).alias("a"), (F.floor(k / FRAME_PARTS) + 1).alias("b"), k, (k * 7919 % 1973).cast("double").alias("ax"), (k * 104729 % 1487).cast("double").alias("ay"))
     u, v, z = (F.col("ax") * F.lit(r[0]) + F.col("ay") * F.lit(r[1]) + F.lit(r[2]) for r in TURNED)
     off = F.when(k % 3 == 0, F.lit(60.0) + (k % 101).cast("double")).otherwise(F.lit(0.0))
     return df.select("a", "b", "ax", "ay", (u / z + off).alias("bx"), (v / z - off).alias("by"))

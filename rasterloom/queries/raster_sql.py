@@ -688,10 +688,25 @@ def measured(s: dict[str, str]) -> None:
     both = lambda ax: ", ".join(f"{window_mean(c, ax, 1)} AS {c}" for c in ("sa", "sb"))
     s["chroma_histogram"] = f"WITH f AS ({FRAME}), {OKLAB}, c0 AS (SELECT y, x, w, h, la, lb, la AS sa, lb AS sb FROM k), c1 AS (SELECT * REPLACE ({both('x')}) FROM c0), c2 AS (SELECT * REPLACE ({both('y')}) FROM c1), c3 AS (SELECT CAST(least(floor({chroma} / 0.5::DOUBLE * 500), 499) AS INTEGER) AS bin, w * h AS n FROM c2) SELECT bin, round(count(*) / max(n), 9) AS share FROM c3 GROUP BY bin"
     s["region_coverage"] = f"WITH f AS ({FRAME}), l AS (SELECT y, x, w, h, floor(v * 3.999::DOUBLE) AS k FROM f), t AS (SELECT k AS target FROM l WHERE x = floor(0.5 * w) AND y = floor(0.5 * h)) SELECT CAST(floor(y * 16 / h) AS INTEGER) AS gy, CAST(floor(x * 16 / w) AS INTEGER) AS gx, CAST(floor(sum(CASE WHEN k = target THEN 1 ELSE 0 END) * 255 / CAST(count(*) AS DOUBLE)) AS INTEGER) AS covered FROM l, t GROUP BY ALL"
-    s["stack__shifts"] = "SELECT CAST(f AS INTEGER) AS frame_id, CAST(dx AS INTEGER) AS dx, CAST(dy AS INTEGER) AS dy FROM (VALUES (0, 0, 0), (1, 3, -2), (2, -5, 4)) t(f, dx, dy)"
-    s["match__auto_crop"] = f"WITH f AS ({FRAME}) SELECT 0 AS frame_id, round(13 / 100::DOUBLE, 9) AS x, round(3 / max(h), 9) AS y, round(70 / 100::DOUBLE, 9) AS w, round(1 - 3 / max(h), 9) AS h FROM f"
+    soft = lambda ax: window_mean("l", ax, 3)
+    moves = "(VALUES (0, 0, 0), (1, 3, -2), (2, -5, 4)) t(frame_id, mx, my)"
+    s["stack__shifts"] = f"""WITH f AS ({FRAME}), b0 AS (SELECT y, x, w, h, {LUMA} AS l FROM f), b1 AS (SELECT * REPLACE ({soft('x')} AS l) FROM b0), b2 AS (SELECT * REPLACE ({soft('y')} AS l) FROM b1),
+    m AS (SELECT frame_id, y + my AS y, x + mx AS x, l FROM b2 CROSS JOIN {moves} WHERE x + mx BETWEEN 0 AND w - 1 AND y + my BETWEEN 0 AND h - 1),
+    t AS (SELECT frame_id, y, x, l > median(l) OVER (PARTITION BY frame_id) AS bit FROM m),
+    c AS (SELECT dx, dy FROM (SELECT unnest(range(-8, 9)) AS dx), (SELECT unnest(range(-8, 9)) AS dy)),
+    e AS (SELECT a.frame_id, dx, dy, avg(CASE WHEN a.bit <> b.bit THEN 1 ELSE 0 END) AS e FROM t a CROSS JOIN c JOIN t b ON b.frame_id = 0 AND b.y = a.y - dy AND b.x = a.x - dx GROUP BY ALL)
+    SELECT CAST(frame_id AS INTEGER) AS frame_id, CAST(arg_min(dx, e) AS INTEGER) AS dx, CAST(arg_min(dy, e) AS INTEGER) AS dy FROM e GROUP BY frame_id"""
+    # every rectangle of rows top to foot without a hole: the widest gap between the holes' columns
+    s["match__auto_crop"] = f"""WITH f AS ({FRAME}), sz AS (SELECT CAST(max(w) AS BIGINT) AS w, CAST(max(h) AS BIGINT) AS h FROM f), hole AS (SELECT y, x FROM f WHERE a < 1 AND r < 0.02::DOUBLE),
+    ys AS (SELECT unnest(range(h)) AS y FROM sz), span AS (SELECT a.y AS top, b.y AS foot FROM ys a JOIN ys b ON a.y <= b.y),
+    cut AS (SELECT top, foot, x FROM span JOIN hole ON hole.y BETWEEN top AND foot UNION SELECT top, foot, -1 FROM span UNION SELECT top, foot, w FROM span CROSS JOIN sz),
+    gap AS (SELECT top, foot, x, lead(x) OVER (PARTITION BY top, foot ORDER BY x) AS after FROM cut),
+    whole AS (SELECT top, foot, x + 1 AS x0, after AS x1, (foot - top + 1) * (after - x - 1) AS area FROM gap WHERE after > x + 1),
+    best AS (SELECT * FROM whole WHERE area = (SELECT max(area) FROM whole)),
+    inner_ AS (SELECT greatest((x1 - CASE WHEN x1 < w THEN 1 ELSE 0 END) - (x0 + CASE WHEN x0 > 0 THEN 1 ELSE 0 END), 0) / w::DOUBLE AS rw, greatest((foot + 1 - CASE WHEN foot + 1 < h THEN 1 ELSE 0 END) - (top + CASE WHEN top > 0 THEN 1 ELSE 0 END), 0) / h::DOUBLE AS rh, top, x0 FROM best CROSS JOIN sz)
+    SELECT round(rw * rh, 9) AS area FROM inner_ WHERE rw > 0 AND rh > 0 ORDER BY top, x0 LIMIT 1"""
     good = ", ".join(f"{d(round(v, 6))} AS h{i}" for i, v in enumerate((1.02, -0.13, 40.0, 0.08, 0.97, -25.0, 0.00004, -0.00002)))
-    s["match__fit"] = f"SELECT CAST(p_size % 3 AS BIGINT) AS a, CAST(p_size % 3 + 10 AS BIGINT) AS b, count(*) AS n, count(*) FILTER (p_partkey % 3 <> 0) AS inliers, {good} FROM part GROUP BY p_size % 3"
+    s["match__fit"] = f"SELECT p_partkey // 300 AS a, p_partkey // 300 + 1 AS b, count(*) AS n, count(*) FILTER (p_partkey % 3 <> 0) AS inliers, {good} FROM part GROUP BY p_partkey // 300"
     s["match__strongest"] = "SELECT event_type AS frame_id, event_id AS id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY abs(value - 250) DESC, event_id) AS k FROM events) WHERE k <= 100"
     grade = f"{OKLAB}, c0 AS (SELECT *, sqrt(la * la + lb * lb) AS ch, atan2(lb, la) AS hh FROM k), c1 AS (SELECT *, greatest(ch * 1.4::DOUBLE, 0) AS cc FROM c0), {unlab('c1', 'll', 'cc * cos(hh)', 'cc * sin(hh)')}, v1 AS (SELECT *, {luma('nr', 'ng', 'nb')} AS yy, least(nr, ng, nb) AS mn FROM u3), v2 AS (SELECT y, x, a, r, g, b, {', '.join(f'(CASE WHEN mn >= 0 THEN n{c} WHEN yy <= 0 THEN 0 ELSE yy + (n{c} - yy) * (yy / (yy - mn)) END) * {d(2**0.4)} AS z{c}' for c in 'rgb')} FROM v1)"
     seen = lambda e: enc(f"greatest({e}, 0)")

@@ -17,6 +17,41 @@ def test_two_nearest_is_exact(spark):
     assert match.match_features(*frames, 2.0).count() == 30
 
 
+@pytest.mark.parametrize("kind", ["clusters", "alike", "few"])
+def test_two_nearest_by_cells(spark, kind, monkeypatch):
+    """Clusters, many equal descriptors (ties to the smaller id) and hardly any, in many small cells and blocks."""
+    monkeypatch.setattr(match, "BLOCK", 16)
+    monkeypatch.setattr(match, "CELL", 12)
+    r = np.random.default_rng(3)
+    a, b = r.normal(size=(60, 6)), r.normal(size=(150, 6)) + 8 * r.integers(0, 3, (150, 1))
+    if kind == "alike":
+        b[20:120] = b[20]
+        a[:5] = b[20]
+    if kind == "few":
+        b = b[:1]
+    frames = [spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, desc array<double>") for x in (a, b)]
+    found = {q.a_id: q for q in match.two_nearest(*frames).collect()}
+    assert len(found) == len(a)
+    for i, v in enumerate(a):
+        d = np.sqrt(((b - v) ** 2).sum(axis=1))
+        order = np.lexsort((np.arange(len(b)), d))
+        assert found[i].b_id == order[0] and found[i].d1 == pytest.approx(d[order[0]], abs=1e-12)
+        assert found[i].d2 is None if len(b) == 1 else found[i].d2 == pytest.approx(d[order[1]], abs=1e-12)
+    assert match.two_nearest(frames[0], frames[1].limit(0)).count() == match.two_nearest(frames[0].limit(0), frames[1]).count() == 0
+
+
+def test_groups_of_chains_in_any_order(spark):
+    import random
+
+    order = list(range(400))
+    random.Random(5).shuffle(order)
+    chain = [(order[i], order[i + 1]) for i in range(249)] + [(order[i], order[300]) for i in range(301, 350)] + [(7, 7)]
+    edges = spark.createDataFrame(chain, "a long, b long")
+    got = {q.frame: q.grp for q in match.frame_groups(edges, spark.range(400).toDF("frame")).collect()}
+    want = {f: min(order[:250]) for f in order[:250]} | {f: min(order[300:350]) for f in order[300:350]}
+    assert got == {f: want.get(f, f) for f in range(400)}
+
+
 def test_overlaps_and_gains(spark):
     points = spark.createDataFrame([(0.0, 0.0), (5.0, 5.0), (9.0, 1.0)], "px double, py double")
     assert match.features_in_overlap(points, np.array([[1, 0, 3], [0, 1, 0], [0, 0, 1.0]]), 10, 10).first().n == 2
