@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.operators import features, panorama, recolor, regions, warp  # noqa: F401
+from rasterloom.operators import depth, features, paint, panorama, recolor, regions, warp  # noqa: F401
 from rasterloom.operators.node import run
 from rasterloom.queries.raster import OFF, Query, events, one, picture, plane, shown, swapped
 
@@ -26,7 +26,19 @@ ROWS = {"depth_lum": [{"x": 0, "y": -0.5}, {"x": 60, "y": 0.8}], "mask_tint": [{
 PAIRS = [{"a": {"h": 40, "ev": 1}, "b": {"h": 220, "ev": -1}, "width": 80, "sep": -60, "sat": 50, "lum": 70}, {"a": {"h": 100, "ev": -2}, "b": {"h": 140, "ev": 0}, "width": 60, "sep": 80, "sat": -30, "lum": -90}]
 GRIDS = {"huelum_sat": [[(7 * r + 5 * c) % 41 - 20 for c in range(12)] for r in range(5)]}
 
+LENS = {"aperture": 80.0, "focus": 40.0, "blades": 5.0, "blade_curve": 50.0, "fringe": 60.0, "field_curve": 30.0, "bubble": 40.0}
+STROKES = [
+    {"points": [[0.3, 0.4]], "radius": 0.22, "hardness": 0.5, "color": "#ff8000"},
+    {"points": [[0.45, 0.5]], "radius": 0.2, "hardness": 0.2, "flow": 0.6, "color": "#2040c0"},
+    {"points": [[0.4, 0.45]], "radius": 0.1, "hardness": 0.7, "flow": 0.8, "erase": True},
+    {"points": [[0.6, 0.5]], "radius": 0.15, "hardness": 0.4, "src_dx": 0.25, "src_dy": -0.1},
+]
+
 NODES: dict[str, Query] = {
+    "dof": one("dof", LENS, depth="plane"),
+    "dof__glow": one("dof", {"aperture": 50.0, "focus": 30.0, "glow": 60.0, "swirl": 40.0, "squeeze": 30.0}, depth="plane", digits=5),
+    "paint": one("paint", {"strokes": json.dumps(STROKES)}),
+    "clone__heal": one("clone", {"strokes": json.dumps([{"points": [[0.3, 0.4], [0.4, 0.5]], "radius": 0.08, "src_dx": 0.3}]), "heal": True}, digits=4),
     "grid_warp__slide": one("grid_warp", {"cols": 2.0, "rows": 2.0, "mesh": json.dumps([SLIDE, -SLIDE] * 9)}),
     "grid_warp__off": one("grid_warp", {"cols": 2.0, "rows": 2.0, "mesh": json.dumps([SLIDE, -SLIDE] * 9), "edges": "transparent"}),
     "grid_warp__shear": one("grid_warp", SHEARED),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from rasterloom.queries.panorama import CURVES, GRIDS, PAIRS, ROWS, SHEAR, SLIDE
+from rasterloom.queries.panorama import CURVES, GRIDS, LENS, PAIRS, ROWS, SHEAR, SLIDE, STROKES
 from rasterloom.queries.raster_sql import BACK, FRAME, LUMA, OKLAB, RGB, clip, d, dot, final, gathered, gauss_kernel, gauss_pass, window_mean
 
 
@@ -175,8 +175,67 @@ def bands() -> str:
     return final(f"{frames}, {soft}, q AS (SELECT fr.y, fr.x, {', '.join(map(value, 'rgb'))}, 1::DOUBLE AS a FROM fr JOIN bl USING (k, y, x) GROUP BY fr.y, fr.x)")
 
 
+def opened(radius: float) -> list[tuple[int, int, float]]:
+    """The lens's opening at a radius: a bulging polygon, darker in its middle."""
+    r, seg, bulge, dark, out = max(radius, 0.6), math.pi / LENS["blades"], LENS["blade_curve"] / 100, LENS["bubble"] / 100, []
+    for dy in range(-math.ceil(r + 1), math.ceil(r + 1) + 1):
+        for dx in range(-math.ceil(r + 1), math.ceil(r + 1) + 1):
+            d_ = math.sqrt(dx * dx + dy * dy)
+            side = math.cos(seg) / math.cos((math.atan2(dy, dx) % (2 * seg)) - seg)
+            limit = r * (side * (1 - bulge) + bulge)
+            w = max(0.0, min(1.0, 1 + limit - d_)) * (1 - dark + dark * min(1.0, d_ / limit) ** 3)
+            if d_ <= r + 1 and w > 0:
+                out.append((dx, dy, w))
+    total = sum(w for _, _, w in out)
+    return [(dx, dy, w / total) for dx, dy, w in out]
+
+
+def focused() -> str:
+    """Slices of depth of a frame whose shorter side is 100."""
+    rows = []
+    for k in range(16):
+        centre = (2 * k + 1) / 16 - 1
+        r = max(0.0, LENS["aperture"] / 100 * 3 * (abs(centre) - 1 / 16))
+        split = LENS["fringe"] / 100 * 0.35 * (1 if centre > 0 else -1)
+        radii = {"r": r * (1 + split), "g": r, "b": r * (1 - split), "a": r}
+        for c, radius in radii.items():
+            for dx, dy, w in opened(radius) if max(radii.values()) >= 0.5 else [(0, 0, 1.0)]:
+                rows.append(f"({k}, '{c}', {dx}, {dy}, {w!r}::DOUBLE)")
+    off = "2 * (pow(x / w - 0.5, 2) + pow(y / h - 0.5, 2))"
+    signed = f"v - {clip(f'{d(LENS['focus'] / 100)} + {d(LENS['field_curve'] / 100 * 0.6)} * {off}')}"
+    return final(f"""taps AS (SELECT * FROM (VALUES {', '.join(rows)}) t(k, c, dx, dy, tw)), s0 AS (SELECT *, {signed} AS sg FROM f),
+    s1 AS (SELECT * FROM (SELECT y, x, r, g, b, k, greatest(0, 1 - abs(sg - ((2 * k + 1) / 16::DOUBLE - 1)) * 8) * a AS cv FROM s0, (SELECT unnest(range(16)) AS k)) WHERE cv > 0),
+    s2 AS (SELECT f.y, f.x, taps.k, taps.c, sum(tw * cv * CASE c WHEN 'r' THEN s1.r WHEN 'g' THEN s1.g WHEN 'b' THEN s1.b ELSE 1 END) AS q FROM f CROSS JOIN taps JOIN s1 ON s1.k = taps.k AND s1.x = least(greatest(f.x + dx, 0), w - 1) AND s1.y = least(greatest(f.y + dy, 0), h - 1) GROUP BY ALL),
+    s3 AS (SELECT y, x, k, {', '.join(f"coalesce(max(q) FILTER (c = '{c}'), 0) AS q{c}" for c in 'rgba')} FROM s2 GROUP BY y, x, k),
+    s4 AS (SELECT *, least(qa, greatest(0, 1 - coalesce(sum(qa) OVER (PARTITION BY y, x ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS seen FROM s3 WHERE qa > 0),
+    q AS (SELECT y, x, {', '.join(f'sum(q{c} * seen / qa) / greatest(sum(seen), 1e-6) AS {c}' for c in 'rgb')}, least(sum(seen), 1) AS a FROM s4 GROUP BY y, x)""")
+
+
+def layered() -> str:
+    """Four strokes, each pixel's coverage the mean of sixteen places in it; the last is a copy of another place."""
+    covers = []
+    for i, s in enumerate(STROKES):
+        (px, py), r = s["points"][0], f"({d(s['radius'])} * least(w, h))"
+        t = clip(f"(sqrt(pow(x + sx - {d(px)} * w, 2) + pow(y + sy - {d(py)} * h, 2)) - {d(s['hardness'])} * {r}) / ({d(1 - s['hardness'])} * {r})")
+        covers.append(f"{d(s.get('flow', 1.0))} * avg(1 - {t} * {t} * (3 - 2 * {t})) AS c{i}")
+    steps = f"pl AS (SELECT (i + 0.5) / 4::DOUBLE AS sx, (j + 0.5) / 4::DOUBLE AS sy FROM (SELECT unnest(range(4)) AS i), (SELECT unnest(range(4)) AS j)), cv AS (SELECT y, x, w, h, {', '.join(covers)} FROM f CROSS JOIN pl GROUP BY ALL)"
+    s = STROKES[3]
+    steps += f", {gathered(f'x + 0.5 + {d(s['src_dx'])} * w', f'y + 0.5 + {d(s['src_dy'])} * h')}".replace("q AS (SELECT g3.y", "el AS (SELECT g3.y")
+    steps += ", p0 AS (SELECT cv.*, 0::DOUBLE AS r, 0::DOUBLE AS g, 0::DOUBLE AS b, 0::DOUBLE AS a, el.r AS er, el.g AS eg, el.b AS eb, el.a AS ea FROM cv LEFT JOIN el USING (y, x))"
+    for i, s in enumerate(STROKES):
+        if s.get("erase"):
+            steps += f", p{i + 1} AS (SELECT * REPLACE (a * (1 - c{i}) AS a) FROM p{i})"
+            continue
+        lay = [f"least(greatest(e{c}, 0), 1)" for c in "rgb"] if "src_dx" in s else [d(int(s["color"][k : k + 2], 16) / 255) for k in (1, 3, 5)]
+        when = f"c{i} <= 0" + (" OR coalesce(ea, 0) <= 0" if "src_dx" in s else "")
+        full = f"(c{i} + a * (1 - c{i}))"
+        steps += f", p{i + 1} AS (SELECT * REPLACE ({', '.join(f'CASE WHEN {when} THEN {c} ELSE ({v} * c{i} + {c} * a * (1 - c{i})) / greatest({full}, 1e-6) END AS {c}' for c, v in zip('rgb', lay, strict=True))}, CASE WHEN {when} THEN a ELSE {full} END AS a) FROM p{i})"
+    return final(f"{steps}, q AS (SELECT y, x, r, g, b, a FROM p{len(STROKES)})")
+
+
 def oracle_sql() -> dict[str, str]:
     out = recolours()
+    out["dof"], out["paint"] = focused(), layered()
     for name, inside in (("grid_warp__slide", False), ("grid_warp__off", True)):
         sx, sy = f"x + 0.5 - {d(SLIDE)} * w", f"y + 0.5 + {d(SLIDE)} * h"
         sx, sy = (sx, sy) if inside else (clip(sx, 0, 1e9).replace(d(1e9), "w"), clip(sy, 0, 1e9).replace(d(1e9), "h"))
