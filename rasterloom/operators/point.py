@@ -11,6 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rasterloom.frame import FIELD, KEY, A, B, G, R, Rel
+from rasterloom.functions import eq
 from rasterloom.functions import tone as t
 from rasterloom.functions.tone import num
 from rasterloom.operators.node import EngineError, Param, choice, node, number
@@ -313,19 +314,99 @@ def shoulder(d: Column, k: float) -> Column:
     return F.when(d <= start, d).otherwise(num(start) + num(1 - start) * (num(1) - F.exp((num(start) - d) / num(1 - start))))
 
 
-@node("tone_profile", masked=True, mode=choice("standard", "film", "linear"), contrast=number(100, 0, 200), highlight_rolloff=number(0), colorfulness=SIGNED(), baseline_ev=SIGNED(m=3), shadow_toe=number(0))
+# Fixed values of film stocks: slope of the straight line, its change by development, where the toe ends and how softly, speed by development, density range.
+STOCKS = {
+    "hp5": (0.62, 0.18, -1.45, 0.25, 0.10, 2.6),
+    "fp4": (0.65, 0.18, -1.35, 0.18, 0.08, 2.2),
+    "trix": (0.651, 0.20, -1.40, 0.30, 0.12, 2.8),
+    "tmax400": (0.66, 0.16, -1.30, 0.12, 0.08, 3.0),
+    "ortho": (0.80, 0.20, -1.20, 0.15, 0.06, 2.4),
+    "rolleiir": (0.65, 0.18, -1.35, 0.2, 0.1, 2.5),
+    "hie": (0.72, 0.2, -1.25, 0.18, 0.1, 2.0),
+}
+WHITE_EXPOSURE, PAPER_GAMMA, SHOULDER, GREY = 0.7447275, 1.65, 0.35, 0.18
+
+
+def negative(stock: str, development: float, scale: float):
+    """Density over the log of exposure: a line from a soft toe to a soft end."""
+    gamma, by_n, foot, soft, speed, most = STOCKS[stock]
+    slope, start = gamma * max(1 + by_n * development, 0.1) * max(scale, 0.05), foot - speed * development
+
+    def density(x: Column) -> Column:
+        u = (x - num(start)) / num(soft)
+        line = num(slope * soft) * F.when(u > 20, u).otherwise(F.log(num(1) + F.exp(F.least(u, num(20)))))
+        return num(-SHOULDER) * F.log(F.exp(line / num(-SHOULDER)) + num(math.exp(-most / SHOULDER)))
+
+    return density
+
+
+def printed(stock: str, development: float, scale: float):
+    """Scene light through a film and onto normal paper, so that scene white is the paper's."""
+    density = negative(stock, development, scale)
+    white = density(num(WHITE_EXPOSURE))
+
+    def light(v: Column) -> Column:
+        return t.clamp(F.pow(num(10), num(PAPER_GAMMA) * (density(F.log10(F.greatest(v, num(1e-6)) / num(GREY))) - white)))
+
+    return light
+
+
+def own_tone(text: str):
+    """A curve from stops around middle grey to display values, out of its JSON; None if there is none."""
+    if not text.strip():
+        return None
+    try:
+        found = json.loads(text)
+        points = [(float(x), min(1.0, max(0.0, float(y)))) for x, y in found["points"]]
+        how = found.get("interp", "smooth")
+    except (ValueError, KeyError, TypeError, AttributeError) as e:
+        raise EngineError(f"tone_profile: curve: {e}") from e
+    order = sorted(range(len(points)), key=lambda i: points[i][0])
+    points = [points[i] for i in order]
+    if how not in ("smooth", "linear", "tangent") or not 2 <= len(points) <= 1024 or any(not math.isfinite(v) for p in points for v in p) or max(abs(x) for x, _ in points) > 24 or any(b[0] - a[0] < 1e-4 for a, b in zip(points, points[1:], strict=False)):
+        raise EngineError("tone_profile: curve: two points or more at stops of their own, up to 24 from grey, joined smooth, linear or tangent")
+    handles = found.get("handles") if how == "tangent" else None
+    given = [handles[i] or {} for i in order] if isinstance(handles, list) and len(handles) == len(points) else []
+    tangents = found.get("tangents") if how == "tangent" and not any(h.get("l") or h.get("r") for h in given) else None
+    low, high = points[0][0], points[-1][0]
+
+    def display(v: Column) -> Column:
+        x = t.clamp(F.log2(F.greatest(v, num(1e-12)) / num(GREY)), low, high)
+        if how == "linear":
+            y = eq.value(eq.bent([eq.Point(*p) for p in points], "linear"), x)
+        elif any(h.get("l") or h.get("r") for h in given):
+            y = eq.value(eq.read([{"x": px, "y": py, **h} for (px, py), h in zip(points, given, strict=True)]), x)
+        elif isinstance(tangents, list) and len(tangents) == len(points) and all(isinstance(m, int | float) for m in tangents):
+            y = curve(x, points, [float(tangents[i]) for i in order])
+        else:
+            y = curve(x, points)
+        return t.clamp(y)
+
+    return display
+
+
+@node("tone_profile", masked=True, mode=choice("standard", "film", "linear", "custom"), contrast=number(100, 0, 200), highlight_rolloff=number(0), colorfulness=SIGNED(), baseline_ev=SIGNED(m=3), shadow_toe=number(0), film=Param(""), development=SIGNED(m=2), curve=Param(""))
 def tone_profile(inputs, p):
-    """The base rendering: an S curve in display tone with shoulder and toe, then colourfulness."""
-    strength = p["contrast"] / 100
-    amount, lift = {"linear": (0.0, 0.0), "film": (0.62 * strength, 0.012 * strength), "standard": (0.34 * strength, 0.0)}[p["mode"]]
+    """The base rendering: an S curve in display tone with shoulder and toe, or a film's, or a curve of one's own; then colourfulness."""
+    strength, gain = p["contrast"] / 100, num(2.0 ** p["baseline_ev"])
     roll, crush = min(1.0, p["highlight_rolloff"] / 100), min(1.0, p["shadow_toe"] / 100)
     colour = 1 + max(-1.0, min(1.0, p["colorfulness"] / 100))
-    if (amount, roll, p["baseline_ev"], crush, colour) == (0, 0, 0, 0, 1):
-        return inputs["in"]
-    gain = num(2.0 ** p["baseline_ev"])
-    rel = rgb(inputs["in"], lambda *c: tuple(shoulder(t.encode(F.greatest(v, num(0)) * gain), roll) for v in c))
-    rel = rgb(rel, lambda *c: tuple(t.clamp(d + (d * d * (num(3) - num(2) * d) - d) * num(amount) + num(lift) * (num(1) - d)) for d in c))
-    rel = rgb(rel, lambda *c: tuple(t.decode(d - num(crush) * d * (num(1) - d) * (num(1) - d) * (num(1) - d)) for d in c))
+    if p["film"] in STOCKS:
+        light = printed(p["film"], max(-2.0, min(2.0, p["development"])), strength)
+        rel = rgb(inputs["in"], lambda *c: tuple(light(F.greatest(v, num(0)) * gain) for v in c))
+    elif p["mode"] == "custom":
+        display = own_tone(p["curve"])
+        if display is None and p["baseline_ev"] == 0 and colour == 1:
+            return inputs["in"]
+        rel = rgb(inputs["in"], lambda *c: tuple(F.greatest(v, num(0)) * gain for v in c))
+        rel = rgb(rel, lambda *c: tuple(t.decode(t.clamp((d := t.encode(F.least(v, num(1)))) + ((display(v) if display else d) - d) * num(strength))) for v in c))
+    else:
+        amount, lift = {"linear": (0.0, 0.0), "film": (0.62 * strength, 0.012 * strength), "standard": (0.34 * strength, 0.0)}[p["mode"]]
+        if (amount, roll, p["baseline_ev"], crush, colour) == (0, 0, 0, 0, 1):
+            return inputs["in"]
+        rel = rgb(inputs["in"], lambda *c: tuple(shoulder(t.encode(F.greatest(v, num(0)) * gain), roll) for v in c))
+        rel = rgb(rel, lambda *c: tuple(t.clamp(d + (d * d * (num(3) - num(2) * d) - d) * num(amount) + num(lift) * (num(1) - d)) for d in c))
+        rel = rgb(rel, lambda *c: tuple(t.decode(d - num(crush) * d * (num(1) - d) * (num(1) - d) * (num(1) - d)) for d in c))
     y = t.luma(R(), G(), B())
     return rel if colour == 1 else rgb(rel, lambda *c: tuple(F.greatest(y + (v - y) * num(colour), num(0)) for v in c))
 
@@ -599,8 +680,8 @@ def curve_points(text: str) -> dict[str, list[tuple[float, float]]]:
     return {k: sorted((float(x), float(y)) for x, y in v) for k, v in found.items() if v}
 
 
-def curve(d: Column, points: list[tuple[float, float]]) -> Column:
-    """A monotone cubic through the points, with slope 1 outside them."""
+def curve(d: Column, points: list[tuple[float, float]], slopes: list[float] | None = None) -> Column:
+    """A monotone cubic through the points, or one with these slopes, with slope 1 outside them."""
     if len(points) == 1:
         return d + num(points[0][1] - points[0][0])
     xs, ys = (np.array(v) for v in zip(*points, strict=True))
@@ -612,6 +693,7 @@ def curve(d: Column, points: list[tuple[float, float]]) -> Column:
             m[i] = m[i + 1] = 0.0
         elif (r := math.hypot(m[i] / s, m[i + 1] / s)) > 3:
             m[i], m[i + 1] = 3 * m[i] / r, 3 * m[i + 1] / r
+    m = np.array(slopes) if slopes else m
     out = num(ys[-1]) + (d - num(xs[-1]))
     for i in range(len(h) - 1, -1, -1):
         u = (d - num(xs[i])) / num(h[i])

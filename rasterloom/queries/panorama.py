@@ -34,7 +34,13 @@ STROKES = [
     {"points": [[0.6, 0.5]], "radius": 0.15, "hardness": 0.4, "src_dx": 0.25, "src_dy": -0.1},
 ]
 
+HUES = [{"x": 20, "y": 1.2}, {"x": 140, "y": -1.5}, {"x": 260, "y": 0.4}]
+TONE = {"interp": "smooth", "points": [[-7, 0.0], [-2, 0.2], [0, 0.5], [2, 0.95], [3, 1.0]]}
+
 NODES: dict[str, Query] = {
+    "black_white__hues": one("black_white", {"amount": 90.0, "hue_curve": json.dumps(HUES)}),
+    "tone_profile__stock": one("tone_profile", {"film": "trix", "development": 1.0, "contrast": 90.0, "baseline_ev": 0.3, "colorfulness": 20.0}),
+    "tone_profile__custom": one("tone_profile", {"mode": "custom", "curve": json.dumps(TONE), "contrast": 80.0, "baseline_ev": -0.2}),
     "dof": one("dof", LENS, depth="plane"),
     "dof__glow": one("dof", {"aperture": 50.0, "focus": 30.0, "glow": 60.0, "swirl": 40.0, "squeeze": 30.0}, depth="plane", digits=5),
     "paint": one("paint", {"strokes": json.dumps(STROKES)}),

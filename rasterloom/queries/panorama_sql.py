@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import math
 
-from rasterloom.queries.panorama import CURVES, GRIDS, LENS, PAIRS, ROWS, SHEAR, SLIDE, STROKES
-from rasterloom.queries.raster_sql import BACK, FRAME, LUMA, OKLAB, RGB, clip, d, dot, final, gathered, gauss_kernel, gauss_pass, window_mean
+from rasterloom.queries.panorama import CURVES, GRIDS, HUES, LENS, PAIRS, ROWS, SHEAR, SLIDE, STROKES, TONE
+from rasterloom.queries.raster_sql import BACK, FRAME, LUMA, OKLAB, RGB, clip, cubic, d, dec, dot, enc, final, gathered, gauss_kernel, gauss_pass, window_mean
 
 
 def blur(src: str, dst: str, cols: list[str], sigma: float) -> str:
@@ -233,8 +233,26 @@ def layered() -> str:
     return final(f"{steps}, q AS (SELECT y, x, r, g, b, a FROM p{len(STROKES)})")
 
 
+def toned() -> dict[str, str]:
+    # Tri-X, a step more development, nine tenths of the contrast
+    slope, foot, soft, most = 0.651 * 1.2 * 0.9, -1.40 - 0.12, 0.30, 2.8
+    dens = lambda x: f"(-0.35::DOUBLE * ln(exp({d(slope * soft)} * ln(1 + exp(({x} - {d(foot)}) / {d(soft)})) / {d(-0.35)}) + {d(math.exp(-most / 0.35))}))"
+    light = lambda c: clip(f"pow(10::DOUBLE, 1.65::DOUBLE * ({dens(f'log10(greatest({c} * {d(2**0.3)}, 1e-6) / 0.18::DOUBLE)')} - {dens('0.7447275::DOUBLE')}))")
+    pre = f"t0 AS (SELECT y, x, a, {', '.join(f'{light(c)} AS {c}' for c in 'rgb')} FROM f), t1 AS (SELECT *, {LUMA} AS yy FROM t0)"
+    out = {"tone_profile__stock": final(f"{pre}, q AS (SELECT y, x, {', '.join(f'greatest(yy + ({c} - yy) * {d(1.2)}, 0) AS {c}' for c in 'rgb')}, a FROM t1)")}
+    stops = lambda c: clip(f"log2(greatest({c}, 1e-12) / 0.18::DOUBLE)", -7, 3)
+    shown = lambda c: f"({enc(f'least({c}, 1)')})"
+    value = lambda c: dec(clip(f"{shown(c)} + ({clip(cubic(stops(c), [tuple(p) for p in TONE['points']]))} - {shown(c)}) * {d(0.8)}"))
+    pre = f"t0 AS (SELECT y, x, a, {', '.join(f'greatest({c}, 0) * {d(2**-0.2)} AS {c}' for c in 'rgb')} FROM f)"
+    out["tone_profile__custom"] = final(f"{pre}, q AS (SELECT y, x, {', '.join(f'{value(c)} AS {c}' for c in 'rgb')}, a FROM t0)")
+    t = clip(f"(sqrt(la * la + lb * lb) / greatest(ll, 0.15::DOUBLE) - {d(0.006)}) / {d(0.04)}")
+    grey = f"greatest(r * {d(0.3)} + g * {d(0.59)} + b * {d(0.11)}, 0) * pow(2::DOUBLE, {clip(through(round_about(HUES), 'hi'), -2, 2)} * ({t} * {t} * (3 - 2 * {t})))"
+    out["black_white__hues"] = final(f"{OKLAB}, h0 AS (SELECT *, {hue('la', 'lb')} AS hi FROM k), h1 AS (SELECT *, {grey} AS gy FROM h0), q AS (SELECT y, x, {', '.join(f'{c} + (gy - {c}) * {d(0.9)} AS {c}' for c in 'rgb')}, a FROM h1)")
+    return out
+
+
 def oracle_sql() -> dict[str, str]:
-    out = recolours()
+    out = recolours() | toned()
     out["dof"], out["paint"] = focused(), layered()
     for name, inside in (("grid_warp__slide", False), ("grid_warp__off", True)):
         sx, sy = f"x + 0.5 - {d(SLIDE)} * w", f"y + 0.5 + {d(SLIDE)} * h"
