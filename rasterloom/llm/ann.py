@@ -196,7 +196,8 @@ def search_alike(rows: DataFrame, total: int, k: int) -> DataFrame:
     held, asking = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
     for cell, n, asks in indexed.groupBy("cell").agg(F.count(F.lit(1)), F.sum(F.col("asks").cast("long"))).collect():  # MOST_CODES ** 2 rows at most
         held[cell], asking[cell] = n, asks
-    queries = indexed.filter("asks").repartition(partitions(spark), "id").dropDuplicates(["id"])  # few rows, but each walks a heap
+    # few rows, but each walks a heap; of several vectors under one id the first in order asks
+    queries = indexed.filter("asks").repartition(partitions(spark), "id").groupBy("id").agg(F.min(F.struct("v", "cell")).alias("q")).select("id", "q.v", "q.cell")
 
     few = [(r[0], list(r[1])) for r in sampled(indexed.filter("asks"), TUNE_QUERIES, int(asking.sum()), "id", "v")]
     true: dict[int, list[int]] = {}

@@ -327,6 +327,16 @@ def test_search_against_brute_force(spark, monkeypatch):
     assert few == {(0, 1), (0, 2)}
 
 
+def test_a_query_id_of_several_vectors_asks_with_the_first_in_order(spark):
+    from rasterloom.llm.ann import search
+
+    rows = [(0, [0.0, 1.0]), (0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0])]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "vec_id long, embedding array<double>").repartition(3)
+        got = [(r["rank"], r.vec_id, r.score) for r in search(df, F.col("vec_id") == 0).collect()]
+        assert sorted(got) == [(1, 2, 1.0), (2, 1, 0.1)]
+
+
 @pytest.mark.parametrize("kind", ["random", "clusters"])
 def test_recall_of_the_search(spark, kind):
     """The whole search on 6,000 vectors, a third of them in one place, against brute force; among clusters most cells aren't visited."""
@@ -885,6 +895,57 @@ def test_near_duplicates_against_brute_force(spark, docs, rows, empty):
     assert near_duplicates(empty).count() == 0
 
 
+def similar_pairs(vectors, least):
+    """Pairs of at least such a weighted similarity, by the shingles that they share."""
+    from rasterloom.llm.minhash import similarity
+
+    holders = defaultdict(list)
+    for i, (h, _) in vectors.items():
+        for x in h.tolist():
+            holders[x].append(i)
+    met = {(a, b) for who in holders.values() for k, a in enumerate(who) for b in who[k + 1 :]}
+    return {(a, b): s for a, b in met if (s := similarity(vectors[a], vectors[b])) >= least}
+
+
+@pytest.mark.parametrize("span", [0.15, 1.0])
+def test_recall_by_similarity(spark, span):
+    """A table with a large group of near copies: of pairs at the threshold and above all but a few are of one class, whatever the weights' span; below it none meet but through others."""
+    from rasterloom.llm.minhash import frequencies, near_duplicates, weighted
+
+    r, extra = random.Random(31), []
+    base = prose(200, 5001).split()
+    for k in range(150):
+        w = list(base)
+        for _ in range(r.randint(0, 6)):
+            w[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+        extra.append((90_000 + k, " ".join(w)))
+    for k in range(120):
+        w = prose(120, 6000 + k // 2).split()
+        for _ in range(r.randint(0, 12) if k % 2 else 0):
+            w[r.randrange(len(w))] = f"own{r.randrange(10**6)}"
+        extra.append((95_000 + k, " ".join(w)))
+    sf = "/root/testdata/sf0.01/documents.parquet"
+    rows = [(x.doc_id, x.text or "") for x in spark.read.parquet(sf).select("doc_id", "text").collect()] + extra
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    idf = frequencies(df, "text", span)
+    pairs = similar_pairs({i: weighted(t, idf) for i, t in rows}, 0.5)
+    label = {x.doc_id: x.class_id for x in near_duplicates(df, idf_span=span).collect()}
+    found = defaultdict(list)
+    for (a, b), s in pairs.items():
+        found["0.9" if s >= 0.9 else "0.8" if s >= 0.8 else "0.5"].append(label[a] == label[b])
+    assert len(found["0.9"]) > 100 and len(found["0.8"]) > 100
+    assert np.mean(found["0.9"]) > 0.99 and np.mean(found["0.8"]) > 0.9
+    # each class holds together by pairs at the threshold
+    near = defaultdict(set)
+    for (a, b), s in pairs.items():
+        if s >= 0.8:
+            near[a].add(b)
+            near[b].add(a)
+    texts = dict(rows)
+    for i, c in label.items():
+        assert i == c or near[i] or texts[i] == texts[c]
+
+
 def crowd(n):
     """n texts that share a long passage but are below the threshold, and a pair above it that shares nothing else."""
     r = random.Random(11)
