@@ -406,35 +406,56 @@ def read_cube(text: str) -> tuple[int, list[float], list[float], np.ndarray]:
     return size, low, high, np.array(rows)
 
 
-#: Sides of lookup tables that are sent to all tasks; larger ones are joined.
-BROADCAST_SIZE = 33
+#: Steps a side up to which a lookup table is part of the expression; a larger one is joined, a row a cell with its eight corners.
+INLINE_SIZE = 33
+
+
+def corners_of(size: int, table: np.ndarray) -> np.ndarray:
+    """The values at the eight corners of each cell, by the cell's lowest corner."""
+    grid = table.reshape(size, size, size, 3)  # blue, green, red
+    n = size - 1
+    return np.stack([grid[b : b + n, g : g + n, r : r + n] for b in (0, 1) for g in (0, 1) for r in (0, 1)], 3).reshape(n**3, 24)
 
 
 @node("lut", masked=True, path=Param(""), amount=number(100))
 def lut(inputs, p):
-    """A .cube table looked up trilinearly in display values: each pixel meets the eight corners around it by joins on their index, with a table that is broadcast up to BROADCAST_SIZE cubed rows."""
+    """A .cube table looked up trilinearly in display values. Tables of up to INLINE_SIZE steps a side are one constant array in the expression, so nothing is joined; of larger ones each pixel meets its cell by one join."""
     rel, k = inputs["in"], min(1.0, p["amount"] / 100)
     if not p["path"].strip() or k <= 0:
         return rel
     spark = rel.df.sparkSession
     lines = spark.read.text(p["path"].strip(), wholetext=True).first()
     size, low, high, table = read_cube(lines[0] if lines else "")
-    corners = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(table)], "_i int, _cr double, _cg double, _cb double")
     df = rel.df
     for c, lo, hi in zip(COLOURS, low, high, strict=True):
         at = t.clamp((t.encode(F.greatest(c, num(0))) - num(lo)) / num(max(hi - lo, 1e-6))) * num(size - 1)
         df = df.withColumn(f"_t{c}", at).withColumn(f"_n{c}", F.least(F.floor(f"_t{c}"), F.lit(size - 2)).cast("int")).withColumn(f"_f{c}", F.col(f"_t{c}") - F.col(f"_n{c}"))
-    total = {c: num(0) for c in COLOURS}
-    for n in range(8):
-        step = dict(zip(COLOURS, (n & 1, n >> 1 & 1, n >> 2), strict=True))
-        w = num(1)
-        for c, d in step.items():
-            w = w * (F.col(f"_f{c}") if d else num(1) - F.col(f"_f{c}"))
-        corner = corners.select(F.col("_i").alias(f"_i{n}"), *[F.col(f"_c{c}").alias(f"_{n}{c}") for c in COLOURS])
-        at = F.col("_nr") + step["r"] + (F.col("_ng") + step["g"]) * size + (F.col("_nb") + step["b"]) * size * size
-        df = df.join(F.broadcast(corner) if size <= BROADCAST_SIZE else corner, at == F.col(f"_i{n}"))
-        total = {c: v + w * F.col(f"_{n}{c}") for c, v in total.items()}
-    return Rel(df, IMAGE, rel.width, rel.height).image(*[F.col(c) + (t.decode(t.clamp(total[c])) - F.col(c)) * num(k) for c in COLOURS])
+    if size <= INLINE_SIZE:
+        entries = F.split(F.lit(" ".join(map(repr, table.ravel().tolist()))), " ").cast("array<double>")
+        first = F.col("_nr") + F.col("_ng") * size + F.col("_nb") * size * size
+
+        def corner(r: int, g: int, b: int, channel: int) -> Column:
+            return F.element_at(entries, (first + (r + g * size + b * size * size)) * 3 + (channel + 1))
+    else:
+        import pandas as pd
+
+        cells = pd.DataFrame({"_cell": np.arange((size - 1) ** 3, dtype=np.int32)} | {f"_k{i}": v for i, v in enumerate(corners_of(size, table).T)})
+        cell = F.col("_nr") + F.col("_ng") * (size - 1) + F.col("_nb") * (size - 1) ** 2
+        df = df.withColumn("_at", cell).join(spark.createDataFrame(cells), F.col("_at") == F.col("_cell"))
+
+        def corner(r: int, g: int, b: int, channel: int) -> Column:
+            return F.col(f"_k{(b * 4 + g * 2 + r) * 3 + channel}")
+
+    def mixed(channel: int) -> Column:
+        total = num(0)
+        for r, g, b in np.ndindex(2, 2, 2):
+            w = num(1)
+            for c, d in zip(COLOURS, (r, g, b), strict=True):
+                w = w * (F.col(f"_f{c}") if d else num(1) - F.col(f"_f{c}"))
+            total = total + w * corner(int(r), int(g), int(b), channel)
+        return total
+
+    return Rel(df, IMAGE, rel.width, rel.height).image(*[F.col(c) + (t.decode(t.clamp(mixed(i))) - F.col(c)) * num(k) for i, c in enumerate(COLOURS)])
 
 
 LENS = {k: SIGNED(m=100) for k in ("distortion", "ca_red", "ca_blue", "vignette")} | {k: SIGNED(m=3) for k in ("dist_a", "dist_b", "dist_c", "tca_cr", "tca_br", "tca_cb", "tca_bb", "vig_k1", "vig_k2", "vig_k3")} | {k: number(1, 0.1, 4) for k in ("dist_scale", "tca_vr", "tca_vb")} | {"vignette_mid": number(50), "dist_model": choice("none", "ptlens", "poly3", "poly5")}

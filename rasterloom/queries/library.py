@@ -336,6 +336,16 @@ def oracle_sql() -> dict[str, str]:
         "catalog__metadata_sort": "WITH t AS (SELECT p_partkey AS id, p_name, CASE WHEN p_size % 5 = 0 THEN NULL WHEN p_size % 2 = 0 THEN CAST(1 AS DOUBLE) / (p_size * 10) ELSE p_size / CAST(10 AS DOUBLE) END AS seconds FROM part) SELECT id, round(seconds, 9) AS seconds, CAST(row_number() OVER (ORDER BY seconds DESC NULLS LAST, p_name, id) AS INTEGER) AS place FROM t",
         "catalog__export_names": f"{BASE}, l AS (SELECT *, CAST(row_number() OVER (ORDER BY file_name, id) AS INTEGER) AS n, concat(flag, '-', rating) AS base FROM images WHERE {live} AND rating >= 4 AND flag = 'pick' AND {SEEN}), m AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY n) AS again FROM l) SELECT id, n, CASE WHEN again > 1 THEN concat(base, '-', again) ELSE base END AS export_name FROM m",
         "match__features": "WITH p AS (SELECT a.vec_id AS a_id, b.vec_id AS b_id, sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda z: (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE)) * (CAST(z[1] AS DOUBLE) - CAST(z[2] AS DOUBLE))))) AS d FROM embeddings a JOIN embeddings b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1), k AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY d, b_id) AS n FROM p) SELECT u.a_id, u.b_id, round(u.d, 6) AS d1, round(v.d, 6) AS d2 FROM k u JOIN k v ON u.a_id = v.a_id AND u.n = 1 AND v.n = 2 WHERE v.d > 1e-12 AND u.d / v.d < 0.95",
+        "catalog__irreplaceable_bytes": """WITH folders AS (SELECT c_custkey AS id, '/' || r_name || '/' || n_name || '/' || c_name AS path, c_custkey % 5 AS o, c_custkey % 7 AS p, CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS h FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
+            texts AS (SELECT concat(id, path, o, p, h) AS t FROM folders
+            UNION ALL SELECT concat(o_orderkey, '/p/', o_orderkey, 'IMG_', o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN '.dngdng' ELSE '.jpgjpg' END, o_custkey, substr(o_orderpriority, 1, 1), CASE o_orderstatus WHEN 'P' THEN 'pick' WHEN 'F' THEN 'reject' ELSE 'none' END, '0000') FROM orders
+            UNION ALL SELECT concat(s_suppkey, s_name) FROM supplier
+            UNION ALL SELECT DISTINCT concat(l_suppkey, ' ', l_orderkey) FROM lineitem
+            UNION ALL SELECT DISTINCT concat(l_orderkey, ' ', l_returnflag, '-', l_linestatus) FROM lineitem
+            UNION ALL SELECT concat(o_orderkey, o_orderstatus, '0000:00:00 00:00:00', 3) FROM orders
+            UNION ALL SELECT concat(o_orderkey, o_orderstatus, o_orderkey % 6000, o_orderkey % 4000) FROM orders
+            UNION ALL SELECT concat('nation.', n_name, n_regionkey) FROM nation)
+            SELECT CAST(sum(strlen(t)) - (SELECT count(*) FROM (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem)) - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_returnflag, l_linestatus FROM lineitem)) AS BIGINT) AS bytes FROM texts""",
         "match__verify": "SELECT o_orderkey AS a, o_custkey AS b, o_orderkey % 40 AS inliers, o_custkey % 90 AS in_overlap FROM orders WHERE o_orderkey % 40 > 8 + CAST(0.3 AS DOUBLE) * (o_custkey % 90)",
         "match__components": "SELECT o_orderkey AS frame, min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority) AS grp FROM orders",
         "match__ownership": "WITH t AS (SELECT CAST(user_id % 5 AS INTEGER) AS frame_id, CAST(hour(ts) AS INTEGER) AS y, CAST(day(ts) AS INTEGER) AS x, count(*) AS w FROM events GROUP BY ALL) SELECT y, x, frame_id FROM (SELECT *, row_number() OVER (PARTITION BY y, x ORDER BY w DESC, frame_id) AS k FROM t) WHERE k = 1",

@@ -226,3 +226,29 @@ def test_distance_and_cubes(spark, tmp_path):
     display = run("to_scene", {"in": picture(spark, [[0.25, 0.75]])})
     out = run("to_display", {"in": run("lut", {"in": display}, {"path": str(tmp_path / "n.cube")})})
     assert values(out)[0] == pytest.approx([0.75, 0.25])
+
+
+def test_lookup_tables_in_line_and_joined(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from rasterloom.operators import detail
+
+    r = np.random.default_rng(7)
+    n, entries = 5, r.random((125, 3))
+    (tmp_path / "t.cube").write_text("\n".join(["LUT_3D_SIZE 5", *(" ".join(map(str, e)) for e in entries)]))
+    img = [[float(v) for v in r.random(6)] for _ in range(4)]
+    rel = picture(spark, img)
+    rel = rel.image(F.col("r"), F.col("r") * F.col("r"), F.lit(1.0) - F.col("r"))
+    rows = lambda: {(q.y, q.x): (q.r, q.g, q.b) for q in run("lut", {"in": rel}, {"path": str(tmp_path / "t.cube")}).df.collect()}
+    inline = rows()
+    monkeypatch.setattr(detail, "INLINE_SIZE", 1)
+    joined = rows()
+    enc = lambda v: v * 12.92 if v <= 0.0031308 else 1.055 * v ** (1 / 2.4) - 0.055
+    dec = lambda v: v / 12.92 if v <= 0.04045 else ((v + 0.055) / 1.055) ** 2.4
+    grid = entries.reshape(n, n, n, 3)
+    for (y, x), got in inline.items():
+        v = img[y][x]
+        at = [enc(c) * (n - 1) for c in (v, v * v, 1 - v)]
+        low = [min(int(c), n - 2) for c in at]
+        want = sum(np.prod([(c - i) if d else 1 - (c - i) for c, i, d in zip(at, low, ds, strict=True)]) * grid[low[2] + ds[2], low[1] + ds[1], low[0] + ds[0]] for ds in np.ndindex(2, 2, 2))
+        assert got == pytest.approx([dec(c) for c in want], abs=1e-12) and joined[y, x] == pytest.approx(got, abs=1e-12)
