@@ -6,6 +6,7 @@ import math
 from collections import Counter
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from rasterloom.functions import tone as t
 from rasterloom.functions.tone import num
 from rasterloom.operators.node import choice, node, number
 from rasterloom.operators.point import SIGNED
+from rasterloom.operators.tiles import over_tiles
 
 
 def along(axis: str):
@@ -78,32 +80,25 @@ def kernel(sigma: float, reach: float = 2.5) -> list[float]:
 
 #: Beyond this sigma frames are reduced before they are blurred, to a sigma of about REDUCED_SIGMA.
 WIDE_SIGMA, REDUCED_SIGMA = 12.0, 6.0
-#: Up to so many places of a kernel are neighbours by name, more are gathered as an array.
+#: Up to so many places of a kernel are neighbours by name, more are summed up in tiles.
 NAMED = 9
 
 
-def weighted_places(rel: Rel, axis: str, k: list[float], channels: list[str]) -> Rel:
-    """Each channel as the sum of its neighbours along an axis by the weights k, the edge's value standing for places beyond it. A row's neighbours are gathered once for all channels."""
-    size, r = (rel.width if axis == "x" else rel.height), len(k) // 2
-    near = min(r, size - 1)
-    tail, k = sum(k[: r - near]), k[r - near : r + near + 1]  # what lies beyond the frame from any place
-    before = [tail + sum(k[:n]) for n in range(near + 1)]
-    after = [tail + sum(k[len(k) - n :]) for n in range(near + 1)]
-    w = along(axis)
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    at = F.col(axis)
-    ends = [f(c).over(whole).alias(f"_{name}{c}") for c in channels for name, f in (("a", F.first), ("z", F.last))]
-    df = rel.df.select(*KEY, *rel.channels, F.collect_list(F.struct(at.alias("_at"), *channels)).over(w.rowsBetween(-near, near)).alias("_near"), *ends)
-    weights = F.array(*map(num, k))
+def convolved(rel: Rel, k: list[float], channels: list[str], held: list[str] | None = None) -> Rel:
+    """Channels weighed by k along rows and along columns, the edge's value standing for places beyond it, in tiles with what lies around them: one shuffle for both directions and all channels."""
+    r, weights, held = len(k) // 2, [float(v) for v in k], held or rel.channels
 
-    def pick(values: list[float], n: Column) -> Column:
-        return F.element_at(F.array(*map(num, values)), F.greatest(n, F.lit(0)).cast("int") + 1)
+    def run(planes, y0, x0):
+        out = {c: planes[c] for c in held} | {"there": planes["there"]}
+        for c in channels:
+            v = planes[c]
+            for axis in (1, 0):
+                wide, n = np.pad(v, [(r, r) if a == axis else (0, 0) for a in (0, 1)], mode="edge"), v.shape[axis]
+                v = sum(w * (wide[:, i : i + n] if axis else wide[i : i + n]) for i, w in enumerate(weights))
+            out[c] = v
+        return out
 
-    def value(c: str) -> Column:
-        inside = F.aggregate("_near", num(0), lambda acc, e: acc + e[c] * F.element_at(weights, (e["_at"] - at + near + 1).cast("int")))
-        return inside + F.col(f"_a{c}") * pick(before, F.lit(near) - at) + F.col(f"_z{c}") * pick(after, at + F.lit(near - size + 1))
-
-    return Rel(df.select(*KEY, *[value(c).alias(c) if c in channels else F.col(c) for c in rel.channels]), rel.kind, rel.width, rel.height)
+    return Rel(over_tiles(rel.df, rel.width, rel.height, r, held, held, run), rel.kind, rel.width, rel.height)
 
 
 def reduced_gaussian(rel: Rel, sigma: float, factor: int, channels: list[str]) -> Rel:
@@ -112,8 +107,7 @@ def reduced_gaussian(rel: Rel, sigma: float, factor: int, channels: list[str]) -
 
     chosen = Rel(rel.df.select(*KEY, *channels), rel.kind, rel.width, rel.height)
     small = area_mean(chosen, factor, channels)
-    for axis in "xy":
-        small = weighted_places(small, axis, kernel(sigma / factor), channels)
+    small = convolved(small, kernel(sigma / factor), channels, channels)
     places = rel.df.select(*KEY, *[((F.col(c) + num(0.5)) / num(factor) - num(0.5)).alias(f"_g{c}") for c in "xy"])
     wide = gathered(small, places, channels)
     if set(channels) == set(rel.channels):
@@ -132,10 +126,9 @@ def gaussian(rel: Rel, sigma: float, channels: list[str] | None = None, reach: f
         return reduced_gaussian(rel, sigma, factor, channels)
     k = kernel(sigma, reach)
     r = len(k) // 2
+    if len(k) > NAMED:
+        return convolved(rel, k, channels)
     for axis in "xy":
-        if len(k) > NAMED:
-            rel = weighted_places(rel, axis, k, channels)
-            continue
 
         def weighted(c: Column, axis=axis) -> Column:
             return sum((num(v) * n for v, n in zip(k, neighbours(axis, c, list(range(-r, r + 1))), strict=True)), num(0))
@@ -357,12 +350,48 @@ def median_mask(inputs, p):
     return rel if half == 0 else ranked(rel, half, p["percentile"], "v", ["v"])
 
 
+#: Pixels of a disc up to which the ranks are taken from gathered lists; larger discs are ranked in tiles.
+LISTED = 49
+
+
+def ranked_in_tiles(rel: Rel, half: int, percentile: float, key: str, keep: list[str]) -> Rel:
+    """ranked() for wide discs: a line of a tile at a time, its pixels' discs as columns of one array."""
+    reach = disc(half)
+    offsets = [(dy, dx) for dy in range(-half, half + 1) for dx in range(-reach[abs(dy)], reach[abs(dy)] + 1)]
+    share = min(1.0, max(0.0, percentile / 100))
+    names = list(dict.fromkeys([key, *keep, *rel.channels]))
+
+    def run(planes, y0, x0):
+        h, w = planes[key].shape
+        wide = {c: np.pad(np.where(planes["there"], planes[c], np.inf), half, constant_values=np.inf) for c in {key, *keep}}
+        out = {c: planes[c].copy() for c in names} | {"there": planes["there"]}
+        across = np.arange(w)
+        for y in range(h):
+            rows = {c: np.stack([v[y + half + dy, half + dx : half + dx + w] for dy, dx in offsets]) for c, v in wide.items()}
+            keys = rows[key]
+            place = np.floor((np.maximum(np.isfinite(keys).sum(axis=0), 1) - 1) * share + 0.5).astype(int)
+            value = np.partition(keys, np.unique(place), axis=0)[place, across]
+            alike = keys == value
+            for c in keep:
+                out[c][y] = value if c == key else np.where(alike, rows[c], -np.inf).max(axis=0)
+            if set(keep) != {key}:
+                for x in np.flatnonzero(alike.sum(axis=0) > 1):  # of pixels with the same key the one whose turn it is, by its channels
+                    ties = sorted(zip(*(rows[c][alike[:, x], x] for c in keep), strict=True))
+                    for c, v in zip(keep, ties[place[x] - int((keys[:, x] < value[x]).sum())], strict=True):
+                        out[c][y, x] = v
+        return out
+
+    return Rel(over_tiles(rel.df, rel.width, rel.height, half, names, rel.channels, run), rel.kind, rel.width, rel.height)
+
+
 def ranked(rel: Rel, half: int, percentile: float, key: str, keep: list[str]) -> Rel:
-    """Of the pixels in a disc, the one whose key has the wanted rank. Values of a row are gathered in a window, and rows in another, so no pixel is sent more than once for each."""
+    """Of the pixels in a disc, the one whose key has the wanted rank. Values of a row are gathered in a window, and rows in another, so no pixel is sent more than once for each; wide discs go by tiles."""
+    reach = disc(half)
+    if sum(2 * reach[abs(dy)] + 1 for dy in range(-half, half + 1)) > LISTED:
+        return ranked_in_tiles(rel, half, percentile, key, keep)
     row, col = along("x"), along("y")
     item = F.struct(F.col(key).alias("k"), *[F.col(c) for c in keep])
     df = rel.df
-    reach = disc(half)
     for width in sorted(set(reach)):
         df = df.withColumn(f"_w{width}", F.collect_list(item).over(row.rowsBetween(-width, width)))
     parts = []

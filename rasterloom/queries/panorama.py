@@ -38,6 +38,8 @@ HUES = [{"x": 20, "y": 1.2}, {"x": 140, "y": -1.5}, {"x": 260, "y": 0.4}]
 TONE = {"interp": "smooth", "points": [[-7, 0.0], [-2, 0.2], [0, 0.5], [2, 0.95], [3, 1.0]]}
 
 NODES: dict[str, Query] = {
+    "median_mask__wide": one("median_mask", {"radius": 9.0, "percentile": 30.0}, field=True),
+    "median__wide": one("median", {"radius": 6.0}),
     "black_white__hues": one("black_white", {"amount": 90.0, "hue_curve": json.dumps(HUES)}),
     "tone_profile__stock": one("tone_profile", {"film": "trix", "development": 1.0, "contrast": 90.0, "baseline_ev": 0.3, "colorfulness": 20.0}),
     "tone_profile__custom": one("tone_profile", {"mode": "custom", "curve": json.dumps(TONE), "contrast": 80.0, "baseline_ev": -0.2}),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from rasterloom.queries.panorama import CURVES, GRIDS, HUES, LENS, PAIRS, ROWS, SHEAR, SLIDE, STROKES, TONE
-from rasterloom.queries.raster_sql import BACK, FRAME, LUMA, OKLAB, RGB, clip, cubic, d, dec, dot, enc, final, gathered, gauss_kernel, gauss_pass, window_mean
+from rasterloom.queries.raster_sql import BACK, FRAME, LUMA, OKLAB, RGB, clip, cubic, d, dec, dot, enc, final, gathered, gauss_kernel, gauss_pass, luma, window_mean
 
 
 def blur(src: str, dst: str, cols: list[str], sigma: float) -> str:
@@ -254,6 +254,12 @@ def toned() -> dict[str, str]:
 def oracle_sql() -> dict[str, str]:
     out = recolours() | toned()
     out["dof"], out["paint"] = focused(), layered()
+    discs = {n: ", ".join(f"({dy}, {dx})" for dy in range(-n, n + 1) for dx in range(-n, n + 1) if dy * dy + dx * dx <= n * n) for n in (6, 9)}
+    near = "o AS (SELECT * FROM (VALUES {0}) t(dy, dx)), j AS (SELECT f.y, f.x, f.a AS a, {1} AS k FROM f CROSS JOIN o JOIN f n ON n.y = f.y + o.dy AND n.x = f.x + o.dx)"
+    rank = "[CAST(floor((count(*) - 1) * {0}::DOUBLE + 0.5) AS BIGINT) + 1]"
+    out["median_mask__wide"] = final(f"{near.format(discs[9], clip('n.v'))}, q AS (SELECT y, x, list_sort(list(k)){rank.format(0.3)} AS v FROM j GROUP BY y, x)", "v")
+    lit = "{'k': " + luma("n.r", "n.g", "n.b") + ", 'r': n.r, 'g': n.g, 'b': n.b}"
+    out["median__wide"] = final(f"{near.format(discs[6], lit)}, m AS (SELECT y, x, any_value(a) AS a, list_sort(list(k)){rank.format(0.5)} AS m FROM j GROUP BY y, x), q AS (SELECT y, x, m.r AS r, m.g AS g, m.b AS b, a FROM m)")
     for name, inside in (("grid_warp__slide", False), ("grid_warp__off", True)):
         sx, sy = f"x + 0.5 - {d(SLIDE)} * w", f"y + 0.5 + {d(SLIDE)} * h"
         sx, sy = (sx, sy) if inside else (clip(sx, 0, 1e9).replace(d(1e9), "w"), clip(sy, 0, 1e9).replace(d(1e9), "h"))
