@@ -117,6 +117,13 @@ def along(y: tuple[float, ...]):
 
 def value(points: list[Point], x: Column) -> Column:
     """The curve at x, flat beyond its ends."""
+    if any(p.r or q.l for p, q in zip(points, points[1:], strict=False)):
+        # bound once: a column's name inside a loop would mean a new column of that name in the same select
+        return F.transform(F.array(x), lambda v: at(points, v))[0]
+    return at(points, x)
+
+
+def at(points: list[Point], x: Column) -> Column:
     if not points:
         return num(0)
     out = num(points[-1].y)

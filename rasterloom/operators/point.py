@@ -672,18 +672,8 @@ def alpha_association(inputs, p):
     return Rel(rel.joined(alpha, "p_"), rel.kind, rel.width, rel.height).image(R(), G(), B(), t.clamp(F.nanvl(F.coalesce("p_v", num(0)), num(0))))
 
 
-def curve_points(text: str) -> dict[str, list[tuple[float, float]]]:
-    """Curves by name (rgb, r, g, b, luma), each as points in order."""
-    found = json.loads(text or "[]")
-    if isinstance(found, list):
-        found = {"rgb": found}
-    return {k: sorted((float(x), float(y)) for x, y in v) for k, v in found.items() if v}
-
-
-def curve(d: Column, points: list[tuple[float, float]], slopes: list[float] | None = None) -> Column:
-    """A monotone cubic through the points, or one with these slopes, with slope 1 outside them."""
-    if len(points) == 1:
-        return d + num(points[0][1] - points[0][0])
+def cubic_parts(points: list[tuple[float, float]], slopes: list[float] | None = None) -> list[tuple[float, ...]]:
+    """Of each part of a monotone cubic through the points, or of one with these slopes: start, width and the coefficients, of the lowest power first."""
     xs, ys = (np.array(v) for v in zip(*points, strict=True))
     h = np.diff(xs)
     slope = np.diff(ys) / np.maximum(h, 1e-9)
@@ -694,30 +684,99 @@ def curve(d: Column, points: list[tuple[float, float]], slopes: list[float] | No
         elif (r := math.hypot(m[i] / s, m[i + 1] / s)) > 3:
             m[i], m[i + 1] = 3 * m[i] / r, 3 * m[i + 1] / r
     m = np.array(slopes) if slopes else m
-    out = num(ys[-1]) + (d - num(xs[-1]))
-    for i in range(len(h) - 1, -1, -1):
-        u = (d - num(xs[i])) / num(h[i])
-        piece = num(ys[i]) + u * (num(m[i] * h[i]) + u * (num(3 * (ys[i + 1] - ys[i]) - h[i] * (2 * m[i] + m[i + 1])) + u * num(2 * (ys[i] - ys[i + 1]) + h[i] * (m[i] + m[i + 1]))))
-        out = F.when(d <= xs[i + 1], piece).otherwise(out)
-    return F.when(d < xs[0], num(ys[0]) + (d - num(xs[0]))).otherwise(out)
+    return [(xs[i], h[i], ys[i], m[i] * h[i], 3 * (ys[i + 1] - ys[i]) - h[i] * (2 * m[i] + m[i + 1]), 2 * (ys[i] - ys[i + 1]) + h[i] * (m[i] + m[i + 1])) for i in range(len(h))]
+
+
+def curve(d: Column, points: list[tuple[float, float]], slopes: list[float] | None = None) -> Column:
+    """A monotone cubic through the points, or one with these slopes, with slope 1 outside them."""
+    if len(points) == 1:
+        return d + num(points[0][1] - points[0][0])
+    out = num(points[-1][1]) + (d - num(points[-1][0]))
+    for (x, w, a, b, c, e), (end, _) in zip(reversed(cubic_parts(points, slopes)), reversed(points[1:]), strict=True):
+        u = (d - num(x)) / num(w)
+        out = F.when(d <= end, num(a) + u * (num(b) + u * (num(c) + u * num(e)))).otherwise(out)
+    return F.when(d < points[0][0], num(points[0][1]) + (d - num(points[0][0]))).otherwise(out)
+
+
+def straight(d: Column, points: list[tuple[float, float]]) -> Column:
+    """Straight lines through the points, with slope 1 outside them."""
+    low, high = points[0], points[-1]
+    inside = eq.value(eq.bent([eq.Point(*p) for p in points], "linear"), d)
+    return F.when(d < low[0], num(low[1]) + (d - num(low[0]))).when(d > high[0], num(high[1]) + (d - num(high[0]))).otherwise(inside)
+
+
+class Drawn:
+    """A tone curve of the node: straight, smooth, or with slopes or handles of one's own."""
+
+    def __init__(self, found: dict, name: str):
+        points = [(float(x), float(y)) for x, y in found[name]]
+        order, n = sorted(range(len(points)), key=lambda i: points[i][0]), len(points)
+        self.points, self.how, self.slopes, self.handles = [points[i] for i in order], found.get("interp"), None, []
+        own = lambda suffix: v if self.how == "tangent" and isinstance(v := found.get(f"{name}_{suffix}"), list) and len(v) == n > 1 else None
+        if (handles := own("h")) and any(h and (h.get("l") or h.get("r")) for h in handles):
+            self.handles = eq.read([{"x": points[i][0], "y": points[i][1], **(handles[i] or {})} for i in order])
+        elif slopes := own("m"):
+            self.slopes = [float(slopes[i]) for i in order]
+        self.top = self.at_one()
+
+    def at_one(self) -> float:
+        """The curve's value at display white."""
+        if self.handles:
+            return eq.value_at(self.handles, 1.0)
+        (x0, y0), (x1, y1) = self.points[0], self.points[-1]
+        if x0 >= 1 or x1 <= 1:
+            return y0 + 1 - x0 if x0 >= 1 else y1 + 1 - x1
+        if self.how not in ("smooth", "tangent"):
+            return eq.value_at(eq.bent([eq.Point(*p) for p in self.points], "linear"), 1.0)
+        x, w, a, b, c, e = next(p for p in cubic_parts(self.points, self.slopes) if p[0] + p[1] >= 1)
+        u = (1 - x) / w
+        return a + u * (b + u * (c + u * e))
+
+    def value(self, d: Column) -> Column:
+        if self.handles:
+            inside = eq.value(self.handles, d)
+        elif len(self.points) == 1 or self.how in ("smooth", "tangent"):
+            inside = curve(d, self.points, self.slopes)
+        else:
+            inside = straight(d, self.points)
+        return F.when(d >= 1, num(self.top) + (d - num(1))).otherwise(inside)
+
+    def whole(self, v: Column, d: Column) -> Column:
+        """Whether light passes as it is: from white on, if the curve leaves white where it is."""
+        return (v >= 1) | (d >= 1) if self.top == 1 else F.lit(False)
+
+    def apply(self, v: Column) -> Column:
+        d = t.encode(F.greatest(v, num(0)))
+        return F.when(self.whole(v, d), v).otherwise(t.decode(F.greatest(self.value(d), num(0))))
+
+    def hue_kept(self, rgb_: tuple[Column, ...]) -> tuple[Column, ...]:
+        """The outer channels through the curve, the middle one as far between them as it was."""
+        shown = [t.encode(F.greatest(v, num(0))) for v in rgb_]
+        low, high = F.least(*shown), F.greatest(*shown)
+        spread = high - low
+        plain = (spread <= 1e-6) | (self.whole(rgb_[0], shown[0]) & self.whole(rgb_[1], shown[1]) & self.whole(rgb_[2], shown[2]))
+        a, b = (F.greatest(self.value(x), num(0)) for x in (low, high))
+        between = [t.decode(F.greatest(a + (b - a) * (d - low) / F.when(spread > 0, spread).otherwise(num(1)), num(0))) for d in shown]
+        return tuple(F.when(plain | (d == low) | (d == high), self.apply(v)).otherwise(m) for v, d, m in zip(rgb_, shown, between, strict=True))
 
 
 @node("curves", masked=True, points=Param("[]"), rgb_mode=Param(""))
 def curves(inputs, p):
-    """Tone curves in display values: all channels, then each, then luma as a scale."""
-    found = curve_points(p["points"])
+    """Tone curves in display values: all channels, then each, then luma as a scale. With rgb_mode hue the middle channel keeps its place between the others."""
+    try:
+        found = json.loads(p["points"] or "{}")
+        found = {"rgb": found} if isinstance(found, list) else found
+        drawn = {k: Drawn(found, k) for k in ("rgb", "r", "g", "b", "luma") if found.get(k)}
+    except (ValueError, TypeError, KeyError, AttributeError) as e:
+        raise EngineError(f"curves: {e}") from e
     rel = inputs["in"]
-
-    def through(c, name):
-        return t.decode(curve(t.encode(c), found[name])) if name in found else c
-
-    if "rgb" in found:
-        rel = rgb(rel, lambda *c: tuple(through(v, "rgb") for v in c))
-    if {"r", "g", "b"} & set(found):
-        rel = rgb(rel, lambda *c: tuple(through(v, k) for v, k in zip(c, "rgb", strict=True)))
-    if "luma" in found:
+    if "rgb" in drawn:
+        rel = rgb(rel, lambda *c: drawn["rgb"].hue_kept(c) if p["rgb_mode"] == "hue" else tuple(map(drawn["rgb"].apply, c)))
+    if {"r", "g", "b"} & set(drawn):
+        rel = rgb(rel, lambda *c: tuple(drawn[k].apply(v) if k in drawn else v for v, k in zip(c, "rgb", strict=True)))
+    if "luma" in drawn:
         y = t.luma(R(), G(), B())
-        scale = F.when(y > 1e-6, through(y, "luma") / y).otherwise(num(1))
+        scale = F.when(y > 1e-6, drawn["luma"].apply(y) / y).otherwise(num(1))
         rel = Rel(rel.df.withColumn("_s", scale), rel.kind, rel.width, rel.height).image(*[c * F.col("_s") for c in (R(), G(), B())])
     return rel
 

@@ -37,7 +37,12 @@ STROKES = [
 HUES = [{"x": 20, "y": 1.2}, {"x": 140, "y": -1.5}, {"x": 260, "y": 0.4}]
 TONE = {"interp": "smooth", "points": [[-7, 0.0], [-2, 0.2], [0, 0.5], [2, 0.95], [3, 1.0]]}
 
+BENT = {"rgb": [[0.1, 0.0], [0.5, 0.62], [0.9, 0.9]], "g": [[0.0, 0.05], [0.6, 0.5]]}
+HANDLES = {"interp": "tangent", "rgb": [[0.0, 0.0], [0.4, 0.5], [1.0, 1.0]], "rgb_h": [{"r": [0.1, 0.25]}, {"l": [-0.15, -0.02], "r": [0.2, 0.03]}, None], "b": [[0.0, 0.1], [1.0, 0.8]], "b_m": [0.2, 1.5]}
+
 NODES: dict[str, Query] = {
+    "curves__hue": one("curves", {"points": json.dumps(BENT), "rgb_mode": "hue"}),
+    "curves__handles": one("curves", {"points": json.dumps(HANDLES)}),
     "median_mask__wide": one("median_mask", {"radius": 9.0, "percentile": 30.0}, field=True),
     "median__wide": one("median", {"radius": 6.0}),
     "black_white__hues": one("black_white", {"amount": 90.0, "hue_curve": json.dumps(HUES)}),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from rasterloom.queries.panorama import CURVES, GRIDS, HUES, LENS, PAIRS, ROWS, SHEAR, SLIDE, STROKES, TONE
+from rasterloom.queries.panorama import BENT, CURVES, GRIDS, HANDLES, HUES, LENS, PAIRS, ROWS, SHEAR, SLIDE, STROKES, TONE
 from rasterloom.queries.raster_sql import BACK, FRAME, LUMA, OKLAB, RGB, clip, cubic, d, dec, dot, enc, final, gathered, gauss_kernel, gauss_pass, luma, window_mean
 
 
@@ -245,6 +245,35 @@ def toned() -> dict[str, str]:
     value = lambda c: dec(clip(f"{shown(c)} + ({clip(cubic(stops(c), [tuple(p) for p in TONE['points']]))} - {shown(c)}) * {d(0.8)}"))
     pre = f"t0 AS (SELECT y, x, a, {', '.join(f'greatest({c}, 0) * {d(2**-0.2)} AS {c}' for c in 'rgb')} FROM f)"
     out["tone_profile__custom"] = final(f"{pre}, q AS (SELECT y, x, {', '.join(f'{value(c)} AS {c}' for c in 'rgb')}, a FROM t0)")
+
+    def bent(points, x):
+        """Straight lines, of slope 1 beyond the points and from white on."""
+        (x0, y0), (x1, y1) = points[0], points[-1]
+        lines = " ".join(f"WHEN {x} <= {d(b[0])} THEN {d(a[1])} + {d((b[1] - a[1]) / (b[0] - a[0]))} * ({x} - {d(a[0])})" for a, b in zip(points, points[1:], strict=False))
+        return f"(CASE WHEN {x} < {d(x0)} THEN {d(y0)} + {x} - {d(x0)} {lines} ELSE {d(y1)} + {x} - {d(x1)} END)"
+
+    low, high = "least(er, eg, eb)", "greatest(er, eg, eb)"
+    value = lambda x: f"greatest({bent(BENT['rgb'], x)}, 0)"
+    # the outer channels lie at the ends of the line between them, so one expression serves all three; from white on a channel stays, as the curve leaves white there
+    line = lambda c: f"(CASE WHEN {high} - {low} > 1e-6 AND e{c} <> {low} AND e{c} <> {high} THEN {dec(f'({value(low)} + ({value(high)} - {value(low)}) * (e{c} - {low}) / ({high} - {low}))')} WHEN {c} >= 1 THEN {c} ELSE {dec(value(f'e{c}'))} END)"
+    shown = ", ".join(f"{enc(f'greatest({c}, 0)')} AS e{c}" for c in "rgb")
+    out["curves__hue"] = final(f"c0 AS (SELECT *, {shown} FROM f), c1 AS (SELECT y, x, a, {', '.join(f'{line(c)} AS {c}' for c in 'rgb')} FROM c0), q AS (SELECT y, x, r, {dec(f'greatest({bent(BENT['g'], enc('greatest(g, 0)'))}, 0)')} AS g, b, a FROM c1)")
+    # a handle's curve is found by halving its parameter
+    (p0, p1, p2), hs = HANDLES["rgb"], HANDLES["rgb_h"]
+    third = lambda a, b, m, side: [side * (b[0] - a[0]) / 3, side * m * (b[0] - a[0]) / 3]
+    ends = [(p0, hs[0]["r"], hs[1]["l"], p1), (p1, hs[1]["r"], third(p1, p2, (p2[1] - p1[1]) / (p2[0] - p1[0]), -1), p2)]
+    parts = []
+    for a, r, l, b in ends:
+        bez = lambda u, k, a=a, r=r, l=l, b=b: f"(pow(1 - {u}, 3) * {d(a[k])} + 3 * {u} * pow(1 - {u}, 2) * {d(a[k] + r[k])} + 3 * {u} * {u} * (1 - {u}) * {d(b[k] + l[k])} + pow({u}, 3) * {d(b[k])})"
+        half = lambda v, bez=bez: f"list_reduce([{{'l': 0::DOUBLE, 'h': 1::DOUBLE}}] || list_transform(range(60), lambda i: {{'l': 0::DOUBLE, 'h': 1::DOUBLE}}), lambda s, i: CASE WHEN {bez('((s.l + s.h) / 2)', 0)} < {v} THEN {{'l': (s.l + s.h) / 2, 'h': s.h}} ELSE {{'l': s.l, 'h': (s.l + s.h) / 2}} END)"
+        parts.append((half, bez))
+    found = lambda c: f"CASE WHEN e{c} <= {d(p1[0])} THEN {parts[0][0](f'e{c}')}.l ELSE {parts[1][0](f'e{c}')}.l END AS u{c}"
+    value = lambda c: f"CASE WHEN {c} >= 1 THEN {c} WHEN e{c} <= 0 THEN 0 WHEN e{c} <= {d(p1[0])} THEN {dec(parts[0][1](f'u{c}', 1))} ELSE {dec(parts[1][1](f'u{c}', 1))} END AS {c}"
+    (b0, b1), (m0, m1) = HANDLES["b"], HANDLES["b_m"]
+    e = enc("greatest(b, 0)")
+    hermite = f"((2 * pow({e}, 3) - 3 * pow({e}, 2) + 1) * {d(b0[1])} + (pow({e}, 3) - 2 * pow({e}, 2) + {e}) * {d(m0)} + (3 * pow({e}, 2) - 2 * pow({e}, 3)) * {d(b1[1])} + (pow({e}, 3) - pow({e}, 2)) * {d(m1)})"
+    out["curves__handles"] = final(f"c0 AS (SELECT *, {shown} FROM f), c1 AS (SELECT *, {', '.join(map(found, 'rgb'))} FROM c0), c2 AS (SELECT y, x, a, {', '.join(map(value, 'rgb'))} FROM c1), q AS (SELECT y, x, r, g, {dec(f'greatest(CASE WHEN {e} >= 1 THEN {d(b1[1])} + {e} - 1 ELSE {hermite} END, 0)')} AS b, a FROM c2)")
+
     t = clip(f"(sqrt(la * la + lb * lb) / greatest(ll, 0.15::DOUBLE) - {d(0.006)}) / {d(0.04)}")
     grey = f"greatest(r * {d(0.3)} + g * {d(0.59)} + b * {d(0.11)}, 0) * pow(2::DOUBLE, {clip(through(round_about(HUES), 'hi'), -2, 2)} * ({t} * {t} * (3 - 2 * {t})))"
     out["black_white__hues"] = final(f"{OKLAB}, h0 AS (SELECT *, {hue('la', 'lb')} AS hi FROM k), h1 AS (SELECT *, {grey} AS gy FROM h0), q AS (SELECT y, x, {', '.join(f'{c} + (gy - {c}) * {d(0.9)} AS {c}' for c in 'rgb')}, a FROM h1)")

@@ -162,7 +162,7 @@ NODES: dict[str, Query] = {
     "skin_soften": one("skin_soften", {"softening": 1.0, "detail_back": 0.6, "strength": 50.0}),
     "chromatic_adapt": one("chromatic_adapt", {"illuminant": "a", "strength": 80.0}),
     "color_bend": one("color_bend", {"src_hue": 30.0, "src_sat": 0.5, "dst_hue": 60.0, "dst_sat": 0.8}),
-    "curves": one("curves", {"points": '{"rgb": [[0, 0], [0.4, 0.5], [1, 1]], "luma": [[0, 0.05], [1, 0.95]]}'}),
+    "curves": one("curves", {"points": '{"interp": "smooth", "rgb": [[0, 0], [0.4, 0.5], [1, 1]], "luma": [[0, 0.05], [1, 0.95]]}'}),
     "paper": one("paper", {"grade": 3.0, "time": 0.5, "toner": "sepia", "toning": 50.0, "base": 30.0}),
 }
 NODES |= {
