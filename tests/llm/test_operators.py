@@ -1191,7 +1191,7 @@ def test_pipeline_against_brute_force(spark, tmp_path, rows):
 def test_queries_have_names(spark):
     from rasterloom.llm.queries import queries
 
-    assert sorted({int(re.match(r"op(\d+)_", n)[1]) for n in queries()}) == list(range(1, 11))
+    assert sorted({int(re.match(r"op(\d+)_", n)[1]) for n in queries()}) == list(range(1, 14))
     assert json.dumps(sorted(queries()))
 
 
