@@ -612,7 +612,8 @@ def warped(rel: Rel, field, stretch: bool, weight: Rel | None = None) -> Rel:
     if weight is not None:
         source = weight_joined(rel, weight)
     at = reads(source.sparkSession, field, rel.width, rel.height, stretch)
-    joined = at.join(source.select("frame_id", F.col("y").alias("sy"), F.col("x").alias("sx"), *channels, *(["_m"] if weight is not None else [])), ["sy", "sx"])
+    # by merging: from its tiles the table of reads looks small enough to broadcast, but it has several rows a pixel
+    joined = at.hint("merge").join(source.select("frame_id", F.col("y").alias("sy"), F.col("x").alias("sx"), *channels, *(["_m"] if weight is not None else [])), ["sy", "sx"])
     sums = [F.sum(F.col("w") * F.col(c)).alias(c) for c in channels]
     near = [x for c in channels for x in (F.min(F.when(F.col("core"), F.col(c))).alias(f"_low_{c}"), F.max(F.when(F.col("core"), F.col(c))).alias(f"_high_{c}"))]
     weighed = [F.sum(F.col("w") * F.col(c) * F.col("_m")).alias(f"_w_{c}") for c in channels] + [F.sum(F.col("w") * F.col("_m")).alias("_w")] if weight is not None else []

@@ -42,6 +42,16 @@ def test_a_grid_at_rest_and_shapes_that_only_hold_change_nothing(spark):
     assert run("layer_warp", {"in": rel}, {"mesh": "no json", "shapes": "[]"}) is rel
 
 
+@pytest.mark.parametrize("name", ["grid_warp", "layer_warp", "layer_warp_mask"])
+def test_what_pixels_read_is_never_broadcast(spark, name):
+    """The table of reads comes from a few tiles and has several rows a pixel of the frame."""
+    rel = picture(spark, np.random.default_rng(0).random((6, 8, 3)))
+    rel = rel.field(F.col("r")) if name == "layer_warp_mask" else rel
+    out = run(name, {"in": rel}, {"cols": 1.0, "rows": 1.0, "mesh": json.dumps([0, 0, 0, 0, 0.1, 0, 0.1, 0])})
+    plan = out.df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [sy#" in plan and "BroadcastHashJoin [sy#" not in plan
+
+
 @pytest.mark.parametrize("field", ["grid", "shapes", "turned"])
 def test_places_read_from_what_is_carried_there(field):
     """Where a field doesn't fold, what a place reads from is carried to it."""
