@@ -6,6 +6,8 @@ settled once both of its regions have no earlier edge that isn't. So square tile
 that still wait for an edge across their border, with these edges; four tiles at a time do the same with what was handed on, until a
 frame has no edge left. No task sees more than its tile and what its four parts couldn't settle.
 
+Joins are by merging: tables of pixels are small as files and large in a driver that broadcasts them.
+
 Among equal differences the edge of the smaller pixel comes first, that to the right before that below. Null channels count as 0.
 """
 
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.frame import KEY, Rel
 from rasterloom.functions.tone import num
-from rasterloom.session import checkpointed
+from rasterloom.session import written
 
 #: Pixels along a tile's side.
 TILE = 64
@@ -113,15 +115,16 @@ def settled(nodes: DataFrame, halves: DataFrame, decide, k: float, levels: int)
         at = ["frame_id", F.shiftright("ty", min(level, 1)).alias("ty"), F.shiftright("tx", min(level, 1)).alias("tx")]
         a = nodes.select(*at, "node", "size", "bar", "stuck").groupBy("frame_id", "ty", "tx")
         b = halves.select(*at, "node", "e", "w").groupBy("frame_id", "ty", "tx")
-        done = checkpointed(a.cogroup(b).applyInPandas(run, ROW))
+        done = written(a.cogroup(b).applyInPandas(run, ROW))
         found.append(done.filter(F.col("kind") == GONE).select("frame_id", "node", "into"))
         nodes, halves = done.filter(F.col("kind") == NODE), done.filter(F.col("kind") == HALF)
         if level == levels or halves.isEmpty():
             break
     whole = found[-1]
-    for lower in reversed(found[:-1]):  # where a region went, followed up the levels
+    for lower in reversed(found[:-1]):  # where a region went, followed up the levels; each is written, or the plan would double with every level
         further = whole.select("frame_id", F.col("node").alias("into"), F.col("into").alias("last"))
-        whole = lower.join(further, ["frame_id", "into"], "left").select("frame_id", "node", F.coalesce("last", "into").alias("into")).unionByName(whole)
+        followed = lower.join(further.hint("merge"), ["frame_id", "into"], "left").select("frame_id", "node", F.coalesce("last", "into").alias("into"))
+        whole = written(followed).unionByName(whole)
     return whole
 
 
@@ -156,24 +159,24 @@ def segment(rel: Rel, k: float = 0.5, min_size: int = 20) -> DataFrame:
     frame = F.col("frame_id").cast("int").alias("frame_id")
     pixels = rel.df.select(frame, "y", "x", n, *"rgb")
     nodes = pixels.select("frame_id", *tile_of(F.col("node"), rel.width), "node", F.lit(1).cast("long").alias("size"), num(k).alias("bar"), F.lit(False).alias("stuck"))
-    edges = checkpointed(neighbours(rel).select(frame, "e", "w", "n_a", "n_b"))
+    edges = written(neighbours(rel).select(frame, "e", "w", "n_a", "n_b"))
     halves = edges.select("frame_id", "e", "w", F.explode(F.array("n_a", "n_b")).alias("node")).select("frame_id", *tile_of(F.col("node"), rel.width), "node", "e", "w")
     merged = settled(nodes, halves, grows, k, levels)
-    labels = pixels.join(merged.withColumnRenamed("into", "label"), ["frame_id", "node"], "left").withColumn("label", F.coalesce("label", "node"))
-    labels = checkpointed(labels.select("frame_id", "y", "x", "node", "label"))
+    labels = pixels.join(merged.withColumnRenamed("into", "label").hint("merge"), ["frame_id", "node"], "left").withColumn("label", F.coalesce("label", "node"))
+    labels = written(labels.select("frame_id", "y", "x", "node", "label"))
 
     # the least edge of two regions is the one that counts; those of two large ones never do
     sizes = labels.groupBy("frame_id", "label").count()
-    small = checkpointed(sizes.filter(F.col("count") < min_size))
-    where = labels.join(small, ["frame_id", "label"], "left").select("frame_id", F.col("node"), "label", F.col("count").alias("size"))
+    small = written(sizes.filter(F.col("count") < min_size))
+    where = labels.join(small.hint("merge"), ["frame_id", "label"], "left").select("frame_id", F.col("node"), "label", F.col("count").alias("size"))
     tops = edges
     for end in "ab":
-        tops = tops.join(where.select("frame_id", F.col("node").alias(f"n_{end}"), F.col("label").alias(f"l_{end}"), F.col("size").alias(f"s_{end}")), ["frame_id", f"n_{end}"])
+        tops = tops.join(where.select("frame_id", F.col("node").alias(f"n_{end}"), F.col("label").alias(f"l_{end}"), F.col("size").alias(f"s_{end}")).hint("merge"), ["frame_id", f"n_{end}"])
     tops = tops.filter("l_a <> l_b and (s_a is not null or s_b is not null)")
     first, last = F.least("l_a", "l_b"), F.greatest("l_a", "l_b")
     size_first, size_last = (F.when(F.col("l_a") == x, F.col("s_a")).otherwise(F.col("s_b")) for x in (first, last))
     pairs = tops.groupBy("frame_id", first.alias("a"), last.alias("b")).agg(F.min(F.struct("w", "e")).alias("m"), F.first(size_first).alias("s_a"), F.first(size_last).alias("s_b"))
-    pairs = checkpointed(pairs.select("frame_id", "a", "b", "s_a", "s_b", "m.w", "m.e"))
+    pairs = written(pairs.select("frame_id", "a", "b", "s_a", "s_b", "m.w", "m.e"))
     # a small region has its home in the tile of its label; a large one is told to each home that it borders on
     ends = F.array(*[F.struct(F.col(p).alias("home"), F.col(p).alias("node"), F.col(f"s_{p}").alias("size")) for p in "ab"])
     both = F.array(*[F.struct(F.col(h).alias("home"), F.col(p).alias("node"), F.col(f"s_{p}").alias("size")) for h in "ab" for p in "ab"])
@@ -182,7 +185,7 @@ def segment(rel: Rel, k: float = 0.5, min_size: int = 20) -> DataFrame:
     rows = pairs.select("frame_id", "w", "e", F.explode(told).alias("t")).select("frame_id", *tile_of(F.col("t.home"), rel.width), F.col("t.node").alias("node"), F.col("t.size").alias("size"), "e", "w")
     regions = rows.select("frame_id", "ty", "tx", "node", F.coalesce("size", F.lit(min_size)).cast("long").alias("size"), num(0).alias("bar"), F.col("size").isNull().alias("stuck")).distinct()
     joined = settled(regions, rows, absorbs, min_size, levels)
-    return labels.join(joined.withColumnRenamed("node", "label"), ["frame_id", "label"], "left").select("frame_id", "y", "x", F.coalesce("into", "label").alias("label"))
+    return labels.join(joined.withColumnRenamed("node", "label").hint("merge"), ["frame_id", "label"], "left").select("frame_id", "y", "x", F.coalesce("into", "label").alias("label"))
 
 
 def reduced(rel: Rel, longest: int) -> Rel:

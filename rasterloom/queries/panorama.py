@@ -81,7 +81,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The picture's regions, with their size and mean colour."""
     rel = picture(spark, sf_dir)
     labels = regions.segment(rel, 0.8, 20)
-    return labels.join(rel.df, ["frame_id", "y", "x"]).groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 6).alias(c) for c in "rgb"])
+    return labels.join(rel.df.hint("merge"), ["frame_id", "y", "x"]).groupBy("label").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c) + F.lit(OFF), 6).alias(c) for c in "rgb"])
 
 
 #: Cameras that parts are seen by: focal lengths and rotations, the first of which is none.

@@ -41,6 +41,16 @@ def brute_regions(img, k, least):
     return [find(i) for i in range(h * w)]
 
 
+def test_the_plan_of_regions_grows_by_a_step_a_level(spark, monkeypatch):
+    monkeypatch.setattr(regions, "TILE", 2)
+    plans = []
+    for n in (8, 32):  # two levels and four
+        labels = regions.segment(picture(spark, np.random.default_rng(0).random((n, n, 3))), 0.5, 7)
+        plans.append(labels._jdf.queryExecution().optimizedPlan())
+    assert len({p.toString().count("Join ") for p in plans}) == 1
+    assert len(str(plans[1].stats().sizeInBytes())) < 40
+
+
 @pytest.mark.parametrize("kind", ["noise", "ties", "slope"])
 def test_regions_are_those_of_one_pass_over_all_edges(spark, monkeypatch, kind):
     monkeypatch.setattr(regions, "TILE", 8)
