@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from rasterloom.frame import image_rel
@@ -136,3 +137,15 @@ def test_shifts_are_found(spark):
     rows = [(f, int(b), int(a), *[float(s[b, a])] * 3, 1.0) for f, s in enumerate((smooth(0, 0), smooth(4, -3))) for b in range(48) for a in range(64)]
     rel = image_rel(spark.createDataFrame(rows, "frame_id int, y int, x int, r double, g double, b double, a double"), 64, 48)
     assert [tuple(r) for r in stack.find_shifts(rel, 0, 8).orderBy("frame_id").collect()] == [(0, 0, 0), (1, 4, -3)]
+
+
+def test_a_shift_counts_every_place(spark):
+    """Where every second place of every second row is noise in the base frame, the others tell the shift."""
+    h, w = 40, 256
+    rng = np.random.default_rng(3)
+    v = rng.random((h + 2, w + 2))
+    base, other = v[1:-1, 1:-1].copy(), v[1:-1, :-2]
+    base[::2, ::2] = rng.random((h // 2, w // 2))
+    ys, xs = np.mgrid[0:h, 0:w]
+    frames = pd.concat([pd.DataFrame({"frame_id": np.int32(f), "y": ys.ravel().astype(np.int32), "x": xs.ravel().astype(np.int32), "r": s.ravel(), "g": s.ravel(), "b": s.ravel(), "a": 1.0}) for f, s in enumerate((base, other))])
+    assert [tuple(r) for r in stack.find_shifts(image_rel(spark.createDataFrame(frames), w, h), 0, 1).orderBy("frame_id").collect()] == [(0, 0, 0), (1, 1, 0)]
