@@ -10,9 +10,9 @@ products of matrices, and linked at a weighted Jaccard similarity of at least ``
 A bucket is dealt into blocks of about ``BLOCK`` texts or ``BLOCK_CHARS`` characters, and every two blocks are a group that one task
 compares. A bucket of more than ``WIDE`` blocks is compared in rounds, each of which costs in proportion to the bucket: a block of its
 texts, taken from outside its largest class, meets all others and then leaves the bucket, until all of a bucket is one class or has
-left. After the first round a bucket that is still so large is split by ``SPLITS`` further bands of ``SPLIT_ROWS`` samples each, in
-which two texts at the threshold meet again with a chance of 1 - (1 - 0.8 ** SPLIT_ROWS) ** SPLITS = 0.9998, and the parts go on in
-the same way. No bucket is capped, and none is left before all of its texts have met or are of one class.
+left. A caller of ``classes`` may have buckets that are still so large after some rounds split by ``SPLITS`` further bands of
+``SPLIT_ROWS`` samples each, in which two texts at the threshold meet again with a chance of 1 - (1 - 0.8 ** SPLIT_ROWS) ** SPLITS =
+0.9998; ``near_duplicates`` doesn't, so that what is found doesn't depend on a bucket's size. No bucket is capped, and none is left before all of its texts have met or are of one class.
 
 Texts alike to the letter are one node throughout, so copies cost a hash each. Null texts count as empty and are copies of one
 another. Rows that share an id count as one document. Rows with a null id take no part and have no class. An empty table gives an
@@ -295,8 +295,8 @@ def compared(meetings: DataFrame, texts: DataFrame, idf, threshold: float) -> Da
     return map_arrow(dealt, compare, f"a {id_type}, b {id_type}")
 
 
-def classes(rows: DataFrame, texts: DataFrame, idf, threshold: float, width: int = WIDE, split_at: int = 1) -> DataFrame | None:
-    """node, label of the texts of buckets rows (key, node, size) that have a link; None without links. After split_at rounds buckets that are still large are split."""
+def classes(rows: DataFrame, texts: DataFrame, idf, threshold: float, width: int = WIDE, split_at: int | None = None) -> DataFrame | None:
+    """node, label of the texts of buckets rows (key, node, size) that have a link; None without links. Every two texts of a bucket meet or are of one class, however large it is; with split_at buckets that are still large after so many rounds are split, which may lose links."""
     labels, turn = None, 0
     rows = bucketed(rows.withColumn("label", F.col("node")))
     while not rows.isEmpty():

@@ -1014,6 +1014,23 @@ def test_rounds_of_large_buckets_lose_no_link(spark, monkeypatch, split_at):
     assert {i: labels.get(i, i) for i in texts} == want
 
 
+def test_a_large_bucket_is_compared_like_a_small_one(spark, monkeypatch):
+    """No further bands, which may lose links, for a bucket of many blocks."""
+    from rasterloom.llm import minhash
+
+    def lossy(*_):
+        raise AssertionError("a bucket was split")
+
+    texts = {i: prose(60, 100 + i // 2) + f" edit{i}" for i in range(60)}
+    docs = table(spark, [(i, t, "s") for i, t in texts.items()]).select(F.col("doc_id").alias("id"), "text")
+    idf = spark.sparkContext.broadcast(minhash.frequencies(docs, "text"))
+    monkeypatch.setattr(minhash, "BLOCK", 12)
+    monkeypatch.setattr(minhash, "split", lossy)
+    rows = docs.select(F.lit(5).cast("long").alias("key"), F.col("id").alias("node"), F.length("text").cast("long").alias("size"))
+    labels = {x.node: x.label for x in minhash.classes(rows, docs, idf, 0.8, width=2).collect()}
+    assert {i: labels.get(i, i) for i in texts} == linked(texts, idf.value)
+
+
 def test_a_large_group_of_near_copies(spark):
     """Of the links in a crowd of thousands, one group of near copies among them, at least nine in ten pairs of a class stay in one."""
     from rasterloom.llm import minhash
