@@ -123,7 +123,7 @@ def dof(inputs, p):
         return rel
     depth = depth if depth.kind == FIELD else depth.field(F.col("r"))
     depth = depth if depth.same_size(rel) else resized(depth, rel.width, rel.height)
-    df = rel.df.join(depth.df.select(*KEY, F.col("v").alias("f")), KEY, "left").withColumn("f", F.coalesce("f", num(0)))
+    df = rel.df.hint("merge").join(depth.df.select(*KEY, F.col("v").alias("f")), KEY, "left").withColumn("f", F.coalesce("f", num(0)))
     w, h = rel.width, rel.height
     found = over_tiles(df, w, h, reach_of(w, h, p), ["r", "g", "b", "a", "f"], ["r", "g", "b", "a", "off"], lambda planes, y0, x0: layered(planes, y0, x0, w, h, p))
     out = Rel(found.select(*KEY, *"rgba"), IMAGE, w, h)

@@ -129,7 +129,7 @@ def detail_pass(rel: Rel, p) -> Rel:
     def carried(new: Rel, old: Rel) -> Rel:
         if first is None:
             return new
-        return Rel(new.df.join(old.df.select(*KEY, "_first"), KEY), new.kind, new.width, new.height)
+        return Rel(new.df.hint("merge").join(old.df.select(*KEY, "_first"), KEY), new.kind, new.width, new.height)
 
     if k:
         rel = carried(replaced(rel, luma_dehazed(rel, k), weights[2], first, p["range_ev"]), rel)
@@ -251,11 +251,11 @@ def halation(inputs, p):
     k = F.col("_o") / F.greatest("_y", num(1e-6))
     depth = inputs.get("depth")
     if p["by_depth"] and depth is not None and depth.same_size(rel):
-        df = df.join(depth.df.select(*KEY, F.col("v").alias("_far")), KEY, "left")
+        df = df.hint("merge").join(depth.df.select(*KEY, F.col("v").alias("_far")), KEY, "left")
         k = k * t.clamp(num(1) + num(p["by_depth"] / 100) * (num(2) * F.coalesce("_far", num(0.5)) - num(1)), 0, 2)
     if p["background"] > 0:
         dim = Rel(df.withColumn("v", F.when(F.col("_y") < cut, F.col("_y")).otherwise(num(0))).select(*KEY, "v"), FIELD, rel.width, rel.height)
-        df = df.join(gaussian(dim, radius, ["v"]).df.select(*KEY, F.col("v").alias("_near")), KEY)
+        df = df.hint("merge").join(gaussian(dim, radius, ["v"]).df.select(*KEY, F.col("v").alias("_near")), KEY)
         dark = F.sqrt(num(1) - t.clamp(F.col("_near") / num(cut)))
         gate = num(1) - num(p["background"] / 100) * (num(1) - dark)
     else:
@@ -274,10 +274,10 @@ def halation(inputs, p):
     halo = [num(0)] * 3
     d = p["diffusion"] / 100
     if amount > 0:
-        df = df.join(spread(radius, "_w"), KEY)
+        df = df.hint("merge").join(spread(radius, "_w"), KEY)
         halo = [F.col(f"_w{c}") for c in COLOURS]
         if d < 1:
-            df = df.join(spread(radius * 0.45, "_n"), KEY)
+            df = df.hint("merge").join(spread(radius * 0.45, "_n"), KEY)
             halo = [h * num(d) + F.greatest(h - F.col(f"_n{c}"), num(0)) * num(1 - d) for h, c in zip(halo, COLOURS, strict=True)]
     df = df.withColumns({f"_h{c}": h for c, h in zip(COLOURS, halo, strict=True)})
     hr, hg, hb = (F.col(f"_h{c}") for c in COLOURS)
@@ -285,7 +285,7 @@ def halation(inputs, p):
     df = df.withColumn("_lh", t.luma(hr, hg, hb) * (num(1) + num(2 * p["blue_comp"] / 100) * blue) * num(amount))
     glow = num(0)
     if bloom > 0:
-        df = df.join(spread(wide, "_b"), KEY)
+        df = df.hint("merge").join(spread(wide, "_b"), KEY)
         glow = t.luma(*[F.col(f"_b{c}") for c in COLOURS]) * num(bloom)
     tint = [1 + (v - 1) * p["saturation"] / 100 for v in t.hexcone_of(p["hue"])]
     return Rel(df, IMAGE, rel.width, rel.height).image(*[F.greatest(F.col(c) + (F.col("_lh") * num(v) + glow) * num(mix), num(0)) for c, v in zip(COLOURS, tint, strict=True)])
@@ -299,7 +299,7 @@ def spread_alpha(rel: Rel, radius: float, dx: float, dy: float, invert: bool, ga
     from rasterloom.operators.geometry import grid
 
     cover = Rel(rel.df.select("frame_id", (F.col("y") + pad).alias("y"), (F.col("x") + pad).alias("x"), t.clamp(F.col("a")).alias("v")), FIELD, w, h)
-    room = grid(rel, w, h).join(cover.df, KEY, "left").select(*KEY, F.coalesce("v", num(0)).alias("v"))
+    room = grid(rel, w, h).hint("merge").join(cover.df, KEY, "left").select(*KEY, F.coalesce("v", num(0)).alias("v"))
     cover = Rel(room, FIELD, w, h)
     if dx or dy:
         places = room.select(*KEY, (F.col("x") - num(dx)).alias("_gx"), (F.col("y") - num(dy)).alias("_gy"))
@@ -349,7 +349,7 @@ def fx_bevel(inputs, p):
     df = df.withColumns(dict(zip(("_u", "_d"), neighbours("y", F.col("v"), [-1, 1]), strict=True)))
     c, s = math.cos(math.radians(p["angle"])), -math.sin(math.radians(p["angle"]))
     lit = -((F.col("_r") - F.col("_l")) * num(c) + (F.col("_d") - F.col("_u")) * num(s)) * num(p["depth"] / 100 * 4)
-    df = rel.df.join(df.select(*KEY, lit.alias("_lit")), KEY)
+    df = rel.df.hint("merge").join(df.select(*KEY, lit.alias("_lit")), KEY)
     k = F.least(F.abs("_lit"), num(1)) * num(min(1.0, p["opacity"] / 100)) * F.col("a")
     still = (F.col("a") <= 0) | (F.abs("_lit") < 1e-4)
     hi, lo = t.hex_display(p["highlight"]), t.hex_display(p["shadow"])
@@ -508,7 +508,7 @@ def model_denoise(inputs, p):
     rows, cols = along("x"), along("y")
     steps = [F.coalesce(F.abs(F.col("v") - f("v").over(w)), num(0)) for w in (rows, cols) for f in (F.lag, F.lead)]
     df = near.df.withColumn("_g", F.greatest(*steps))
-    df = rel.df.join(df.withColumnRenamed("v", "_yd"), KEY)
+    df = rel.df.hint("merge").join(df.withColumnRenamed("v", "_yd"), KEY)
     df = df.withColumns({f"_s{c}": t.encode(F.greatest(c, num(0))) for c in COLOURS})
     df = df.withColumn("_ys", t.luma(*[F.col(f"_s{c}") for c in COLOURS]))
     ys, yd = F.col("_ys"), F.col("_yd")
@@ -574,7 +574,7 @@ def noise(inputs, p):
     df = rel.df
     for i, c in enumerate(COLOURS):
         plane = noise_plane(rel, p["size"], seed * 8 + (i if p["color_grain"] else 0))
-        df = df.join(plane.df.select(*KEY, F.col("v").alias(f"_n{c}")), KEY)
+        df = df.hint("merge").join(plane.df.select(*KEY, F.col("v").alias(f"_n{c}")), KEY)
     return Rel(df, IMAGE, rel.width, rel.height).image(*[t.clamp(num(0.5) + F.col(f"_n{c}") * num(0.15)) for c in COLOURS], num(1))
 
 
@@ -587,7 +587,7 @@ def grain(inputs, p):
     df = rel.df
     for i, c in enumerate(COLOURS):
         plane = noise_plane(rel, p["size"], 1 + (i if p["color_grain"] else 0))
-        df = df.join(plane.df.select(*KEY, F.col("v").alias(f"_n{c}")), KEY)
+        df = df.hint("merge").join(plane.df.select(*KEY, F.col("v").alias(f"_n{c}")), KEY)
     y = luma()
     held = t.clamp(y)
     s, m, h = t.tonal(t.seen(y))

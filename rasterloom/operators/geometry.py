@@ -28,7 +28,7 @@ def gathered(rel: Rel, places: DataFrame, channels: list[str] | None = None) ->
     wide = at.select(*[F.col(c).alias(f"_k_{c}") for c in others], F.explode(F.filter(four, lambda c: c["w"] > 0)).alias("_c"))
     wide = wide.select("*", F.col("_c.x").alias("_sx"), F.col("_c.y").alias("_sy"), F.col("_c.w").alias("_w"))
     source = rel.df.select(F.col("frame_id").alias("_k_frame_id"), F.col("x").alias("_sx"), F.col("y").alias("_sy"), *channels)
-    joined = wide.join(source, ["_k_frame_id", "_sx", "_sy"], "left")
+    joined = wide.hint("merge").join(source, ["_k_frame_id", "_sx", "_sy"], "left")
     found = joined.groupBy(*[f"_k_{c}" for c in others]).agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in channels])
     return found.select(*[F.col(f"_k_{c}").alias(c) for c in others], *channels)
 
@@ -151,7 +151,7 @@ def displacement_map(inputs, p):
         return rel
     df = rel.df.select(*KEY)
     for k, f in fields.items():
-        df = df.join(f.df.select(*KEY, F.col("v").alias(f"_{k}")), KEY, "left")
+        df = df.hint("merge").join(f.df.select(*KEY, F.col("v").alias(f"_{k}")), KEY, "left")
     most = num(p["max_displacement"])
 
     def shift(k):

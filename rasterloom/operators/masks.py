@@ -165,7 +165,7 @@ def channel_join(inputs, p):
     for k in given:
         if not inputs[k].same_size(first):
             raise EngineError("channel_join: the fields are of different sizes")
-        df = df.join(inputs[k].df.select(*KEY, F.col("v").alias(f"_{k}")), KEY, "left")
+        df = df.hint("merge").join(inputs[k].df.select(*KEY, F.col("v").alias(f"_{k}")), KEY, "left")
     chan = [F.coalesce(f"_{k}", num(0)) if k in given else num(0) for k in "rgb"]
     alpha = t.clamp(F.coalesce("_alpha", num(1))) if "alpha" in given else num(1)
     return Rel(df, IMAGE, first.width, first.height).image(*chan, alpha)

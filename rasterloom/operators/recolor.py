@@ -153,7 +153,7 @@ def recolor(inputs, p):
     ref = inputs.get("ref")
     if ref is not None and ref.kind == IMAGE and ref.same_size(rel):
         other = ref.df.select(*KEY, *[F.col(c).alias(f"_r{c}") for c in COLOURS])
-        df = df.join(other, KEY, "left")
+        df = df.hint("merge").join(other, KEY, "left")
         _, a, b = lab(*[F.coalesce(f"_r{c}", num(0)) for c in COLOURS])
         df = df.withColumn("_pa", a).withColumn("_pb", b)
     else:
@@ -168,7 +168,7 @@ def recolor(inputs, p):
     for row, port in (("depth", "depth"), ("mask", "by")):
         if row in rows:
             plane = inputs[port] if inputs[port].same_size(rel) else resized(inputs[port], rel.width, rel.height)
-            df = df.join(plane.df.select(*KEY, F.col("v").alias(f"_x_{row}")), KEY, "left")
+            df = df.hint("merge").join(plane.df.select(*KEY, F.col("v").alias(f"_x_{row}")), KEY, "left")
             df = df.withColumn(f"_x_{row}", t.clamp(F.coalesce(f"_x_{row}", num(0)) * num(100), 0, 100))
 
     def hue_of(a: str, b: str) -> Column:

@@ -113,7 +113,7 @@ def reduced_gaussian(rel: Rel, sigma: float, factor: int, channels: list[str]) -
     if set(channels) == set(rel.channels):
         return Rel(wide.select(*KEY, *rel.channels), rel.kind, rel.width, rel.height)
     others = [c for c in rel.channels if c not in channels]
-    return Rel(rel.df.select(*KEY, *others).join(wide, KEY).select(*KEY, *rel.channels), rel.kind, rel.width, rel.height)
+    return Rel(rel.df.select(*KEY, *others).hint("merge").join(wide, KEY).select(*KEY, *rel.channels), rel.kind, rel.width, rel.height)
 
 
 def gaussian(rel: Rel, sigma: float, channels: list[str] | None = None, reach: float = 2.5) -> Rel:
@@ -171,7 +171,7 @@ def motion(rel: Rel, length: float, angle: float) -> Rel:
     held = lambda c, size: F.least(F.greatest(F.col(c) + F.col(f"_t.{c}"), F.lit(0)), F.lit(size - 1)).alias(f"_s{c}")
     wide = rel.df.select(*KEY, taps.alias("_t")).select(F.col("frame_id"), F.col("y").alias("_y"), F.col("x").alias("_x"), F.col("_t.w").alias("_w"), held("x", rel.width), held("y", rel.height))
     source = rel.df.select("frame_id", F.col("y").alias("_sy"), F.col("x").alias("_sx"), *rel.channels)
-    found = wide.join(source, ["frame_id", "_sy", "_sx"]).groupBy("frame_id", F.col("_y").alias("y"), F.col("_x").alias("x")).agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in rel.channels])
+    found = wide.hint("merge").join(source, ["frame_id", "_sy", "_sx"]).groupBy("frame_id", F.col("_y").alias("y"), F.col("_x").alias("x")).agg(*[F.sum(F.col("_w") * F.col(c)).alias(c) for c in rel.channels])
     return Rel(found, rel.kind, rel.width, rel.height)
 
 

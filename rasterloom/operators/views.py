@@ -47,7 +47,7 @@ def bounds(rel: Rel, floor: float = 1e-6, coverage: Rel | None = None) -> DataFr
     """frame_id, x, y, width, height of what shows of each frame: alpha, times a coverage field if there is one, of at least floor. Frames that don't show are left out."""
     df, a = rel.df, t.clamp(F.col("a"))
     if coverage is not None:
-        df = df.join(coverage.df.select(*KEY, F.col("v" if coverage.kind == FIELD else "r").alias("_v")), KEY, "left")
+        df = df.hint("merge").join(coverage.df.select(*KEY, F.col("v" if coverage.kind == FIELD else "r").alias("_v")), KEY, "left")
         a = a * t.clamp(F.coalesce("_v", num(0)))
     found = df.filter(a >= floor).groupBy("frame_id").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.max("x").alias("x1"), F.max("y").alias("y1"))
     return found.select("frame_id", "x", "y", (F.col("x1") - F.col("x") + 1).alias("width"), (F.col("y1") - F.col("y") + 1).alias("height"))
@@ -58,7 +58,7 @@ def cut(rel: Rel, floor: float = 1e-6, coverage: Rel | None = None) -> DataFrame
     box = bounds(rel, floor, coverage).select("frame_id", F.col("x").alias("_x"), F.col("y").alias("_y"), "width", "height")
     df, a = rel.df, t.clamp(F.col("a"))
     if coverage is not None:
-        df = df.join(coverage.df.select(*KEY, F.col("v" if coverage.kind == FIELD else "r").alias("_v")), KEY, "left")
+        df = df.hint("merge").join(coverage.df.select(*KEY, F.col("v" if coverage.kind == FIELD else "r").alias("_v")), KEY, "left")
         a = a * t.clamp(F.coalesce("_v", num(0)))
     inside = df.join(F.broadcast(box), "frame_id").withColumn("x", F.col("x") - F.col("_x")).withColumn("y", F.col("y") - F.col("_y"))
     inside = inside.filter((F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < F.col("width")) & (F.col("y") < F.col("height")))

@@ -618,7 +618,7 @@ def warped(rel: Rel, field, stretch: bool, weight: Rel | None = None) -> Rel:
     near = [x for c in channels for x in (F.min(F.when(F.col("core"), F.col(c))).alias(f"_low_{c}"), F.max(F.when(F.col("core"), F.col(c))).alias(f"_high_{c}"))]
     weighed = [F.sum(F.col("w") * F.col(c) * F.col("_m")).alias(f"_w_{c}") for c in channels] + [F.sum(F.col("w") * F.col("_m")).alias("_w")] if weight is not None else []
     found = joined.groupBy(*KEY).agg(*sums, *near, *weighed, F.first("sharp").alias("_sharp"), F.first("many").alias("_many"))
-    everywhere = rel.df.select(*KEY).join(found, KEY, "left")
+    everywhere = rel.df.select(*KEY).hint("merge").join(found, KEY, "left")
 
     def value(c: str):
         held = F.when(F.col("_sharp"), F.least(F.greatest(F.col(c), F.col(f"_low_{c}")), F.col(f"_high_{c}"))).otherwise(F.col(c))
@@ -630,7 +630,7 @@ def warped(rel: Rel, field, stretch: bool, weight: Rel | None = None) -> Rel:
 
 
 def weight_joined(rel: Rel, weight: Rel) -> DataFrame:
-    return rel.df.join(weight.df.select(*KEY, clamp(F.coalesce("v", num(0))).alias("_m")), KEY, "left").fillna(0.0, ["_m"])
+    return rel.df.hint("merge").join(weight.df.select(*KEY, clamp(F.coalesce("v", num(0))).alias("_m")), KEY, "left").fillna(0.0, ["_m"])
 
 
 # -- nodes --------------------------------------------------------------------
@@ -669,7 +669,7 @@ def picture_warped(rel: Rel, mesh: Grid, shapes: Shapes, room: float, stretch: b
     w, h = rel.width + 2 * px, rel.height + 2 * py
     if px or py:
         moved = rel.df.select("frame_id", (F.col("y") + py).alias("y"), (F.col("x") + px).alias("x"), *rel.channels)
-        rel_wide = Rel(grid(rel, w, h).join(moved, KEY, "left").fillna(0.0, rel.channels), IMAGE, w, h)
+        rel_wide = Rel(grid(rel, w, h).hint("merge").join(moved, KEY, "left").fillna(0.0, rel.channels), IMAGE, w, h)
     else:
         rel_wide = rel
     if still:

@@ -52,6 +52,20 @@ def test_what_pixels_read_is_never_broadcast(spark, name):
     assert "SortMergeJoin [sy#" in plan and "BroadcastHashJoin [sy#" not in plan
 
 
+def test_no_frame_is_broadcast_to_another(spark, tmp_path):
+    """A frame's file may be small, and its rows are many all the same: a weight, a mask, a second picture, what a place gathers."""
+    from rasterloom.operators import combine, geometry, point  # noqa: F401
+
+    picture(spark, np.random.default_rng(0).random((6, 8, 3))).df.write.parquet(f"{tmp_path}/frame")
+    rel = image_rel(spark.read.parquet(f"{tmp_path}/frame"), 8, 6)
+    plane = rel.field(F.col("r"))
+    mesh = {"cols": 1.0, "rows": 1.0, "mesh": json.dumps([0, 0, 0, 0, 0.1, 0, 0.1, 0])}
+    outs = [run("layer_warp", {"in": rel, "weight": plane}, mesh), run("exposure", {"in": rel, "mask": plane}, {"exposure": 1.0}), run("blend", {"base": rel, "blend": rel}, {}), run("transform", {"in": rel}, {"move_x": 3.0})]
+    for out in outs:
+        plan = out.df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
 @pytest.mark.parametrize("field", ["grid", "shapes", "turned"])
 def test_places_read_from_what_is_carried_there(field):
     """Where a field doesn't fold, what a place reads from is carried to it."""
