@@ -10,8 +10,10 @@ from rasterloom.functions.tone import num
 from rasterloom.session import checkpointed
 
 RATIO = 0.8
-#: Descriptors in a block and in a cell of an index, about, and cells at most.
+#: Descriptors on a shelf and in a cell of an index, about, and cells at most.
 BLOCK, CELL, PIVOTS = 2048, 256, 1024
+#: Askers whose distances to the pivots are taken at a time, and their visits to shelves that leave a task at a time, at most.
+PIECE, VISITS = 512, 1 << 16
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -38,10 +40,22 @@ def best_two(a_ids: np.ndarray, u: np.ndarray, ids: np.ndarray, v: np.ndarray) -
     return out
 
 
+def packed(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Cells put on shelves of BLOCK rows at most, in order: each one's first shelf, how many it is dealt over, and how many there are. Small ones share a shelf."""
+    parts = np.maximum(1, -(-sizes // BLOCK))
+    first, shelves, room = np.zeros(len(sizes), np.int64), 0, 0
+    for k, (n, p) in enumerate(zip(sizes.tolist(), parts.tolist(), strict=True)):
+        if not shelves or p > 1 or n > room:
+            first[k], shelves, room = shelves, shelves + p, BLOCK - n if p == 1 else 0
+        else:
+            first[k], room = shelves - 1, room - n
+    return first, parts, shelves
+
+
 def two_nearest(a: DataFrame, b: DataFrame) -> DataFrame:
     """a_id, b_id, d1, d2: for each descriptor of a its nearest of b and the distances to the two nearest; ties to the smaller id. a and b hold id and desc.
 
-    Descriptors of b lie in cells around pivots, with the distance to the furthest of each. One of a is first compared with the cells next to it that hold two; how far the second of these is says which other cells may hold a nearer one, and only those are looked through as well. So the answer is exact, and the work follows how descriptors cluster. Cells and the askers of a cell are dealt in blocks."""
+    Descriptors of b lie in cells around pivots, with the distance to the furthest of each. One of a is first compared with the cells next to it that hold two; how far the second of these is says which other cells may hold a nearer one, and only those are looked through as well. So the answer is exact, and the work follows how descriptors cluster. Cells and askers lie on shelves of BLOCK rows; an asker goes to a shelf once, with the cells it looks through there."""
     import pandas as pd
 
     spark = a.sparkSession
@@ -58,21 +72,27 @@ def two_nearest(a: DataFrame, b: DataFrame) -> DataFrame:
         p = shared.value
         return np.sqrt(np.maximum((v * v).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * v @ p.T, 0))
 
-    def place(batches):
+    def pieces(batches, rows: int):
+        """Batches in parts of so many rows, as each row has a distance to every pivot."""
         for pdf in batches:
-            d = apart(stacked(pdf["desc"])) if len(pdf) else np.zeros((0, 1))
-            yield pdf.assign(cell=d.argmin(1) if len(pdf) else [], far=d.min(1) if len(pdf) else [])
+            for at in range(0, len(pdf), rows):
+                yield pdf.iloc[at : at + rows]
+
+    def place(batches):
+        for pdf in pieces(batches, PIECE):
+            d = apart(stacked(pdf["desc"]))
+            yield pdf.assign(cell=d.argmin(1), far=d.min(1))
 
     cells = checkpointed(vectors[1].mapInPandas(place, f"id {kinds[1]}, desc array<double>, cell int, far double"))
     held, reach = np.zeros(len(pivots), np.int64), np.full(len(pivots), -np.inf)
     for cell, n, far in cells.groupBy("cell").agg(F.count(F.lit(1)), F.max("far")).collect():  # PIVOTS rows at most
         held[cell], reach[cell] = n, far
-    parts = np.maximum(1, -(-held // BLOCK))
+    shelf, parts, shelves = packed(held)
     asked = checkpointed(vectors[0].mapInPandas(place, f"id {kinds[0]}, desc array<double>, cell int, far double").withColumnRenamed("cell", "home"))
-    askers = np.ones(len(pivots), np.int64)
+    askers = np.zeros(len(pivots), np.int64)
     for cell, n in asked.groupBy("home").count().collect():  # PIVOTS rows at most
-        askers[cell] = max(1, -(-n // BLOCK))
-    index = spark.sparkContext.broadcast((held, reach, parts, askers))
+        askers[cell] = n
+    index = spark.sparkContext.broadcast((held, reach, shelf, parts, *packed(askers)[:2]))
 
     def first(d: np.ndarray) -> np.ndarray:
         """The nearest cells that hold two, of each row of distances to pivots."""
@@ -85,33 +105,43 @@ def two_nearest(a: DataFrame, b: DataFrame) -> DataFrame:
 
     def visits(batches):
         """Where each asker goes: with a bound to every cell that may hold something nearer, without to the first ones."""
-        held, reach, parts, askers = index.value
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        held, reach, shelf, parts, block, blocks = index.value
+        # cells by shelf; one that is dealt over several is on each
+        places = np.array([(s, c) for c in np.flatnonzero(held) for s in range(shelf[c], shelf[c] + parts[c])], np.int64).reshape(-1, 2)
+        places = places[np.lexsort((places[:, 1], places[:, 0]))]
+        for pdf in pieces(batches, max(1, min(PIECE, VISITS // max(1, shelves)))):
             d = apart(stacked(pdf["desc"]))
             to = first(d)
             if "bound" in pdf:
                 bound = pdf["bound"].fillna(np.inf).to_numpy(float)[:, None]
-                to = ~to & (held > 0) & (d - reach[None, :] <= bound * (1 + 1e-9) + 1e-6)
-            row, cell = np.nonzero(to)
-            h, home = pdf["h"].to_numpy(), pdf["home"].to_numpy()
-            rows = pd.DataFrame({"id": pdf["id"].to_numpy()[row], "desc": pdf["desc"].to_numpy()[row], "home": home[row], "block": h[row] % askers[home[row]], "cell": cell})
-            yield rows.loc[rows.index.repeat(parts[cell])].assign(part=np.concatenate([np.arange(p) for p in parts[cell]]) if len(cell) else [])
+                to = ~to & (d - reach[None, :] <= bound * (1 + 1e-9) + 1e-6)
+            row, k = np.nonzero(to[:, places[:, 1]])
+            if not len(row):
+                continue
+            on, cell = places[k, 0], places[k, 1]
+            new = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (on[1:] != on[:-1])]))
+            r, h, home = row[new], pdf["h"].to_numpy(), pdf["home"].to_numpy()
+            own = block[home[r]] + h[r] % blocks[home[r]]
+            yield pd.DataFrame({"id": pdf["id"].to_numpy()[r], "desc": pdf["desc"].to_numpy()[r], "block": own, "shelf": on[new], "cells": np.split(cell, new[1:])})
 
     def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        if x.empty or y.empty:
-            return pd.DataFrame({"a_id": [], "b_id": [], "d": []})
-        y = y.sort_values("id")
-        return pd.DataFrame(best_two(x["id"].to_numpy(), stacked(x["desc"]), y["id"].to_numpy(), stacked(y["desc"])), columns=["a_id", "b_id", "d"])
+        found = []
+        if not x.empty and not y.empty:
+            u, lists = stacked(x["desc"]), x["cells"]
+            row, wants = np.repeat(np.arange(len(x)), lists.str.len()), np.concatenate(lists.to_numpy())
+            ids = x["id"].to_numpy()
+            for cell, own in y.sort_values("id").groupby("cell"):
+                k = row[wants == cell]
+                if len(k):
+                    found += best_two(ids[k], u[k], own["id"].to_numpy(), stacked(own["desc"]))
+        return pd.DataFrame(found, columns=["a_id", "b_id", "d"])
 
     def looked_through(askers_: DataFrame) -> DataFrame:
-        going = checkpointed(askers_.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 30))).mapInPandas(visits, f"id {kinds[0]}, desc array<double>, home int, block long, cell int, part long"))
-        shares = F.array(*[F.lit(int(p)) for p in parts])
-        own = cells.withColumn("part", F.pmod(F.xxhash64("id"), F.element_at(shares, F.col("cell") + 1)))
-        keys = ["cell", "part", "home", "block"]
-        met = own.join(going.select(*keys).distinct(), ["cell", "part"]).select("id", "desc", *[F.col(k).alias(f"_{k}") for k in keys])
-        return going.groupBy(*keys).cogroup(met.groupBy(*[f"_{k}" for k in keys])).applyInPandas(compare, f"a_id {kinds[0]}, b_id {kinds[1]}, d double")
+        going = checkpointed(askers_.withColumn("h", F.pmod(F.xxhash64("id"), F.lit(1 << 30))).mapInPandas(visits, f"id {kinds[0]}, desc array<double>, block long, shelf long, cells array<int>"))
+        of = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("cell") + 1)
+        own = cells.withColumn("shelf", of(shelf) + F.pmod(F.xxhash64("id"), of(parts)))
+        met = own.join(going.select("shelf", "block").distinct(), "shelf").select("id", "desc", "cell", F.col("shelf").alias("_shelf"), F.col("block").alias("_block"))
+        return going.groupBy("shelf", "block").cogroup(met.groupBy("_shelf", "_block")).applyInPandas(compare, f"a_id {kinds[0]}, b_id {kinds[1]}, d double")
 
     def two(found: DataFrame) -> DataFrame:
         return found.groupBy("a_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "b_id"))), 1, 2).alias("n"))

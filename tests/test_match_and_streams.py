@@ -40,6 +40,26 @@ def test_two_nearest_by_cells(spark, kind, monkeypatch):
     assert match.two_nearest(frames[0], frames[1].limit(0)).count() == match.two_nearest(frames[0].limit(0), frames[1]).count() == 0
 
 
+def test_askers_go_to_a_shelf_once(spark, monkeypatch):
+    """Descriptors without clusters are near every cell: an asker's row is sent once for all the cells of a shelf, not once a cell."""
+    monkeypatch.setattr(match, "BLOCK", 64)
+    monkeypatch.setattr(match, "CELL", 4)
+    held, kept = [], match.checkpointed
+    monkeypatch.setattr(match, "checkpointed", lambda df: held.append(kept(df)) or held[-1])
+    r = np.random.default_rng(5)
+    a, b = r.normal(size=(50, 16)), r.normal(size=(200, 16))
+    frames = [spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, desc array<double>") for x in (a, b)]
+    found = {q.a_id: q.b_id for q in match.two_nearest(*frames).collect()}
+    assert found == {i: int(np.argmin(np.linalg.norm(b - v, axis=1))) for i, v in enumerate(a)}
+    sent = [df.count() for df in held if "block" in df.columns]
+    assert len(sent) == 2 and max(sent) <= len(a) * 4
+
+
+def test_shelves_hold_cells_in_order():
+    first, parts, shelves = match.packed(np.array([0, 1000, 1000, 100, 5000, 0, 2048, 1]))
+    assert (first.tolist(), parts.tolist(), shelves) == ([0, 0, 0, 1, 2, 4, 5, 6], [1, 1, 1, 1, 3, 1, 1, 1], 7)
+
+
 def test_groups_of_chains_in_any_order(spark):
     import random
 
