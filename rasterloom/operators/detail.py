@@ -15,7 +15,7 @@ from rasterloom.functions.tone import num
 from rasterloom.operators.geometry import gathered, moved
 from rasterloom.operators.node import EngineError, Param, choice, node, number
 from rasterloom.operators.point import DETAIL, SIGNED
-from rasterloom.operators.spatial import COLOURS, along, box_columns, clamped_mean, gaussian, guided
+from rasterloom.operators.spatial import COLOURS, along, box_means, clamped_mean, gaussian, guided
 from rasterloom.operators.tiles import over_tiles
 
 
@@ -25,14 +25,21 @@ def luma() -> Column:
 
 def self_guided(df, column: str, out: str, radius: int, eps: float, width: int, height: int):
     """df with out: column smoothed where it varies little in a box, kept where it varies much."""
-    if radius <= 0:
-        return df.withColumn(out, F.col(column))
-    df = df.withColumn("_m", F.col(column)).withColumn("_c", F.col(column) * F.col(column))
-    df = box_columns(df, ["_m", "_c"], radius, width, height, True)
-    var = F.greatest(F.col("_c") - F.col("_m") * F.col("_m"), num(0))
-    df = df.withColumn("_a", var / (var + num(eps))).withColumn("_b", F.col("_m") * (num(1) - F.col("_a")))
-    df = box_columns(df, ["_a", "_b"], radius, width, height, True)
-    return df.withColumn(out, F.col("_a") * F.col(column) + F.col("_b"))
+    return all_self_guided(df, {out: (column, radius)}, eps, width, height)
+
+
+def all_self_guided(df, wanted: dict[str, tuple[str, int]], eps: float, width: int, height: int):
+    """df with several self_guided() columns, by name from a column and a radius: they share their passes along rows and columns."""
+    c = F.col
+    boxes = {out: (column, radius) for out, (column, radius) in wanted.items() if radius > 0}
+    if boxes:
+        df = df.withColumns({f"_m{o}": c(v) for o, (v, _) in boxes.items()} | {f"_c{o}": c(v) * c(v) for o, (v, _) in boxes.items()})
+        df = box_means(df, {f"_{k}{o}": r for o, (_, r) in boxes.items() for k in "mc"}, width, height, True)
+        var = {o: F.greatest(c(f"_c{o}") - c(f"_m{o}") * c(f"_m{o}"), num(0)) for o in boxes}
+        df = df.withColumns({f"_a{o}": v / (v + num(eps)) for o, v in var.items()})
+        df = df.withColumns({f"_b{o}": c(f"_m{o}") * (num(1) - c(f"_a{o}")) for o in boxes}).drop(*[f"_{k}{o}" for o in boxes for k in "mc"])
+        df = box_means(df, {f"_{k}{o}": r for o, (_, r) in boxes.items() for k in "ab"}, width, height, True)
+    return df.withColumns({o: c(f"_a{o}") * c(v) + c(f"_b{o}") if o in boxes else c(v) for o, (v, _) in wanted.items()}).drop(*[f"_{k}{o}" for o in boxes for k in "ab"])
 
 
 # Shares of the frame's short side, least sigmas, and the common limits of the three scales of local contrast.
@@ -58,18 +65,18 @@ def local_contrast(rel: Rel, strengths, weights=(None, None, None), range_ev: fl
     """The difference of display luma from its guided base at three scales, limited, times a strength, as a ratio of luma; weights scale what each scale changes."""
     short = min(rel.width, rel.height)
     df = rel.df.withColumn("_l", luma()).withColumn("_d", t.encode(F.greatest("_l", num(0)))).select("*", *[num(1).alias(f"_f{c}") for c in COLOURS])
-    for strength, (share, least), weight in zip(strengths, SCALES, weights, strict=True):
+    radii = [max(1, math.floor(max(short * share, least) * math.sqrt(3) + 0.5)) for share, least in SCALES]
+    df = all_self_guided(df, {f"_base{k}": ("_d", r) for k, r in enumerate(radii) if strengths[k]}, EPS, rel.width, rel.height)
+    for k, (strength, weight) in enumerate(zip(strengths, weights, strict=True)):
         if strength:
-            radius = max(1, math.floor(max(short * share, least) * math.sqrt(3) + 0.5))
-            df = self_guided(df, "_d", "_base", radius, EPS, rel.width, rel.height)
-            raw = F.col("_d") - F.col("_base")
+            raw = F.col("_d") - F.col(f"_base{k}")
             soft = raw / (num(1) + F.abs(raw / F.when(raw > 0, num(LIMIT_UP)).otherwise(num(LIMIT_DOWN))))
             new = F.greatest(F.col("_d") + num(GAIN * strength) * soft, F.col("_d") * num(DARK))
             df = df.withColumn("_ratio", t.decode(new) / lit_luma())
-            for c, k in zip(COLOURS, gains(F.col("_l"), weight, range_ev), strict=True):
+            for c, gain in zip(COLOURS, gains(F.col("_l"), weight, range_ev), strict=True):
                 factor = F.col("_ratio")
                 if weight is not None:  # more than the whole darkening stops at the floor
-                    factor = F.when(k == 1, factor).otherwise(F.greatest(num(1) + k * (factor - num(1)), t.decode(F.col("_d") * num(DARK)) / lit_luma()))
+                    factor = F.when(gain == 1, factor).otherwise(F.greatest(num(1) + gain * (factor - num(1)), t.decode(F.col("_d") * num(DARK)) / lit_luma()))
                 df = df.withColumn(f"_f{c}", F.when(F.col("_l") > 1e-6, F.col(f"_f{c}") * factor).otherwise(F.col(f"_f{c}")))
     return Rel(df, IMAGE, rel.width, rel.height).image(*[F.col(c) * F.col(f"_f{c}") for c in COLOURS])
 
@@ -167,26 +174,28 @@ def detail_eq(inputs, p):
         return rel
     short = min(rel.width, rel.height)
     df = rel.df.withColumn("_l", luma()).withColumn("_d", t.encode(F.greatest("_l", num(0)))).withColumn("_finer", F.col("_d")).withColumn("_change", num(0))
-    for k, (share, least) in enumerate(list(BANDS.values())[:needed]):
-        if shown and k + 2 < shown:
-            continue
-        radius = max(1, math.floor(max(short * share, least) * math.sqrt(3) + 0.5))
-        df = self_guided(df, "_d", "_base", radius, EPS, rel.width, rel.height)
-        band = F.col("_finer") - F.col("_base")
+    radii = [max(1, math.floor(max(short * share, least) * math.sqrt(3) + 0.5)) for share, least in BANDS.values()]
+    bands = [k for k in range(needed) if not shown or k + 2 >= shown]
+    df = all_self_guided(df, {f"_base{k}": ("_d", radii[k]) for k in bands}, EPS, rel.width, rel.height)
+    for k in bands:
+        band = F.col("_finer") - F.col(f"_base{k}")
         if strengths[k] and not shown:
             soft = band / (num(1) + F.abs(band / F.when(band > 0, num(LIMIT_UP)).otherwise(num(LIMIT_DOWN))))
             df = df.withColumn("_change", F.col("_change") + (num(GAIN * strengths[k]) * soft if strengths[k] > 0 else num(strengths[k]) * band))
-        df = df.withColumn("_band", band).withColumn("_finer", F.col("_base")).drop("_base")
+        df = df.withColumn("_band", band).withColumn("_finer", F.col(f"_base{k}")).drop(f"_base{k}")
     if shown:
         grey = t.decode(t.clamp(num(VIEW_GREY) + num(VIEW_GAIN) * F.col("_band")))
         return Rel(df, IMAGE, rel.width, rel.height).image(grey, grey, grey)
     weights = {k: p[k] / 100 for k in ("shadows", "midtones", "highlights", "red", "green", "blue")}
     weights = None if all(abs(v - 1) < 1e-6 for v in weights.values()) else weights
-    ratio = t.decode(F.greatest(F.col("_d") + F.col("_change"), F.col("_d") * num(DARK))) / lit_luma()
+    # columns of their own, as the code of one step has a largest size
+    df = df.withColumns({"_ratio": t.decode(F.greatest(F.col("_d") + F.col("_change"), F.col("_d") * num(DARK))) / lit_luma(), "_floor": t.decode(F.col("_d") * num(DARK)) / lit_luma()})
+    df = df.withColumns({f"_k{c}": k for c, k in zip(COLOURS, gains(F.col("_l"), weights, p["range_ev"]), strict=True)})
     still = (F.col("_l") <= 1e-6) | (F.col("_change") == 0)
-    out = []
-    for c, k in zip(COLOURS, gains(F.col("_l"), weights, p["range_ev"]), strict=True):
-        factor = ratio if weights is None else F.when(k == 1, ratio).otherwise(F.greatest(num(1) + k * (ratio - num(1)), t.decode(F.col("_d") * num(DARK)) / lit_luma()))
+    ratio, out = F.col("_ratio"), []
+    for c in COLOURS:
+        k = F.col(f"_k{c}")
+        factor = ratio if weights is None else F.when(k == 1, ratio).otherwise(F.greatest(num(1) + k * (ratio - num(1)), F.col("_floor")))
         out.append(F.when(still, F.col(c)).otherwise(F.col(c) * factor))
     return Rel(df, IMAGE, rel.width, rel.height).image(*out)
 
@@ -199,11 +208,8 @@ def sharpen(inputs, p):
         return rel
     size = max(0.1, p["radius"]) * math.sqrt(3)
     low, part = math.floor(size), size - math.floor(size)
-    df = rel.df
-    for c in COLOURS:
-        df = df.withColumn(f"_e{c}", t.encode(F.greatest(c, num(0))))
-        df = self_guided(df, f"_e{c}", f"_lo{c}", low, EPS, rel.width, rel.height)
-        df = self_guided(df, f"_e{c}", f"_hi{c}", low + 1, EPS, rel.width, rel.height)
+    df = rel.df.withColumns({f"_e{c}": t.encode(F.greatest(c, num(0))) for c in COLOURS})
+    df = all_self_guided(df, {f"_{name}{c}": (f"_e{c}", r) for c in COLOURS for name, r in (("lo", low), ("hi", low + 1))}, EPS, rel.width, rel.height)
     out = []
     for c in COLOURS:
         base = t.decode(F.greatest(F.col(f"_lo{c}") + (F.col(f"_hi{c}") - F.col(f"_lo{c}")) * num(part), num(0)))

@@ -427,9 +427,14 @@ def truncated_mean(rel: Rel, radius: int) -> Rel:
 
 def box_columns(df, columns: list[str], radius: int, width: int, height: int, clamped: bool):
     """Box means of columns in place."""
+    return box_means(df, dict.fromkeys(columns, radius), width, height, clamped)
+
+
+def box_means(df, radii: dict[str, int], width: int, height: int, clamped: bool):
+    """Box means of columns in place, each over its own radius: one pass along rows and one along columns for all."""
     for axis, size in (("x", width), ("y", height)):
-        mean = clamped_mean(axis, radius, size) if clamped else (lambda c, axis=axis: F.avg(c).over(along(axis).rowsBetween(-radius, radius)))
-        df = df.withColumns({c: mean(F.col(c)) for c in columns})
+        mean = (lambda c, r, axis=axis, size=size: clamped_mean(axis, r, size)(c)) if clamped else (lambda c, r, axis=axis: F.avg(c).over(along(axis).rowsBetween(-r, r)))
+        df = df.withColumns({c: mean(F.col(c), r) for c, r in radii.items()})
     return df
 
 

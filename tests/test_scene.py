@@ -149,3 +149,11 @@ def test_a_shift_counts_every_place(spark):
     ys, xs = np.mgrid[0:h, 0:w]
     frames = pd.concat([pd.DataFrame({"frame_id": np.int32(f), "y": ys.ravel().astype(np.int32), "x": xs.ravel().astype(np.int32), "r": s.ravel(), "g": s.ravel(), "b": s.ravel(), "a": 1.0}) for f, s in enumerate((base, other))])
     assert [tuple(r) for r in stack.find_shifts(image_rel(spark.createDataFrame(frames), w, h), 0, 1).orderBy("frame_id").collect()] == [(0, 0, 0), (1, 1, 0)]
+
+
+@pytest.mark.parametrize(("name", "params"), [("detail_eq", {"fine": 40.0, "medium": -60.0, "large": 30.0}), ("sharpen", {"amount": 80.0, "radius": 0.6}), ("clarity", {"texture": 30.0, "clarity": 40.0})])
+def test_bases_share_their_passes(spark, name, params):
+    """Guided bases of several radii and channels go along rows and along columns twice in all."""
+    df = spark.range(400).selectExpr("0 as frame_id", "int(id div 20) as y", "int(id % 20) as x", "id % 7 / 7D as r", "id % 5 / 5D as g", "id % 3 / 3D as b", "1D as a")
+    out = run(name, {"in": image_rel(df, 20, 20)}, params)
+    assert out.df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 4
