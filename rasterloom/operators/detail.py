@@ -483,7 +483,6 @@ def lens_correct(inputs, p):
     if p["vig_k1"] or p["vig_k2"] or p["vig_k3"]:
         q = r * r * num(scale * scale)
         gain = gain / F.greatest(num(1) + num(p["vig_k1"]) * q + num(p["vig_k2"]) * q * q + num(p["vig_k3"]) * q * q * q, num(0.05))
-    df = df.withColumn("_gain", gain)
     profile = num(1)
     if p["dist_model"] != "none" and (a or b or c):
         profile = {"poly3": num(1 - a) + num(a) * u * u, "poly5": num(1) + num(a) * u * u + num(b) * u * u * u * u, "ptlens": num(a) * u * u * u + num(b) * u * u + num(c) * u + num(1 - a - b - c)}[p["dist_model"]]
@@ -492,10 +491,23 @@ def lens_correct(inputs, p):
     if untouched:
         return rel
     df = df.withColumns({f"_s{ch}": profile * tca[ch] * (num(1) + num(extra) * r * r) for ch, extra in zip(COLOURS, (k + red, k, k + blue), strict=True)})
-    # a pixel's three places are gathered together and meet again as one row
-    at = F.explode(F.array(*[F.struct(F.lit(i).alias("ch"), (num(cx) + dx * F.col(f"_s{ch}")).alias("x"), (num(cy) + dy * F.col(f"_s{ch}")).alias("y")) for i, ch in enumerate(COLOURS)]))
-    places = df.select(*KEY, F.col("a").alias("_alpha"), "_gain", at.alias("_p")).select(*KEY, "_alpha", "_gain", F.col("_p.ch").alias("_ch"), F.col("_p.x").alias("_gx"), F.col("_p.y").alias("_gy"))
-    found = gathered(rel, places, COLOURS).groupBy(*KEY, F.col("_alpha").alias("a"), "_gain").agg(*[F.max(F.when(F.col("_ch") == i, F.col(ch))).alias(ch) for i, ch in enumerate(COLOURS)])
+    # a pixel's three places and its own, for alpha, are gathered together by bare keys and meet again as one row
+    clipped = lambda v, n: F.least(F.greatest(v, num(0)), num(n - 1))
+    corners = []
+    for i, ch in enumerate(COLOURS):
+        gx, gy = clipped(num(cx) + dx * F.col(f"_s{ch}"), rel.width), clipped(num(cy) + dy * F.col(f"_s{ch}"), rel.height)
+        df = df.withColumns({f"_gx{ch}": gx, f"_gy{ch}": gy})
+        gx, gy = F.col(f"_gx{ch}"), F.col(f"_gy{ch}")
+        x0, y0 = F.floor(gx), F.floor(gy)
+        tx, ty = gx - x0, gy - y0
+        for px, py, w in ((x0, y0, (num(1) - tx) * (num(1) - ty)), (F.least(x0 + 1, F.lit(rel.width - 1)), y0, tx * (num(1) - ty)), (x0, F.least(y0 + 1, F.lit(rel.height - 1)), (num(1) - tx) * ty), (F.least(x0 + 1, F.lit(rel.width - 1)), F.least(y0 + 1, F.lit(rel.height - 1)), tx * ty)):
+            corners.append(F.struct(F.lit(i).alias("ch"), px.cast("int").alias("sx"), py.cast("int").alias("sy"), w.alias("w")))
+    corners.append(F.struct(F.lit(3).alias("ch"), F.col("x").alias("sx"), F.col("y").alias("sy"), num(1).alias("w")))
+    wide = df.select(*KEY, F.explode(F.filter(F.array(*corners), lambda c: c["w"] > 0)).alias("_c")).select(*KEY, "_c.*")
+    source = rel.df.select("frame_id", F.col("x").alias("sx"), F.col("y").alias("sy"), *[F.col(c).alias(f"_v{c}") for c in "rgba"])
+    joined = wide.hint("merge").join(source, ["frame_id", "sx", "sy"], "left")
+    found = joined.groupBy(*KEY).agg(*[F.sum(F.when(F.col("ch") == i, F.col("w") * F.col(f"_v{c}"))).alias(c) for i, c in enumerate("rgba")])
+    found = found.withColumn("_q", F.sqrt(dx * dx + dy * dy)).withColumn("_gain", gain)
     return Rel(found, IMAGE, rel.width, rel.height).image(*[F.col(ch) * F.col("_gain") for ch in COLOURS])
 
 

@@ -157,3 +157,11 @@ def test_bases_share_their_passes(spark, name, params):
     df = spark.range(400).selectExpr("0 as frame_id", "int(id div 20) as y", "int(id % 20) as x", "id % 7 / 7D as r", "id % 5 / 5D as g", "id % 3 / 3D as b", "1D as a")
     out = run(name, {"in": image_rel(df, 20, 20)}, params)
     assert out.df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 4
+
+
+def test_lens_places_meet_in_one_shuffle(spark):
+    """A pixel's three places and its alpha meet at once: shuffles of what is read, of the frame, and of the pixels."""
+    df = spark.range(400).selectExpr("0 as frame_id", "int(id div 20) as y", "int(id % 20) as x", "id % 7 / 7D as r", "id % 5 / 5D as g", "id % 3 / 3D as b", "if(id = 45, null, id / 400D) as a")
+    out = run("lens_correct", {"in": image_rel(df, 20, 20)}, {"ca_red": 30.0, "vignette": 20.0})
+    assert out.df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+    assert {(r.y, r.x): r.a for r in out.df.collect()} == {(r.y, r.x): r.a for r in df.collect()}
