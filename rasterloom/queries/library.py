@@ -41,8 +41,9 @@ def library(spark: SparkSession, sf_dir: str) -> Library:
         F.when(key % 11 == 0, 1).otherwise(0).alias("trashed"),
     )
     lines = t("lineitem")
-    members = lines.select(F.col("l_suppkey").alias("collection_id"), F.col("l_orderkey").cast("string").alias("image_id")).distinct()
-    keywords = lines.select(F.col("l_orderkey").cast("string").alias("image_id"), F.lower(F.concat("l_returnflag", F.lit("-"), "l_linestatus")).alias("keyword")).distinct()
+    image_id = F.col("l_orderkey").cast("string").alias("image_id")  # after the rows are distinct: numbers take less memory
+    members = lines.select("l_suppkey", "l_orderkey").distinct().select(F.col("l_suppkey").alias("collection_id"), image_id)
+    keywords = lines.select("l_orderkey", F.lower(F.concat("l_returnflag", F.lit("-"), "l_linestatus")).alias("keyword")).distinct().select(image_id, "keyword")
     collections = t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     thumbnails = t("orders").select(key.cast("string").alias("image_id"), F.when(key % 2 == 0, "rendered").otherwise("embedded").alias("kind"), F.col("o_orderpriority").cast("binary").alias("data"))
     exif = t("orders").select(key.cast("string").alias("image_id"), F.col("o_orderstatus").alias("make"), F.date_format("o_orderdate", "yyyy:MM:dd HH:mm:ss").alias("taken"), F.lit(3).alias("reader"))

@@ -369,7 +369,10 @@ class Library:
     def image_has_own_work(self) -> DataFrame:
         """id of images with a rating, a flag, an edit, a collection or a keyword."""
         own = self.images.filter("rating > 0 or flag <> 'none' or edited <> 0").select("id")
-        return own.union(self.members.select("image_id")).union(self.keywords.select("image_id")).distinct()
+        n = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named: adaptive execution doesn't merge these, so a task's ids stay few
+        # Ids made distinct a table at a time stand in for the tables' distinct rows, which then aren't built, and meet where they already lie.
+        members, keywords = (df.select("image_id").distinct() for df in (self.members, self.keywords))
+        return own.repartition(n, "id").union(members).union(keywords).distinct()
 
     def meta_keys(self, prefix: str) -> DataFrame:
         return self.meta.filter(F.col("key").startswith(prefix)).select("key").orderBy("key")

@@ -92,3 +92,33 @@ def test_dates_sorts_and_names(lib, spark):
     assert got[0].export_name == "0-none-{what}" and len({r.export_name for r in got}) == 5
     same = [r.export_name for r in export_names(lib.images, "x").orderBy("n").collect()]
     assert same == ["x", "x-2", "x-3", "x-4", "x-5"]
+
+
+def test_own_work_is_each_id_once(spark):
+    images = spark.createDataFrame([("a", 1, "none", 0), ("a", 0, "pick", 0), ("b", 0, "none", 1), ("c", 0, "none", 0), ("d", 0, "none", 0), (None, 2, "none", 0)], "id string, rating int, flag string, edited int")
+    members = spark.createDataFrame([(1, "b"), (2, "b"), (1, "gone"), (1, "c")], "collection_id bigint, image_id string")
+    keywords = spark.createDataFrame([("c", "Sea"), ("c", "Sky"), (None, "Sea"), ("a", "Sea")], "image_id string, keyword string")
+    got = Library.empty(spark, images=images, members=members.distinct(), keywords=keywords.distinct()).image_has_own_work()
+    assert got.columns == ["id"] and sorted(ids(got), key=str) == [None, "a", "b", "c", "gone"]
+
+
+def test_own_work_makes_only_ids_distinct(spark, sf_dir, capsys):
+    import re
+
+    from rasterloom.queries.library import queries
+
+    queries()["catalog__image_has_own_work"](spark, sf_dir).explain()
+    plan = capsys.readouterr().out
+    keys = re.findall(r"HashAggregate\(keys=\[([^\]]*)\]", plan)
+    assert keys and not [k for k in keys if "," in k]  # pairs of image and collection or keyword would fill a task's memory
+    assert plan.count("Exchange hashpartitioning") == 3 and "REPARTITION_BY_NUM" in plan  # one a table, and none after
+
+
+def test_rows_of_the_tables_are_distinct_as_numbers(spark, sf_dir, capsys):
+    from rasterloom.queries.library import library
+
+    lib = library(spark, sf_dir)
+    for df, key in ((lib.members, "collection_id"), (lib.keywords, "keyword")):
+        df.explain()
+        assert "HashAggregate(keys=[l_" in (plan := capsys.readouterr().out) and "keys=[image_id" not in plan
+        assert dict(df.dtypes)["image_id"] == "string" and df.count() == df.select(key, "image_id").distinct().count()
