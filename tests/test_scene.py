@@ -2,11 +2,16 @@
 
 import itertools
 import math
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from rasterloom.frame import image_rel
 from rasterloom.operators import detail, match, spatial, stack  # noqa: F401
@@ -165,3 +170,57 @@ def test_lens_places_meet_in_one_shuffle(spark):
     out = run("lens_correct", {"in": image_rel(df, 20, 20)}, {"ca_red": 30.0, "vignette": 20.0})
     assert out.df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
     assert {(r.y, r.x): r.a for r in out.df.collect()} == {(r.y, r.x): r.a for r in df.collect()}
+
+
+def test_shifts_over_words_and_holes(spark):
+    """Rows of several words, one of them not full, and places that a frame doesn't have."""
+    h, w = 40, 150
+    rng = np.random.default_rng(8)
+    v = rng.random((h + 8, w + 8))
+    moves = ((0, 0), (-4, 1), (3, -2))
+    ys, xs = np.mgrid[0:h, 0:w]
+    frames = []
+    for f, (dx, dy) in enumerate(moves):
+        s = v[4 - dy : 4 - dy + h, 4 - dx : 4 - dx + w]
+        frames.append(pd.DataFrame({"frame_id": np.int32(f), "y": ys.ravel().astype(np.int32), "x": xs.ravel().astype(np.int32), "r": s.ravel(), "g": s.ravel(), "b": s.ravel(), "a": 1.0})[rng.random(h * w) < 0.8])
+    df = spark.createDataFrame(pd.concat(frames))
+    for around in (1, 0):
+        bits = df.select("frame_id", "y", "x", (F.col("r") > 0.5).alias("bit"))
+        known = stack.in_words(bits, around).select(F.sum(F.bit_count("known"))).first()[0]
+        assert known == sum(map(len, frames)) + around * sum(int(((f.x % 62 == 0).sum() + (f.x % 62 == 61).sum())) for f in frames)
+    seen = {}
+    for f, frame in enumerate(frames):
+        q = np.percentile(frame.r, (25, 50, 75))
+        seen[f] = {(y, x): r > q[1] for y, x, r in zip(frame.y, frame.x, frame.r, strict=True) if abs(r - q[1]) >= max(0.05 * (q[2] - q[0]), 1e-4)}
+    want = []
+    for f in seen:
+        met = {(i, j): [b != seen[0][y - j, x - i] for (y, x), b in seen[f].items() if (y - j, x - i) in seen[0]] for j in (-1, 0, 1) for i in (-1, 0, 1)}
+        want.append((f, *min(met, key=lambda c: (np.mean(met[c]), c != (0, 0), 3 * c[1] + c[0]))))
+    assert [tuple(r) for r in stack.find_shifts(image_rel(df, w, h), 0, 1).orderBy("frame_id").collect()] == want
+
+
+def test_quartiles_are_exact(spark):
+    """Of more values than are looked through, with copies, nulls and values that are no numbers."""
+    n = stack.FEW * 3
+    at = F.col("id")
+    values = {0: at * 7919 % n / F.lit(float(n)), 1: F.floor(at % 5).cast("double"), 2: F.when(at % 3 == 0, F.lit(None)).when(at % 7 == 0, F.lit(float("nan"))).when(at % 11 == 0, F.lit(float("inf"))).otherwise(F.exp(at % 600)), 3: F.when(at < 6, at * 1.5)}
+    df = spark.range(n).select(F.explode(F.array(*[F.struct(F.lit(f).alias("frame_id"), v.cast("double").alias("l")) for f, v in values.items()])).alias("s")).select("s.*")
+    want = df.groupBy("frame_id").agg(F.percentile("l", F.array(*[F.lit(s) for s in (0.25, 0.5, 0.75)])).alias("q"))
+    assert sorted(map(repr, stack.quartiles(df).collect())) == sorted(map(repr, want.withColumnRenamed("q", "_q").collect()))
+
+
+def test_thresholds_of_many_values_need_little_memory(tmp_path):
+    """Two frames of 2.5 million different values each, in a process with a heap of 512 MB."""
+    told = tmp_path / "told.py"
+    told.write_text(
+        "from pyspark.sql import functions as F\n"
+        "from rasterloom.operators import stack\n"
+        "from rasterloom.session import local_session\n"
+        "spark = local_session(1, 'small', **{'spark.driver.memory': '512m'})\n"
+        "n, at = 5_000_000, F.col('id')\n"
+        "df = spark.range(0, n, 1, 8).select((at % 2).cast('int').alias('frame_id'), at.cast('int').alias('y'), F.lit(0).alias('x'), ((at * 2654435761 % n + 0.5) / n).alias('l'))\n"
+        "print('bits', *sorted(tuple(r) for r in stack.thresholded(df).groupBy('frame_id').agg(F.count('*'), F.sum(F.col('bit').cast('int'))).collect()))\n"
+    )
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "SPARK_"))} | {"PYTHONPATH": str(Path(stack.__file__).parents[2]), "TMPDIR": str(tmp_path)}
+    ran = subprocess.run([sys.executable, str(told)], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert "bits (0, 2375000, 1187500) (1, 2375000, 1187500)" in ran.stdout, ran.stderr[-2000:]
